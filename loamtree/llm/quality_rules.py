@@ -16,7 +16,7 @@ SHARE, STEPS, PRIOR = 0.75, 4, 50.0
 #: The squared distance of a document that is rejected. 6 dimensions; the chi-square quantile of one in 10**9 is 54.
 CUTOFF = 54.0
 #: Of each transformed statistic, the standard deviation that no estimate goes below.
-FEATURES = {"x_words": 0.5, "x_length": 0.5, "x_symbols": 0.3, "x_lines": 0.4, "x_repeats": 0.5, "x_upper": 0.3}
+FEATURES = {"x_words": 0.5, "x_length": 0.8, "x_symbols": 0.25, "x_lines": 0.4, "x_repeats": 0.5, "x_upper": 0.3}
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
