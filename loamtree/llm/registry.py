@@ -4,6 +4,7 @@ from .bpe import op3_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .license_scan import OP9_SQL, op9_license_scan
+from .near_dedup import op4_near_dedup
 from .packing import op8_packing
 from .quality_model import op6_quality_model
 from .quality_rules import op5_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_model": op6_quality_model,
     "op8_packing": op8_packing,

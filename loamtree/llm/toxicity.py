@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from .labelled import held_out, training_texts
 from .textbytes import byte_hashes, chunks, lower_ascii, owners, runs
 
-#: Labelled documents learnt from, documents a term must be in to be learnt, factors, passes, rows of a step, step size, what each step takes from a weight, and from a row of factors.
-TRAIN_ROWS, MIN_DOCUMENTS, FACTORS, PASSES, STEP_ROWS, RATE, LASSO, GROUP_LASSO = 8000, 3, 4, 12, 128, 0.25, 0.002, 0.004
+#: Labelled documents learnt from, documents a term must be in to be learnt, factors, rows of a step, step size.
+TRAIN_ROWS, MIN_DOCUMENTS, FACTORS, STEP_ROWS, RATE = 12000, 4, 4, 128, 0.25
+#: Passes, and what a step takes from a weight and from a row of factors: first to choose terms, then to fit the chosen, of at least SELECT times the largest weight.
+CHOOSE, FIT, SELECT = (6, 0.005, 0.02), (40, 0.0, 1e-4), 0.15
 THRESHOLD = 0.7
 
 TERM = np.zeros(256, bool)
@@ -25,8 +27,9 @@ def document_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 class FactorizationMachine:
     """score = sigmoid(bias + sum w_i + sum over pairs of <v_i, v_j>) over the distinct terms of a document.
 
-    Terms are known by their hash alone. Proximal AdaGrad sets the weights and
-    factors of terms that tell nothing to zero; they leave the model.
+    Terms are known by their hash alone. Proximal AdaGrad shrinks the weights and
+    factors of terms that tell nothing to or near zero; they leave the model, and
+    the rest is fitted anew with next to no shrinkage.
     """
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray, factors: np.ndarray, bias: float):
@@ -47,15 +50,27 @@ class FactorizationMachine:
         doc, index, terms = doc[keep], number[index[keep]], terms[common]
         first = np.searchsorted(doc, np.arange(len(bags) + 1))
 
-        rng = np.random.default_rng(seed)
-        n = len(terms)
-        w, v = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+        model = cls(terms, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)), 0.0)
+        model._descend(doc, index, labels, np.random.default_rng(seed), *CHOOSE)
+        size = np.abs(model.weights) + np.linalg.norm(model.factors, axis=1)
+        used = size > SELECT * size.max(initial=0)
+        number = np.cumsum(used) - 1
+        keep = used[index]
+        model = cls(terms[used], np.zeros(used.sum()), np.zeros((used.sum(), FACTORS)), 0.0)
+        model._descend(doc[keep], number[index[keep]], labels, np.random.default_rng(seed), *FIT)
+        return model
+
+    def _descend(self, doc: np.ndarray, index: np.ndarray, labels: np.ndarray, rng, passes: int, lasso: float, group_lasso: float) -> None:
+        """Passes over the documents, given as (document, term index) pairs in document order."""
+        n = len(self.terms)
+        first = np.searchsorted(doc, np.arange(len(labels) + 1))
+        w, v = self.weights, rng.normal(0, 0.01, (n, FACTORS))
         gw, gv, gb = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
         positive = labels.sum() / len(labels)
         bias = float(np.log((positive + 1e-3) / (1 - positive + 1e-3)))
         weight = np.where(labels > 0, 0.5 / max(positive, 1e-3), 0.5 / max(1 - positive, 1e-3)).clip(max=10)
-        for _ in range(PASSES):
-            order = rng.permutation(len(bags))
+        for _ in range(passes):
+            order = rng.permutation(len(labels))
             for lo in range(0, len(order), STEP_ROWS):
                 rows = order[lo : lo + STEP_ROWS]
                 count = first[rows + 1] - first[rows]
@@ -66,22 +81,23 @@ class FactorizationMachine:
                 squares = np.bincount(own, (vx * vx).sum(1), len(rows))
                 score = bias + np.bincount(own, w[at], len(rows)) + 0.5 * ((total * total).sum(1) - squares)
                 error = weight[rows] * (1 / (1 + np.exp(-score.clip(-30, 30))) - labels[rows])
+                gb += error.mean() ** 2
+                bias -= RATE * error.mean() / np.sqrt(gb)
+                if not len(at):
+                    continue
                 touched, local = np.unique(at, return_inverse=True)
                 dw = np.bincount(local, error[own], len(touched)) / len(rows)
                 dv = np.stack([np.bincount(local, error[own] * (total[own, f] - vx[:, f]), len(touched)) for f in range(FACTORS)], 1) / len(rows)
                 gw[touched] += dw * dw
                 gv[touched] += dv * dv
-                gb += error.mean() ** 2
-                bias -= RATE * error.mean() / np.sqrt(gb)
                 step = RATE / np.sqrt(gw[touched])
                 new = w[touched] - step * dw
-                w[touched] = np.sign(new) * np.maximum(np.abs(new) - step * LASSO, 0)
+                w[touched] = np.sign(new) * np.maximum(np.abs(new) - step * lasso, 0)
                 moved = v[touched] - RATE * dv / np.sqrt(gv[touched])
                 norm = np.linalg.norm(moved, axis=1, keepdims=True)
-                shrink = RATE * GROUP_LASSO / np.sqrt(gv[touched].mean(1, keepdims=True))
+                shrink = RATE * group_lasso / np.sqrt(gv[touched].mean(1, keepdims=True))
                 v[touched] = moved * np.maximum(1 - shrink / np.maximum(norm, 1e-12), 0)
-        used = (w != 0) | (np.abs(v) > 1e-4).any(1)
-        return cls(terms[used], w[used], v[used], bias)
+        self.factors, self.bias = v, bias
 
     def scores(self, doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
         """Of n documents, from all their (document, term) pairs; repeated terms count once."""
