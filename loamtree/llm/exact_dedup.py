@@ -5,6 +5,8 @@ from pyspark.sql.window import Window
 
 from .store import drop_rows, materialize
 
+#: Code points of a text that the splitters see.
+HEAD = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,8 +19,9 @@ def normalised(text):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows are range-partitioned on (normalised text, salt) by splitters that
-    Spark samples, and sorted externally; a window over the sorted rows compares
+    Rows are range-partitioned on (first bytes of the normalised text, its hash,
+    salt) by splitters that Spark samples, so a sample is narrow whatever the
+    texts, and sorted externally; a window over the sorted rows compares
     neighbouring texts in full, so equal ones form runs. The salt, a hash of the
     id, lets the range partitioner split a text with very many copies, which
     then forms up to `salts` runs. Only one narrow row per run goes on, and the
@@ -30,11 +33,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best, order = (F.min, F.asc_nulls_first) if keep == "smallest" else (F.max, F.desc_nulls_last)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    run = Window.partitionBy("norm", "salt")
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
+    run = Window.partitionBy("head", "hash", "norm", "salt")
     in_order = run.orderBy(order("doc_id"))
     placed = (
-        rows.repartitionByRange("norm", "salt")
+        rows.repartitionByRange("head", "hash", "salt")
         .withColumn("place", F.row_number().over(in_order))
         .withColumn("run_id", F.first("doc_id").over(in_order))
         .withColumn("run_size", F.count(F.lit(1)).over(run))
