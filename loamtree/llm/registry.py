@@ -8,6 +8,7 @@ from .near_dedup import op4_near_dedup
 from .packing import op8_packing
 from .quality_model import op6_quality_model
 from .quality_rules import op5_quality_rules
+from .substring_dedup import op7_substring_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_model": op6_quality_model,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
