@@ -1,0 +1,52 @@
+"""Replicates of coalescent trees and sites, each from its own seed, so any task can make any of them again."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+_TREES = "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>, sites array<struct<pos:bigint,col:string>>"
+
+
+def coalescent_tree(k: int, popsize: float, rng: np.random.Generator) -> tuple[list[int], list[float]]:
+    """A random tree of k leaves in a diploid population of constant size."""
+    ptree, age, alive, t = [-1] * (2 * k - 1), [0.0] * (2 * k - 1), list(range(k)), 0.0
+    for node in range(k, 2 * k - 1):
+        n = len(alive)
+        t += rng.exponential(4 * popsize / (n * (n - 1)))
+        for _ in range(2):
+            ptree[alive.pop(int(rng.integers(len(alive))))] = node
+        age[node] = t
+        alive.append(node)
+    return ptree, age
+
+
+def drop_mutations(ptree, age, length: int, mu: float, rng: np.random.Generator) -> list[tuple[int, str]]:
+    """Sites of a block with at most one mutation each: position and a column with A for old and C for new."""
+    k = (len(ptree) + 1) // 2
+    size = [age[up] - age[x] if up >= 0 else 0.0 for x, up in enumerate(ptree)]
+    total = sum(size)
+    count = min(int(rng.poisson(mu * total * length)), length)
+    if not count:
+        return []
+    places = np.sort(rng.choice(length, count, replace=False))
+    nodes = rng.choice(len(ptree), count, p=np.array(size) / total)
+    below = [{x} if x < k else set() for x in range(len(ptree))]
+    for x in np.argsort(age, kind="stable"):
+        if ptree[x] >= 0:
+            below[ptree[x]] |= below[x]
+    return [(int(p), "".join("C" if leaf in below[x] else "A" for leaf in range(k))) for p, x in zip(places, nodes)]
+
+
+def simulate(spark: SparkSession, replicates: int, leaves: int, length: int, popsize: float = 1e4, mu: float = 2.5e-8, seed: int = 1) -> DataFrame:
+    """One independent block of `length` bases per replicate, with its tree and sites."""
+
+    def make(batches):
+        for frame in batches:
+            rows = []
+            for i in frame["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                p, a = coalescent_tree(leaves, popsize, rng)
+                rows.append((0, "chr", int(i) * length, (int(i) + 1) * length, p, a, [{"pos": int(i) * length + x, "col": c} for x, c in drop_mutations(p, a, length, mu, rng)]))
+            yield pd.DataFrame(rows, columns=["sample", "chrom", "start", "stop", "ptree", "age", "sites"])
+
+    return spark.range(replicates).mapInPandas(make, _TREES)
