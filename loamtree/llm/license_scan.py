@@ -2,10 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Spellings that count as one, applied in this order after lower-casing.
+#: Spellings that count as one, applied in this order to words with one space or line end between them. A space in them is any such gap.
 SPELLINGS = [
-    ("licence", "license"), ("https:", "http:"), ("copyright holder", "copyright owner"), ("centre", "center"), ("organisation", "organization"),
-    ("favour", "favor"), ("fulfil ", "fulfill "), ("non-commercial", "noncommercial"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"),
+    ("licence", "license"), ("https", "http"), ("copyright holder", "copyright owner"), ("centre", "center"), ("organisation", "organization"),
+    ("favour", "favor"), ("fulfil ", "fulfill "), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("merchantibility", "merchantability"),
 ]
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -38,12 +38,17 @@ COPYRIGHT = r"(?m)^[\t #*/;-]*(?:copyright|\(c\)|©)[^\n]*$"
 BETWEEN = r"[^\p{L}\p{N}\n]+"
 
 
+def _gap(old: str, new: str, group: str) -> tuple[str, str]:
+    """A spelling with a space as a pattern and its replacement, which keeps the gap."""
+    return old.replace(" ", "([ \n]+)"), new.replace(" ", group)
+
+
 def canonical(text):
-    """Lower case, one spelling, no copyright lines, and each run of other characters one space; line ends stay."""
-    text = F.lower(F.coalesce(text, F.lit("")))
+    """Lower case, no copyright lines, each run of other characters one space, and one spelling; line ends stay."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, ""), BETWEEN, " ")
     for old, new in SPELLINGS:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.regexp_replace(text, COPYRIGHT, ""), BETWEEN, " ")
+        text = F.regexp_replace(text, *_gap(old, new, "$1")) if " " in old else F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def joined(text):
@@ -87,10 +92,11 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"lower(coalesce({text}, ''))"
+    out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '', 'g'), '{BETWEEN}', ' ', 'g')"
     for old, new in SPELLINGS:
-        out = f"replace({out}, '{old}', '{new}')"
-    return f"regexp_replace(regexp_replace({out}, '{COPYRIGHT}', '', 'g'), '{BETWEEN}', ' ', 'g')"
+        pattern, kept = _gap(old, new, chr(92) + "1")
+        out = f"regexp_replace({out}, '{pattern}', '{kept}', 'g')" if " " in old else f"replace({out}, '{old}', '{new}')"
+    return out
 
 
 def _sql_joined(text: str) -> str:

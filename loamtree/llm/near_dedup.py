@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words have no shingles and are linked with nothing; so are
     null ids, whose component is null and which are kept. Repeated rows share a
-    component; of rows with one id and several texts, each has its own text's
-    component, and these are one. No rows give no rows; other columns are
+    component; of rows with one id and several texts, each has the component of
+    its own text. No rows give no rows; other columns are
     ignored. Very large classes and lists are pre-aggregated or met in joins
     that Spark splits, never gathered.
     """

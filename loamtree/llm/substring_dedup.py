@@ -199,7 +199,7 @@ def _kept(batches):
                 gone = _covered(b - a, lists["starts"][i], [e + WINDOW - 1 for e in lists["ends"][i] or ()])
                 sizes.append(int(gone.sum()))
                 texts.append(b" ".join([raw[starts[k]:ends[k]] for k in (a + np.flatnonzero(~gone)).tolist()]).decode())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words")), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "n_words")), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_hash", "n_words", "n_removed", "kept_text"])
 
 
 def _ranges(found: DataFrame) -> DataFrame:
@@ -211,8 +211,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Two tables that together have one row per document.
 
     The first, of documents that share no anchor with another: doc_id, n_words,
-    n_removed (0), kept_sha256. The second, of all others: doc_id, n_words,
-    n_removed, kept_text (the kept words joined by one space).
+    n_removed (0), kept_sha256. The second, of all others: doc_id, text_hash
+    (xxhash64 of the text), n_words, n_removed, kept_text (the kept words joined
+    by one space).
 
     A word goes if a window of WINDOW words that covers it also starts in a
     document with a smaller id. Sending the automaton of every reference to
@@ -254,18 +255,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = rest.join(first, "window").filter(later).select("owner", "row").distinct()
     found = found.unionByName(_stream(materialize(pairs, "parts-pairs"), touched))
 
-    whole = touched.join(_ranges(found), F.col("row") == F.col("found_row"), "left").select("doc_id", "text", "n_words", "starts", "ends")
-    kept = whole.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = touched.join(_ranges(found), F.col("row") == F.col("found_row"), "left").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "n_words", "starts", "ends")
+    kept = whole.mapInArrow(_kept, "doc_id long, text_hash long, n_words long, n_removed long, kept_text string")
     return split.filter("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"), kept
 
 
 def cut_repeated_passages(docs: DataFrame) -> DataFrame:
-    """docs with the words that substring_dedup() keeps; documents that lose none stay as they are. n_chars, if there, is counted anew."""
+    """docs with the words that substring_dedup() keeps; documents that lose none stay as they are. n_chars, if there, is counted anew.
+
+    Rows with one id and several texts are each cut as their own text is.
+    """
     _, kept = substring_dedup(docs)
-    cut = materialize(kept.filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text").dropDuplicates(["cut_id"]), "parts-cut")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_id"], "left")
-    text = F.coalesce("kept_text", docs["text"])
-    counted = {"n_chars": F.when(F.col("cut_id").isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {}
+    cut = kept.filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
+    cut = materialize(cut, "parts-cut")
+    joined = docs.join(cut, (docs["doc_id"] == cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["text_hash"]), "left")
+    text = F.coalesce(cut["kept_text"], docs["text"])
+    counted = {"n_chars": F.when(cut["doc_id"].isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {}
     fresh = {"text": text} | counted
     return joined.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else docs[c] for c in docs.columns])
 
