@@ -15,8 +15,8 @@ SHINGLE = 5
 NUMERATOR = 75
 #: Coordinates of a signature and how many must agree. At similarity 0.75 fewer than 20 of 48 agree with probability below 1e-6, above it still more rarely.
 COORDINATES, MATCHES = 48, 20
-#: Candidate pairs, as a multiple of the postings, that are compared at once; beyond, lists are compared leader by leader.
-AT_ONCE = 20
+#: Bins of a sketch, the members of a list whose pairs are joined one by one, and the members of a block of a longer list.
+BINS, SHORT, BLOCK = 1024, 8, 512
 
 _rng = np.random.default_rng(48)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -45,6 +45,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+_EDGES = np.arange(1, BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of BINS equal ranges of hashes, as one byte; 0 where there is none."""
+    at = np.concatenate(([0], np.searchsorted(shingles, _EDGES), [len(shingles)]))
+    out = np.zeros(BINS, np.uint8)
+    some = at[1:] > at[:-1]
+    out[some] = 1 + (shingles[at[:-1][some]] & np.uint64(0xFFFF)) % np.uint64(255)
+    return out
+
+
 def _signatures(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -59,6 +71,13 @@ def _signatures(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
 
+def _sketches(batches):
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            rows = [sketch(s).tobytes() for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["rep", "fine"])
+
+
 def _full_sets(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -96,6 +115,60 @@ def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("leader", "rep", "sig_a", "sig_b").mapInArrow(_agreeing, "leader long, rep long, same int")
 
 
+def _block_arrays(members):
+    ids, labels, sizes, hot = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "size", "hot"))
+    sig = members.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+    fine = np.frombuffer(b"".join(members.field("fine").to_pylist()), np.uint8).reshape(-1, BINS)
+    return ids, labels, sizes, hot, sig, fine
+
+
+def _compare_blocks(batches):
+    """Pairs across components of two blocks of a list, whose sketches allow a link, if no earlier coordinate has a long list that both are in."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            place = batch.column("token")[i].as_py() >> 32
+            left, right = (_block_arrays(batch.column(c)[i].values) for c in ("left", "right"))
+            (ids_a, labels_a, sizes_a, hot_a, sig_a, fine_a), (ids_b, labels_b, sizes_b, hot_b, sig_b, fine_b) = left, right
+            met = labels_a[:, None] != labels_b[None, :]
+            if batch.column("i")[i].as_py() == batch.column("j")[i].as_py():
+                met &= ids_a[:, None] < ids_b[None, :]
+            small, large = np.minimum(sizes_a[:, None], sizes_b[None, :]), np.maximum(sizes_a[:, None], sizes_b[None, :])
+            met &= 100 * small >= NUMERATOR * large
+            for c in range(place):
+                in_a, in_b = (hot_a >> c) & 1 == 1, (hot_b >> c) & 1 == 1
+                if in_a.any() and in_b.any():
+                    met &= ~((sig_a[:, c][:, None] == sig_b[:, c][None, :]) & in_a[:, None] & in_b[None, :])
+            at_a, at_b = np.nonzero(met)
+            for lo in range(0, len(at_a), 1 << 14):
+                a, b = at_a[lo : lo + (1 << 14)], at_b[lo : lo + (1 << 14)]
+                x, y = fine_a[a], fine_b[b]
+                used = ((x | y) != 0).sum(axis=1)
+                same = ((x == y) & (x != 0)).sum(axis=1)
+                # five standard deviations below the expectation at the threshold, of `used` drawn from the union without putting back
+                share = NUMERATOR / 100
+                union = (sizes_a[a] + sizes_b[b]) / (1 + share)
+                spread = np.sqrt(share * (1 - share) * used * np.maximum(1 - used / union, 0))
+                keep = np.flatnonzero(same >= share * used - 5 * spread - 1)
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_a[a[keep]]), pa.array(ids_b[b[keep]])], ["leader", "rep"])
+
+
+def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (leader, rep) of long lists, given as rep, token, label, n. Only their members' texts are sketched."""
+    own = rest.groupBy("rep", "label").agg(
+        F.sum(F.expr("shiftleft(1L, CAST(shiftright(token, 32) AS INT))")).alias("hot"), F.collect_list(F.struct("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("lists")
+    )
+    own = materialize(own.join(classes.select("rep", "size", "sig"), "rep"), "near-long")
+    fine = texts.join(own.select("rep"), "rep").select("rep", "text").mapInArrow(_sketches, "rep long, fine binary")
+    rows = own.join(fine, "rep").select("rep", "label", "size", "hot", "sig", "fine", F.explode("lists").alias("x"))
+    rows = rows.withColumns({"token": F.col("x.token"), "blocks": F.col("x.blocks"), "i": F.pmod(F.xxhash64("rep"), F.col("x.blocks")).cast("int")})
+    blocks = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "hot", "sig", "fine")).alias("members"))
+    blocks = materialize(blocks, "near-blocks")
+    left = blocks.select("token", "i", F.col("members").alias("left"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    both = left.join(blocks.select("token", F.col("i").alias("j"), F.col("members").alias("right")), ["token", "j"])
+    return both.select("token", "i", "j", "left", "right").mapInArrow(_compare_blocks, "leader long, rep long")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among pairs (materialized leader, rep), on the full sets of the two texts.
 
@@ -124,10 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Lists are merged into candidate pairs through leaders: each class is
        compared with the first class of its lists, in signature and then in full
        sets. What a link joins need not meet again. In lists that still hold
-       several components, all pairs across components are compared: at once if
-       they are few against the postings, else by one more leader a list, from
-       its smallest component, which then leaves the list. So no link is lost
-       and no list is expanded into all its pairs.
+       several components, all pairs across components are compared: those of a
+       list of up to SHORT members one by one; longer lists in blocks of about
+       BLOCK members, every block against every other. A block comparison counts
+       collisions of sketches as arrays and lets go on only pairs that may be
+       similar enough, each in the first list that it shares. So no link is lost
+       to a cap, and the pairs of a list are never rows.
     4. Links become components by joins.
 
     Texts without words have no shingles and are linked with nothing; so are
@@ -140,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     signed = materialize(texts.withColumnRenamed("rep", "doc_id").mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"), "near-signatures")
     classes = materialize(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes"
+        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "near-classes"
     )
     posted = classes.select("rep", F.posexplode("sig")).select("rep", F.expr("shiftleft(CAST(pos AS BIGINT), 32) | (CAST(col AS BIGINT) & 4294967295)").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
@@ -152,29 +227,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = posts.join(heads, "token").filter("rep <> leader").select("leader", "rep").distinct()
     best = _agree(pairs, classes).groupBy("rep").agg(F.max(F.struct("same", (-F.col("leader")).alias("less"))).alias("x"))
     links = _confirm(materialize(best.select((-F.col("x.less")).alias("leader"), "rep"), "near-pairs"), texts)
-    open_posts, n_posts = posts, posts.count()
-    while True:
-        labels = materialize(connected_components(links), "near-labels")
-        named = open_posts.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "token", F.coalesce("label", "rep").alias("label"))
-        parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("r"))
-        lists = parts.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.min(F.struct("c", "r", "label")).alias("small")).filter("n * n > nn")
-        lists = materialize(lists.select("token", (F.col("n") * F.col("n") - F.col("nn")).alias("across"), F.col("small.r").alias("leader"), F.col("small.label").alias("leader_label")), "near-lists")
-        across = lists.agg(F.sum("across")).first()[0]
-        if across is None:
-            break
-        rest = materialize(named.join(lists.select("token"), "token"), "near-open")
-        at_once = across <= AT_ONCE * n_posts
-        if at_once:
-            other = rest.select("token", F.col("rep").alias("leader"), F.col("label").alias("leader_label"))
-            met = rest.join(other, "token").filter("leader_label < label")
-        else:
-            met = rest.join(lists.select("token", "leader", "leader_label"), "token").filter("leader_label <> label")
-        pairs = materialize(_agree(met.select("leader", "rep").distinct(), classes).select("leader", "rep"), "near-pairs")
-        links = materialize(links.unionByName(_confirm(pairs, texts)), "near-links")
-        if at_once:
-            labels = materialize(connected_components(links), "near-labels")
-            break
-        open_posts = materialize(rest.select("rep", "token").join(lists.select("token", F.col("leader").alias("rep")), ["token", "rep"], "left_anti"), "near-open")
+    labels = materialize(connected_components(links), "near-labels")
+    named = posts.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "token", F.coalesce("label", "rep").alias("label"))
+    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"))
+    lists = materialize(parts.filter("n_labels > 1").select("token", "n"), "near-lists")
+    rest = materialize(named.join(lists, "token"), "near-open")
+    short = rest.filter(F.col("n") <= SHORT).select("rep", "token", "label")
+    other = short.select("token", F.col("rep").alias("leader"), F.col("label").alias("leader_label"))
+    few = _agree(short.join(other, "token").filter("leader_label < label").select("leader", "rep").distinct(), classes).select("leader", "rep")
+    many = _in_blocks(rest.filter(F.col("n") > SHORT), classes, texts)
+    links = links.unionByName(_confirm(materialize(few.unionByName(many).distinct(), "near-pairs"), texts))
+    labels = materialize(connected_components(links), "near-labels")
 
     named = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component"))
     known = F.col("n_shingles") > 0
