@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .store import drop_rows, materialize
+from .store import drop_rows, materialize, small_side
 from .textbytes import chunks, gram_hashes, lower_ascii, range_hashes, word_table
 
 SHINGLE = 5
@@ -159,7 +159,7 @@ def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
         F.sum(F.expr("shiftleft(1L, CAST(shiftright(token, 32) AS INT))")).alias("hot"), F.collect_list(F.struct("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("lists")
     )
     own = materialize(own.join(classes.select("rep", "size", "sig"), "rep"), "near-long")
-    fine = texts.join(own.select("rep"), "rep").select("rep", "text").mapInArrow(_sketches, "rep long, fine binary")
+    fine = texts.join(small_side(own.select("rep")), "rep").select("rep", "text").mapInArrow(_sketches, "rep long, fine binary")
     rows = own.join(fine, "rep").select("rep", "label", "size", "hot", "sig", "fine", F.explode("lists").alias("x"))
     rows = rows.withColumns({"token": F.col("x.token"), "blocks": F.col("x.blocks"), "i": F.pmod(F.xxhash64("rep"), F.col("x.blocks")).cast("int")})
     blocks = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "hot", "sig", "fine")).alias("members"))
@@ -176,7 +176,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     on is its set, to the leader's partition, which Spark splits if it is large.
     """
     wanted = pairs.select("rep", "leader").unionByName(pairs.select(F.col("leader").alias("rep"), F.lit(None).cast("long").alias("leader")).distinct())
-    sets = texts.join(materialize(wanted, "near-wanted"), "rep").select("rep", "leader", "text").mapInArrow(_full_sets, "rep long, leader long, shingles binary")
+    sets = texts.join(small_side(materialize(wanted, "near-wanted")), "rep").select("rep", "leader", "text").mapInArrow(_full_sets, "rep long, leader long, shingles binary")
     sets = materialize(sets, "near-sets")
     members = sets.filter("leader IS NOT NULL").withColumnRenamed("shingles", "set_b")
     leaders = sets.filter("leader IS NULL").select(F.col("rep").alias("leader"), F.col("shingles").alias("set_a"))

@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +31,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two long columns that are broadcast to a join with texts, about 100 MB; longer tables are shuffled with the texts.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A materialized table of ids for a join with texts: broadcast if it is short enough, so that only the texts it names move."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the ids in the materialized table `dropped`.
 
