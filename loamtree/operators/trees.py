@@ -151,8 +151,8 @@ def allele_age(derived: Column, clade_col: Column, ptree="ptree", age="age") ->
 
 def clade_rows(trees: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each internal clade of each tree: keys, clade (leaves joined by commas), size."""
-    exploded = trees.select(*keys, F.explode(F.slice(clades("ptree"), n_leaves("ptree") + 1, F.size("ptree"))).alias("leaves"))
-    return exploded.select(*keys, F.array_join(F.transform("leaves", lambda x: x.cast("string")), ",").alias("clade"), F.size("leaves").alias("size"))
+    exploded = trees.select(*keys, F.explode(F.slice(clades("ptree"), n_leaves("ptree") + 1, F.size("ptree"))).alias("clade_leaves"))
+    return exploded.select(*keys, F.array_join(F.transform("clade_leaves", lambda x: x.cast("string")), ",").alias("clade"), F.size("clade_leaves").alias("size"))
 
 
 def majority_clades(trees: DataFrame, segment: list[str], share: float = 0.5) -> DataFrame:

@@ -1,9 +1,9 @@
 """Newick text to trees and back, as Arrow-batched functions."""
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-_TREE = "struct<ptree:array<int>,age:array<double>,names:array<string>>"
+_TREE = T.StructType([T.StructField("ptree", T.ArrayType(T.IntegerType())), T.StructField("age", T.ArrayType(T.DoubleType())), T.StructField("names", T.ArrayType(T.StringType()))])
 
 
 def parse(text: str) -> tuple[list[int], list[float], list[str]]:
@@ -94,6 +94,6 @@ def parse_newick(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ptree", "age", "names"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_newick(ptree: pd.Series, age: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else render(list(p), list(a), list(x)) for p, a, x in zip(ptree, age, names)])
