@@ -139,8 +139,8 @@ def _compare_blocks(batches):
                 if in_a.any() and in_b.any():
                     met &= ~((sig_a[:, c][:, None] == sig_b[:, c][None, :]) & in_a[:, None] & in_b[None, :])
             at_a, at_b = np.nonzero(met)
-            for lo in range(0, len(at_a), 1 << 14):
-                a, b = at_a[lo : lo + (1 << 14)], at_b[lo : lo + (1 << 14)]
+            for lo in range(0, len(at_a), 1 << 12):
+                a, b = at_a[lo : lo + (1 << 12)], at_b[lo : lo + (1 << 12)]
                 x, y = fine_a[a], fine_b[b]
                 used = ((x | y) != 0).sum(axis=1)
                 same = ((x == y) & (x != 0)).sum(axis=1)
