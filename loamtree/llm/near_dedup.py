@@ -122,8 +122,11 @@ def _block_arrays(members):
     return ids, labels, sizes, hot, sig, fine
 
 
-def _compare_blocks(batches):
-    """Pairs across components of two blocks of a list, whose sketches allow a link, if no earlier coordinate has a long list that both are in."""
+def _compare_blocks(batches, best: bool):
+    """Pairs across components of two blocks of a list, whose sketches allow a link, if no earlier coordinate has a long list that both are in.
+
+    best: only the most similar partner of each member.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             place = batch.column("token")[i].as_py() >> 32
@@ -139,6 +142,7 @@ def _compare_blocks(batches):
                 if in_a.any() and in_b.any():
                     met &= ~((sig_a[:, c][:, None] == sig_b[:, c][None, :]) & in_a[:, None] & in_b[None, :])
             at_a, at_b = np.nonzero(met)
+            found = [np.zeros((0, 3))]
             for lo in range(0, len(at_a), 1 << 12):
                 a, b = at_a[lo : lo + (1 << 12)], at_b[lo : lo + (1 << 12)]
                 x, y = fine_a[a], fine_b[b]
@@ -149,11 +153,17 @@ def _compare_blocks(batches):
                 union = (sizes_a[a] + sizes_b[b]) / (1 + share)
                 spread = np.sqrt(share * (1 - share) * used * np.maximum(1 - used / union, 0))
                 keep = np.flatnonzero(same >= share * used - 5 * spread - 1)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_a[a[keep]]), pa.array(ids_b[b[keep]])], ["leader", "rep"])
+                found.append(np.stack((a[keep], b[keep], same[keep] / used[keep]), axis=1))
+            found = np.concatenate(found)
+            if best:
+                found = found[np.argsort(-found[:, 2], kind="stable")]
+                first = [np.unique(found[:, side], return_index=True)[1] for side in (0, 1)]
+                found = found[np.unique(np.concatenate(first))]
+            at_a, at_b = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_a[at_a], pa.int64()), pa.array(ids_b[at_b], pa.int64())], ["leader", "rep"])
 
 
-def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs (leader, rep) of long lists, given as rep, token, label, n. Only their members' texts are sketched."""
     own = rest.groupBy("rep", "label").agg(
         F.sum(F.expr("shiftleft(1L, CAST(shiftright(token, 32) AS INT))")).alias("hot"), F.collect_list(F.struct("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("lists")
@@ -166,7 +176,7 @@ def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     blocks = materialize(blocks, "near-blocks")
     left = blocks.select("token", "i", F.col("members").alias("left"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
     both = left.join(blocks.select("token", F.col("i").alias("j"), F.col("members").alias("right")), ["token", "j"])
-    return both.select("token", "i", "j", "left", "right").mapInArrow(_compare_blocks, "leader long, rep long")
+    return both.select("token", "i", "j", "left", "right").mapInArrow(lambda batches: _compare_blocks(batches, best), "leader long, rep long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,6 +193,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(members.join(leaders, "leader").select("leader", "rep", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), "near-links")
 
 
+def _across(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, token, label, n of the lists that hold several components."""
+    named = posts.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "token", F.coalesce("label", "rep").alias("label"))
+    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"))
+    lists = materialize(parts.filter("n_labels > 1").select("token", "n"), "near-lists")
+    return materialize(named.join(lists, "token"), "near-open")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -195,13 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        each (prefix filter): only these are joined, and the long lists of common
        values are skipped.
     3. Lists are merged into candidate pairs through leaders: each class is
-       compared with the first class of its lists, in signature and then in full
-       sets. What a link joins need not meet again. In lists that still hold
+       compared with three classes of its lists (the smallest id, the largest and
+       one by hash), in signature, and with the closest in full sets. What a link joins need not meet again. In lists that still hold
        several components, all pairs across components are compared: those of a
        list of up to SHORT members one by one; longer lists in blocks of about
        BLOCK members, every block against every other. A block comparison counts
        collisions of sketches as arrays and lets go on only pairs that may be
-       similar enough, each in the first list that it shares. So no link is lost
+       similar enough, each in the first list that it shares: in a first pass
+       only each member's closest partner of a block, in a second all that are
+       then still in different components. So no link is lost
        to a cap, and the pairs of a list are never rows.
     4. Links become components by joins.
 
@@ -223,21 +243,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.greatest(F.lit(0), COORDINATES - MATCHES + 1 - (COORDINATES - F.size("list")))
     posts = materialize(ordered.select("rep", F.explode(F.slice("list", F.lit(1), first)).alias("x")).select("rep", F.col("x.token").alias("token")), "near-postings")
 
-    heads = posts.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    three = F.array_distinct(F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))))
+    heads = posts.groupBy("token").agg(three.alias("leaders"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.explode("leaders").alias("leader"))
     pairs = posts.join(heads, "token").filter("rep <> leader").select("leader", "rep").distinct()
     best = _agree(pairs, classes).groupBy("rep").agg(F.max(F.struct("same", (-F.col("leader")).alias("less"))).alias("x"))
     links = _confirm(materialize(best.select((-F.col("x.less")).alias("leader"), "rep"), "near-pairs"), texts)
     labels = materialize(connected_components(links), "near-labels")
-    named = posts.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "token", F.coalesce("label", "rep").alias("label"))
-    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"))
-    lists = materialize(parts.filter("n_labels > 1").select("token", "n"), "near-lists")
-    rest = materialize(named.join(lists, "token"), "near-open")
+    rest = _across(posts, labels)
     short = rest.filter(F.col("n") <= SHORT).select("rep", "token", "label")
     other = short.select("token", F.col("rep").alias("leader"), F.col("label").alias("leader_label"))
     few = _agree(short.join(other, "token").filter("leader_label < label").select("leader", "rep").distinct(), classes).select("leader", "rep")
-    many = _in_blocks(rest.filter(F.col("n") > SHORT), classes, texts)
-    links = links.unionByName(_confirm(materialize(few.unionByName(many).distinct(), "near-pairs"), texts))
-    labels = materialize(connected_components(links), "near-labels")
+    for best in (True, False):
+        many = _in_blocks(rest.filter(F.col("n") > SHORT), classes, texts, best)
+        links = links.unionByName(_confirm(materialize((few.unionByName(many) if best else many).distinct(), "near-pairs"), texts))
+        labels = materialize(connected_components(links), "near-labels")
+        if best:
+            rest = _across(rest.filter(F.col("n") > SHORT).select("rep", "token"), labels)
 
     named = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component"))
     known = F.col("n_shingles") > 0
