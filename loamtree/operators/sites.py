@@ -82,12 +82,13 @@ def near_pairs(sites: DataFrame, distance: int) -> DataFrame:
     return a.join(b, ["chrom", "bin"]).filter((F.col("a_pos") < F.col("b_pos")) & (F.col("b_pos") - F.col("a_pos") <= distance)).drop("bin")
 
 
-def linkage(pairs: DataFrame, size: int) -> DataFrame:
-    """D, D' and r2 of pairs of columns with `size` symbols; a symbol counts as 1 if it is the column's first.
+def linkage(pairs: DataFrame) -> DataFrame:
+    """D, D' and r2 of pairs of columns over all sequences that both have; a symbol counts as 1 if it is the column's first.
 
     D' is 0 where D is; r2 is null where a column is invariant.
     """
-    a, b = letters(F.col("a_col")), letters(F.col("b_col"))
+    size = F.least(F.length("a_col"), F.length("b_col"))
+    a, b = F.slice(letters(F.col("a_col")), 1, size), F.slice(letters(F.col("b_col")), 1, size)
     off = lambda x: F.transform(x, lambda c: c != x[0])
     both = F.size(F.filter(F.zip_with(off(a), off(b), lambda x, y: x & y), lambda z: z)) / size
     p = F.size(F.filter(off(a), lambda x: x)) / size
@@ -99,6 +100,16 @@ def linkage(pairs: DataFrame, size: int) -> DataFrame:
     return named.withColumns({"d_prime": F.when(d == 0, F.lit(0.0)).otherwise(d / most), "r2": F.when(spread != 0, d * d / spread)}).drop("x", "p", "q")
 
 
+def conflicting_pairs(sites: DataFrame, distance: int) -> DataFrame:
+    """(chrom, a_pos, b_pos) of near sites whose minor splits conflict, over all sequences that both have.
+
+    A site's split is made once; only beside a narrower column it is made anew.
+    """
+    pairs = near_pairs(sites.select("chrom", "pos", "col", minor_split(F.col("col")).alias("s")), distance)
+    shared = lambda x, y: F.when(F.length(f"{x}_col") <= F.length(f"{y}_col"), F.col(f"{x}_s")).otherwise(minor_split(F.substring(F.col(f"{x}_col"), F.lit(1), F.length(f"{y}_col"))))
+    return pairs.withColumns({"a_s": shared("a", "b"), "b_s": shared("b", "a")}).filter(splits_conflict(F.col("a_s"), F.col("b_s"))).select("chrom", "a_pos", "b_pos")
+
+
 def nearest_conflicts(pairs: DataFrame) -> DataFrame:
     """Of conflicting pairs (chrom, a_pos, b_pos): each site with the nearest conflict on its left and right."""
     right = pairs.select("chrom", F.col("a_pos").alias("pos"), F.lit(None).cast("long").alias("left"), F.col("b_pos").alias("right"))

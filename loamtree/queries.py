@@ -248,7 +248,7 @@ y AS (SELECT *, x - p * q AS d FROM x)
 SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
 round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
 def ld_pairs(spark, d):
-    return rounded(st.linkage(st.near_pairs(_four(spark, d), DISTANCE), 4).select("a_pos", "b_pos", "d", "d_prime", "r2"), "d", "d_prime", "r2")
+    return rounded(st.linkage(st.near_pairs(_four(spark, d), DISTANCE)).select("a_pos", "b_pos", "d", "d_prime", "r2"), "d", "d_prime", "r2")
 
 
 _CONFLICTS = f"""WITH {_FOUR}, letters AS (SELECT pos, unnest(range(4)) AS i, col FROM four), counted AS (SELECT pos, col[i + 1] AS base, count(*) AS n, list(i) AS leaves FROM letters GROUP BY ALL),
@@ -276,9 +276,45 @@ def unnested_conflicts(spark, d):
     return st.unnested_conflicts(_conflicts(spark, d))
 
 
+#: The same over whole columns: a pair of sites is compared over all sequences that both have.
+@query(f"""WITH {SITES_SQL}, marks AS (SELECT pos, i, CAST(col[i] <> col[1] AS INT) AS m FROM (SELECT pos, col, unnest(range(1, length(col) + 1)) AS i FROM sites)),
+x AS (SELECT a.pos AS a_pos, b.pos AS b_pos, sum(a.m) / count(*) AS p, sum(b.m) / count(*) AS q, sum(a.m * b.m) / count(*) AS x FROM marks a JOIN marks b ON a.i = b.i AND a.pos < b.pos AND b.pos - a.pos <= {DISTANCE} GROUP BY ALL),
+y AS (SELECT *, x - p * q AS d FROM x)
+SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
+round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
+def ld_pairs_whole(spark, d):
+    return rounded(st.linkage(st.near_pairs(sites(spark, d), DISTANCE)).select("a_pos", "b_pos", "d", "d_prime", "r2"), "d", "d_prime", "r2")
+
+
+_WHOLE_CONFLICTS = f"""WITH {SITES_SQL}, parts AS (SELECT pos, size, col, unnest(range(1, size + 1)) AS i FROM (SELECT pos, col, unnest(range(1, length(col) + 1)) AS size FROM sites)),
+counted AS (SELECT pos, size, col[i] AS base, count(*) AS n, list(i) AS leaves FROM parts GROUP BY ALL),
+splits AS (SELECT pos, size, arg_min(leaves, (n, base)) AS s FROM counted GROUP BY ALL),
+pairs AS (SELECT a.pos AS a_pos, b.pos AS b_pos, least(length(a.col), length(b.col)) AS size FROM sites a JOIN sites b ON a.pos < b.pos AND b.pos - a.pos <= {DISTANCE}),
+conflicts AS (SELECT a_pos, b_pos FROM pairs p JOIN splits a ON a.pos = a_pos AND a.size = p.size JOIN splits b ON b.pos = b_pos AND b.size = p.size WHERE list_has_any(a.s, b.s) AND NOT list_has_all(a.s, b.s) AND NOT list_has_all(b.s, a.s))"""
+
+
+def _whole_conflicts(spark, d):
+    return st.conflicting_pairs(sites(spark, d), DISTANCE)
+
+
+@query(_WHOLE_CONFLICTS + " SELECT '1' AS chrom, a_pos, b_pos FROM conflicts")
+def split_conflicts_whole(spark, d):
+    return _whole_conflicts(spark, d)
+
+
+@query(_WHOLE_CONFLICTS + ", both_ AS (SELECT a_pos AS pos, NULL AS l, b_pos AS r FROM conflicts UNION ALL SELECT b_pos, a_pos, NULL FROM conflicts) SELECT '1' AS chrom, pos, max(l) AS \"left\", min(r) AS \"right\" FROM both_ GROUP BY pos")
+def nearest_conflict_whole(spark, d):
+    return st.nearest_conflicts(_whole_conflicts(spark, d))
+
+
+@query(_WHOLE_CONFLICTS + " SELECT '1' AS chrom, a.a_pos, min(a.b_pos) AS b_pos FROM conflicts a GROUP BY a.a_pos HAVING NOT EXISTS (SELECT 1 FROM conflicts b WHERE b.a_pos > a.a_pos AND b.b_pos <= min(a.b_pos))")
+def unnested_conflicts_whole(spark, d):
+    return st.unnested_conflicts(_whole_conflicts(spark, d))
+
+
 @query()
 def break_points(spark, d):
-    return st.stab_intervals(_conflicts(spark, d))
+    return st.stab_intervals(_whole_conflicts(spark, d))
 
 
 @query(f"WITH {SITES_SQL} SELECT chrom, pos, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE pos >= n_nationkey * 50 AND pos < n_nationkey * 50 + 20) THEN repeat('N', length(col)) ELSE col END AS col FROM sites")
