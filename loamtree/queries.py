@@ -400,8 +400,7 @@ def majority_clades(spark, d):
 
 @query()
 def pruned_trees(spark, d):
-    kept = trees(spark, d).filter("size(ptree) >= 5")
-    return kept.select("start", tr.prune(F.array(F.lit(0), tr.n_leaves("ptree") - 1)).alias("t")).select("start", "t.ptree", "t.age")
+    return trees(spark, d).select("start", tr.prune(F.array(F.lit(0), tr.n_leaves("ptree") - 1)).alias("t")).select("start", "t.ptree", "t.age")
 
 
 @query()
@@ -418,18 +417,19 @@ def newick_round_trip(spark, d):
 
 @query()
 def spr_replay(spark, d):
-    first = trees(spark, d).filter("size(ptree) >= 5")
-    edits = first.select("sample", "chrom", (F.col("start") + 5).alias("pos"), F.lit(0).alias("recomb_node"), F.lit(2).alias("coal_node"), F.lit(0.5).alias("coal_time"))
-    one = first.groupBy("sample", "chrom").agg(F.min_by(F.struct("start", "ptree", "age", "stop"), "start").alias("x")).select("sample", "chrom", "x.*")
-    edits = edits.join(one.select("sample", "chrom", "start"), ["sample", "chrom"]).filter("pos = start + 5").drop("start")
-    return spr.replay(one.drop("stop"), edits, one.select("sample", "chrom", "stop"))
+    """Every tree as the first of a region of its own, with an edit for each leaf: leaf i, from base i + 1 of the block on, joins leaf i + 1, the last leaf 0."""
+    region = F.concat_ws(":", "chrom", "start")
+    first = trees(spark, d).withColumn("chrom", region)
+    edits = first.select("sample", "chrom", "start", tr.n_leaves("ptree").alias("n"), F.explode(F.sequence(F.lit(0), tr.n_leaves("ptree") - 1)).alias("recomb_node"))
+    edits = edits.select("sample", "chrom", (F.col("start") + F.col("recomb_node") + 1).alias("pos"), "recomb_node", ((F.col("recomb_node") + 1) % F.col("n")).alias("coal_node"), F.lit(0.5).alias("coal_time"))
+    return spr.replay(first.drop("stop"), edits, first.select("sample", "chrom", "stop")).withColumn("chrom", F.substring_index("chrom", ":", 1))
 
 
 @query()
 def tree_likelihood(spark, d):
-    kept = trees(spark, d).filter("size(ptree) = 7")
-    columns = kept.select("chrom", (F.col("start") + 3).alias("pos"), F.lit("AACA").alias("col"))
-    return likelihood.tree_log_likelihood(kept, columns, 1024, 1e-3)
+    """All trees, each with the site of its own order; return flag R stands for base G, and N is unknown."""
+    columns = sites(spark, d).select("chrom", (F.col("pos") * 10 + 3).alias("pos"), F.translate("col", "R", "G").alias("col"))
+    return likelihood.tree_log_likelihood(trees(spark, d), columns, 1024, 1e-3)
 
 
 @query()

@@ -1,6 +1,7 @@
 """Queries over small tables of their own, compared with plain Python on all rows."""
 
-from itertools import combinations
+import math
+from itertools import combinations, product
 
 import pytest
 
@@ -52,3 +53,71 @@ def test_linkage_of_whole_columns(spark, lines_dir):
         n = min(len(columns[a]), len(columns[b]))
         x, y = ([c != col[0] for c in col[:n]] for col in (columns[a], columns[b]))
         assert d == pytest.approx(sum(p and q for p, q in zip(x, y)) / n - sum(x) * sum(y) / n**2, abs=1e-6)
+
+
+def ladders(columns):
+    """start: parents and ages of each order's tree."""
+    found = {}
+    for k, col in columns.items():
+        q, n = sorted(float((7 * k + 5 * i) % 11 + 1) for i in range(len(col))), len(col)
+        if n > 1:
+            parents = [n, *range(n, 2 * n - 1), *range(n + 1, 2 * n - 1), -1]
+            found[k * 10] = parents, [0.0] * n + [sum(q[: j + 2]) for j in range(n - 1)]
+    return found
+
+
+def test_likelihood_of_all_trees(spark, lines_dir):
+    home, columns = lines_dir
+
+    def brute(parents, age, col):
+        """Sum over the bases of all inner nodes."""
+        n, total = len(col), 0.0
+        for bases in product(*["ACGT" if x >= n or col[x] == "N" else col[x].replace("R", "G") for x in range(2 * n - 1)]):
+            p = 0.25
+            for x, up in enumerate(parents):
+                if up >= 0:
+                    same = 0.25 + 0.75 * math.exp(-4 / 3 * 1e-3 * max(age[up] - age[x], 1.0))
+                    p *= same if bases[x] == bases[up] else (1 - same) / 3
+            total += p
+        return total
+
+    want = {}
+    for start, (parents, age) in ladders(columns).items():
+        col = columns[start // 10]
+        ll = math.log(brute(parents, age, col)) + 9 * math.log(brute(parents, age, "A" * len(col)))
+        want[start // 10 % 4] = want.get(start // 10 % 4, 0.0) + ll
+    got = {r["sample"]: r["log_likelihood"] for r in QUERIES["tree_likelihood"](spark, home).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_prune_all_trees(spark, lines_dir):
+    home, columns = lines_dir
+    got = {r.start: (list(r.ptree), list(r.age)) for r in QUERIES["pruned_trees"](spark, home).collect()}
+    assert got == {start: ([2, 2, -1], [0.0, 0.0, age[-1]]) for start, (_, age) in ladders(columns).items()}
+
+
+def nested(parents, age):
+    """Leaves and age of every inner node, whatever its number."""
+    def leaves(x):
+        below = [y for y, up in enumerate(parents) if up == x]
+        return frozenset([x]) if not below else frozenset().union(*map(leaves, below))
+
+    return {(leaves(x), age[x]) for x in range((len(parents) + 1) // 2, len(parents))}
+
+
+def test_replay_all_trees(spark, lines_dir):
+    home, columns = lines_dir
+    want = {}
+    for start, (parents, age) in ladders(columns).items():
+        n, at, clades = len(columns[start // 10]), start, nested(parents, age)
+        for i in range(n):
+            want[at, start + i + 1] = clades
+            at, j, left = start + i + 1, (i + 1) % n, {}
+            for c, t in clades:  # the cut leaf goes; a node with one child goes with it
+                left.setdefault(c - {i}, set()).add(t)
+            left = {(c, min(ts)) for c, ts in left.items() if len(c) > 1}
+            clades = {(c | {i} if j in c else c, t) for c, t in left} | {(frozenset({i, j}), 0.5)}
+        want[at, start + 10] = clades
+    rows = QUERIES["spr_replay"](spark, home).collect()
+    assert {r.chrom for r in rows} == {"1"} and len(rows) == len(want)
+    assert {(r.start, r.stop): nested(r.ptree, r.age) for r in rows} == want
