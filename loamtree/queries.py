@@ -118,6 +118,51 @@ def track_overlaps(spark, d):
     return iv.check_disjoint(tracks(spark, d).filter("sample < 3").groupBy("chrom", "start").agg(F.max("stop").alias("stop"))).select("chrom", "start", "stop", "reached")
 
 
+def _by_sample(track):
+    """A track whose chromosomes are those of each sample, (sample, chrom)."""
+    return track.withColumn("chrom", F.struct("sample", "chrom")).drop("sample")
+
+
+def _samples_apart(found):
+    return found.withColumns({"sample": F.col("chrom.sample"), "chrom": F.col("chrom.chrom")})
+
+
+#: The same for all samples.
+@query(f"WITH {TRACKS_SQL}, {POINTS_SQL}, s AS (SELECT DISTINCT sample FROM tracks) SELECT point, s.sample, round(coalesce(t.value, -1), 6) AS value FROM points p CROSS JOIN s LEFT JOIN tracks t ON t.sample = s.sample AND p.chrom = t.chrom AND p.pos >= t.start AND p.pos < t.stop")
+def track_lookup_samples(spark, d):
+    t = tracks(spark, d)
+    asked = _by_sample(points(spark, d).drop("value").crossJoin(F.broadcast(t.select("sample").distinct())))
+    return rounded(_samples_apart(iv.lookup_track(asked, _by_sample(t), iv.choose_bin_width(t), -1.0)).select("point", "sample", "value"), "value")
+
+
+@query(f"""WITH {TRACKS_SQL}, ends AS (SELECT sample, chrom, top FROM (SELECT DISTINCT sample FROM tracks) CROSS JOIN (SELECT chrom, max(stop) + 100 AS top FROM tracks GROUP BY 1)),
+gaps AS (SELECT sample, chrom, coalesce(lag(stop) OVER (PARTITION BY sample, chrom ORDER BY start), 0) AS start, start AS stop FROM tracks UNION ALL SELECT sample, chrom, coalesce(max(stop), 0), max(top) FROM ends LEFT JOIN tracks USING (sample, chrom) GROUP BY sample, chrom)
+SELECT sample, chrom, start, stop, round(value, 6) AS value FROM tracks UNION ALL SELECT sample, chrom, start, stop, 9 FROM gaps WHERE start < stop""")
+def track_complete_samples(spark, d):
+    t = tracks(spark, d)
+    ends = t.groupBy("chrom").agg((F.max("stop") + 100).alias("chrom_stop")).crossJoin(F.broadcast(t.select("sample").distinct()))
+    return rounded(_samples_apart(iv.complete_track(_by_sample(t), _by_sample(ends), 9.0)), "value")
+
+
+@query(f"""WITH {TRACKS_SQL}
+SELECT a.sample, a.chrom, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop, round(a.value, 6) AS a_value, round(b.value, 6) AS b_value FROM tracks a JOIN tracks b ON b.sample = a.sample + 1 AND a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop""")
+def track_refine_samples(spark, d):
+    """Each sample against the next."""
+    t = tracks(spark, d)
+    after = t.withColumn("sample", F.col("sample") - 1)
+    return rounded(_samples_apart(iv.join_intervals(_by_sample(t), _by_sample(after), iv.choose_bin_width(t))).select("sample", "chrom", "start", "stop", "a_value", "b_value"), "a_value", "b_value")
+
+
+@query(f"WITH {TRACKS_SQL}, order_ AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (SELECT chrom, start, max(stop) AS stop FROM tracks GROUP BY ALL)) SELECT chrom, start, stop, reached FROM order_ WHERE reached > start")
+def track_overlaps_samples(spark, d):
+    return iv.check_disjoint(tracks(spark, d).groupBy("chrom", "start").agg(F.max("stop").alias("stop"))).select("chrom", "start", "stop", "reached")
+
+
+@query(f"WITH {TRACKS_SQL} SELECT sample, chrom, start, unnest(range(CAST(ceil(start / 60) * 60 AS BIGINT), stop, 60)) AS pos FROM tracks")
+def grid_positions_samples(spark, d):
+    return iv.grid_positions(tracks(spark, d), 60).select("sample", "chrom", "start", "pos")
+
+
 @query(f"""WITH {TRACKS_SQL}, base AS (SELECT min(start) AS a FROM tracks), regions AS (SELECT n_name AS name, 'click' AS chrom, a + n_nationkey * 700 AS start, a + n_nationkey * 700 + 1000 AS stop FROM nation, base),
 held AS (SELECT name, t.value, least(r.stop, t.stop) - greatest(r.start, t.start) AS size FROM regions r JOIN tracks t ON r.chrom = t.chrom AND r.start < t.stop AND t.start < r.stop)
 SELECT name, count(*) AS n_parts, CAST(sum(size) AS BIGINT) AS bases, round(sum(value * size) / sum(size), 6) AS mean_value FROM held GROUP BY name""")

@@ -6,6 +6,7 @@ from itertools import combinations, product
 import pytest
 
 from loamtree.queries import QUERIES
+from loamtree.tables import tracks
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,15 @@ def test_replay_all_trees(spark, lines_dir):
     rows = QUERIES["spr_replay"](spark, home).collect()
     assert {r.chrom for r in rows} == {"1"} and len(rows) == len(want)
     assert {(r.start, r.stop): nested(r.ptree, r.age) for r in rows} == want
+
+
+def test_tracks_of_all_samples(spark, sf_dir):
+    track = tracks(spark, sf_dir)
+    held = {(r["sample"], r.chrom) for r in track.select("sample", "chrom").distinct().collect()}
+    samples = {s for s, _ in held}
+    assert len(samples) == 10
+    for name in ("track_complete_samples", "grid_positions_samples"):
+        assert {(r["sample"], r.chrom) for r in QUERIES[name](spark, sf_dir).select("sample", "chrom").distinct().collect()} >= held, name
+    assert {r["sample"] for r in QUERIES["track_refine_samples"](spark, sf_dir).select("sample").distinct().collect()} == samples - {max(samples)}
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert QUERIES["track_lookup_samples"](spark, sf_dir).count() == points * len(samples)
