@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .license_digests import FULL
+
 #: Spellings that count as one, applied in this order to words with one space or line end between them. A space in them is any such gap.
 SPELLINGS = [
     ("licence", "license"), ("https", "http"), ("copyright holder", "copyright owner"), ("centre", "center"), ("organisation", "organization"),
@@ -56,6 +58,43 @@ def joined(text):
     return F.trim(F.regexp_replace(text, "[ \n]+", " "))
 
 
+#: In canonical texts: lines that only name a short licence or reserve rights, and places where a licence names its owner.
+TITLES = r"(?m)^ *(?:all rights reserved|(?:the )?(?:mit|isc|zlib|0bsd|(?:(?:new|modified|simplified|revised|zero clause|[23] clause) )?bsd(?: (?:zero|[023]) clause)?)(?: license)?(?: (?:mit|isc|zlib|0bsd))?) *$"
+OWNERS = [
+    ("neither the names? of .{1,120}? nor the names of (?:its|their) contributors", "neither the name of the copyright owner nor the names of its contributors"),
+    ("this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright owners and contributors as is and any express"),
+    ("in no event shall .{1,120}? be liable for any direct indirect", "in no event shall the copyright owner or contributors be liable for any direct indirect"),
+]
+
+#: Neighbouring paragraphs that are tried as one text; the longest short licence, Zlib, has six.
+PARAGRAPHS = 8
+
+
+def bare(text):
+    """A canonical text as one line, without title and rights lines and with one wording for its owner."""
+    text = joined(F.regexp_replace(text, TITLES, ""))
+    for old, new in OWNERS:
+        text = F.regexp_replace(text, old, new)
+    return text
+
+
+def paragraphs(text, lengths):
+    """Runs of up to PARAGRAPHS neighbouring paragraphs of a canonical text, each as one line, of one of the lengths. A run that is a single line is not among them."""
+    parts = F.filter(F.split(text, "\n(?: *\n)+"), lambda x: joined(x) != "")
+    run = lambda i, k: F.trim(F.array_join(F.slice(parts, i + 1, k), "\n"), F.lit(" \n"))
+    runs = lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PARAGRAPHS), F.size(parts) - i)), lambda k: run(i, k))
+    wrapped = F.filter(F.flatten(F.transform(parts, runs)), lambda x: F.contains(x, F.lit("\n")))
+    return F.filter(F.transform(wrapped, joined), lambda x: F.array_contains(lengths, F.length(x)))
+
+
+def bare_digests(spark: SparkSession, known=None) -> DataFrame:
+    """bare_digest, license of each known text and of the full licences in FULL; of equal texts the first name in order."""
+    rows = spark.createDataFrame(known or KNOWN, "license string, text string").select(F.sha2(bare(canonical(F.col("text"))), 256).alias("bare_digest"), "license")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(FULL, "license string, bare_digest string"))
+    return rows.groupBy("bare_digest").agg(F.min("license").alias("license"))
+
+
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
     """digest, license, chars of each known text, canonicalised like any document; of equal texts the first name in order."""
     rows = spark.createDataFrame(known or KNOWN, "license string, text string").withColumn("line", joined(canonical(F.col("text"))))
@@ -65,9 +104,10 @@ def known_digests(spark: SparkSession, known=None) -> DataFrame:
 def license_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, canonical_sha256, license, notices, n_notices.
 
-    license: the known licence whose canonical text the whole document is, or
-    null. notices: the licences, sorted and joined by commas, whose canonical
-    text a whole line of the document is; n_notices counts such lines.
+    license: the known licence that the whole document is, whatever title and
+    rights lines it has and whatever owner it names, or null. notices: the
+    licences, sorted and joined by commas, whose canonical text a whole line of
+    the document is, or a run of its paragraphs; n_notices counts these.
 
     The known digests are a table as long as the parameter `known`, whatever
     the corpus, and so are broadcast. A line is hashed only if a known text has
@@ -78,13 +118,14 @@ def license_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     lengths = F.array(*[F.lit(n) for n in sorted({r.chars for r in known_digests(docs.sparkSession, known).collect()})])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(lengths, F.length(x)))
-    rows = rows.select("row", "doc_id", F.sha2(joined(F.col("text")), 256).alias("canonical_sha256"), F.explode_outer(lines).alias("line"))
+    hashes = F.sha2(joined(F.col("text")), 256).alias("canonical_sha256"), F.sha2(bare(F.col("text")), 256).alias("bare_digest")
+    rows = rows.select("row", "doc_id", *hashes, F.explode_outer(F.concat(lines, paragraphs(F.col("text"), lengths))).alias("line"))
     rows = rows.withColumn("digest", F.sha2("line", 256)).join(table.select("digest", F.col("license").alias("notice")), "digest", "left")
-    per_doc = rows.groupBy("row", "doc_id", "canonical_sha256").agg(
+    per_doc = rows.groupBy("row", "doc_id", "canonical_sha256", "bare_digest").agg(
         F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("notice").alias("n_notices")
     )
-    whole = table.select(F.col("digest").alias("canonical_sha256"), "license")
-    return per_doc.join(whole, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license", "notices", "n_notices")
+    whole = F.broadcast(bare_digests(docs.sparkSession, known))
+    return per_doc.join(whole, "bare_digest", "left").select("doc_id", "canonical_sha256", "license", "notices", "n_notices")
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
