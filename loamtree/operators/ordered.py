@@ -65,3 +65,24 @@ def thin_samples(rows: DataFrame, first: int, behind: int, step: int, sample: st
     """Samples first, first + step, ... below `behind`."""
     s = F.col(sample)
     return rows.filter((s >= first) & (s < behind) & ((s - first) % step == 0))
+
+
+def rank_quantiles(rows: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """scalar.rank_quantile of a key's values, by name, from counts of its distinct values; no key's rows are put together."""
+    counts = rows.groupBy(key, value).agg(F.count(value).alias("n"))
+    order = Window.partitionBy(key).orderBy(value)
+    ranked = counts.withColumns({"behind": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy(key))})
+    found = []
+    for name, q in quantiles.items():
+        at = F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1)
+        between = (at > 0) & (F.abs(F.lit(q) - at / F.col("total")) < 1e-5)
+        upper, lower = (F.min(F.when(F.col("behind") > at - back, F.col(value))) for back in (0, 1))
+        found.append(F.when(F.max(between), (upper + lower) / 2).otherwise(upper).alias(name))
+    return ranked.groupBy(key).agg(*found)
+
+
+def log_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, total: log(sum(exp(value))) from a key's largest value down, by partial sums."""
+    top = rows.groupBy(F.col(key).alias("key_")).agg(F.max(value).alias("top"))
+    held = rows.join(top, F.col(key).eqNullSafe(F.col("key_")))
+    return held.groupBy(key).agg((F.max("top") + F.log(F.sum(F.exp(F.col(value) - F.col("top"))))).alias("total"))

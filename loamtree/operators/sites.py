@@ -117,30 +117,64 @@ def nearest_conflicts(pairs: DataFrame) -> DataFrame:
     return right.unionByName(left).groupBy("chrom", "pos").agg(F.max("left").alias("left"), F.min("right").alias("right"))
 
 
-def unnested_conflicts(pairs: DataFrame) -> DataFrame:
-    """Conflicting pairs that hold no other: of those with one left end the shortest, if none inside begins later and ends no later."""
-    shortest = pairs.groupBy("chrom", "a_pos").agg(F.min("b_pos").alias("b_pos"))
-    later = Window.partitionBy("chrom").orderBy(F.desc("a_pos")).rowsBetween(Window.unboundedPreceding, -1)
-    return shortest.withColumn("inner", F.min("b_pos").over(later)).filter("inner IS NULL OR inner > b_pos").drop("inner")
+def unnested_conflicts(pairs: DataFrame, width: int = 4096) -> DataFrame:
+    """Conflicting pairs that hold no other: of those with one left end the shortest, if none inside begins later and ends no later.
+
+    Pairs meet inside a tile of `width` bases, and with the later tiles by one row a tile.
+    """
+    shortest = pairs.groupBy("chrom", "a_pos").agg(F.min("b_pos").alias("b_pos")).withColumn("tile", F.floor(F.col("a_pos") / width))
+    later = lambda keys, order: Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    first = shortest.groupBy("chrom", "tile").agg(F.min("b_pos").alias("first"))
+    behind = first.select("chrom", "tile", F.min("first").over(later(["chrom"], "tile")).alias("behind"))
+    inner = shortest.withColumn("inner", F.min("b_pos").over(later(["chrom", "tile"], "a_pos"))).join(behind, ["chrom", "tile"])
+    return inner.filter("least(inner, behind) IS NULL OR least(inner, behind) > b_pos").drop("inner", "behind", "tile")
 
 
-def stab_intervals(pairs: DataFrame) -> DataFrame:
+def stab_intervals(pairs: DataFrame, width: int = 4096) -> DataFrame:
     """Fewest breakpoints that cut every conflicting pair (chrom, a_pos, b_pos): the greedy choice just left of the first open right end.
 
     On pairs that do not nest, whose ends rise together, the next break is the
-    right end of the first pair that begins at or behind the last break.
+    right end of the first pair that begins at or behind the last break. Each
+    tile of `width` bases is reduced to the pairs by which the breaks may enter
+    it, with the break by which they leave it; these few rows a tile are
+    followed in one task a chromosome, and each tile then makes its own breaks.
     """
+    import numpy as np
     import pandas as pd
 
+    tiled = unnested_conflicts(pairs, width).withColumn("tile", F.floor(F.col("a_pos") / width))
+    before = Window.partitionBy("chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = tiled.groupBy("chrom", "tile").agg(F.max("b_pos").alias("b")).select("chrom", "tile", F.max("b").over(before).alias("reached"))
+
+    def ways(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("a_pos")
+        a, b, reached = rows.a_pos.to_numpy(), rows.b_pos.to_numpy(), rows.reached.iloc[0]
+        then, leave = np.searchsorted(a, b), b.copy()
+        for i in range(len(a) - 1, -1, -1):
+            if then[i] < len(a):
+                leave[i] = leave[then[i]]
+        n = 1 if pd.isna(reached) else 1 + int(np.searchsorted(a[:-1], reached))
+        return pd.DataFrame({"chrom": rows.chrom.iloc[0], "tile": rows.tile.iloc[0], "entry": a[:n], "leave": leave[:n]})
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, last, tile = [], None, None
+        for t, entry, leave in rows.sort_values("entry")[["tile", "entry", "leave"]].itertuples(index=False):
+            if t != tile and (last is None or entry >= last):
+                tile, last = t, leave
+                taken.append((rows.chrom.iloc[0], t, entry))
+        return pd.DataFrame(taken, columns=["chrom", "tile", "entry"])
+
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        breaks, last = [], None
-        for a, b in rows.sort_values("b_pos")[["a_pos", "b_pos"]].itertuples(index=False):
-            if last is None or a >= last:
+        breaks, last = [], rows.entry.iloc[0]
+        for a, b in rows.sort_values("a_pos")[["a_pos", "b_pos"]].itertuples(index=False):
+            if a >= last:
                 last = b
                 breaks.append(b)
         return pd.DataFrame({"chrom": rows.chrom.iloc[0], "pos": breaks})
 
-    return unnested_conflicts(pairs).groupBy("chrom").applyInPandas(greedy, "chrom string, pos long")
+    steps = tiled.join(reach, ["chrom", "tile"]).groupBy("chrom", "tile").applyInPandas(ways, "chrom string, tile long, entry long, leave long")
+    entries = steps.groupBy("chrom").applyInPandas(follow, "chrom string, tile long, entry long")
+    return tiled.join(entries, ["chrom", "tile"]).groupBy("chrom", "tile").applyInPandas(greedy, "chrom string, pos long")
 
 
 def apply_mask(sites: DataFrame, mask: DataFrame, width: int) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from . import tables
-from .functions.scalar import log_sum_exp, nearest_time, rank_quantile, time_grid
+from .functions.scalar import nearest_time, rank_quantile, time_grid
 from .operators import intervals as iv, ordered, sites as st, spr, trees as tr
 from .plans import likelihood, simulate, summaries
 from .sources.newick import format_newick, parse_newick
@@ -56,8 +56,7 @@ def interval_quantiles(spark, d):
 
 @query(f"WITH lists AS (SELECT l_suppkey, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY 1) SELECT l_suppkey, {_sql_quantile('v', 0.25)} AS low, {_sql_quantile('v', 0.75)} AS high FROM lists")
 def supplier_quantiles(spark, d):
-    lists = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("v"))
-    return lists.select("l_suppkey", F.round(rank_quantile(F.col("v"), 0.25), 6).alias("low"), F.round(rank_quantile(F.col("v"), 0.75), 6).alias("high"))
+    return rounded(ordered.rank_quantiles(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", {"low": 0.25, "high": 0.75}), "low", "high")
 
 
 _REGION = f"WITH {TRACKS_SQL}, span AS (SELECT chrom AS c, min(start) + 500 AS a, min(start) + 5000 AS b FROM tracks WHERE chrom = 'click' GROUP BY 1)"
@@ -416,8 +415,7 @@ def time_points(spark, d):
 
 @query("SELECT user_id, round(max(value) + ln(sum(exp(value - m))), 6) AS total FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id")
 def log_sum(spark, d):
-    lists = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return lists.select("user_id", F.round(log_sum_exp(F.col("v")), 6).alias("total"))
+    return rounded(ordered.log_sums(table(spark, d, "events").select("user_id", "value"), "user_id", "value"), "total")
 
 
 @query(_SEGMENTS + f""", m AS (SELECT chrom, start, stop, avg(value) AS len, count(*) AS n FROM held GROUP BY ALL), {POINTS_SQL}, b AS (SELECT chrom, pos AS start, count(*) AS c FROM points GROUP BY ALL),

@@ -1,10 +1,12 @@
 """Queries over small tables of their own, compared with plain Python on all rows."""
 
 import math
+import random
 from itertools import combinations, product
 
 import pytest
 
+from loamtree.operators import ordered, sites as st
 from loamtree.queries import QUERIES
 from loamtree.tables import tracks
 
@@ -134,3 +136,30 @@ def test_tracks_of_all_samples(spark, sf_dir):
     assert {r["sample"] for r in QUERIES["track_refine_samples"](spark, sf_dir).select("sample").distinct().collect()} == samples - {max(samples)}
     points = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert QUERIES["track_lookup_samples"](spark, sf_dir).count() == points * len(samples)
+
+
+def test_breaks_over_tiles(spark):
+    r = random.Random(1)
+    pairs = {(c, a, a + r.randint(1, 70)) for c in "xy" for a in (r.randint(0, 900) for _ in range(150))} | {("x", 2000, 2400), ("z", 5, 6)}
+    frame = spark.createDataFrame(sorted(pairs), "chrom string, a_pos long, b_pos long")
+    want, alone = [], []
+    for c in "xyz":
+        last, mine = None, sorted((b, a) for k, a, b in pairs if k == c)
+        for b, a in mine:
+            if last is None or a >= last:
+                want.append((c, last := b))
+        alone += [(c, a, b) for b, a in mine if not any((x, y) != (a, b) and x >= a and y <= b for y, x in mine)]
+    for width in (8, 64, 4096):
+        found = st.stab_intervals(frame, width)
+        assert sorted(map(tuple, found.select("chrom", "pos").collect())) == sorted(want), width
+        assert sorted(map(tuple, st.unnested_conflicts(frame, width).select("chrom", "a_pos", "b_pos").collect())) == sorted(alone), width
+    largest = st.stab_intervals(frame, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert largest.count("FlatMapGroupsInPandas [chrom#") >= 3 and ", tile#" in largest
+
+
+def test_no_key_in_one_array(spark, sf_dir):
+    for name in ("supplier_quantiles", "log_sum"):
+        assert "collect_list" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name
+    rows = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 5.0), (1, 9.0), (2, 1000.0), (2, 1000.0), (None, 3.0)], "k long, v double")
+    assert {r.k: (r.low, r.mid) for r in ordered.rank_quantiles(rows, "k", "v", {"low": 0.25, "mid": 0.5}).collect()} == {1: (2.0, 3.5), 2: (1000.0, 1000.0), None: (3.0, 3.0)}
+    assert {r.k: r.total for r in ordered.log_sums(rows, "k", "v").collect()} == pytest.approx({1: math.log(2 * math.exp(2) + math.exp(5) + math.exp(9)), 2: 1000 + math.log(2), None: 3.0})
