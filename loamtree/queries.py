@@ -254,6 +254,17 @@ def biallelic_sites(spark, d):
     return st.biallelic_sites(sites(spark, d))
 
 
+@query(f"WITH {SITES_SQL} SELECT * FROM sites WHERE replace(col, 'N', '') = ''")
+def masked_sites(spark, d):
+    found = sites(spark, d)
+    return found.filter(st.is_masked(F.col("col")))
+
+
+@query()
+def bootstrap_sites(spark, d):
+    return st.bootstrap_sites(sites(spark, d), 1)
+
+
 @query(f"WITH {SITES_SQL} SELECT chrom, pos, col[3] || col[1] AS col FROM sites")
 def sites_project(spark, d):
     return st.project_sequences(sites(spark, d), [2, 0])
@@ -441,6 +452,11 @@ def majority_clades(spark, d):
     return tr.majority_clades(trees(spark, d).withColumn("leaves", F.size("ptree") - tr.n_leaves("ptree") + 1), ["leaves"]).select(F.col("leaves").cast("long").alias("leaves"), "clade", "n_trees")
 
 
+@query("SELECT size AS leaves, count(*) AS n_trees, 1 AS n_topologies FROM (SELECT count(*) AS size FROM lineitem GROUP BY l_orderkey) WHERE size > 1 GROUP BY 1")
+def tree_topologies(spark, d):
+    return trees(spark, d).groupBy(tr.n_leaves("ptree").alias("leaves")).agg(F.count(F.lit(1)).alias("n_trees"), F.count_distinct(tr.topology_hash()).alias("n_topologies"))
+
+
 @query()
 def pruned_trees(spark, d):
     return trees(spark, d).select("start", tr.prune(F.array(F.lit(0), tr.n_leaves("ptree") - 1)).alias("t")).select("start", "t.ptree", "t.age")

@@ -1,4 +1,4 @@
-"""Interval ends as a stream: an online sweep that emits segments when the watermark has passed them."""
+"""Intervals as a stream: counts by tile, and sample files as they come. A sweep that emits segments is not built."""
 
 from pyspark.sql import DataFrame, functions as F
 
