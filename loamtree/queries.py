@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import tables
 from .functions.scalar import nearest_time, rank_quantile, time_grid
 from .operators import intervals as iv, ordered, sites as st, spr, trees as tr
-from .plans import likelihood, simulate, summaries
+from .plans import likelihood, summaries
 from .sources.newick import format_newick, parse_newick
 from .tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, one_track, points, sites, table, tracks, trees
 
@@ -489,8 +489,3 @@ def tree_likelihood(spark, d):
     """All trees, each with the site of its own order; return flag R stands for base G, and N is unknown."""
     columns = sites(spark, d).select("chrom", (F.col("pos") * 10 + 3).alias("pos"), F.translate("col", "R", "G").alias("col"))
     return likelihood.tree_log_likelihood(trees(spark, d), columns, 1024, 1e-3)
-
-
-@query()
-def simulated_trees(spark, d):
-    return simulate.simulate(spark, 200, 6, 1000, mu=1e-6)

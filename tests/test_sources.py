@@ -47,3 +47,7 @@ def test_arg_file(spark, tmp_path):
     (tmp_path / "x.arg").write_text("start=0\tend=9\nname\tevent\tage\tpos\tparents\tchildren\n3\tcoal\t2.5\t0\t\t1,2\n1\tgene\t0\t0\t3\t\n")
     found = sorted((r.name, r.event, r.age, r.pos, list(r.parents), list(r.children)) for r in text.read_arg(spark, f"{tmp_path}/x.arg").collect())
     assert found == [("1", "gene", 0.0, 0.0, ["3"], []), ("3", "coal", 2.5, 0.0, [], ["1", "2"])]
+
+
+def test_no_simulator():
+    assert "simulated_trees" not in queries.QUERIES
