@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textbytes import byte_hashes, chunks
+from .textbytes import chunks, distinct_slices, gather
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
-CACHE = 200_000
+#: Pre-tokens of at most CACHED_BYTES that are kept with their merges.
+CACHE, CACHED_BYTES = 200_000, 128
 PIECE_LIMIT = 64
 NEVER = 1 << 40
 
@@ -43,12 +44,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[start : start + size] of every pair, one behind the other."""
-    ends = np.cumsum(sizes)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
-
-
 class Ragged:
     """Rows of different sizes in one flat array."""
 
@@ -83,7 +78,7 @@ class Vocabulary:
         self.classes = _classes()
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self._pairs()
-        self.cached = np.zeros(0, np.uint64)
+        self.cached: dict[bytes, int] = {}
         self.cached_ids = Ragged(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @classmethod
@@ -203,26 +198,22 @@ class Vocabulary:
             i = end[i]
         return ids
 
-    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, often: np.ndarray) -> Ragged:
-        """merge() of distinct slices with ascending hashes through the cache, which takes in what occurs `often`."""
-        place = np.searchsorted(self.cached, hashes)
-        hit = np.zeros(len(hashes), bool)
-        inner = place < len(self.cached)
-        hit[inner] = self.cached[place[inner]] == hashes[inner]
-        miss = np.flatnonzero(~hit)
-        fresh = self.merge(data, starts[miss], ends[miss])
+    def lookup(self, tokens: list[bytes], often: np.ndarray) -> Ragged:
+        """merge() of distinct pre-tokens through the cache, which takes in what occurs `often`. The bytes themselves are the key."""
+        row = np.fromiter((self.cached.get(t, -1) for t in tokens), np.int64, len(tokens))
+        miss = np.flatnonzero(row < 0)
+        raw = Ragged.of_bytes([tokens[i] for i in miss.tolist()])
+        fresh_sizes, fresh = raw.sizes, self.merge(raw.flat, raw.starts, raw.starts + raw.sizes)
         both = Ragged(np.concatenate((self.cached_ids.flat, fresh.flat)), np.concatenate((self.cached_ids.sizes, fresh.sizes)))
-        row = np.where(hit, place, 0)
         row[miss] = len(self.cached) + np.arange(len(miss))
         result = Ragged(both.take(row), both.sizes[row])
-        new = often[miss]
-        if len(self.cached) + new.sum() > CACHE:
-            self.cached, self.cached_ids = self.cached[:0], Ragged(fresh.flat[:0], fresh.sizes[:0])
-        elif new.any():
-            hashed = np.concatenate((self.cached, hashes[miss[new]]))
-            rows = np.concatenate((np.arange(len(self.cached)), len(self.cached) + np.flatnonzero(new)))
-            order = np.argsort(hashed, kind="stable")
-            self.cached, self.cached_ids = hashed[order], Ragged(both.take(rows[order]), both.sizes[rows[order]])
+        new = np.flatnonzero(often[miss] & (fresh_sizes <= CACHED_BYTES))
+        if len(self.cached) + len(new) > CACHE:
+            self.cached, self.cached_ids = {}, Ragged(fresh.flat[:0], fresh.sizes[:0])
+        elif len(new):
+            rows = np.concatenate((np.arange(len(self.cached)), len(self.cached) + new))
+            self.cached.update(zip([tokens[i] for i in miss[new].tolist()], range(len(self.cached), len(rows))))
+            self.cached_ids = Ragged(both.take(rows), both.sizes[rows])
         return result
 
 
@@ -279,8 +270,8 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary)
     edges[offsets] = True
     starts = at[token_starts(points, edges[at], vocabulary.classes)] if len(at) else at
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    hashes, sample, which, counts = np.unique(byte_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    distinct = vocabulary.lookup(data, starts[sample], ends[sample], hashes, counts > 1)
+    which, tokens = distinct_slices(data, starts, ends)
+    distinct = vocabulary.lookup(tokens, np.bincount(which, minlength=len(tokens)) > 1)
     before = np.concatenate(([0], np.cumsum(distinct.sizes[which])))
     return distinct.take(which), before[np.searchsorted(starts, offsets)]
 

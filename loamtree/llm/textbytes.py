@@ -5,6 +5,8 @@ per chunk: some whole documents of together about CHUNK bytes, so memory is
 bounded by that or by one document.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,11 +16,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD = ~SPACE
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xC2B2AE3D27D4EB4F | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LEFT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,40 +28,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n or more."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = tuple(both)
-        if size <= 4 * CHUNK:
-            _powers[base] = have
-    return have
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of every pair, one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; equal content gives equal hashes anywhere."""
-    power, inverse = powers(base, len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each slice of bytes among the distinct ones, and these. Arrow's dictionary compares the bytes themselves."""
+    sizes = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.ascontiguousarray(gather(data, starts, sizes))
+    slices = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+    coded = slices.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(_BYTE[data], starts, ends, _BASE)
+    """64 bits of the BLAKE2b digest of each slice: each distinct slice of a chunk is digested once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    number, distinct = distinct_slices(data, starts, ends)
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in distinct]), np.uint64)[number]
+
+
+def joined_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(mix(left) * _LEFT + right)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k consecutive values from each position with k values left."""
-    n = max(0, len(words) - k + 1)
-    starts = np.arange(n)
-    return range_hashes(words, starts, starts + k, _GRAM)
+    """Hashes of the k consecutive values from each position with k values left, joined pair by pair from both halves; not linear in the values."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return words[:0]
+    out, at, size, level = None, 0, 1, words
+    while size <= k:
+        if k & size:
+            part = level[at : at + n]
+            out = mix(part + np.uint64(k)) if out is None else joined_hashes(out, part)
+            at += size
+        level = joined_hashes(level[:-size], level[size:]) if 2 * size <= k else level
+        size *= 2
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +107,10 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_table(data: np.ndarray, offsets: np.ndarray):
-    """(starts, ends, words before each document, hashes) of the chunk's words."""
+def word_table(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    """(starts, ends, words before each document, hashes if asked for) of the chunk's words."""
     starts, ends, before = runs(WORD[data], offsets)
-    return starts, ends, before, byte_hashes(data, starts, ends)
+    return starts, ends, before, byte_hashes(data, starts, ends) if hashed else None
 
 
 def owners(before: np.ndarray) -> np.ndarray:
