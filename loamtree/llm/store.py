@@ -40,10 +40,16 @@ def small_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids in the materialized table `dropped`.
+def rows_of(docs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """docs, without the rows that no row of the materialized table `keyed` has the keys of, where these are few enough to broadcast: a join by them then moves fewer texts."""
+    found = keyed.select(*keys)
+    return docs.join(F.broadcast(found), keys, "left_semi") if found.count() <= MAX_BROADCAST_ROWS else docs
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and xxhash64 of the text are in the materialized table `dropped` (doc_id, text_hash); null ids and hashes match their like.
 
     The planner knows the table's size: it broadcasts it below
     spark.sql.autoBroadcastJoinThreshold and shuffles both sides above.
     """
-    return docs.join(dropped, docs[id_col] == dropped[dropped.columns[0]], "left_anti")
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["doc_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(dropped["text_hash"]), "left_anti")

@@ -1,4 +1,4 @@
-"""Repeated passages by matching statistics of suffix automata."""
+"""Repeated passages by matching statistics of suffix automata of reference shards."""
 
 import hashlib
 
@@ -6,11 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize
-from .textbytes import chunks, gram_hashes, inside, owners, word_table
+from .store import materialize, rows_of
+from .textbytes import chunks, gram_hashes, inside, word_table
 
-#: Words in a window, words in an anchor, documents that meet one copy of a reference.
-WINDOW, ANCHOR, MEET = 50, 12, 512
+#: Words in a window and in an anchor, and how far anchors are apart.
+WINDOW, ANCHOR, ANCHOR_WORDS = 50, 12, 20
+#: Windows in a segment of a reference and in a span, words in a shard, words that are streamed past one copy of a shard.
+SEGMENT, SHARD, MEET = 4096, 1 << 15, 1 << 17
+#: Larger than any id.
+NEVER = 1 << 63
+
+_SPAN_SCHEMA = pa.schema([("shard", pa.int64()), ("reads", pa.bool_()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("symbols", pa.binary())])
+_FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("symbols", pa.binary())])
 
 
 def sliding(values: np.ndarray, width: int, smaller=np.minimum) -> np.ndarray:
@@ -34,74 +41,123 @@ def window_anchors(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, n
     return at, sliding(gram_hashes(words, ANCHOR), WINDOW - ANCHOR + 1)[at]
 
 
-def _anchors(batches):
+def _profiles(batches):
+    """A narrow row per document: its words, the digest of all of them, and its anchors with the first window of each."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, _, data, offsets in chunks(batch.column("text")):
-            _, _, before, words = word_table(data, offsets)
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            starts, ends, before, words = word_table(data, offsets)
             at, anchor = window_anchors(words, before)
-            doc = owners(before)[at]
-            # neighbouring windows mostly share their anchor
             new = np.ones(len(at), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            pairs = np.unique(np.stack((doc[new].astype(np.uint64), anchor[new])), axis=1) if new.any() else np.zeros((2, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo + pairs[0].astype(np.int64)], pa.int64()), pa.array(pairs[1].view(np.int64))], ["doc_id", "anchor"])
+            new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(at) > 1)
+            at, anchor = at[new], anchor[new].view(np.int64)
+            cut = np.searchsorted(at, before)
+            raw, starts, ends = data.tobytes(), starts.tolist(), ends.tolist()
+            digests, anchors, places = [], [], []
+            for i, (a, b) in enumerate(zip(before.tolist(), before[1:].tolist())):
+                digests.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[a:b], ends[a:b])])).hexdigest())
+                distinct, first = np.unique(anchor[cut[i] : cut[i + 1]], return_index=True)
+                anchors.append(distinct)
+                places.append(at[cut[i] : cut[i + 1]][first] - a)
+            bounds = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in anchors]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), t)) for x, t in ((anchors, pa.int64()), (places, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")), pa.array(np.diff(before), pa.int64()), pa.array(digests, pa.string()), *lists],
+                ["doc_id", "text_hash", "n_words", "sha256", "anchors", "places"],
+            )
 
 
-def _split(batches):
-    """Documents without a shared anchor get their result; of the others the text goes on."""
+def _spans(batches):
+    """Of each document the runs of windows whose anchors one shard holds: for its automaton where the document owns the anchors, else to be streamed past it."""
     for batch in batches:
-        touched = batch.column("anchors").is_valid().to_numpy(zero_copy_only=False)
+        out = {c: [] for c in ("shard", "reads", "doc_id", "text_hash", "start", "symbols")}
+        met, ids, hashes = (batch.column(c) for c in ("met", "doc_id", "text_hash"))
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            starts, ends, before, _ = word_table(data, offsets)
-            raw, digests = data.tobytes(), []
-            for i, (a, b) in enumerate(zip(before.tolist(), before[1:].tolist())):
-                own = None if touched[lo + i] else b" ".join([raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())])
-                digests.append(own if own is None else hashlib.sha256(own).hexdigest())
-            text = pa.array([t if u else None for t, u in zip(batch.column("text").slice(lo, hi - lo).to_pylist(), touched[lo:hi])], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), text, batch.column("anchors").slice(lo, hi - lo), pa.array(np.diff(before), pa.int64()), pa.array(digests, pa.string())],
-                ["row", "doc_id", "text", "anchors", "n_words", "kept_sha256"],
-            )
+            _, _, before, words = word_table(data, offsets)
+            at, anchor = window_anchors(words, before)
+            cut = np.searchsorted(at, before)
+            for i in range(lo, hi):
+                a, b, first = cut[i - lo], cut[i - lo + 1], before[i - lo]
+                known = met[i].values
+                keys, shards, owned = (known.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "shard", "owned"))
+                order = np.argsort(keys)
+                keys = keys[order]
+                own = anchor[a:b].view(np.int64)
+                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                # twice the shard, and one more where the windows are read
+                role = np.where(keys[place] == own, (shards[order] * 2 + ~owned[order])[place], -1)
+                edge = np.flatnonzero(np.concatenate(([True], role[1:] != role[:-1], [True]))) if b > a else np.zeros(0, np.int64)
+                for s, e in zip(edge.tolist(), edge[1:].tolist()):
+                    for x in range(s, e, SEGMENT) if role[s] >= 0 else ():
+                        out["shard"].append(role[s] // 2)
+                        out["reads"].append(role[s] % 2 == 1)
+                        out["doc_id"].append(ids[i].as_py())
+                        out["text_hash"].append(hashes[i].as_py())
+                        out["start"].append(x)
+                        out["symbols"].append(words[first + x : first + min(x + SEGMENT, e) + WINDOW - 1].tobytes())
+        yield pa.RecordBatch.from_pydict(out, schema=_SPAN_SCHEMA)
 
 
 class SuffixAutomaton:
-    """Of one or more sequences of words; takes time and memory in proportion to them."""
+    """Of several sequences of words, each with the id of its document; each state knows the smallest id that it occurs in.
+
+    Takes time and memory in proportion to the sequences, which are one shard's.
+    """
 
     def __init__(self):
-        self.next, self.link, self.length, self.last = [{}], [-1], [0], 0
+        self.next, self.link, self.length, self.first = [{}], [-1], [0], [NEVER]
 
-    def add(self, sequence: list[int]) -> None:
-        nexts, link, length, last = self.next, self.link, self.length, self.last
+    def add(self, sequence: list[int], doc_id: int) -> None:
+        nexts, link, length, first, last = self.next, self.link, self.length, self.first, 0
         for c in sequence:
-            new = len(nexts)
+            if c in nexts[last] and length[nexts[last][c]] == length[last] + 1:
+                last = nexts[last][c]
+                if doc_id < first[last]:
+                    first[last] = doc_id
+                continue
+            p, new = last, len(nexts)
+            if c in nexts[p]:
+                # the longer context is there, so the state of this one is a copy of its target
+                last = self._copy(p, c)
+                first[last] = doc_id
+                continue
             nexts.append({})
             link.append(0)
             length.append(length[last] + 1)
-            p = last
+            first.append(doc_id)
             while p >= 0 and c not in nexts[p]:
                 nexts[p][c] = new
                 p = link[p]
             if p >= 0:
                 q = nexts[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    copy = len(nexts)
-                    nexts.append(dict(nexts[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p >= 0 and nexts[p].get(c) == q:
-                        nexts[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
+                link[new] = q if length[q] == length[p] + 1 else self._copy(p, c)
             last = new
-        self.last = last
 
-    def matches(self, sequence: list[int], least: int) -> list[tuple[int, int]]:
-        """Maximal ranges [a, b) of starts of windows of `least` words that occur in the automaton."""
+    def _copy(self, p: int, c: int) -> int:
+        """A state for the contexts up to that of p before c, taken out of the one they were in."""
         nexts, link, length = self.next, self.link, self.length
-        state, run, found = 0, 0, []
+        q, copy = nexts[p][c], len(nexts)
+        nexts.append(dict(nexts[q]))
+        link.append(link[q])
+        length.append(length[p] + 1)
+        self.first.append(NEVER)
+        while p >= 0 and nexts[p].get(c) == q:
+            nexts[p][c] = copy
+            p = link[p]
+        link[q] = copy
+        return copy
+
+    def finish(self) -> None:
+        """Hands each state's smallest id on to the shorter contexts."""
+        first, link = self.first, self.link
+        for state in np.argsort(-np.array(self.length), kind="stable").tolist():
+            up = link[state]
+            if up >= 0 and first[state] < first[up]:
+                first[up] = first[state]
+
+    def earlier(self, sequence: list[int], least: int, doc_id: int) -> np.ndarray:
+        """For each window of `least` words whether it occurs in a document with a smaller id, by matching statistics."""
+        nexts, link, length, first = self.next, self.link, self.length, self.first
+        state, run, found = 0, 0, np.zeros(max(0, len(sequence) - least + 1), bool)
         for i, c in enumerate(sequence, 1 - least):
             while state and c not in nexts[state]:
                 state = link[state]
@@ -110,154 +166,159 @@ class SuffixAutomaton:
                 state = nexts[state][c]
                 run += 1
                 if run >= least:
-                    if found and found[-1][1] == i:
-                        found[-1][1] = i + 1
-                    else:
-                        found.append([i, i + 1])
+                    while length[link[state]] >= least:
+                        state = link[state]
+                        run = length[state]
+                    found[i] = first[state] < doc_id
         return found
 
 
 def _streamed(batches):
-    """Rows sorted by reference, its own texts first: builds the automaton and streams the other documents through it."""
-    key, automaton = None, None
+    """Rows sorted by shard and salt, the references first: builds the shard's automaton and streams the other spans past it.
+
+    Gives ranges of windows: those that an earlier document has, and, with their words, those that none in the shard has.
+    """
+    key, automaton, ready = None, None, False
     for batch in batches:
-        out = {"row": [], "starts": [], "ends": []}
-        meta = batch.select(["owner", "salt", "reads", "row"]).to_pydict()
-        for lo, hi, data, offsets in chunks(batch.column("text")):
-            _, _, before, words = word_table(data, offsets)
-            symbols, bounds = words.tolist(), before.tolist()
-            for i in range(lo, hi):
-                here = (meta["owner"][i], meta["salt"][i])
-                if here != key:
-                    key, automaton, separators = here, SuffixAutomaton(), 0
-                own = symbols[bounds[i - lo] : bounds[i - lo + 1]]
-                if not meta["reads"][i]:
-                    separators += 1
-                    automaton.add([*own, -separators])
-                elif found := automaton.matches(own, WINDOW):
-                    out["row"].append(meta["row"][i])
-                    out["starts"].append([a for a, _ in found])
-                    out["ends"].append([b for _, b in found])
-        yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["starts"], pa.list_(pa.int32())), pa.array(out["ends"], pa.list_(pa.int32()))], ["row", "starts", "ends"])
-
-
-def _stream(pairs: DataFrame, touched: DataFrame) -> DataFrame:
-    """row, starts, ends: ranges of windows of each row that occur in a document it is paired with (materialized owner, row).
-
-    A reference goes once to every MEET of the documents that read it, which
-    meet its copies by a hash of their row.
+        out = {c: [] for c in _FOUND_SCHEMA.names}
+        rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "reads", "doc_id", "text_hash", "start")))
+        for (shard, salt, reads, doc_id, text_hash, start), symbols in zip(rows, batch.column("symbols")):
+            if (shard, salt) != key:
+                key, automaton, ready = (shard, salt), SuffixAutomaton(), False
+            words = np.frombuffer(symbols.as_buffer(), np.int64)
+            if not reads:
+                automaton.add(words.tolist(), doc_id)
+                continue
+            if not ready:
+                automaton.finish()
+                ready = True
+            found = automaton.earlier(words.tolist(), WINDOW, doc_id)
+            edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True])))
+            for a, b in zip(edge.tolist(), edge[1:].tolist()):
+                out["doc_id"].append(doc_id)
+                out["text_hash"].append(text_hash)
+                out["start"].append(start + a)
+                out["stop"].append(start + b)
+                out["symbols"].append(None if found[a] else words[a : b + WINDOW - 1].tobytes())
+        yield pa.RecordBatch.from_pydict(out, schema=_FOUND_SCHEMA)
+
+
+def _stream(spans: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, stop, symbols: see _streamed(), of materialized spans.
+
+    A shard's references go once to every MEET words of the spans that read it,
+    which meet its copies by a hash of themselves: a shard that very many
+    documents read is spread over tasks.
     """
-    texts = touched.select("row", "doc_id", "text")
-    sizes = materialize(pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("copies")), "parts-owners")
-    readers = pairs.join(sizes, "owner").select("row", "owner", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int").alias("salt"))
-    readers = readers.join(texts.select("row", "text"), "row").select("owner", "salt", F.lit(True).alias("reads"), "row", "text")
-    copies = sizes.select("owner", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    references = copies.join(texts, copies.owner == texts.doc_id).select("owner", "salt", F.lit(False).alias("reads"), "row", "text")
-    placed = references.unionByName(readers).repartition("owner", "salt").sortWithinPartitions("owner", "salt", "reads", "row")
-    return materialize(placed.mapInArrow(_streamed, "row long, starts array<int>, ends array<int>"), "parts-found")
+    size = F.octet_length("symbols") / 8
+    read = spans.filter("reads").groupBy("shard").agg(F.ceil(F.sum(size) / MEET).cast("int").alias("copies"))
+    read = materialize(read, "parts-shards")
+    salted = spans.join(read, "shard")
+    salt = F.when(F.col("reads"), F.array(F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
+    placed = salted.withColumn("salt", F.explode(salt)).drop("copies").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads", "doc_id")
+    return materialize(placed.mapInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found")
 
 
-def _covered(count: int, starts, ends) -> np.ndarray:
+def _windows(batches):
+    """The hash of every window of the spans."""
+    for batch in batches:
+        hashes = [gram_hashes(np.frombuffer(x.as_buffer(), np.uint64), WINDOW).view(np.int64) for x in batch.column("symbols")]
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in hashes]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "text_hash", "start")), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]))], ["doc_id", "text_hash", "start", "window"])
+
+
+def _covered(count: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of `count` positions lie in one of the ranges."""
     edge = np.zeros(count + 1, np.int64)
-    for a, b in zip(starts or (), ends or ()):
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
     return np.cumsum(edge[:count]) > 0
 
 
-def _unresolved(batches):
-    """Hashes of the windows whose anchor an earlier document has and that no reference has explained."""
-    for batch in batches:
-        lists = batch.select(["anchors", "starts", "ends"]).to_pydict()
-        rows, ids = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
-        for lo, hi, data, offsets in chunks(batch.column("text")):
-            _, _, before, words = word_table(data, offsets)
-            at, anchor = window_anchors(words, before)
-            hashes = gram_hashes(words, WINDOW)[at].view(np.int64)
-            cut = np.searchsorted(at, before)
-            for i in range(lo, hi):
-                a, b = cut[i - lo], cut[i - lo + 1]
-                if not lists["anchors"][i] or a == b:
-                    continue
-                shared = np.isin(anchor[a:b].view(np.int64), np.array(lists["anchors"][i], np.int64))
-                shared &= ~_covered(b - a, lists["starts"][i], lists["ends"][i])
-                if shared.any():
-                    left = np.unique(hashes[a:b][shared])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), rows[i])), pa.array(np.full(len(left), ids[i])), pa.array(left)], ["row", "doc_id", "window"])
-
-
 def _kept(batches):
     for batch in batches:
-        lists = batch.select(["starts", "ends"]).to_pydict()
-        sizes, texts = [], []
+        ranges = batch.column("ranges")
+        counts, sizes, texts = [], [], []
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            starts, ends, before, _ = word_table(data, offsets)
+            starts, ends, before, _ = word_table(data, offsets, hashed=False)
             raw, starts, ends, bounds = data.tobytes(), starts.tolist(), ends.tolist(), before.tolist()
             for i in range(lo, hi):
                 a, b = bounds[i - lo], bounds[i - lo + 1]
-                gone = _covered(b - a, lists["starts"][i], [e + WINDOW - 1 for e in lists["ends"][i] or ()])
+                own = ranges[i].values
+                gone = _covered(b - a, own.field("start").to_numpy(), own.field("stop").to_numpy() + WINDOW - 1)
+                counts.append(b - a)
                 sizes.append(int(gone.sum()))
                 texts.append(b" ".join([raw[starts[k]:ends[k]] for k in (a + np.flatnonzero(~gone)).tolist()]).decode())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "n_words")), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_hash", "n_words", "n_removed", "kept_text"])
-
-
-def _ranges(found: DataFrame) -> DataFrame:
-    lists = found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return lists.withColumnRenamed("row", "found_row")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_hash", "n_words", "n_removed", "kept_text"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables that together have one row per document.
 
-    The first, of documents that share no anchor with another: doc_id, n_words,
-    n_removed (0), kept_sha256. The second, of all others: doc_id, text_hash
-    (xxhash64 of the text), n_words, n_removed, kept_text (the kept words joined
-    by one space).
+    The first, of documents that lose nothing or all their words as later
+    copies: doc_id, text_hash (xxhash64 of the text), n_words, n_removed,
+    kept_sha256. The second, of all others: doc_id, text_hash, n_words,
+    n_removed, kept_text (the kept words joined by one space).
 
     A word goes if a window of WINDOW words that covers it also starts in a
-    document with a smaller id. Sending the automaton of every reference to
-    every document would take the square of the corpus; so a document is only
-    streamed through references that can match it:
-
-    1. Each document's anchors (about one in 20 words) are met with the smallest
-       id that has the anchor. That document is the reference for it.
-    2. Documents are streamed through the automata of their references for
-       matching statistics; windows found there are explained.
-    3. A window that is not, though an earlier document has its anchor, may
-       still start in an earlier document other than the reference. Such windows
-       are met by their hash with the smallest id that has them unexplained, and
-       streamed through that document's automaton.
+    document with a smaller id.
+
+    1. Documents with the same words form a class; only the smallest id's goes
+       on, the others lose all if they have a window.
+    2. Each document's anchors (about one in 20 words) are met with the smallest
+       id that has the anchor, its owner. The owner's windows with shared
+       anchors are the references. They are dealt to shards of about SHARD
+       words by owner and segment, so neither a long document nor an owner of
+       many passages makes a large automaton.
+    3. Every shard's suffix automaton is broadcast to the tasks that read it,
+       and the windows of other documents whose anchors it holds are streamed
+       past it for matching statistics. A document thus meets the shards that
+       can match it, not all of them, which would take the square of the corpus.
+       A state knows the smallest id it occurs in.
+    4. A window that is in no reference, though an earlier document has its
+       anchor, may still start in an earlier document other than the owner. Such
+       windows are met by their hash with the smallest id that has them left,
+       and streamed past shards made of these.
 
     Null and empty texts have no words. Null ids are neither references nor cut.
     Rows with the same id are one document for others, and nothing to each
     other. No rows give no rows; other columns are ignored. Memory is bounded by
-    one reference's automaton and a batch of documents.
+    a shard's automaton and a chunk of documents, or one document.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = materialize(named.filter("doc_id IS NOT NULL").mapInArrow(_anchors, "doc_id long, anchor long"), "parts-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    met = materialize(anchors.join(shared, "anchor"), "parts-met")
-    later = F.col("doc_id") > F.col("owner")
-    per_doc = met.groupBy("doc_id").agg(F.collect_set(F.when(later, F.col("anchor"))).alias("anchors")).withColumnRenamed("doc_id", "met_id")
-    joined = named.join(per_doc, F.col("doc_id") == F.col("met_id"), "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "anchors")
-    split = materialize(joined.mapInArrow(_split, "row long, doc_id long, text string, anchors array<long>, n_words long, kept_sha256 string"), "parts-texts")
-    touched = split.filter("anchors IS NOT NULL")
-
-    rows = touched.filter("size(anchors) > 0").select("row", "doc_id")
-    pairs = met.filter(later).select("owner", "doc_id").distinct().join(rows, "doc_id").select("owner", "row")
-    found = _stream(materialize(pairs, "parts-pairs"), touched)
-
-    ranges = _ranges(found)
-    readers = touched.filter("size(anchors) > 0").join(ranges, F.col("row") == F.col("found_row"), "left")
-    rest = materialize(readers.select("row", "doc_id", "text", "anchors", "starts", "ends").mapInArrow(_unresolved, "row long, doc_id long, window long"), "parts-rest")
-    first = rest.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    pairs = rest.join(first, "window").filter(later).select("owner", "row").distinct()
-    found = found.unionByName(_stream(materialize(pairs, "parts-pairs"), touched))
-
-    whole = touched.join(_ranges(found), F.col("row") == F.col("found_row"), "left").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "n_words", "starts", "ends")
-    kept = whole.mapInArrow(_kept, "doc_id long, text_hash long, n_words long, n_removed long, kept_text string")
-    return split.filter("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"), kept
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    profile = materialize(named.mapInArrow(_profiles, "doc_id long, text_hash long, n_words long, sha256 string, anchors array<long>, places array<int>"), "parts-profiles")
+    long = profile.filter(f"doc_id IS NOT NULL AND n_words >= {WINDOW}")
+    copied = long.groupBy("sha256").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).filter("kept_id < last").select("sha256", "kept_id")
+    copies = materialize(long.select("doc_id", "text_hash", "sha256").join(copied, "sha256").filter("doc_id > kept_id").select("doc_id", "text_hash").distinct(), "parts-copies")
+    alone = long.join(copies, ["doc_id", "text_hash"], "left_anti")
+    anchors = materialize(alone.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", "x.anchors", "x.places").toDF("doc_id", "text_hash", "anchor", "place"), "parts-anchors")
+    segment = F.struct(F.col("doc_id").alias("owner"), F.floor(F.col("place") / SEGMENT).alias("segment"))
+    shared = anchors.groupBy("anchor").agg(F.min(segment).alias("at"), F.max("doc_id").alias("last")).filter("at.owner < last").select("anchor", "at.owner", "at.segment")
+    shared = materialize(shared, "parts-shared")
+    shards = 1 + shared.count() * ANCHOR_WORDS // SHARD
+    placed = shared.select("anchor", "owner", F.pmod(F.xxhash64("owner", "segment"), F.lit(shards)).alias("shard"))
+    entry = F.struct("anchor", "shard", (F.col("owner") == F.col("doc_id")).alias("owned"))
+    met = materialize(anchors.select("doc_id", "text_hash", "anchor").distinct().join(placed, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(entry).alias("met")), "parts-met")
+
+    texts = rows_of(named, met, ["doc_id", "text_hash"]).join(met, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "met")
+    spans = materialize(texts.mapInArrow(_spans, "shard long, reads boolean, doc_id long, text_hash long, start int, symbols binary"), "parts-spans")
+    found = _stream(spans)
+
+    rest = found.filter("symbols IS NOT NULL").drop("stop")
+    windows = materialize(rest.mapInArrow(_windows, "doc_id long, text_hash long, start int, window long").distinct(), "parts-windows")
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
+    asked = materialize(windows.join(first, "window").select("doc_id", "text_hash", "start", "owner").distinct(), "parts-asked")
+    shards = 1 + asked.filter("doc_id = owner").count() * 2 * WINDOW // SHARD
+    roles = asked.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), (F.col("doc_id") > F.col("owner")).alias("reads"), "doc_id", "text_hash", "start").distinct()
+    late = _stream(materialize(roles.join(rest.dropDuplicates(["doc_id", "text_hash", "start"]), ["doc_id", "text_hash", "start"]).select(*spans.columns), "parts-spans"))
+
+    ranges = materialize(found.unionByName(late).filter("symbols IS NULL").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "parts-ranges")
+    kept = rows_of(named, ranges, ["doc_id", "text_hash"]).join(ranges, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "ranges").mapInArrow(_kept, "doc_id long, text_hash long, n_words long, n_removed long, kept_text string")
+    settled = ranges.select("doc_id", "text_hash", F.lit(False).alias("copy")).unionByName(copies.withColumn("copy", F.lit(True)))
+    judged = profile.select("doc_id", "text_hash", "n_words", "sha256").join(settled, ["doc_id", "text_hash"], "left").filter("copy IS NULL OR copy")
+    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0))
+    plain = judged.select("doc_id", "text_hash", "n_words", gone.alias("n_removed"), F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.col("sha256")).alias("kept_sha256"))
+    return plain, kept
 
 
 def cut_repeated_passages(docs: DataFrame) -> DataFrame:
@@ -265,8 +326,9 @@ def cut_repeated_passages(docs: DataFrame) -> DataFrame:
 
     Rows with one id and several texts are each cut as their own text is.
     """
-    _, kept = substring_dedup(docs)
-    cut = kept.filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
+    plain, kept = substring_dedup(docs)
+    emptied = plain.filter("n_removed > 0").select("doc_id", "text_hash", F.lit("").alias("kept_text"))
+    cut = kept.filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").unionByName(emptied).dropDuplicates(["doc_id", "text_hash"])
     cut = materialize(cut, "parts-cut")
     joined = docs.join(cut, (docs["doc_id"] == cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["text_hash"]), "left")
     text = F.coalesce(cut["kept_text"], docs["text"])
@@ -277,4 +339,4 @@ def cut_repeated_passages(docs: DataFrame) -> DataFrame:
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     plain, kept = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plain.unionByName(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
+    return plain.drop("text_hash").unionByName(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
