@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .store import drop_rows, materialize, small_side
-from .textbytes import chunks, gram_hashes, lower_ascii, range_hashes, word_table
+from .textbytes import chunks, gather, gram_hashes, lower_ascii, word_table
 
 SHINGLE = 5
 #: Links have intersection : union >= NUMERATOR : 100.
 NUMERATOR = 75
 #: Coordinates of a signature and how many must agree. At similarity 0.75 fewer than 20 of 48 agree with probability below 1e-6, above it still more rarely.
 COORDINATES, MATCHES = 48, 20
-#: Bins of a sketch, the members of a list whose pairs are joined one by one, and the members of a block of a longer list.
-BINS, SHORT, BLOCK = 1024, 8, 512
+#: Members of a list whose pairs are joined one by one, and the members of a block of a list of shingles.
+SHORT, BLOCK = 8, 4096
 
 _rng = np.random.default_rng(48)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -27,10 +27,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
     """Per document the sorted distinct 64-bit hashes of its shingles: SHINGLE words, or all of them where there are fewer."""
     starts, _, before, words = word_table(lower_ascii(data), offsets)
     grams = gram_hashes(words, SHINGLE)
-    few = np.diff(before) < SHINGLE
-    whole = range_hashes(words, before[:-1], before[1:], 0x9FB21C651E98DF25)
+    size = np.diff(before)
+    whole = np.zeros(len(size), np.uint64)
+    for k in range(1, SHINGLE):
+        at = np.flatnonzero(size == k)
+        whole[at] = gram_hashes(gather(words, before[at], np.full(len(at), k)), k)[::k]
     for i, (lo, hi) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
-        if few[i]:
+        if hi - lo < SHINGLE:
             yield whole[i : i + 1] if hi > lo else words[:0]
         else:
             yield np.unique(grams[lo : hi - SHINGLE + 1])
@@ -45,18 +48,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_EDGES = np.arange(1, BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of BINS equal ranges of hashes, as one byte; 0 where there is none."""
-    at = np.concatenate(([0], np.searchsorted(shingles, _EDGES), [len(shingles)]))
-    out = np.zeros(BINS, np.uint8)
-    some = at[1:] > at[:-1]
-    out[some] = 1 + (shingles[at[:-1][some]] & np.uint64(0xFFFF)) % np.uint64(255)
-    return out
-
-
 def _signatures(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -68,14 +59,19 @@ def _signatures(batches):
             both = np.array(digests).reshape(-1, 2)
             flat = pa.array(np.concatenate([*signatures, np.zeros(0, np.int32)]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * COORDINATES, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+            known = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig"])
 
 
-def _sketches(batches):
+def _set_rows(batches):
+    """A row for each shingle of each set."""
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            rows = [sketch(s).tobytes() for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["rep", "fine"])
+            sets = list(shingle_sets(data, offsets))
+            sizes = np.array([len(x) for x in sets])
+            at = pa.array(lo + np.repeat(np.arange(hi - lo), sizes))
+            columns = [batch.column("rep").take(at), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "token"])
 
 
 def _full_sets(batches):
@@ -110,120 +106,126 @@ def _linked(batches):
 
 
 def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sig = classes.select("rep", "sig")
+    """Counts the collisions of candidate pairs: those outside the prefixes, whose lists were not merged, by probing both signatures."""
+    sig = classes.select(F.col("cid").alias("rep"), "sig")
     both = pairs.join(sig.withColumnRenamed("sig", "sig_b"), "rep").join(sig.select(F.col("rep").alias("leader"), F.col("sig").alias("sig_a")), "leader")
     return both.select("leader", "rep", "sig_a", "sig_b").mapInArrow(_agreeing, "leader long, rep long, same int")
 
 
-def _block_arrays(members):
-    ids, labels, sizes, hot = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "size", "hot"))
-    sig = members.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-    fine = np.frombuffer(b"".join(members.field("fine").to_pylist()), np.uint8).reshape(-1, BINS)
-    return ids, labels, sizes, hot, sig, fine
-
+def _texts_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """`wanted` (with a class rep each) and the text of the row that stands for the class, read where it is joined."""
+    named = materialize(wanted.join(classes.select(F.col("cid").alias("rep"), "doc_id", "text_hash"), "rep"), "near-wanted")
+    return texts.join(small_side(named), ["doc_id", "text_hash"]).select(*wanted.columns, "text")
 
-def _compare_blocks(batches, best: bool):
-    """Pairs across components of two blocks of a list, whose sketches allow a link, if no earlier coordinate has a long list that both are in.
 
-    best: only the most similar partner of each member.
-    """
-    for batch in batches:
-        for i in range(batch.num_rows):
-            place = batch.column("token")[i].as_py() >> 32
-            left, right = (_block_arrays(batch.column(c)[i].values) for c in ("left", "right"))
-            (ids_a, labels_a, sizes_a, hot_a, sig_a, fine_a), (ids_b, labels_b, sizes_b, hot_b, sig_b, fine_b) = left, right
-            met = labels_a[:, None] != labels_b[None, :]
-            if batch.column("i")[i].as_py() == batch.column("j")[i].as_py():
-                met &= ids_a[:, None] < ids_b[None, :]
-            small, large = np.minimum(sizes_a[:, None], sizes_b[None, :]), np.maximum(sizes_a[:, None], sizes_b[None, :])
-            met &= 100 * small >= NUMERATOR * large
-            for c in range(place):
-                in_a, in_b = (hot_a >> c) & 1 == 1, (hot_b >> c) & 1 == 1
-                if in_a.any() and in_b.any():
-                    met &= ~((sig_a[:, c][:, None] == sig_b[:, c][None, :]) & in_a[:, None] & in_b[None, :])
-            at_a, at_b = np.nonzero(met)
-            found = [np.zeros((0, 3))]
-            for lo in range(0, len(at_a), 1 << 12):
-                a, b = at_a[lo : lo + (1 << 12)], at_b[lo : lo + (1 << 12)]
-                x, y = fine_a[a], fine_b[b]
-                used = ((x | y) != 0).sum(axis=1)
-                same = ((x == y) & (x != 0)).sum(axis=1)
-                # five standard deviations below the expectation at the threshold, of `used` drawn from the union without putting back
-                share = NUMERATOR / 100
-                union = (sizes_a[a] + sizes_b[b]) / (1 + share)
-                spread = np.sqrt(share * (1 - share) * used * np.maximum(1 - used / union, 0))
-                keep = np.flatnonzero(same >= share * used - 5 * spread - 1)
-                found.append(np.stack((a[keep], b[keep], same[keep] / used[keep]), axis=1))
-            found = np.concatenate(found)
-            if best:
-                found = found[np.argsort(-found[:, 2], kind="stable")]
-                first = [np.unique(found[:, side], return_index=True)[1] for side in (0, 1)]
-                found = found[np.unique(np.concatenate(first))]
-            at_a, at_b = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_a[at_a], pa.int64()), pa.array(ids_b[at_b], pa.int64())], ["leader", "rep"])
-
-
-def _in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs (leader, rep) of long lists, given as rep, token, label, n. Only their members' texts are sketched."""
-    own = rest.groupBy("rep", "label").agg(
-        F.sum(F.expr("shiftleft(1L, CAST(shiftright(token, 32) AS INT))")).alias("hot"), F.collect_list(F.struct("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("lists")
-    )
-    own = materialize(own.join(classes.select("rep", "size", "sig"), "rep"), "near-long")
-    fine = texts.join(small_side(own.select("rep")), "rep").select("rep", "text").mapInArrow(_sketches, "rep long, fine binary")
-    rows = own.join(fine, "rep").select("rep", "label", "size", "hot", "sig", "fine", F.explode("lists").alias("x"))
-    rows = rows.withColumns({"token": F.col("x.token"), "blocks": F.col("x.blocks"), "i": F.pmod(F.xxhash64("rep"), F.col("x.blocks")).cast("int")})
-    blocks = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "hot", "sig", "fine")).alias("members"))
-    blocks = materialize(blocks, "near-blocks")
-    left = blocks.select("token", "i", F.col("members").alias("left"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    both = left.join(blocks.select("token", F.col("i").alias("j"), F.col("members").alias("right")), ["token", "j"])
-    return both.select("token", "i", "j", "left", "right").mapInArrow(lambda batches: _compare_blocks(batches, best), "leader long, rep long")
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among pairs (materialized leader, rep), on the full sets of the two texts.
 
-    The text of a document is read where it is joined with its pairs; what moves
-    on is its set, to the leader's partition, which Spark splits if it is large.
+    What moves is a member's set, to the leader's partition, which Spark splits
+    if it is large.
     """
     wanted = pairs.select("rep", "leader").unionByName(pairs.select(F.col("leader").alias("rep"), F.lit(None).cast("long").alias("leader")).distinct())
-    sets = texts.join(small_side(materialize(wanted, "near-wanted")), "rep").select("rep", "leader", "text").mapInArrow(_full_sets, "rep long, leader long, shingles binary")
-    sets = materialize(sets, "near-sets")
+    sets = materialize(_texts_of(wanted, classes, texts).mapInArrow(_full_sets, "rep long, leader long, shingles binary"), "near-sets")
     members = sets.filter("leader IS NOT NULL").withColumnRenamed("shingles", "set_b")
     leaders = sets.filter("leader IS NULL").select(F.col("rep").alias("leader"), F.col("shingles").alias("set_a"))
     return materialize(members.join(leaders, "leader").select("leader", "rep", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), "near-links")
 
 
 def _across(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """rep, token, label, n of the lists that hold several components."""
-    named = posts.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "token", F.coalesce("label", "rep").alias("label"))
+    """The posts of lists that hold several components, with label and the list's length n."""
+    named = posts.join(labels, F.col("rep") == F.col("node"), "left").select(*posts.columns, F.coalesce("label", "rep").alias("label"))
     parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"))
     lists = materialize(parts.filter("n_labels > 1").select("token", "n"), "near-lists")
     return materialize(named.join(lists, "token"), "near-open")
 
 
+def _heads(posts: DataFrame, *columns: str) -> DataFrame:
+    """Up to three leaders of each list: the smallest class, the largest and one by hash."""
+    whole = F.struct("rep", *columns)
+    three = F.array_distinct(F.array(F.min(whole), F.max(whole), F.min_by(whole, F.xxhash64("rep"))))
+    heads = posts.groupBy("token").agg(three.alias("leaders"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.explode("leaders").alias("x"))
+    return heads.select("token", F.col("x.rep").alias("leader"), *[F.col(f"x.{c}").alias(f"leader_{c}") for c in columns])
+
+
+def _closest(counted: DataFrame, by: str) -> DataFrame:
+    """Of each class the leader that it agrees with most, the smallest of several."""
+    best = counted.groupBy("rep").agg(F.max(F.struct(by, (-F.col("leader")).alias("less"))).alias("x"))
+    return materialize(best.select((-F.col("x.less")).alias("leader"), "rep"), "near-pairs")
+
+
+def _set_posts(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, size, token, place: the classes posted under the shingles in the prefixes of their sets, from the rarest.
+
+    Sets that are similar enough share a shingle among the first
+    size - ceil(size * NUMERATOR / 100) + 1 of each in any common order.
+    Shingles that only one class has count towards the prefix and are not posted.
+    """
+    rows = materialize(_texts_of(members.select("rep"), classes, texts).mapInArrow(_set_rows, "rep long, size long, token long"), "near-shingles")
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = rows.join(shared, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("x"))
+    alone = F.col("size") - F.size("x")
+    prefix = F.col("size") - F.ceil(F.col("size") * NUMERATOR / 100) + 1
+    posts = lists.select("rep", "size", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("at", "x"))
+    return materialize(posts.select("rep", "size", F.col("x.token").alias("token"), (F.col("alone") + F.col("at")).alias("place")), "near-set-posts")
+
+
+def _possible(size_a, place_a, size_b, place_b, smaller, larger):
+    """Whether two sets may be similar enough if this is their first common shingle: by their sizes and by what is left behind it."""
+    common = NUMERATOR * (size_a + size_b)
+    return (100 * smaller(size_a, size_b) >= NUMERATOR * larger(size_a, size_b)) & ((100 + NUMERATOR) * smaller(size_a - place_a, size_b - place_b) >= common)
+
+
+def _compare_blocks(batches):
+    """Pairs across components of two blocks of a list of shingles that may be linked. Arrays of BLOCK by a slice; no pair is a row before it passes."""
+    columns = ("rep", "label", "size", "place")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = ([batch.column(side)[i].values.field(c).to_numpy() for c in columns] for side in ("left", "right"))
+            same_block = batch.column("i")[i].as_py() == batch.column("j")[i].as_py()
+            rep_b, label_b, size_b, place_b = right
+            for lo in range(0, len(left[0]), 256):
+                rep_a, label_a, size_a, place_a = (x[lo : lo + 256, None] for x in left)
+                met = (label_a != label_b) & _possible(size_a, place_a, size_b, place_b, np.minimum, np.maximum)
+                if same_block:
+                    met &= rep_a < rep_b
+                at_a, at_b = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(rep_a[at_a, 0]), pa.array(rep_b[at_b])], ["leader", "rep"])
+
+
+def _in_blocks(posts: DataFrame) -> DataFrame:
+    """Candidate pairs (leader, rep) of lists (rep, size, token, place, label, n), every block of a list against every other."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = posts.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "place")).alias("members"))
+    rows = materialize(rows, "near-blocks")
+    left = rows.select("token", "i", F.col("members").alias("left"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    both = left.join(rows.select("token", F.col("i").alias("j"), F.col("members").alias("right")), ["token", "j"])
+    return both.select("i", "j", "left", "right").mapInArrow(_compare_blocks, "leader long, rep long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept.
 
     1. Documents with the same shingle set form a class, by the set's 128-bit
-       digest; the smallest id stands for it.
+       digest. A class has a number of its own, and stands for all its rows.
     2. A class is posted under each coordinate-value pair of its signature.
        Values that no other class has are never shared, so they drop out; the
        others are ordered from the rarest. Two classes that agree in MATCHES of
        COORDINATES pairs share one among the first COORDINATES - MATCHES + 1 of
-       each (prefix filter): only these are joined, and the long lists of common
-       values are skipped.
-    3. Lists are merged into candidate pairs through leaders: each class is
-       compared with three classes of its lists (the smallest id, the largest and
-       one by hash), in signature, and with the closest in full sets. What a link joins need not meet again. In lists that still hold
-       several components, all pairs across components are compared: those of a
-       list of up to SHORT members one by one; longer lists in blocks of about
-       BLOCK members, every block against every other. A block comparison counts
-       collisions of sketches as arrays and lets go on only pairs that may be
-       similar enough, each in the first list that it shares: in a first pass
-       only each member's closest partner of a block, in a second all that are
-       then still in different components. So no link is lost
-       to a cap, and the pairs of a list are never rows.
-    4. Links become components by joins.
+       each (prefix filter): only these lists are merged, the long lists of
+       common values are skipped. Of the pairs that they give, all collisions
+       are counted; those of MATCHES or more are confirmed on full sets.
+    3. Lists are merged through leaders first: each class is counted against
+       three classes of its lists and confirmed with the closest. What a link
+       joins need not meet again, so a large group of copies gives a row a
+       class. In lists of up to SHORT members that then still hold several
+       components, all pairs across components are counted.
+    4. Longer lists that still hold several components are split further, on
+       their members' shingles: posted under the rarest, by the exact prefix
+       filter, they meet as in 3 through leaders, and what is left in blocks of
+       narrow arrays, with bounds by size and place. So no link is lost to a
+       cap, and members that share only what all of a list share do not meet.
+    5. Links become components by joins.
 
     Texts without words have no shingles and are linked with nothing; so are
     null ids, whose component is null and which are kept. Repeated rows share a
@@ -232,45 +234,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored. Very large classes and lists are pre-aggregated or met in joins
     that Spark splits, never gathered.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    signed = materialize(texts.withColumnRenamed("rep", "doc_id").mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"), "near-signatures")
-    classes = materialize(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "near-classes"
-    )
-    posted = classes.select("rep", F.posexplode("sig")).select("rep", F.expr("shiftleft(CAST(pos AS BIGINT), 32) | (CAST(col AS BIGINT) & 4294967295)").alias("token"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = materialize(texts.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<int>"), "near-signatures")
+    grouped = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
+    grouped = grouped.agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_a", "set_b", "x.doc_id", "x.text_hash", "size", "sig"), "near-classes")
+    posted = classes.select(F.col("cid").alias("rep"), F.posexplode("sig")).select("rep", F.expr("shiftleft(CAST(pos AS BIGINT), 32) | (CAST(col AS BIGINT) & 4294967295)").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
     ordered = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("list"))
     first = F.greatest(F.lit(0), COORDINATES - MATCHES + 1 - (COORDINATES - F.size("list")))
     posts = materialize(ordered.select("rep", F.explode(F.slice("list", F.lit(1), first)).alias("x")).select("rep", F.col("x.token").alias("token")), "near-postings")
 
-    three = F.array_distinct(F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))))
-    heads = posts.groupBy("token").agg(three.alias("leaders"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.explode("leaders").alias("leader"))
-    pairs = posts.join(heads, "token").filter("rep <> leader").select("leader", "rep").distinct()
-    best = _agree(pairs, classes).groupBy("rep").agg(F.max(F.struct("same", (-F.col("leader")).alias("less"))).alias("x"))
-    links = _confirm(materialize(best.select((-F.col("x.less")).alias("leader"), "rep"), "near-pairs"), texts)
+    pairs = posts.join(_heads(posts), "token").filter("rep <> leader").select("leader", "rep").distinct()
+    links = _confirm(_closest(_agree(pairs, classes), "same"), classes, texts)
     labels = materialize(connected_components(links), "near-labels")
     rest = _across(posts, labels)
     short = rest.filter(F.col("n") <= SHORT).select("rep", "token", "label")
     other = short.select("token", F.col("rep").alias("leader"), F.col("label").alias("leader_label"))
-    few = _agree(short.join(other, "token").filter("leader_label < label").select("leader", "rep").distinct(), classes).select("leader", "rep")
-    for best in (True, False):
-        many = _in_blocks(rest.filter(F.col("n") > SHORT), classes, texts, best)
-        links = links.unionByName(_confirm(materialize((few.unionByName(many) if best else many).distinct(), "near-pairs"), texts))
+    few = materialize(_agree(short.join(other, "token").filter("leader_label < label").select("leader", "rep").distinct(), classes).select("leader", "rep"), "near-pairs")
+    links = links.unionByName(_confirm(few, classes, texts))
+
+    long = rest.filter(F.col("n") > SHORT).select("rep").distinct()
+    if not long.isEmpty():
+        labels = materialize(connected_components(links), "near-labels")
+        posts = _set_posts(long, classes, texts)
+        named = _across(posts, labels).drop("n")
+        met = named.join(_heads(named, "size", "place", "label"), "token").filter("leader_label <> label")
+        met = met.filter(_possible(F.col("leader_size"), F.col("leader_place"), F.col("size"), F.col("place"), F.least, F.greatest))
+        counted = met.groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("met"))
+        links = links.unionByName(_confirm(_closest(counted, "met"), classes, texts))
         labels = materialize(connected_components(links), "near-labels")
-        if best:
-            rest = _across(rest.filter(F.col("n") > SHORT).select("rep", "token"), labels)
+        links = links.unionByName(_confirm(materialize(_in_blocks(_across(posts, labels)), "near-pairs"), classes, texts))
+    labels = materialize(connected_components(links), "near-labels")
 
-    named = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component"))
-    known = F.col("n_shingles") > 0
-    out = signed.drop("sig").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(known & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = classes.select("set_a", "set_b", F.col("cid").alias("node"), "doc_id").join(labels, "node")
+    linked = linked.join(linked.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("set_a", "set_b", "component")
+    alone = classes.join(labels, F.col("cid") == F.col("node"), "left_anti").select("set_a", "set_b", F.col("doc_id").alias("component"))
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = signed.drop("sig").join(linked.unionByName(alone), ["set_a", "set_b"], "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component."""
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
+    """docs with one document, that of the smallest id, of each component. Of rows with one id only those go whose text is a copy."""
+    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
     return drop_rows(docs, materialize(dropped, "near-dropped"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
