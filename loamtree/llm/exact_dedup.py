@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .store import drop_rows, materialize
+from .store import materialize
 
 #: Code points of a text that the splitters see.
 HEAD = 32
@@ -55,9 +55,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs without those whose text another id keeps; repeated rows of the id that stays all stay, null ids too."""
-    dropped = materialize(exact_dedup(docs, keep=keep).filter("doc_id <> keep_id").select(F.col("doc_id").alias("dropped_id")), "exact-dropped")
-    return drop_rows(docs, dropped)
+    """docs without those whose text another id keeps; repeated rows of the id that stays all stay. Of rows with one id only those go whose text is a copy.
+
+    A null id is smaller than any other, so it goes where another id keeps its text.
+    """
+    found = exact_dedup(docs, keep=keep).filter("NOT doc_id <=> keep_id").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    dropped = materialize(found.distinct(), "exact-dropped")
+    digest = F.unhex(F.sha2(normalised(docs["text"]), 256))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]) & (digest == dropped["digest"]), "left_anti")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
