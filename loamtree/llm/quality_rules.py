@@ -6,13 +6,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import drop_rows, materialize
-from .textbytes import WORD, byte_hashes, chunks, gram_hashes, inside, mix, owners, runs, word_table
+from .textbytes import WORD, chunks, distinct_slices, gram_hashes, inside, mix, owners, runs, word_table
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Share of a group that the estimates are made from, concentration steps, and the documents that a group's own estimate weighs as much as its language's.
-SHARE, STEPS, PRIOR = 0.75, 4, 50.0
+#: Share of a group that the estimates are made from; starts of a group, the rows that a start is drawn from, and concentration steps of every start and of the best.
+SHARE, STARTS, SUBSET, STEPS, LAST_STEPS = 0.75, 4, 40, 2, 3
+#: What the covariance of SHARE of a normal distribution lacks in spread, and the documents at which a group's own estimate weighs as much as its language's.
+SPREAD, PRIOR = 1.5, 50.0
 #: The squared distance of a document that is rejected. 6 dimensions; the chi-square quantile of one in 10**9 is 54.
 CUTOFF = 54.0
 #: Of each transformed statistic, the standard deviation that no estimate goes below.
@@ -38,7 +40,8 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     words_to = np.searchsorted(starts, np.concatenate((line_starts, line_ends)))
     has_word = words_to[len(line_starts) :] > words_to[: len(line_starts)]
     doc = owners(lines_before)[has_word]
-    key = mix(byte_hashes(data, line_starts[has_word], line_ends[has_word]) + mix(doc.astype(np.uint64)))
+    number, lines = distinct_slices(data, line_starts[has_word], line_ends[has_word])
+    key = doc * max(1, len(lines)) + number
     again = np.ones(len(key), bool)
     again[np.unique(key, return_index=True)[1]] = False
 
@@ -70,16 +73,16 @@ def _statistics(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
             counts = text_statistics(data, offsets)
-            kept = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "lang", "source")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(counts[c].astype(np.int64)) for c in _STATS)], ["doc_id", "lang", "source", *_STATS])
+            kept = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash", "lang", "source")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(counts[c].astype(np.int64)) for c in _STATS)], ["doc_id", "text_hash", "lang", "source", *_STATS])
 
 
 def document_statistics(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
     named = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"),
     )
-    return named.mapInArrow(_statistics, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS))
+    return named.mapInArrow(_statistics, "doc_id long, text_hash long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS))
 
 
 def _transformed(stats: DataFrame) -> DataFrame:
@@ -102,31 +105,44 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
+def _moments_of(n, sums, squares) -> tuple[np.ndarray, np.ndarray]:
+    p, n = len(FEATURES), max(n, 1)
+    center, square = np.asarray(sums, float) / n, np.zeros((p, p))
+    square[np.triu_indices(p)] = np.asarray(squares, float) / n
+    return center, square + np.triu(square, 1).T - np.outer(center, center)
+
+
+def _matrix(cov: np.ndarray) -> np.ndarray:
+    """The covariance of a subset, widened, and held up by the floors; the subset with the least determinant of this is sought."""
+    return SPREAD * cov + np.diag(np.square(list(FEATURES.values())))
+
+
 def _estimates(batches):
-    """Centre and precision of each group from its moments and its language's."""
-    p, floors = len(FEATURES), np.diag(np.square(list(FEATURES.values())))
+    """Centre, precision and log determinant of each start of each group."""
+    for frame in batches:
+        rows = []
+        for r in frame.itertuples(index=False):
+            center, cov = _moments_of(r.n, r.sums, r.squares)
+            matrix = _matrix(cov)
+            rows.append((r.lang, r.source, r.start, center.tolist(), np.linalg.inv(matrix).ravel().tolist(), float(np.linalg.slogdet(matrix)[1])))
+        yield pd.DataFrame(rows, columns=["lang", "source", "start", "center", "precision", "logdet"])
 
-    def moments(n, sums, squares):
-        n = max(n, 1)
-        center = np.asarray(sums, float) / n
-        square = np.zeros((p, p))
-        square[np.triu_indices(p)] = np.asarray(squares, float) / n
-        square = square + np.triu(square, 1).T
-        return center, square - np.outer(center, center)
 
+def _leaning(batches):
+    """Centre and precision of each group, between its own and its language's."""
     for frame in batches:
         rows = []
         for r in frame.itertuples(index=False):
-            wide, spread = moments(r.lang_n, r.lang_sums, r.lang_squares)
-            center, cov = moments(r.n, r.sums, r.squares)
+            wide, spread = _moments_of(r.lang_n, r.lang_sums, r.lang_squares)
+            center, cov = _moments_of(r.n, r.sums, r.squares)
             own = r.n / (r.n + PRIOR)
-            # what the ellipsoid of SHARE of a normal distribution lacks in spread
-            cov = (own * cov + (1 - own) * spread) * 1.5 + floors
-            rows.append((r.lang, r.source, (own * center + (1 - own) * wide).tolist(), np.linalg.inv(cov).ravel().tolist()))
+            matrix = _matrix(own * cov + (1 - own) * spread)
+            rows.append((r.lang, r.source, (own * center + (1 - own) * wide).tolist(), np.linalg.inv(matrix).ravel().tolist()))
         yield pd.DataFrame(rows, columns=["lang", "source", "center", "precision"])
 
 
 _ESTIMATE = "lang string, source string, center array<double>, precision array<double>"
+_STARTED = "lang string, source string, start int, center array<double>, precision array<double>, logdet double"
 
 
 def _moments(rows: DataFrame, *keys: str) -> DataFrame:
@@ -136,37 +152,59 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), sums.alias("sums"), squares.alias("squares"))
 
 
-def robust_estimates(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def _nearest(stats: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
+    """The moments of the `share` of each group that is nearest to each of its estimates (lang, source, start)."""
+    keys = ["lang", "source", "start"]
+    ranked = stats.join(estimate, ["lang", "source"]).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
+    limits = materialize(ranked.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("limit")), "rules-limit")
+    return materialize(_moments(ranked.join(limits, keys).filter("d2 <= limit"), *keys), "rules-moments")
+
+
+def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
     """lang, source, center, precision by minimum covariance determinant.
 
-    Each step ranks every document of a group by its distance and estimates anew
-    from the nearest `share`; this never raises the determinant. Groups only meet
-    as sums of their rows, which Spark adds up before it shuffles them. Groups
-    of few documents lean on their language's estimate.
+    A group has several starts: its medians and quartiles, and the moments of
+    STARTS subsets of about SUBSET rows, drawn by a hash of the id. A
+    concentration step ranks every document of the group by its distance from
+    an estimate and estimates anew from the nearest `share`. As the sought
+    matrix is a multiple of the subset's covariance and a fixed diagonal, a step
+    does not raise its determinant, up to the ranks that percentile_approx
+    misses. After STEPS steps the start with the least determinant goes on for
+    LAST_STEPS more. Only then do groups of few documents lean on their
+    language's estimate.
+
+    Groups only meet as sums of their rows, which Spark adds up before it
+    shuffles them.
     """
     x = list(FEATURES)
     quartile = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000) for c in x]
-    begin = stats.groupBy("lang", "source").agg(*[q.alias(f"q_{c}") for q, c in zip(quartile, x)])
+    begin = materialize(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"), *[q.alias(f"q_{c}") for q, c in zip(quartile, x)]), "rules-begin")
     variance = [F.pow(F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(floor)), 2) for c, floor in FEATURES.items()]
     flat = [1 / variance[i] if i == j else F.lit(0.0) for i in range(len(x)) for j in range(len(x))]
-    estimate = begin.select("lang", "source", F.array(*[F.col(f"q_{c}")[1] for c in x]).alias("center"), F.array(*flat).alias("precision"))
-    estimate = materialize(estimate, "rules-start")
-    for step in range(steps):
-        ranked = stats.join(estimate, ["lang", "source"]).withColumn("d2", _distance()).select("lang", "source", *x, "d2")
-        limits = materialize(ranked.groupBy("lang", "source").agg(F.percentile_approx("d2", share, 10000).alias("limit")), "rules-limit")
-        near = ranked.join(limits, ["lang", "source"]).filter("d2 <= limit")
-        own = materialize(_moments(near, "lang", "source"), "rules-moments")
-        lang = own.groupBy("lang").agg(
-            F.sum("n").alias("lang_n"),
-            F.array(*[F.sum(F.col("sums")[i]) for i in range(len(x))]).alias("lang_sums"),
-            F.array(*[F.sum(F.col("squares")[i]) for i in range(len(x) * (len(x) + 1) // 2)]).alias("lang_squares"),
-        )
-        estimate = materialize(own.join(lang, "lang").mapInPandas(_estimates, _ESTIMATE), "rules-estimate")
-    return estimate
+    middle = begin.select("lang", "source", F.lit(0).alias("start"), F.array(*[F.col(f"q_{c}")[1] for c in x]).alias("center"), F.array(*flat).alias("precision"))
+    tried = stats.join(begin.select("lang", "source", "rows"), ["lang", "source"]).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    drawn = F.crc32(F.concat_ws(":", F.col("start").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % F.ceil(F.col("rows") / SUBSET) == 0
+    subsets = _moments(tried.filter(drawn), "lang", "source", "start").mapInPandas(_estimates, _STARTED).drop("logdet")
+    estimate = materialize(middle.unionByName(subsets), "rules-starts")
+    for step in range(STEPS + LAST_STEPS):
+        own = _nearest(stats, estimate, share)
+        if step == STEPS + LAST_STEPS - 1:
+            break
+        estimate = materialize(own.mapInPandas(_estimates, _STARTED), "rules-estimate")
+        if step == STEPS - 1:
+            best = estimate.groupBy("lang", "source").agg(F.min_by(F.struct("start", "center", "precision"), F.struct("logdet", "start")).alias("x"))
+            estimate = materialize(best.select("lang", "source", "x.start", "x.center", "x.precision"), "rules-best")
+        estimate = estimate.select("lang", "source", "start", "center", "precision")
+    lang = own.groupBy("lang").agg(
+        F.sum("n").alias("lang_n"),
+        F.array(*[F.sum(F.col("sums")[i]) for i in range(len(x))]).alias("lang_sums"),
+        F.array(*[F.sum(F.col("squares")[i]) for i in range(len(x) * (len(x) + 1) // 2)]).alias("lang_squares"),
+    )
+    return materialize(own.join(lang, "lang").mapInPandas(_leaning, _ESTIMATE), "rules-estimate")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
+    """One row per document: doc_id, text_hash (xxhash64 of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     kept is false where base_failed (n_words < 10, or repeated words over 20 %)
     or where the squared distance from the documents of the same language and
@@ -178,15 +216,19 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFra
     judged = stats.join(robust_estimates(stats), ["lang", "source"], "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("distance") <= cutoff)).alias("kept"), "distance",
     )
 
 
 def drop_poor_documents(docs: DataFrame) -> DataFrame:
-    """docs without those that quality_rules() rejects."""
-    return drop_rows(docs, materialize(quality_rules(docs).filter("not kept").select(F.col("doc_id").alias("dropped_id")), "rules-dropped"))
+    """docs without those that quality_rules() rejects, null ids among them.
+
+    Of rows with one id only those go whose own text is poor; rows with one id and text go together.
+    """
+    poor = quality_rules(docs).filter("not kept").select("doc_id", "text_hash").distinct()
+    return drop_rows(docs, materialize(poor, "rules-dropped"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -1,13 +1,14 @@
 """The pipeline against plain Python, stage by stage."""
 
 import math
+import zlib
 
 import numpy as np
 from brute import base_statistics, cut_windows, exact, near
 from test_operators import check_pieces
 
 import corpus_pipeline
-from loamtree.llm.quality_rules import CUTOFF, FEATURES, PRIOR, SHARE, STEPS, quality_rules
+from loamtree.llm.quality_rules import CUTOFF, FEATURES, LAST_STEPS, PRIOR, SHARE, SPREAD, STARTS, STEPS, SUBSET, quality_rules
 
 
 def rank(values, share):
@@ -27,21 +28,40 @@ def verdicts(docs: dict) -> dict[int, bool]:
         groups.setdefault((lang or "", source or ""), []).append(i)
     floors = np.array(list(FEATURES.values()))
     points = {g: np.array([x[i] for i in ids]) for g, ids in groups.items()}
-    estimate = {}
+    far = lambda p, e: np.einsum("ni,ij,nj->n", p - e[0], e[1], p - e[0])
+    matrix = lambda cov: SPREAD * cov + np.diag(floors**2)
+    moments = lambda rows: (rows.mean(0), np.linalg.inv(matrix(np.cov(rows.T, bias=True))))
+
+    def concentrate(p, estimate):
+        d2 = far(p, estimate)
+        return p[d2 <= rank(d2, SHARE) * (1 + 1e-12)]
+
+    near_rows, estimate = {}, {}
     for g, p in points.items():
         low, middle, high = (np.array([rank(p[:, k], q) for k in range(6)]) for q in (0.25, 0.5, 0.75))
-        estimate[g] = middle, np.diag(1 / np.maximum((high - low) / 1.349, floors) ** 2)
-    far = lambda p, e: np.einsum("ni,ij,nj->n", p - e[0], e[1], p - e[0])
-    for _ in range(STEPS):
-        near_rows = {}
-        for g, p in points.items():
-            d2 = far(p, estimate[g])
-            near_rows[g] = p[d2 <= rank(d2, SHARE) * (1 + 1e-12)]
-        for g, p in near_rows.items():
-            wide = np.concatenate([q for h, q in near_rows.items() if h[0] == g[0]])
-            own = len(p) / (len(p) + PRIOR)
-            cov = (own * np.cov(p.T, bias=True) + (1 - own) * np.cov(wide.T, bias=True)) * 1.5 + np.diag(floors**2)
-            estimate[g] = own * p.mean(0) + (1 - own) * wide.mean(0), np.linalg.inv(cov)
+        starts = [(middle, np.diag(1 / np.maximum((high - low) / 1.349, floors) ** 2))]
+        for k in range(1, STARTS + 1):
+            drawn = [x[i] for i in groups[g] if zlib.crc32(f"{k}:{i}".encode()) % math.ceil(len(p) / SUBSET) == 0]
+            starts += [moments(np.array(drawn))] if drawn else []
+        tried = []
+        for e in starts:
+            before = math.inf
+            for _ in range(STEPS):
+                rows = concentrate(p, e)
+                after = np.linalg.slogdet(matrix(np.cov(rows.T, bias=True)))[1]
+                assert after <= before + 1e-9
+                e, before = moments(rows), after
+            tried.append((before, len(tried), e))
+        e = min(tried, key=lambda t: t[:2])[2]
+        for _ in range(LAST_STEPS):
+            rows = concentrate(p, e)
+            e = moments(rows)
+        near_rows[g] = rows
+    for g, p in near_rows.items():
+        wide = np.concatenate([q for h, q in near_rows.items() if h[0] == g[0]])
+        own = len(p) / (len(p) + PRIOR)
+        cov = own * np.cov(p.T, bias=True) + (1 - own) * np.cov(wide.T, bias=True)
+        estimate[g] = own * p.mean(0) + (1 - own) * wide.mean(0), np.linalg.inv(matrix(cov))
     out = {}
     for g, ids in groups.items():
         for i, d2 in zip(ids, far(points[g], estimate[g])):
