@@ -1,14 +1,18 @@
 """Quality by attention-based multiple-instance learning over passages."""
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import held_out, training_texts
-from .textbytes import WORD, chunks, mix, owners, word_table
+from .textbytes import WORD, chunks, gather, mix, owners, word_table
 
-#: Labelled documents learnt from; words in a passage; widths of the passage code and of the attention; steps of documents each; step size; weight decay.
-TRAIN_ROWS, PASSAGE, CODE, GATE, STEPS, STEP_ROWS, RATE, DECAY = 6000, 64, 16, 8, 900, 256, 0.01, 1e-4
+#: Labelled documents learnt from, and passages of each, evenly spaced, so that at most 32 kB of one reach the driver; words in a passage; hashed terms.
+TRAIN_ROWS, TRAIN_PASSAGES, PASSAGE, TERMS = 6000, 48, 64, 4096
+#: Widths of the passage code and of the attention; steps of documents each; step size; weight decay, of terms too.
+CODE, GATE, STEPS, STEP_ROWS, RATE, DECAY, TERM_DECAY = 16, 8, 600, 192, 0.01, 1e-4, 1e-3
 THRESHOLD = 0.5
 
 #: Classes of bytes whose shares describe a passage.
@@ -22,8 +26,34 @@ for _i, _c in enumerate(_CLASSES.values()):
 INPUTS = len(_CLASSES) + 6
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The statistics of every passage of a chunk, and the passages before each document (n+1). A document without words is one passage of zeros."""
+class Passages(NamedTuple):
+    """Of some documents: statistics of each passage, the hashed terms of all passages, the terms before each passage and the passages before each document (n+1 each)."""
+
+    stats: np.ndarray
+    terms: np.ndarray
+    terms_before: np.ndarray
+    before: np.ndarray
+
+    def spaced(self, most: int) -> "list[Passages]":
+        """Each document by itself, with at most `most` of its passages."""
+        out = []
+        for a, b in zip(self.before.tolist(), self.before[1:].tolist()):
+            at = np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(np.int64))
+            sizes = self.terms_before[at + 1] - self.terms_before[at]
+            out.append(Passages(self.stats[at], gather(self.terms, self.terms_before[at], sizes), np.concatenate(([0], np.cumsum(sizes))), np.array([0, len(at)])))
+        return out
+
+    @classmethod
+    def together(cls, parts: "list[Passages]") -> "Passages":
+        terms, docs = np.cumsum([0] + [p.terms_before[-1] for p in parts]), np.cumsum([0] + [p.before[-1] for p in parts])
+        return cls(
+            np.concatenate([p.stats for p in parts]), np.concatenate([p.terms for p in parts]),
+            np.concatenate([[0], *(p.terms_before[1:] + n for p, n in zip(parts, terms))]), np.concatenate([[0], *(p.before[1:] + n for p, n in zip(parts, docs))]),
+        )
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> Passages:
+    """The passages of a chunk. A document without words is one passage of zeros."""
     n = len(offsets) - 1
     starts, ends, before, hashes = word_table(data, offsets)
     words = np.diff(before)
@@ -58,19 +88,25 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[:, i + 3] = np.log1p(count) / 4
     out[:, i + 4] = np.bincount(passage, (ends - starts == 1), len(doc)) / some
     out[:, i + 5] = np.log1p(words)[doc] / 8
-    return out, parts_before
+    terms = (hashes % np.uint64(TERMS)).astype(np.int64)
+    return Passages(out, terms, np.concatenate((first, before[-1:])), parts_before)
 
 
 class AttentionModel:
-    """Passage code h = tanh(W x), attention softmax of w . (tanh(V h) * sigmoid(U h)), score = sigmoid(c . sum a h + d)."""
+    """Passage code h = tanh(W x + mean of the terms' vectors e + b), attention softmax of w . (tanh(V h) * sigmoid(U h)), score = sigmoid(c . sum a h + d)."""
 
     def __init__(self, mean, scale, **weights):
         self.mean, self.scale = mean, scale
         self.p = weights
 
-    def _forward(self, x: np.ndarray, before: np.ndarray):
-        p = self.p
-        h = np.tanh(x @ p["w1"] + p["b1"])
+    def _forward(self, x: Passages):
+        p, before = self.p, x.before
+        count = np.diff(x.terms_before)
+        some = np.flatnonzero(count)
+        inner = x.stats @ p["w1"] + p["b1"]
+        if len(some):
+            inner[some] += np.add.reduceat(p["e"][x.terms], x.terms_before[some], axis=0) / count[some, None]
+        h = np.tanh(inner)
         t, s = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         e = (t * s) @ p["w"]
         doc = owners(before)
@@ -80,22 +116,22 @@ class AttentionModel:
         score = z @ p["c"] + p["d"]
         return h, t, s, a, z, doc, 1 / (1 + np.exp(-score.clip(-30, 30)))
 
-    def scores(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of documents with passages x; every document has at least one."""
-        return self._forward(self._scaled(x), before)[-1] if len(before) > 1 else np.zeros(0)
+    def scores(self, x: Passages) -> np.ndarray:
+        """Of documents; every document has at least one passage."""
+        return self._forward(self._scaled(x))[-1] if len(x.before) > 1 else np.zeros(0)
 
-    def _scaled(self, x):
-        return ((x - self.mean) / self.scale).clip(-6, 6)
+    def _scaled(self, x: Passages) -> Passages:
+        return x._replace(stats=((x.stats - self.mean) / self.scale).clip(-6, 6))
 
     @classmethod
-    def fit(cls, bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> "AttentionModel":
+    def fit(cls, bags: list[Passages], labels: np.ndarray, seed: int = 11) -> "AttentionModel":
         """By Adam on the documents' logistic loss, both classes weighing the same. Without documents every score is 0.5."""
         rng = np.random.default_rng(seed)
         init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        weights = {"w1": init(INPUTS, CODE), "b1": np.zeros(CODE), "v": init(CODE, GATE), "u": init(CODE, GATE), "w": np.zeros(GATE), "c": np.zeros(CODE), "d": np.zeros(())}
+        weights = {"w1": init(INPUTS, CODE), "e": np.zeros((TERMS, CODE)), "b1": np.zeros(CODE), "v": init(CODE, GATE), "u": init(CODE, GATE), "w": np.zeros(GATE), "c": np.zeros(CODE), "d": np.zeros(())}
         if not bags:
             return cls(np.zeros(INPUTS), np.ones(INPUTS), **weights)
-        flat = np.concatenate(bags).astype(float)
+        flat = np.concatenate([b.stats for b in bags]).astype(float)
         model = cls(flat.mean(0), flat.std(0) + 0.02, **weights)
         bags = [model._scaled(b) for b in bags]
         positive = labels.mean()
@@ -103,21 +139,19 @@ class AttentionModel:
         moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.p.items()}
         for step in range(1, STEPS + 1):
             rows = rng.integers(0, len(bags), min(STEP_ROWS, len(bags)))
-            x = np.concatenate([bags[i] for i in rows])
-            before = np.concatenate(([0], np.cumsum([len(bags[i]) for i in rows])))
-            grads = model._gradients(x, before, labels[rows], weight[rows])
+            grads = model._gradients(Passages.together([bags[i] for i in rows]), labels[rows], weight[rows])
             rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
             for k, g in grads.items():
                 m, q = moment[k]
-                g = g + DECAY * model.p[k]
+                g = g + (TERM_DECAY if k == "e" else DECAY) * model.p[k]
                 m, q = 0.9 * m + 0.1 * g, 0.999 * q + 0.001 * g * g
                 moment[k] = m, q
                 model.p[k] = model.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
         return model
 
-    def _gradients(self, x, before, labels, weight):
-        p = self.p
-        h, t, s, a, z, doc, score = self._forward(x, before)
+    def _gradients(self, x: Passages, labels, weight):
+        p, before = self.p, x.before
+        h, t, s, a, z, doc, score = self._forward(x)
         error = weight * (score - labels) / len(labels)
         dz = error[:, None] * p["c"]
         da = (dz[doc] * h).sum(1)
@@ -126,22 +160,30 @@ class AttentionModel:
         dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
         dh = a[:, None] * dz[doc] + dt @ p["v"].T + ds @ p["u"].T
         dx = dh * (1 - h * h)
-        return {"w1": x.T @ dx, "b1": dx.sum(0), "v": h.T @ dt, "u": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ error, "d": error.sum()}
+        count = np.diff(x.terms_before)
+        each = (dx / np.maximum(count, 1)[:, None])[np.repeat(np.arange(len(count)), count)]
+        terms = np.stack([np.bincount(x.terms, each[:, k], TERMS) for k in range(CODE)], axis=1)
+        return {"w1": x.stats.T @ dx, "e": terms, "b1": dx.sum(0), "v": h.T @ dt, "u": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ error, "d": error.sum()}
 
 
 def _passage_rows(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            x, before = passages(data, offsets)
-            bags = [x[a:b].tobytes() for a, b in zip(before, before[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("label").slice(lo, hi - lo)], ["bag", "label"])
+            bags = passages(data, offsets).spaced(TRAIN_PASSAGES)
+            columns = [[b.stats.tobytes() for b in bags], [b.terms.astype(np.int16).tobytes() for b in bags], [np.diff(b.terms_before).astype(np.int16).tobytes() for b in bags]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), batch.column("label").slice(lo, hi - lo)], ["stats", "terms", "sizes", "label"])
+
+
+def _bag(row) -> Passages:
+    stats, sizes = np.frombuffer(row.stats, np.float32).reshape(-1, INPUTS), np.frombuffer(row.sizes, np.int16).astype(np.int64)
+    return Passages(stats, np.frombuffer(row.terms, np.int16).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), np.array([0, len(stats)]))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> AttentionModel:
-    """Fitted on the driver from the passage statistics of at most `rows` labelled documents."""
-    found = training_texts(docs, labels, label, rows).mapInArrow(_passage_rows, "bag binary, label double").collect()
-    found.sort(key=lambda r: bytes(r.bag))  # one order, however Spark read the rows
-    return AttentionModel.fit([np.frombuffer(r.bag, np.float32).reshape(-1, INPUTS) for r in found], np.array([r.label > 0.5 for r in found], float))
+    """Fitted on the driver from at most TRAIN_PASSAGES passages of each of at most `rows` labelled documents."""
+    found = training_texts(docs, labels, label, rows).mapInArrow(_passage_rows, "stats binary, terms binary, sizes binary, label double").collect()
+    found.sort(key=lambda r: (bytes(r.stats), bytes(r.terms)))  # one order, however Spark read the rows
+    return AttentionModel.fit([_bag(r) for r in found], np.array([r.label > 0.5 for r in found], float))
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +199,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = THR
         for batch in batches:
             out = [np.zeros(0)]
             for _, _, data, offsets in chunks(batch.column("text")):
-                out.append(shared.value.scores(*passages(data, offsets)))
+                out.append(shared.value.scores(passages(data, offsets)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate(out))], ["doc_id", "held_out", "score"])
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from .labelled import held_out, training_texts
 from .textbytes import byte_hashes, chunks, lower_ascii, owners, runs
 
-#: Labelled documents learnt from, documents a term must be in to be learnt, factors, rows of a step, step size.
-TRAIN_ROWS, MIN_DOCUMENTS, FACTORS, STEP_ROWS, RATE = 12000, 4, 4, 128, 0.25
+#: Labelled documents learnt from, and distinct terms of each, those of the smallest hashes, so that at most 16 kB of one reach the driver.
+TRAIN_ROWS, TRAIN_TERMS = 12000, 2048
+#: Documents a term must be in to be learnt, factors, rows of a step, step size.
+MIN_DOCUMENTS, FACTORS, STEP_ROWS, RATE = 4, 4, 128, 0.25
 #: Passes, and what a step takes from a weight and from a row of factors: first to choose terms, then to fit the chosen, of at least SELECT times the largest weight.
 CHOOSE, FIT, SELECT = (6, 0.005, 0.02), (40, 0.0, 1e-4), 0.15
 THRESHOLD = 0.7
@@ -118,12 +120,12 @@ def _bags(batches):
         for lo, hi, data, offsets in chunks(batch.column("text")):
             doc, hashes = document_terms(data, offsets)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            bags = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
+            bags = [np.unique(hashes[a:b])[:TRAIN_TERMS].tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("label").slice(lo, hi - lo)], ["bag", "label"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Fitted on the driver from the distinct terms of at most `rows` labelled documents."""
+    """Fitted on the driver from at most TRAIN_TERMS distinct terms of each of at most `rows` labelled documents."""
     found = training_texts(docs, labels, label, rows).mapInArrow(_bags, "bag binary, label double").collect()
     found.sort(key=lambda r: bytes(r.bag))  # one order, however Spark read the rows
     return FactorizationMachine.fit([np.frombuffer(r.bag, np.uint64) for r in found], np.array([r.label > 0.5 for r in found], float))
