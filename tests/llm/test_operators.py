@@ -40,6 +40,10 @@ def by_id(frame, *columns):
     return out
 
 
+def both(plain, kept):
+    return plain.drop("text_hash").unionByName(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
 
@@ -133,7 +137,7 @@ def test_quality_outliers(spark):
 def test_substring_dedup(docs, small, spark):
     for frame, texts in ((docs, edge_texts()), small):
         plain, kept = substring_dedup.substring_dedup(frame)
-        out = by_id(plain.unionByName(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))), "n_words", "n_removed", "kept_sha256")
+        out = by_id(both(plain, kept), "n_words", "n_removed", "kept_sha256")
         assert out == {i: (n, gone, sha(text)) for i, (n, gone, text) in cut_windows(texts).items()}
 
 
@@ -153,7 +157,7 @@ def test_substring_dedup_mixed_origins(spark):
         texts[i * 3] = " ".join(own if i % 10 else ["p", "q", "r"] * rng.randrange(10, 40))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     plain, kept = substring_dedup.substring_dedup(frame)
-    out = by_id(plain.unionByName(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))), "n_words", "n_removed", "kept_sha256")
+    out = by_id(both(plain, kept), "n_words", "n_removed", "kept_sha256")
     assert out == {i: (n, gone, sha(text)) for i, (n, gone, text) in cut_windows(texts).items()}
 
 
