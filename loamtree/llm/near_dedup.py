@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .store import drop_rows, materialize, small_side
+from .store import drop_rows, mark, materialize, small_side
 from .textbytes import chunks, gather, gram_hashes, lower_ascii, word_table
 
 SHINGLE = 5
@@ -15,8 +15,8 @@ SHINGLE = 5
 NUMERATOR = 75
 #: Coordinates of a signature and how many must agree. At similarity 0.75 fewer than 20 of 48 agree with probability below 1e-6, above it still more rarely.
 COORDINATES, MATCHES = 48, 20
-#: Members of a list whose pairs are joined one by one, and the members of a block of a list of shingles.
-SHORT, BLOCK = 8, 4096
+#: Members of a list whose pairs are joined one by one, the members of a block of a list of shingles, and the bins of a sketch.
+SHORT, BLOCK, BINS = 8, 2048, 1024
 
 _rng = np.random.default_rng(48)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -48,6 +48,30 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+_EDGES = np.arange(1, BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of BINS equal ranges of hashes, as one byte; 0 where there is none."""
+    at = np.concatenate(([0], np.searchsorted(shingles, _EDGES), [len(shingles)]))
+    out = np.zeros(BINS, np.uint8)
+    some = at[1:] > at[:-1]
+    out[some] = 1 + (shingles[at[:-1][some]] & np.uint64(0xFFFF)) % np.uint64(255)
+    return out
+
+
+def sketches_allow(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sketches whose sets, of together `sizes` shingles, may be linked, and the share of bins that each pair of rows has in common.
+
+    Five standard deviations below the expectation at the threshold are allowed,
+    of bins drawn from the union without putting back.
+    """
+    used, same = ((x | y) != 0).sum(axis=1), ((x == y) & (x != 0)).sum(axis=1)
+    share = NUMERATOR / 100
+    spread = np.sqrt(share * (1 - share) * used * np.maximum(1 - used * (1 + share) / sizes, 0))
+    return np.flatnonzero(same >= share * used - 5 * spread - 1), same / np.maximum(used, 1)
+
+
 def _signatures(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -74,6 +98,13 @@ def _set_rows(batches):
             yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "token"])
 
 
+def _sketches(batches):
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            rows = [sketch(s).tobytes() for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["rep", "fine"])
+
+
 def _full_sets(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -124,27 +155,34 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     What moves is a member's set, to the leader's partition, which Spark splits
     if it is large.
     """
+    begin = mark()
     wanted = pairs.select("rep", "leader").unionByName(pairs.select(F.col("leader").alias("rep"), F.lit(None).cast("long").alias("leader")).distinct())
     sets = materialize(_texts_of(wanted, classes, texts).mapInArrow(_full_sets, "rep long, leader long, shingles binary"), "near-sets")
     members = sets.filter("leader IS NOT NULL").withColumnRenamed("shingles", "set_b")
     leaders = sets.filter("leader IS NULL").select(F.col("rep").alias("leader"), F.col("shingles").alias("set_a"))
-    return materialize(members.join(leaders, "leader").select("leader", "rep", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), "near-links")
+    return materialize(members.join(leaders, "leader").select("leader", "rep", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), "near-links", since=begin)
 
 
 def _across(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """The posts of lists that hold several components, with label and the list's length n."""
+    begin = mark()
     named = posts.join(labels, F.col("rep") == F.col("node"), "left").select(*posts.columns, F.coalesce("label", "rep").alias("label"))
     parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"))
     lists = materialize(parts.filter("n_labels > 1").select("token", "n"), "near-lists")
-    return materialize(named.join(lists, "token"), "near-open")
+    return materialize(named.join(lists, "token"), "near-open", since=begin)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    begin = mark()
+    return materialize(connected_components(links), "near-labels", since=begin)
 
 
-def _heads(posts: DataFrame, *columns: str) -> DataFrame:
-    """Up to three leaders of each list: the smallest class, the largest and one by hash."""
-    whole = F.struct("rep", *columns)
+def _heads(posts: DataFrame, first: str, *columns: str) -> DataFrame:
+    """Up to three leaders of each list: those with the smallest and the largest `first`, and one by hash. With labels first, no member has the label of all of them if the list has two."""
+    whole = F.struct(first, *columns)
     three = F.array_distinct(F.array(F.min(whole), F.max(whole), F.min_by(whole, F.xxhash64("rep"))))
     heads = posts.groupBy("token").agg(three.alias("leaders"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.explode("leaders").alias("x"))
-    return heads.select("token", F.col("x.rep").alias("leader"), *[F.col(f"x.{c}").alias(f"leader_{c}") for c in columns])
+    return heads.select("token", *[F.col(f"x.{c}").alias("leader" if c == "rep" else f"leader_{c}") for c in (first, *columns)])
 
 
 def _closest(counted: DataFrame, by: str) -> DataFrame:
@@ -160,13 +198,14 @@ def _set_posts(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     size - ceil(size * NUMERATOR / 100) + 1 of each in any common order.
     Shingles that only one class has count towards the prefix and are not posted.
     """
+    begin = mark()
     rows = materialize(_texts_of(members.select("rep"), classes, texts).mapInArrow(_set_rows, "rep long, size long, token long"), "near-shingles")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = rows.join(shared, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("x"))
     alone = F.col("size") - F.size("x")
     prefix = F.col("size") - F.ceil(F.col("size") * NUMERATOR / 100) + 1
     posts = lists.select("rep", "size", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("at", "x"))
-    return materialize(posts.select("rep", "size", F.col("x.token").alias("token"), (F.col("alone") + F.col("at")).alias("place")), "near-set-posts")
+    return materialize(posts.select("rep", "size", F.col("x.token").alias("token"), (F.col("alone") + F.col("at")).alias("place")), "near-set-posts", since=begin)
 
 
 def _possible(size_a, place_a, size_b, place_b, smaller, larger):
@@ -175,32 +214,48 @@ def _possible(size_a, place_a, size_b, place_b, smaller, larger):
     return (100 * smaller(size_a, size_b) >= NUMERATOR * larger(size_a, size_b)) & ((100 + NUMERATOR) * smaller(size_a - place_a, size_b - place_b) >= common)
 
 
-def _compare_blocks(batches):
-    """Pairs across components of two blocks of a list of shingles that may be linked. Arrays of BLOCK by a slice; no pair is a row before it passes."""
+def _compare_blocks(batches, best: bool):
+    """Pairs across components of two blocks of a list of shingles that may be linked, by size, place and sketch. Slices of arrays; no pair is a row before it passes.
+
+    best: only the most similar partner of each member.
+    """
     columns = ("rep", "label", "size", "place")
     for batch in batches:
         for i in range(batch.num_rows):
-            left, right = ([batch.column(side)[i].values.field(c).to_numpy() for c in columns] for side in ("left", "right"))
+            members = [batch.column(side)[i].values for side in ("left", "right")]
+            left, right = ([m.field(c).to_numpy() for c in columns] for m in members)
+            fine_a, fine_b = (np.frombuffer(b"".join(m.field("fine").to_pylist()), np.uint8).reshape(-1, BINS) for m in members)
             same_block = batch.column("i")[i].as_py() == batch.column("j")[i].as_py()
             rep_b, label_b, size_b, place_b = right
+            found = [np.zeros((0, 3))]
             for lo in range(0, len(left[0]), 256):
                 rep_a, label_a, size_a, place_a = (x[lo : lo + 256, None] for x in left)
                 met = (label_a != label_b) & _possible(size_a, place_a, size_b, place_b, np.minimum, np.maximum)
                 if same_block:
                     met &= rep_a < rep_b
                 at_a, at_b = np.nonzero(met)
-                yield pa.RecordBatch.from_arrays([pa.array(rep_a[at_a, 0]), pa.array(rep_b[at_b])], ["leader", "rep"])
-
-
-def _in_blocks(posts: DataFrame) -> DataFrame:
+                for k in range(0, len(at_a), 1 << 12):
+                    a, b = lo + at_a[k : k + (1 << 12)], at_b[k : k + (1 << 12)]
+                    keep, share = sketches_allow(fine_a[a], fine_b[b], left[2][a] + size_b[b])
+                    found.append(np.stack((a[keep], b[keep], share[keep]), axis=1))
+            found = np.concatenate(found)
+            if best:
+                found = found[np.argsort(-found[:, 2], kind="stable")]
+                found = found[np.unique(np.concatenate([np.unique(found[:, side], return_index=True)[1] for side in (0, 1)]))]
+            at_a, at_b = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(left[0][at_a], pa.int64()), pa.array(rep_b[at_b], pa.int64())], ["leader", "rep"])
+
+
+def _in_blocks(posts: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs (leader, rep) of lists (rep, size, token, place, label, n), every block of a list against every other."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = posts.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "place")).alias("members"))
+    begin, blocks = mark(), F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = posts.join(fine, "rep").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.groupBy("token", "blocks", "i").agg(F.collect_list(F.struct("rep", "label", "size", "place", "fine")).alias("members"))
     rows = materialize(rows, "near-blocks")
     left = rows.select("token", "i", F.col("members").alias("left"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
     both = left.join(rows.select("token", F.col("i").alias("j"), F.col("members").alias("right")), ["token", "j"])
-    return both.select("i", "j", "left", "right").mapInArrow(_compare_blocks, "leader long, rep long").distinct()
+    pairs = both.select("i", "j", "left", "right").mapInArrow(lambda batches: _compare_blocks(batches, best), "leader long, rep long").distinct()
+    return materialize(pairs, "near-pairs", since=begin)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,9 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        components, all pairs across components are counted.
     4. Longer lists that still hold several components are split further, on
        their members' shingles: posted under the rarest, by the exact prefix
-       filter, they meet as in 3 through leaders, and what is left in blocks of
-       narrow arrays, with bounds by size and place. So no link is lost to a
-       cap, and members that share only what all of a list share do not meet.
+       filter, they meet as in 3 through leaders. What is left meets in blocks:
+       bounds by size and place leave only pairs whose first common shingle may
+       be this one, and sketches those that may be similar enough; first each
+       member's closest partner of a block, then all that are in different
+       components still. So no link is lost to a cap, and members that share
+       only what all of a list share do not meet.
     5. Links become components by joins.
 
     Texts without words have no shingles and are linked with nothing; so are
@@ -245,9 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.greatest(F.lit(0), COORDINATES - MATCHES + 1 - (COORDINATES - F.size("list")))
     posts = materialize(ordered.select("rep", F.explode(F.slice("list", F.lit(1), first)).alias("x")).select("rep", F.col("x.token").alias("token")), "near-postings")
 
-    pairs = posts.join(_heads(posts), "token").filter("rep <> leader").select("leader", "rep").distinct()
+    pairs = posts.join(_heads(posts, "rep"), "token").filter("rep <> leader").select("leader", "rep").distinct()
     links = _confirm(_closest(_agree(pairs, classes), "same"), classes, texts)
-    labels = materialize(connected_components(links), "near-labels")
+    labels = _labels(links)
     rest = _across(posts, labels)
     short = rest.filter(F.col("n") <= SHORT).select("rep", "token", "label")
     other = short.select("token", F.col("rep").alias("leader"), F.col("label").alias("leader_label"))
@@ -256,16 +314,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     long = rest.filter(F.col("n") > SHORT).select("rep").distinct()
     if not long.isEmpty():
-        labels = materialize(connected_components(links), "near-labels")
+        labels = _labels(links)
         posts = _set_posts(long, classes, texts)
-        named = _across(posts, labels).drop("n")
-        met = named.join(_heads(named, "size", "place", "label"), "token").filter("leader_label <> label")
+        named = _across(posts, labels)
+        met = named.join(_heads(named, "label", "rep", "size", "place"), "token").filter("leader_label <> label")
         met = met.filter(_possible(F.col("leader_size"), F.col("leader_place"), F.col("size"), F.col("place"), F.least, F.greatest))
         counted = met.groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("met"))
         links = links.unionByName(_confirm(_closest(counted, "met"), classes, texts))
-        labels = materialize(connected_components(links), "near-labels")
-        links = links.unionByName(_confirm(materialize(_in_blocks(_across(posts, labels)), "near-pairs"), classes, texts))
-    labels = materialize(connected_components(links), "near-labels")
+        named = _across(posts, _labels(links))
+        fine = materialize(_texts_of(named.select("rep").distinct(), classes, texts).mapInArrow(_sketches, "rep long, fine binary"), "near-sketches")
+        for best in (True, False):
+            links = links.unionByName(_confirm(_in_blocks(named, fine, best), classes, texts))
+            if best:
+                named = _across(named.drop("label", "n"), _labels(links))
+    labels = _labels(links)
 
     linked = classes.select("set_a", "set_b", F.col("cid").alias("node"), "doc_id").join(labels, "node")
     linked = linked.join(linked.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("set_a", "set_b", "component")
@@ -278,8 +340,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document, that of the smallest id, of each component. Of rows with one id only those go whose text is a copy."""
+    begin = mark()
     dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
-    return drop_rows(docs, materialize(dropped, "near-dropped"))
+    return drop_rows(docs, materialize(dropped, "near-dropped", since=begin))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
