@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize, rows_of
+from .store import mark, materialize, rows_of
 from .textbytes import chunks, gram_hashes, inside, word_table
 
 #: Words in a window and in an anchor, and how far anchors are apart.
 WINDOW, ANCHOR, ANCHOR_WORDS = 50, 12, 20
 #: Windows in a segment of a reference and in a span, words in a shard, words that are streamed past one copy of a shard.
 SEGMENT, SHARD, MEET = 4096, 1 << 15, 1 << 17
+#: Parts that a class of copies is split into where it meets its smallest id.
+SALTS = 16
 #: Larger than any id.
 NEVER = 1 << 63
 
@@ -210,13 +212,13 @@ def _stream(spans: DataFrame) -> DataFrame:
     which meet its copies by a hash of themselves: a shard that very many
     documents read is spread over tasks.
     """
-    size = F.octet_length("symbols") / 8
+    begin, size = mark(), F.octet_length("symbols") / 8
     read = spans.filter("reads").groupBy("shard").agg(F.ceil(F.sum(size) / MEET).cast("int").alias("copies"))
     read = materialize(read, "parts-shards")
     salted = spans.join(read, "shard")
     salt = F.when(F.col("reads"), F.array(F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
     placed = salted.withColumn("salt", F.explode(salt)).drop("copies").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads", "doc_id")
-    return materialize(placed.mapInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found")
+    return materialize(placed.mapInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found", since=begin)
 
 
 def _windows(batches):
@@ -289,7 +291,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = materialize(named.mapInArrow(_profiles, "doc_id long, text_hash long, n_words long, sha256 string, anchors array<long>, places array<int>"), "parts-profiles")
     long = profile.filter(f"doc_id IS NOT NULL AND n_words >= {WINDOW}")
     copied = long.groupBy("sha256").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).filter("kept_id < last").select("sha256", "kept_id")
-    copies = materialize(long.select("doc_id", "text_hash", "sha256").join(copied, "sha256").filter("doc_id > kept_id").select("doc_id", "text_hash").distinct(), "parts-copies")
+    # a hash of the id spreads a class of very many copies
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = long.select("doc_id", "text_hash", "sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = materialize(copies.join(copied, ["sha256", "salt"]).filter("doc_id > kept_id").select("doc_id", "text_hash").distinct(), "parts-copies")
     alone = long.join(copies, ["doc_id", "text_hash"], "left_anti")
     anchors = materialize(alone.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", "x.anchors", "x.places").toDF("doc_id", "text_hash", "anchor", "place"), "parts-anchors")
     segment = F.struct(F.col("doc_id").alias("owner"), F.floor(F.col("place") / SEGMENT).alias("segment"))
@@ -326,10 +331,11 @@ def cut_repeated_passages(docs: DataFrame) -> DataFrame:
 
     Rows with one id and several texts are each cut as their own text is.
     """
+    begin = mark()
     plain, kept = substring_dedup(docs)
     emptied = plain.filter("n_removed > 0").select("doc_id", "text_hash", F.lit("").alias("kept_text"))
     cut = kept.filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").unionByName(emptied).dropDuplicates(["doc_id", "text_hash"])
-    cut = materialize(cut, "parts-cut")
+    cut = materialize(cut, "parts-cut", since=begin)
     joined = docs.join(cut, (docs["doc_id"] == cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["text_hash"]), "left")
     text = F.coalesce(cut["kept_text"], docs["text"])
     counted = {"n_chars": F.when(cut["doc_id"].isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {}
