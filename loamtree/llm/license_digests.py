@@ -1,16 +1,16 @@
 """Digests (see license_scan.bare) of the full licences in /usr/share/common-licenses."""
 
 FULL = [
-    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
-    ("Artistic-1.0-Perl", "2f167bea4d7639ee1f5ffbcbba2bb4bf72ff80c3110eea9e21bf6668fc99e8f8"),
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "84d1ed915e17aaa5b82f4ee40ec049ee8ad206bf2e5d2d146d1218be88602bbd"),
-    ("GFDL-1.3", "d4a4f0fa89572488be676840e1bf655767a7dc5085a138f4abd486d1c1f5ae67"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
     ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
-    ("GPL-2.0", "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a"),
-    ("GPL-3.0", "43953244a50a8d661a10c68647c60eb8039eb5306b9336c785f4fb9acb1a0c76"),
-    ("LGPL-2.0", "82b9c718a1edbbe60a4f5828e6e8c8390d714f09bfee18638761bb3f8fdff504"),
-    ("LGPL-2.1", "8972cc10118fe8a142e8b2d34ba122d3a2c710126a256b6786246af9ae4cd5a6"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("LGPL-2.0", "ec6d59aae3a613b54f144299e9f7ed3fcfb8f0e7060428922d5feb598b42c6e5"),
+    ("LGPL-2.1", "bd41c353168fa7258dd575b15107e47406e00e0363f0b975ba9491152352df8a"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
     ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
     ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),

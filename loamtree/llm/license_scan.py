@@ -23,6 +23,11 @@ KNOWN = [
     ("BSD-2-Clause", _BSD_2 + " " + _BSD_END),
     ("BSD-3-Clause", _BSD_2 + _BSD_3 + " " + _BSD_END),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>'),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "MPL-2.0", "Unlicense", "BSL-1.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later")),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -35,8 +40,9 @@ KNOWN = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
-#: Lines that only state who holds the copyright; and what separates words within a line.
-COPYRIGHT = r"(?m)^[\t #*/;-]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Lines that only state who holds the copyright; lines that begin with the word as part of a sentence, which a mark keeps from being taken for such; and what separates words within a line.
+COPYRIGHT = r"^[\t #*/;-]*(?:copyright|\(c\)|©)[^\n]*$"
+SENTENCE = r"^([\t #*/;-]*)(copyrights?[ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|licen[cs]ed|statements?|disclaimers?|interests?|protection|status|treat(?:y|ies)|permissions?|and|or|in|is|are|on|to|of|for|the|this|that|as|by|with)\b)"
 BETWEEN = r"[^\p{L}\p{N}\n]+"
 
 
@@ -46,8 +52,9 @@ def _gap(old: str, new: str, group: str) -> tuple[str, str]:
 
 
 def canonical(text):
-    """Lower case, no copyright lines, each run of other characters one space, and one spelling; line ends stay."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, ""), BETWEEN, " ")
+    """Lower case, no copyright lines, each run of other characters one space, and one spelling; line ends stay. Only \\n ends a line."""
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?md)" + SENTENCE, "$1\x01$2")
+    text = F.regexp_replace(F.regexp_replace(text, "(?md)" + COPYRIGHT, ""), BETWEEN, " ")
     for old, new in SPELLINGS:
         text = F.regexp_replace(text, *_gap(old, new, "$1")) if " " in old else F.replace(text, F.lit(old), F.lit(new))
     return text
@@ -59,7 +66,7 @@ def joined(text):
 
 
 #: In canonical texts: lines that only name a short licence or reserve rights, and places where a licence names its owner.
-TITLES = r"(?m)^ *(?:all rights reserved|(?:the )?(?:mit|isc|zlib|0bsd|(?:(?:new|modified|simplified|revised|zero clause|[23] clause) )?bsd(?: (?:zero|[023]) clause)?)(?: license)?(?: (?:mit|isc|zlib|0bsd))?) *$"
+TITLES = r"^ *(?:all rights reserved|(?:the )?(?:mit|isc|zlib|0bsd|unlicense|boost software license version 1 0(?: august 17th 2003)?|(?:(?:new|modified|simplified|revised|zero clause|[023] clause) )?bsd(?: (?:zero|[023]) clause)?)(?: license)?(?: (?:mit|isc|zlib|0bsd))?) *$"
 OWNERS = [
     ("neither the names? of .{1,120}? nor the names of (?:its|their) contributors", "neither the name of the copyright owner nor the names of its contributors"),
     ("this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright owners and contributors as is and any express"),
@@ -72,7 +79,7 @@ PARAGRAPHS = 8
 
 def bare(text):
     """A canonical text as one line, without title and rights lines and with one wording for its owner."""
-    text = joined(F.regexp_replace(text, TITLES, ""))
+    text = joined(F.regexp_replace(text, "(?md)" + TITLES, ""))
     for old, new in OWNERS:
         text = F.regexp_replace(text, old, new)
     return text
@@ -133,7 +140,8 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '', 'g'), '{BETWEEN}', ' ', 'g')"
+    marked = f"regexp_replace(lower(coalesce({text}, '')), '(?m){SENTENCE}', '{chr(92)}1' || chr(1) || '{chr(92)}2', 'g')"
+    out = f"regexp_replace(regexp_replace({marked}, '(?m){COPYRIGHT}', '', 'g'), '{BETWEEN}', ' ', 'g')"
     for old, new in SPELLINGS:
         pattern, kept = _gap(old, new, chr(92) + "1")
         out = f"regexp_replace({out}, '{pattern}', '{kept}', 'g')" if " " in old else f"replace({out}, '{old}', '{new}')"
@@ -144,14 +152,28 @@ def _sql_joined(text: str) -> str:
     return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
 
 
+def _sql_bare(text: str) -> str:
+    out = _sql_joined(f"regexp_replace({text}, '(?m){TITLES}', '', 'g')")
+    for old, new in OWNERS:
+        out = f"regexp_replace({out}, '{old}', '{new}', 'g')"
+    return out
+
+
 _VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+_FULL = ", ".join(f"('{name}', '{digest}')" for name, digest in FULL)
 OP9_SQL = f"""
 WITH given(license, text) AS (VALUES {_VALUES}),
-known AS (SELECT sha256(line) AS digest, min(license) AS license FROM (SELECT license, {_sql_joined(_sql_canonical('text'))} AS line FROM given) GROUP BY 1),
+canon AS (SELECT license, {_sql_canonical('text')} AS t FROM given),
+known AS (SELECT line, sha256(line) AS digest, min(license) AS license FROM (SELECT license, {_sql_joined('t')} AS line FROM canon) GROUP BY 1),
+bare AS (SELECT bare_digest, min(license) AS license FROM (SELECT license, sha256({_sql_bare('t')}) AS bare_digest FROM canon UNION ALL SELECT * FROM (VALUES {_FULL})) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS n, doc_id, {_sql_canonical('text')} AS t FROM documents),
-lines AS (SELECT n, trim(unnest(string_split(t, chr(10)))) AS line FROM docs),
-found AS (SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM lines JOIN known ON sha256(line) = digest GROUP BY n),
-whole AS (SELECT n, doc_id, sha256({_sql_joined('t')}) AS canonical_sha256 FROM docs)
+parts AS (SELECT n, list_filter(regexp_split_to_array(t, '\\n(?: *\\n)+'), lambda x: {_sql_joined('x')} <> '') AS p FROM docs),
+spans AS (SELECT n, p, i, unnest(range(1, least({PARAGRAPHS}, len(p) - i) + 1)) AS k FROM (SELECT n, p, unnest(range(len(p))) AS i FROM parts)),
+lines AS (
+  SELECT n, trim(unnest(string_split(t, chr(10)))) AS line FROM docs
+  UNION ALL SELECT n, {_sql_joined('run')} FROM (SELECT n, trim(array_to_string(p[i + 1:i + k], chr(10)), ' ' || chr(10)) AS run FROM spans) WHERE contains(run, chr(10))),
+found AS (SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM lines JOIN known USING (line) GROUP BY n),
+whole AS (SELECT n, doc_id, sha256({_sql_joined('t')}) AS canonical_sha256, sha256({_sql_bare('t')}) AS bare_digest FROM docs)
 SELECT doc_id, canonical_sha256, license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
-FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN found USING (n)
+FROM whole LEFT JOIN bare USING (bare_digest) LEFT JOIN found USING (n)
 """

@@ -25,6 +25,32 @@ def test_titles_owners_and_paragraphs(spark):
     assert out[0][1:] == ("MIT", 1) and out[2][1:] == ("MIT", 1) and out[3][1:] == ("MIT", 1) and out[4][1:] == out[5][1:] == ("", 0)
 
 
+def test_lines_that_begin_with_the_word(spark):
+    """Licences wrapped so that a line begins with "copyright" keep that line; lines that state a holder go."""
+    known = dict(reversed(license_scan.KNOWN))
+    isc = known["ISC"].replace("above copyright notice", "above\ncopyright notice").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    bsd = known["BSD-2-Clause"].replace("BY THE COPYRIGHT HOLDERS", "BY THE\nCOPYRIGHT HOLDERS").replace("above copyright", "above\n# copyright")
+    mit = dict(license_scan.KNOWN[:1])["MIT"].replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("above copyright", "above\ncopyright")
+    heads = ["ISC License\n\nCopyright (c) 2004-2010 by Someone\nCopyright Other Person\n\n", "BSD 2-Clause License\n\nCopyright © 2020, Regents\nAll rights reserved.\n\n", "The MIT License (MIT)\n\n(c) Someone\n\n"]
+    out = scan(spark, [h + t for h, t in zip(heads, (isc, bsd, mit))] + ["This is free\n\n" + known["Unlicense"], "# SPDX-License-Identifier: Apache-2.0\ncode"])
+    assert [x[0] for x in out] == ["ISC", "BSD-2-Clause", "MIT", None, None]
+    assert out[4][1:] == ("Apache-2.0", 1)
+
+
+def test_sql_has_the_same_rules(spark, tmp_path):
+    from oracle import assert_same
+
+    known, path = dict(reversed(license_scan.KNOWN)), str(tmp_path)
+    mit = dict(license_scan.KNOWN[:1])["MIT"].replace(", to any", ",\nto any").replace(" The above", "\n\nThe above").replace("above copyright", "above\ncopyright")
+    texts = [
+        f"MIT License\n\nCopyright (c) 2020 Someone\n\n{mit}\n", known["BSD-3-Clause"].replace("the copyright holder nor", "the University nor"), f"# code\r\n\n{mit}\n\nmore", "Other\n\nReleased under\nthe MIT License.\n \n\nmore",
+        None, "", "\n\n", "Copyright\tNotice\n(c) me\n\u00a9 you\u2028copyright x\rcopyright y", "Licensed under CC BY 4.0.\nlicensed  under cc-by 4.0", "SPDX-License-Identifier: MIT",
+    ]
+    texts += [f.read_text() for f in sorted(COMMON.glob("*")) if COMMON.is_dir() and f.is_file() and not f.is_symlink()]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    assert_same(spark, "op9", license_scan.op9_license_scan, license_scan.OP9_SQL, path)
+
+
 @pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts at hand")
 def test_full_licences(spark):
     files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
