@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .store import materialize
+from .store import mark, materialize
 
 #: Code points of a text that the splitters see.
 HEAD = 32
@@ -59,8 +59,9 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
     A null id is smaller than any other, so it goes where another id keeps its text.
     """
+    begin = mark()
     found = exact_dedup(docs, keep=keep).filter("NOT doc_id <=> keep_id").select("doc_id", F.unhex("text_sha256").alias("digest"))
-    dropped = materialize(found.distinct(), "exact-dropped")
+    dropped = materialize(found.distinct(), "exact-dropped", since=begin)
     digest = F.unhex(F.sha2(normalised(docs["text"]), 256))
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]) & (digest == dropped["digest"]), "left_anti")
 

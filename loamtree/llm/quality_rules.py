@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import drop_rows, materialize
+from .store import drop_rows, mark, materialize
 from .textbytes import WORD, chunks, distinct_slices, gram_hashes, inside, mix, owners, runs, word_table
 
 WINDOW = 5
@@ -154,10 +154,10 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _nearest(stats: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """The moments of the `share` of each group that is nearest to each of its estimates (lang, source, start)."""
-    keys = ["lang", "source", "start"]
+    begin, keys = mark(), ["lang", "source", "start"]
     ranked = stats.join(estimate, ["lang", "source"]).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
     limits = materialize(ranked.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("limit")), "rules-limit")
-    return materialize(_moments(ranked.join(limits, keys).filter("d2 <= limit"), *keys), "rules-moments")
+    return materialize(_moments(ranked.join(limits, keys).filter("d2 <= limit"), *keys), "rules-moments", since=begin)
 
 
 def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
@@ -176,7 +176,7 @@ def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
     Groups only meet as sums of their rows, which Spark adds up before it
     shuffles them.
     """
-    x = list(FEATURES)
+    first, x = mark(), list(FEATURES)
     quartile = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000) for c in x]
     begin = materialize(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"), *[q.alias(f"q_{c}") for q, c in zip(quartile, x)]), "rules-begin")
     variance = [F.pow(F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(floor)), 2) for c, floor in FEATURES.items()]
@@ -200,7 +200,7 @@ def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
         F.array(*[F.sum(F.col("sums")[i]) for i in range(len(x))]).alias("lang_sums"),
         F.array(*[F.sum(F.col("squares")[i]) for i in range(len(x) * (len(x) + 1) // 2)]).alias("lang_squares"),
     )
-    return materialize(own.join(lang, "lang").mapInPandas(_leaning, _ESTIMATE), "rules-estimate")
+    return materialize(own.join(lang, "lang").mapInPandas(_leaning, _ESTIMATE), "rules-estimate", since=first)
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
@@ -226,8 +226,9 @@ def drop_poor_documents(docs: DataFrame) -> DataFrame:
 
     Of rows with one id only those go whose own text is poor; rows with one id and text go together.
     """
+    begin = mark()
     poor = quality_rules(docs).filter("not kept").select("doc_id", "text_hash").distinct()
-    return drop_rows(docs, materialize(poor, "rules-dropped"))
+    return drop_rows(docs, materialize(poor, "rules-dropped", since=begin))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
