@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .ordered import TILE, from_earlier_tiles, with_tile
+
 
 def choose_bin_width(intervals: DataFrame, start: str = "start", stop: str = "stop") -> int:
     """Twice the median length, as a power of two: most intervals then lie in one or two bins. One small job."""
@@ -79,20 +81,26 @@ def intersect_samples(intervals: DataFrame, width: int) -> DataFrame:
     return joined.select("chrom", parts["start"], parts["stop"], *others)
 
 
-def complete_track(track: DataFrame, chrom_ends: DataFrame, default: float) -> DataFrame:
+def complete_track(track: DataFrame, chrom_ends: DataFrame, default: float, width: int = TILE) -> DataFrame:
     """A track with its gaps filled by `default`, from 0 to each chromosome's stop (chrom, chrom_stop). Overlaps are an error for check_disjoint()."""
-    order = Window.partitionBy("chrom").orderBy("start")
-    before = track.withColumn("prev", F.coalesce(F.lag("stop").over(order), F.lit(0).cast("long"))).filter("prev < start").select("chrom", F.col("prev").alias("start"), F.col("start").alias("stop"))
+    tiled = with_tile(track, "start", width)
+    earlier = from_earlier_tiles(tiled, ["chrom"], reached=(F.max_by("stop", "start"), "last"))
+    inner = F.lag("stop").over(Window.partitionBy("chrom", "tile").orderBy("start"))
+    linked = tiled.withColumn("inner", inner).join(earlier, ["chrom", "tile"]).withColumn("prev", F.coalesce("inner", "reached", F.lit(0).cast("long")))
+    before = linked.filter("prev < start").select("chrom", F.col("prev").alias("start"), F.col("start").alias("stop"))
     last = chrom_ends.join(track.groupBy("chrom").agg(F.max("stop").alias("last")), "chrom", "left")
     tail = last.select("chrom", F.coalesce("last", F.lit(0).cast("long")).alias("start"), F.col("chrom_stop").alias("stop")).filter("start < stop")
     gaps = before.unionByName(tail).withColumn("value", F.lit(default))
     return track.select("chrom", "start", "stop", "value").unionByName(gaps)
 
 
-def check_disjoint(track: DataFrame) -> DataFrame:
+def check_disjoint(track: DataFrame, width: int = TILE) -> DataFrame:
     """The intervals that begin before an earlier one of their chromosome ends; empty for a valid track."""
-    order = Window.partitionBy("chrom").orderBy("start", "stop")
-    return track.withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("reached > start")
+    tiled = with_tile(track, "start", width)
+    earlier = from_earlier_tiles(tiled, ["chrom"], most=(F.max("stop"), "max"))
+    order = Window.partitionBy("chrom", "tile").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    found = tiled.withColumn("inner", F.max("stop").over(order)).join(earlier, ["chrom", "tile"])
+    return found.withColumn("reached", F.greatest("inner", "most")).filter("reached > start").drop("inner", "most", "tile")
 
 
 def lookup_track(points: DataFrame, track: DataFrame, width: int, default: float) -> DataFrame:

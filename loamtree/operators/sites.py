@@ -82,32 +82,87 @@ def near_pairs(sites: DataFrame, distance: int) -> DataFrame:
     return a.join(b, ["chrom", "bin"]).filter((F.col("a_pos") < F.col("b_pos")) & (F.col("b_pos") - F.col("a_pos") <= distance)).drop("bin")
 
 
-def linkage(pairs: DataFrame) -> DataFrame:
-    """D, D' and r2 of pairs of columns over all sequences that both have; a symbol counts as 1 if it is the column's first.
+#: Sequences in the first word of a mask; the others have words of as many bits each in an array.
+WORD = 62
 
-    D' is 0 where D is; r2 is null where a column is invariant.
+
+def bit_mask(flags: Column) -> Column:
+    """struct(low, more) of an array of booleans: bit i of `low` is flag i, the flags from WORD on are in the words of `more`."""
+    bits = lambda x: F.aggregate(F.transform(x, lambda f, i: F.when(f, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, y: s + y)
+    words = F.ceil(F.size(flags) / WORD).cast("int")
+    more = F.when(words > 1, F.transform(F.sequence(F.lit(1), words - 1), lambda w: bits(F.slice(flags, w * WORD + 1, WORD)))).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(bits(F.slice(flags, 1, WORD)).alias("low"), more.alias("more"))
+
+
+def _lowest(n: Column) -> Column:
+    """A word whose lowest n bits are set, for n from 0 to WORD, as a table lookup."""
+    return F.get(F.lit([(1 << k) - 1 for k in range(WORD + 1)]), F.least(F.greatest(n, F.lit(0)), F.lit(WORD)))
+
+
+def common_bits(size: Column, *masks: Column) -> Column:
+    """How many of the first `size` sequences all masks have. Only columns of more than WORD sequences take the array's way."""
+    low = _lowest(size)
+    for m in masks:
+        low = low.bitwiseAND(m["low"])
+    rest = F.transform(F.sequence(F.lit(0), F.ceil(size / WORD).cast("int") - 2), lambda w: _lowest(size - (w + 1) * WORD))
+    for m in masks:
+        rest = F.zip_with(rest, m["more"], lambda x, y: x.bitwiseAND(F.coalesce(y, F.lit(0))))
+    return F.bit_count(low) + F.when(size > WORD, F.aggregate(rest, F.lit(0), lambda s, x: s + F.bit_count(F.coalesce(x, F.lit(0).cast("long"))))).otherwise(F.lit(0))
+
+
+def linkage(sites: DataFrame, distance: int) -> DataFrame:
+    """chrom, a_pos, b_pos, d, d_prime, r2 of the columns of sites at most `distance` apart, over all sequences that both have; a symbol counts as 1 if it is not the column's first.
+
+    A site meets the others as a bit mask made once. D' is 0 where D is; r2 is
+    null where a column is invariant.
     """
-    size = F.least(F.length("a_col"), F.length("b_col"))
-    a, b = F.slice(letters(F.col("a_col")), 1, size), F.slice(letters(F.col("b_col")), 1, size)
-    off = lambda x: F.transform(x, lambda c: c != x[0])
-    both = F.size(F.filter(F.zip_with(off(a), off(b), lambda x, y: x & y), lambda z: z)) / size
-    p = F.size(F.filter(off(a), lambda x: x)) / size
-    q = F.size(F.filter(off(b), lambda x: x)) / size
-    named = pairs.withColumns({"x": both, "p": p, "q": q}).withColumn("d", F.col("x") - F.col("p") * F.col("q"))
+    parts = letters(F.col("col"))
+    masked = sites.select("chrom", "pos", F.length("col").alias("size"), bit_mask(F.transform(parts, lambda c: c != F.substring("col", 1, 1))).alias("off"))
+    pairs = near_pairs(masked, distance)
+    size = F.least("a_size", "b_size")
+    share = lambda *masks: common_bits(size, *masks) / size
+    named = pairs.withColumns({"x": share(F.col("a_off"), F.col("b_off")), "p": share(F.col("a_off")), "q": share(F.col("b_off"))}).withColumn("d", F.col("x") - F.col("p") * F.col("q"))
     d, p, q = F.col("d"), F.col("p"), F.col("q")
     most = F.when(d < 0, F.least(p * q, (1 - p) * (1 - q))).otherwise(F.least(p * (1 - q), (1 - p) * q))
     spread = p * (1 - p) * q * (1 - q)
-    return named.withColumns({"d_prime": F.when(d == 0, F.lit(0.0)).otherwise(d / most), "r2": F.when(spread != 0, d * d / spread)}).drop("x", "p", "q")
+    d_prime, r2 = F.when(d == 0, F.lit(0.0)).otherwise(d / most), F.when(spread != 0, d * d / spread)
+    return named.select("chrom", "a_pos", "b_pos", "d", d_prime.alias("d_prime"), r2.alias("r2"))
+
+
+def haplotype_frequencies(sites: DataFrame, distance: int) -> DataFrame:
+    """chrom, a_pos, b_pos, n and the counts n_00, n_01, n_10, n_11 of near sites: 1 where a sequence differs from its column's first."""
+    masked = sites.select("chrom", "pos", F.length("col").alias("size"), bit_mask(F.transform(letters(F.col("col")), lambda c: c != F.substring("col", 1, 1))).alias("off"))
+    pairs = near_pairs(masked, distance)
+    size = F.least("a_size", "b_size")
+    named = pairs.select("chrom", "a_pos", "b_pos", size.alias("n"), common_bits(size, F.col("a_off"), F.col("b_off")).alias("n_11"), common_bits(size, F.col("a_off")).alias("a"), common_bits(size, F.col("b_off")).alias("b"))
+    return named.select("chrom", "a_pos", "b_pos", "n", (F.col("n") - F.col("a") - F.col("b") + F.col("n_11")).alias("n_00"), (F.col("b") - F.col("n_11")).alias("n_01"), (F.col("a") - F.col("n_11")).alias("n_10"), "n_11")
+
+
+def _split_mask(col: Column) -> Column:
+    parts = letters(col)
+    counts = F.transform(F.array_distinct(parts), lambda a: F.struct(F.size(F.filter(parts, lambda x: x == a)).alias("n"), a.alias("a")))
+    rarest = F.array_min(counts)["a"]
+    return bit_mask(F.transform(parts, lambda x: x == rarest))
 
 
 def conflicting_pairs(sites: DataFrame, distance: int) -> DataFrame:
     """(chrom, a_pos, b_pos) of near sites whose minor splits conflict, over all sequences that both have.
 
-    A site's split is made once; only beside a narrower column it is made anew.
+    A site's split, also among its first 1, 2, ... up to WORD sequences, is made
+    once, as bits; pairs are compared as whole numbers. Only pairs of columns
+    that share more than WORD sequences carry their text, and take the way of
+    arrays.
     """
-    pairs = near_pairs(sites.select("chrom", "pos", "col", minor_split(F.col("col")).alias("s")), distance)
-    shared = lambda x, y: F.when(F.length(f"{x}_col") <= F.length(f"{y}_col"), F.col(f"{x}_s")).otherwise(minor_split(F.substring(F.col(f"{x}_col"), F.lit(1), F.length(f"{y}_col"))))
-    return pairs.withColumns({"a_s": shared("a", "b"), "b_s": shared("b", "a")}).filter(splits_conflict(F.col("a_s"), F.col("b_s"))).select("chrom", "a_pos", "b_pos")
+    first = F.transform(F.sequence(F.lit(1), F.least(F.length("col"), F.lit(WORD))), lambda k: _split_mask(F.substring(F.col("col"), F.lit(1), k))["low"])
+    wide = F.when(F.length("col") > WORD, F.col("col"))
+    pairs = near_pairs(sites.select("chrom", "pos", F.length("col").alias("size"), first.alias("first"), wide.alias("wide")), distance)
+    pairs = pairs.select("chrom", "a_pos", "b_pos", F.least("a_size", "b_size").alias("size"), *(F.get(f"{x}_first", F.least("a_size", "b_size") - 1).alias(x) for x in "ab"), "a_wide", "b_wide")
+    size, both = F.col("size"), F.col("a").bitwiseAND(F.col("b"))
+    narrow = (both != 0) & (both != F.col("a")) & (both != F.col("b"))
+    a, b = (_split_mask(F.substring(F.col(f"{x}_wide"), F.lit(1), size)) for x in "ab")
+    meet = common_bits(size, a, b)
+    broad = (meet > 0) & (meet < common_bits(size, a)) & (meet < common_bits(size, b))
+    return pairs.filter(F.when(size <= WORD, narrow).otherwise(broad)).select("chrom", "a_pos", "b_pos")
 
 
 def nearest_conflicts(pairs: DataFrame) -> DataFrame:
@@ -187,11 +242,117 @@ def apply_mask(sites: DataFrame, mask: DataFrame, width: int) -> DataFrame:
 
 
 def bootstrap_sites(sites: DataFrame, seed: int) -> DataFrame:
-    """As many sites as given, drawn with replacement: each site a Poisson(1) number of times, so that no row has to be numbered."""
-    u, limit, term = F.rand(seed), 0.0, 2.718281828459045**-1
-    times = F.lit(0)
-    for k in range(1, 12):
-        limit += term
-        times = times + F.when(u > limit, 1).otherwise(0)
-        term /= k
-    return sites.withColumn("times", times).filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+    """As many sites as given, drawn with replacement: sites are numbered in order, draw k takes a number by a hash of k. It does not depend on partitions."""
+    from .ordered import numbered
+
+    placed = numbered(sites.withColumn("all", F.lit(0)), ["all"], ["pos", "chrom", "col"], "number").drop("all")
+    total = sites.agg(F.count(F.lit(1)).alias("total"))
+    draws = placed.select("number").withColumn("total", total.scalar()).select(F.pmod(F.xxhash64(F.lit(seed), "number"), F.col("total")).alias("number"))
+    times = draws.groupBy("number").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return placed.join(times, "number").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "number")
+
+
+def drop_polyallelic(sites: DataFrame) -> DataFrame:
+    """Sites of at most two symbols."""
+    return sites.filter(F.size(F.array_distinct(letters(F.col("col")))) <= 2)
+
+
+def allele_names(sites: DataFrame, names: list[str]) -> DataFrame:
+    """chrom, pos, minor, major: the names of the sequences with the rarer and with the other symbol of biallelic sites, the first sequence's part being the minor on a tie; names beyond the columns' width do not occur."""
+    two = biallelic_sites(sites)
+    parts = letters(F.col("col"))
+    named = F.zip_with(parts, F.slice(F.lit(names), 1, F.size(parts)), lambda c, n: F.struct(c.alias("c"), n.alias("n")))
+    first = F.substring("col", 1, 1)
+    of = lambda test: F.transform(F.filter("x", test), lambda y: y["n"])
+    split = two.withColumn("x", named).select("chrom", "pos", of(lambda y: y["c"] == first).alias("own"), of(lambda y: y["c"] != first).alias("other"))
+    rarer = F.size("own") <= F.size("other")
+    return split.select("chrom", "pos", F.when(rarer, F.col("own")).otherwise(F.col("other")).alias("minor"), F.when(rarer, F.col("other")).otherwise(F.col("own")).alias("major"))
+
+
+def places_of(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """name, place of each wanted name, of names (name, place); the place is null where a name is missing."""
+    return wanted.select("name").join(F.broadcast(names.select("name", "place")), "name", "left")
+
+
+def name_faults(names: DataFrame) -> DataFrame:
+    """place, name, reason of names that are empty, begin or end with a space, are only digits, have other symbols than letters, digits and . _ -, or occur again."""
+    times = names.groupBy("name").agg(F.count(F.lit(1)).alias("times"))
+    reason = (
+        F.when(F.length("name") == 0, "empty").when(F.trim("name") != F.col("name"), "outer space").when(F.col("name").rlike("^[0-9]+$"), "digits")
+        .when(~F.col("name").rlike("^[A-Za-z0-9._ -]+$"), "symbol").when(F.col("times") > 1, "repeated")
+    )
+    return names.join(times, "name").select("place", "name", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def names_differ(one: DataFrame, two: DataFrame) -> DataFrame:
+    """place and both names where two lists (place, name) are not the same; a list that ends early has null."""
+    both = one.select("place", F.col("name").alias("one")).join(two.select("place", F.col("name").alias("two")), "place", "full")
+    return both.filter(~F.col("one").eqNullSafe(F.col("two")))
+
+
+def pairs_by_name(names: DataFrame) -> DataFrame:
+    """place, pair: the two haplotypes x_1 and x_2 of one individual; null where the other is not there."""
+    base = names.select("place", F.substring_index("name", "_", -1).alias("end"), F.expr("substring(name, 1, length(name) - 2)").alias("base")).filter("end IN ('1', '2')")
+    other = base.select("base", (F.lit(3) - F.col("end").cast("int")).cast("string").alias("end"), F.col("place").alias("pair"))
+    return base.join(other, ["base", "end"], "left").select("place", "pair")
+
+
+def pairs_by_place(names: DataFrame) -> DataFrame:
+    """place, pair of neighbours: 0 and 1, 2 and 3, ..."""
+    return names.select("place", F.col("place").bitwiseXOR(F.lit(1)).alias("pair"))
+
+
+def pairs_by_list(names: DataFrame, listed: DataFrame) -> DataFrame:
+    """place, pair of names that a list (one, two) pairs."""
+    both = listed.select("one", "two").unionByName(listed.select(F.col("two").alias("one"), F.col("one").alias("two")))
+    places = names.select("name", "place")
+    found = both.join(places.withColumnRenamed("name", "one"), "one")
+    return found.join(places.select(F.col("name").alias("two"), F.col("place").alias("pair")), "two").select("place", "pair")
+
+
+def alignment(sites: DataFrame, chrom: str, n: int, width: int, default: str = "A") -> DataFrame:
+    """tile, place, seq: the sequences of a chromosome from its sites, in tiles of `width` positions that have any; other positions are `default`."""
+    own = sites.filter(F.col("chrom") == chrom).select(F.floor(F.col("pos") / width).alias("tile"), F.pmod("pos", F.lit(width)).cast("int").alias("at"), "col")
+    tiles = own.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("at", "col"))).alias("cols"))
+    rows = tiles.select("tile", "cols", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
+    base = lambda i: F.coalesce(F.substring(F.col("cols")[i], F.col("place") + 1, F.lit(1)), F.lit(default))
+    return rows.select("tile", "place", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), base), "").alias("seq"))
+
+
+def least_recombinations(pairs: DataFrame, width: int = 4096) -> DataFrame:
+    """chrom, a_pos, b_pos: the fewest breaks that part every conflicting pair, each with the first site behind the last break that conflicts with the site where it is found."""
+    breaks = stab_intervals(pairs, width)
+    last = F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos"))
+    known = breaks.withColumn("last", F.coalesce(last, F.lit(-(1 << 62)))).withColumnRenamed("pos", "b_pos")
+    return pairs.join(known, ["chrom", "b_pos"]).filter("a_pos >= last").groupBy("chrom", "b_pos").agg(F.min("a_pos").alias("a_pos"))
+
+
+def split_tracks(pairs: DataFrame, sites: DataFrame, width: int = 4096) -> DataFrame:
+    """chrom, pos, start, stop: how far around a site its split can hold, bounded by breaks.
+
+    stop is the last break up to the nearest conflict on the right, start the
+    largest stop of the sites that conflict on the left; null where there is no
+    conflict. A break is named by the site right of it.
+    """
+    breaks = stab_intervals(pairs, width).select("chrom", F.col("pos").alias("break"))
+    near = nearest_conflicts(pairs)
+    # a pair has a break in (a_pos, b_pos], so only the breaks of the nearest pair have to be looked at
+    stops = near.filter("right IS NOT NULL").select("chrom", "pos", "right")
+    tiled = stops.withColumn("tile", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("right") / width))))
+    held = tiled.join(breaks.withColumn("tile", F.floor(F.col("break") / width)), ["chrom", "tile"]).filter("break > pos AND break <= right")
+    stops = held.groupBy("chrom", "pos").agg(F.max("break").alias("stop"))
+    starts = pairs.join(stops.withColumnRenamed("pos", "a_pos"), ["chrom", "a_pos"]).groupBy("chrom", F.col("b_pos").alias("pos")).agg(F.max("stop").alias("start"))
+    return sites.select("chrom", "pos").join(starts, ["chrom", "pos"], "left").join(stops, ["chrom", "pos"], "left").select("chrom", "pos", "start", "stop")
+
+
+def split_blocks(tracks: DataFrame, breaks: DataFrame, splits: DataFrame) -> DataFrame:
+    """chrom, block, split: the blocks between breaks (chrom, pos) that each site's track covers, without repeats of one split and track. Block 0 is before the first break."""
+    from .ordered import numbered
+
+    known = tracks.join(splits, ["chrom", "pos"]).select("chrom", "start", "stop", "split").distinct()
+    order = numbered(breaks.select("chrom", F.col("pos").alias("at")), ["chrom"], ["at"], "number")
+    first = known.join(order.select("chrom", F.col("at").alias("start"), (F.col("number") + 1).alias("first")), ["chrom", "start"], "left")
+    last = first.join(order.select("chrom", F.col("at").alias("stop"), F.col("number").alias("last")), ["chrom", "stop"], "left")
+    total = breaks.groupBy("chrom").agg(F.count(F.lit(1)).alias("total"))
+    spans = last.join(F.broadcast(total), "chrom", "left").select("chrom", "split", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "total", F.lit(0)).alias("last"))
+    return spans.select("chrom", F.explode(F.sequence("first", "last")).alias("block"), "split").distinct()

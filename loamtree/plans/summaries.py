@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import rank_quantile
 from ..operators.intervals import clipped, intersect_samples, join_points, overlapping
+from ..operators.ordered import sliding_means
 from ..operators.trees import tree_statistics
 
 
@@ -27,35 +28,39 @@ def summarize_region(trees: DataFrame, statistics: list[str], width: int, region
 
 
 def summarize_regions(tracks: DataFrame, regions: DataFrame, width: int) -> DataFrame:
-    """Each of many regions (name, chrom, start, stop) with the base-weighted mean of all sample intervals in it: one range join for all."""
+    """Each of many regions (name, chrom, start, stop) with the base-weighted mean of all sample intervals in it: one range join for all.
+
+    Values count in whole millionths and the mean is rounded half up to them, so
+    the order of summation cannot matter. Values are not negative.
+    """
     from ..operators.intervals import join_intervals
 
     joined = join_intervals(regions.select("chrom", "start", "stop", "name"), tracks.select("chrom", "start", "stop", "value"), width, ("r", "t"))
     size = F.col("stop") - F.col("start")
-    return joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(size).alias("bases"), (F.sum(F.col("t_value") * size) / F.sum(size)).alias("mean_value")).withColumnRenamed("r_name", "name")
+    millionths = F.round(F.col("t_value") * 1000000).cast("decimal(20,0)")
+    sums = joined.groupBy(F.col("r_name").alias("name")).agg(F.count(F.lit(1)).alias("n_parts"), F.sum(size).alias("bases"), F.sum(millionths * size).alias("total"))
+    return sums.withColumn("mean_value", F.expr("(2 * total + bases) div (2 * bases)") / 1000000).drop("total")
 
 
 def allele_summary(sites: DataFrame, tracks: DataFrame, width: int) -> DataFrame:
-    """Each site (chrom, pos, ...) with its samples' (age, infinite_sites, derived): means over all samples and over those with infinite sites, and the majority's derived allele, that of the smallest sample on a tie."""
+    """Each site (chrom, pos, ...) with its samples' (sample, age, infinite_sites, derived): means over all samples and over those with infinite sites, and the majority's derived allele, that of the smallest sample on a tie."""
     found = join_points(sites, tracks, width)
-    per_site = found.groupBy("chrom", "pos").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.avg("age").alias("age_mean"),
-        F.avg(F.when(F.col("infinite_sites"), F.col("age"))).alias("age_mean_infinite"),
-        F.min_by("derived", "sample").alias("first"),
-        F.collect_list("derived").alias("all"),
+    certain = F.when(F.col("infinite_sites"), F.col("age"))
+    votes = found.groupBy("chrom", "pos", "derived").agg(
+        F.count(F.lit(1)).alias("n"), F.min("sample").alias("first"), F.sum("age").alias("age"), F.count(certain).alias("n_certain"), F.sum(certain).alias("certain")
+    )
+    return votes.groupBy("chrom", "pos").agg(
+        F.sum("n").alias("n_samples"),
+        (F.sum("age") / F.sum("n")).alias("age_mean"),
+        F.when(F.sum("n_certain") > 0, F.sum("certain") / F.sum("n_certain")).alias("age_mean_infinite"),
+        F.max_by("derived", F.struct("n", (-F.col("first")).alias("first"))).alias("derived"),
     )
-    votes = F.size(F.filter("all", lambda x: x == F.col("first")))
-    other = F.array_min(F.array_except("all", F.array("first")))
-    return per_site.withColumn("derived", F.when(2 * votes >= F.col("n_samples"), F.col("first")).otherwise(other)).drop("first", "all")
 
 
 def recombination_rates(breaks: DataFrame, lengths: DataFrame, width: int, half_width: int) -> DataFrame:
     """Breakpoints (chrom, pos) a base, generation and lineage: those at each segment's start over the samples' mean tree length there, meaned over starts at most half_width away."""
-    from pyspark.sql.window import Window
-
     parts = intersect_samples(lengths, width).groupBy("chrom", "start", "stop").agg(F.avg("branchlen").alias("mean_length"), F.count(F.lit(1)).alias("n_samples"))
     here = breaks.groupBy("chrom", F.col("pos").alias("start")).agg(F.count(F.lit(1)).alias("n_breaks"))
     rate = F.coalesce("n_breaks", F.lit(0)) / F.col("mean_length") / F.col("n_samples")
-    near = Window.partitionBy("chrom").orderBy("start").rangeBetween(-half_width, half_width)
-    return parts.join(here, ["chrom", "start"], "left").select("chrom", "start", "stop", rate.alias("rate")).withColumn("rate_near", F.avg("rate").over(near))
+    rates = parts.join(here, ["chrom", "start"], "left").select("chrom", "start", "stop", rate.alias("rate"))
+    return sliding_means(rates, ["chrom"], "start", "rate", half_width, "rate_near")

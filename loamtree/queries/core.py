@@ -1,29 +1,18 @@
-"""Each operator as a query on the star-schema tables, and the same in SQL."""
+"""Intervals, ordered neighbours, sites and trees."""
 
 import math
 
 from pyspark.sql import functions as F
 
-from . import tables
-from .functions.scalar import nearest_time, rank_quantile, time_grid
-from .operators import intervals as iv, ordered, sites as st, spr, trees as tr
-from .plans import likelihood, summaries
-from .sources.newick import format_newick, parse_newick
-from .tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, one_track, points, sites, table, tracks, trees
+from ..catalogue import query
+from ..functions.scalar import nearest_time, rank_quantile, time_grid
+from ..operators import forest, intervals as iv, ordered, sites as st, spr, trees as tr
+from ..plans import likelihood, summaries
+from ..sources.newick import format_newick, parse_newick
+from ..tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, one_track, points, sites, table, tracks, trees
 
 GRID = time_grid(12, 400.0, 0.01)
 DISTANCE = 40
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def rounded(frame, *columns):
@@ -163,14 +152,16 @@ def grid_positions_samples(spark, d):
 
 
 @query(f"""WITH {TRACKS_SQL}, base AS (SELECT min(start) AS a FROM tracks), regions AS (SELECT n_name AS name, 'click' AS chrom, a + n_nationkey * 700 AS start, a + n_nationkey * 700 + 1000 AS stop FROM nation, base),
-held AS (SELECT name, t.value, least(r.stop, t.stop) - greatest(r.start, t.start) AS size FROM regions r JOIN tracks t ON r.chrom = t.chrom AND r.start < t.stop AND t.start < r.stop)
-SELECT name, count(*) AS n_parts, CAST(sum(size) AS BIGINT) AS bases, round(sum(value * size) / sum(size), 6) AS mean_value FROM held GROUP BY name""")
+held AS (SELECT name, CAST(round(t.value * 1000000) AS HUGEINT) AS millionths, least(r.stop, t.stop) - greatest(r.start, t.start) AS size FROM regions r JOIN tracks t ON r.chrom = t.chrom AND r.start < t.stop AND t.start < r.stop),
+sums AS (SELECT name, count(*) AS n_parts, sum(size) AS bases, sum(millionths * size) AS total FROM held GROUP BY name)
+SELECT name, n_parts, CAST(bases AS BIGINT) AS bases, CAST((2 * total + bases) // (2 * bases) AS BIGINT) / 1000000 AS mean_value FROM sums""")
 def region_batch(spark, d):
     t = tracks(spark, d)
-    base = t.agg(F.min("start").alias("a"))
+    first = t.agg(F.min("start").alias("a"))
     start = F.col("a") + F.col("n_nationkey") * 700
-    regions = table(spark, d, "nation").join(F.broadcast(base)).select(F.col("n_name").alias("name"), F.lit("click").alias("chrom"), start.alias("start"), (start + 1000).alias("stop"))
-    return rounded(summaries.summarize_regions(t, regions, iv.choose_bin_width(t)), "mean_value")
+    nations = table(spark, d, "nation").withColumn("a", first.scalar())
+    regions = nations.select(F.col("n_name").alias("name"), F.lit("click").alias("chrom"), start.alias("start"), (start + 1000).alias("stop"))
+    return summaries.summarize_regions(t, regions, iv.choose_bin_width(t))
 
 
 @query(f"WITH {TRACKS_SQL} SELECT a.sample, a.chrom, a.start, a.stop AS pos, round(b.value, 6) AS next_value FROM tracks a JOIN tracks b ON a.sample = b.sample AND a.chrom = b.chrom AND a.stop = b.start")
@@ -303,7 +294,7 @@ y AS (SELECT *, x - p * q AS d FROM x)
 SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
 round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
 def ld_pairs(spark, d):
-    return rounded(st.linkage(st.near_pairs(_four(spark, d), DISTANCE)).select("a_pos", "b_pos", "d", "d_prime", "r2"), "d", "d_prime", "r2")
+    return rounded(st.linkage(_four(spark, d), DISTANCE).drop("chrom"), "d", "d_prime", "r2")
 
 
 _CONFLICTS = f"""WITH {_FOUR}, letters AS (SELECT pos, unnest(range(4)) AS i, col FROM four), counted AS (SELECT pos, col[i + 1] AS base, count(*) AS n, list(i) AS leaves FROM letters GROUP BY ALL),
@@ -312,8 +303,7 @@ conflicts AS (SELECT a.pos AS a_pos, b.pos AS b_pos FROM splits a JOIN splits b
 
 
 def _conflicts(spark, d):
-    pairs = st.near_pairs(_four(spark, d).select("chrom", "pos", st.minor_split(F.col("col")).alias("s")), DISTANCE)
-    return pairs.filter(st.splits_conflict(F.col("a_s"), F.col("b_s"))).select("chrom", "a_pos", "b_pos")
+    return st.conflicting_pairs(_four(spark, d), DISTANCE)
 
 
 @query(_CONFLICTS + " SELECT '1' AS chrom, a_pos, b_pos FROM conflicts")
@@ -338,7 +328,7 @@ y AS (SELECT *, x - p * q AS d FROM x)
 SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
 round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
 def ld_pairs_whole(spark, d):
-    return rounded(st.linkage(st.near_pairs(sites(spark, d), DISTANCE)).select("a_pos", "b_pos", "d", "d_prime", "r2"), "d", "d_prime", "r2")
+    return rounded(st.linkage(sites(spark, d), DISTANCE).drop("chrom"), "d", "d_prime", "r2")
 
 
 _WHOLE_CONFLICTS = f"""WITH {SITES_SQL}, parts AS (SELECT pos, size, col, unnest(range(1, size + 1)) AS i FROM (SELECT pos, col, unnest(range(1, length(col) + 1)) AS size FROM sites)),
@@ -367,7 +357,11 @@ def unnested_conflicts_whole(spark, d):
     return st.unnested_conflicts(_whole_conflicts(spark, d))
 
 
-@query()
+#: Breaks one after the other: the next is the first right end of a pair that begins at or behind the last.
+_BREAKS = _WHOLE_CONFLICTS.replace("WITH ", "WITH RECURSIVE ", 1) + ", breaks AS (SELECT min(b_pos) AS pos FROM conflicts UNION ALL SELECT (SELECT min(b_pos) FROM conflicts WHERE a_pos >= breaks.pos) FROM breaks WHERE pos IS NOT NULL)"
+
+
+@query(_BREAKS + " SELECT '1' AS chrom, pos FROM breaks WHERE pos IS NOT NULL")
 def break_points(spark, d):
     return st.stab_intervals(_whole_conflicts(spark, d))
 
@@ -457,15 +451,15 @@ def tree_topologies(spark, d):
     return trees(spark, d).groupBy(tr.n_leaves("ptree").alias("leaves")).agg(F.count(F.lit(1)).alias("n_trees"), F.count_distinct(tr.topology_hash()).alias("n_topologies"))
 
 
-@query()
+@query(f"WITH {JOINTS_SQL} SELECT k * 10 AS start, [2, 2, -1] AS ptree, [0.0, 0.0, max(age)] AS age FROM joints GROUP BY k")
 def pruned_trees(spark, d):
-    return trees(spark, d).select("start", tr.prune(F.array(F.lit(0), tr.n_leaves("ptree") - 1)).alias("t")).select("start", "t.ptree", "t.age")
+    """The first and the last leaf."""
+    return trees(spark, d).select("start", forest.prune(F.array(F.lit(0), tr.n_leaves("ptree") - 1)).alias("t")).select("start", "t.ptree", "t.age")
 
 
 @query()
 def allele_ages(spark, d):
-    clade = tr.clades("ptree")
-    return trees(spark, d).withColumn("c", clade).select("start", tr.allele_age(F.array(F.lit(0)), F.col("c")).alias("a")).select("start", "a.age", "a.infinite_sites", "a.flipped")
+    return trees(spark, d).select("start", tr.allele_age(F.array(F.lit(0))).alias("a")).select("start", "a.age", "a.infinite_sites", "a.flipped")
 
 
 @query()

@@ -112,10 +112,142 @@ def read_lines(spark: SparkSession, path) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
 
 
-def store(rows: DataFrame, path: str, keys: list[str], mode: str = "append") -> None:
-    """Appends a load to a Parquet table by chromosome, sorted so that range predicates skip row groups. load_time orders loads for operators.ordered.latest()."""
-    rows.withColumn("load_time", F.current_timestamp()).repartition("chrom").sortWithinPartitions("chrom", *keys).write.mode(mode).partitionBy("chrom").parquet(path)
+def store(rows: DataFrame, path: str, keys: list[str], load: int, mode: str = "append") -> None:
+    """Appends a load to a Parquet table by chromosome, in ranges of (chrom, keys) so that a long chromosome is written by many tasks and range predicates skip files. `load` orders loads for operators.ordered.latest()."""
+    placed = rows.withColumn("load", F.lit(load)).repartitionByRange("chrom", *keys).sortWithinPartitions("chrom", *keys)
+    placed.write.mode(mode).partitionBy("chrom").parquet(path)
 
 
 def to_json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def _write(rows: DataFrame, path: str, *columns) -> None:
+    """Tab-separated lines, in the parts that the rows are in; null is an empty field."""
+    rows.select(F.concat_ws("\t", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns])).write.text(path)
+
+
+def write_track(track: DataFrame, path: str) -> None:
+    _write(track, path, "chrom", "start", "stop", *(["value"] if "value" in track.columns else []))
+
+
+def fasta_faults(haplotypes: DataFrame) -> DataFrame:
+    """file, name, length of the sequences that are shorter than the longest of their file: an alignment needs one length."""
+    sized = haplotypes.select("file", "name", F.length("seq").alias("length"))
+    return sized.join(sized.groupBy("file").agg(F.max("length").alias("longest")), "file").filter("length < longest").drop("longest")
+
+
+def write_snp_bed(sites: DataFrame, names: list[str], path: str) -> None:
+    """chrom, start, stop, alleles lines in parts; each has the #NAMES line, so each can be read by itself."""
+    head = "#NAMES\t" + "\t".join(names)
+    lines = sites.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), (F.col("pos") + 1).cast("string"), "col").alias("value"))
+    lines.mapInArrow(_with_head(head), "value string").write.text(path)
+
+
+def _with_head(head: str):
+    import pyarrow as pa
+
+    def add(batches):
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    return add
+
+
+def biallelic_snps(sites: DataFrame) -> DataFrame:
+    """Sites of a SNP file with exactly two symbols other than N, and the rarer one, `minor`; of two as frequent the first in the alphabet."""
+    parts = F.filter(F.split("col", ""), lambda x: ~x.isin("", "N"))
+    counted = F.transform(F.array_distinct(parts), lambda a: F.struct(F.size(F.filter(parts, lambda x: x == a)).alias("n"), a.alias("a")))
+    return sites.withColumn("x", counted).filter("size(x) = 2").withColumn("minor", F.array_min("x")["a"]).drop("x")
+
+
+def write_tree_bed(trees: DataFrame, path: str) -> None:
+    """chrom, start, stop, sample, newick lines."""
+    _write(trees, path, "chrom", "start", "stop", "sample", "newick")
+
+
+def read_tree_bed(spark: SparkSession, path) -> DataFrame:
+    lines = _lines(spark, path).filter("value <> '' AND value NOT LIKE '#%'")
+    return lines.select(_field(0).alias("chrom"), _field(1, "long").alias("start"), _field(2, "long").alias("stop"), _field(3, "long").alias("sample"), _field(4).alias("newick"))
+
+
+def smc_to_bed(trees: DataFrame, sprs: DataFrame) -> DataFrame:
+    """sample, chrom, start, stop, newick, and recomb_time and coal_time of the edit behind the tree; null for the last of a chromosome."""
+    edits = sprs.select("sample", "chrom", F.col("pos").alias("stop"), "recomb_time", "coal_time")
+    return trees.join(edits, ["sample", "chrom", "stop"], "left").select("sample", "chrom", "start", "stop", "newick", "recomb_time", "coal_time")
+
+
+def write_layout(layouts: DataFrame, path: str) -> None:
+    """chrom, start, stop (from 1, closed, in the file), then name and y of each leaf of the map `ys`, by name."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("ys")), lambda e: F.concat(e["key"], F.lit("\t"), e["value"].cast("string"))), "\t")
+    _write(layouts, path, "chrom", F.col("start") + 1, "stop", pairs)
+
+
+def read_layout(spark: SparkSession, path, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """chrom, start, stop, ys; of the blocks that share a base with a region, if one is given."""
+    fields = F.split("value", "\t")
+    entries = F.transform(F.sequence(F.lit(0), F.floor((F.size(fields) - 3) / 2).cast("int") - 1), lambda i: F.struct(F.get(fields, 3 + 2 * i), F.get(fields, 4 + 2 * i).cast("double")))
+    found = _lines(spark, path).filter("value <> ''").select(_field(0).alias("chrom"), (_field(1, "long") - 1).alias("start"), _field(2, "long").alias("stop"), F.map_from_entries(entries).alias("ys"))
+    if region:
+        found = found.filter((F.col("chrom") == region[0]) & (F.col("start") < region[2]) & (F.col("stop") > region[1]))
+    return found
+
+
+def read_name_pairs(spark: SparkSession, path) -> DataFrame:
+    """one, two: the names of the two haplotypes of each line, parted by white space."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.get(parts, F.lit(0)).alias("one"), F.get(parts, F.lit(1)).alias("two"))
+
+
+def write_mutations(mutations: DataFrame, path: str) -> None:
+    """pos, age, leaves lines; the leaves are names joined by commas."""
+    _write(mutations, path, "pos", "age", F.array_join("leaves", ","))
+
+
+def read_mutations(spark: SparkSession, path) -> DataFrame:
+    leaves = F.filter(F.split(F.coalesce(_field(2), F.lit("")), ","), lambda x: x != "")
+    return _lines(spark, path).filter("value <> ''").select(_field(0, "double").alias("pos"), _field(1, "double").alias("age"), leaves.alias("leaves"))
+
+
+STATS = "stage string, iter int, prior double, likelihood double, joint double, recombs int, noncompats int, arglen double"
+
+
+def append_run_stats(stats: DataFrame, path: str) -> None:
+    """Appends lines of a run's statistics, with a header in each part."""
+    names = [c.split()[0] for c in STATS.split(", ")]
+    stats.select(*names).write.mode("append").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_run_stats(spark: SparkSession, path) -> DataFrame:
+    return spark.read.schema(STATS).option("sep", "\t").option("header", True).csv(path)
+
+
+def last_iteration(stats: DataFrame) -> DataFrame:
+    """Each stage with its last iteration, from which a run resumes."""
+    return stats.groupBy("stage").agg(F.max("iter").alias("iter"))
+
+
+def write_arg(nodes: DataFrame, start: int, stop: int, path: str) -> None:
+    """One graph file: a header, then name, event, age, pos, parents, children of each node."""
+    head = nodes.sparkSession.createDataFrame([(0, f"start={start}\tend={stop}"), (1, "name\tevent\tage\tpos\tparents\tchildren")], "at int, value string")
+    lists = [F.array_join(c, ",") for c in ("parents", "children")]
+    body = nodes.select(F.lit(2).alias("at"), F.concat_ws("\t", "name", "event", F.col("age").cast("string"), F.col("pos").cast("string"), *lists).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+
+
+def clip_smc(trees: DataFrame, sprs: DataFrame, chrom: str, start: int, stop: int) -> tuple[DataFrame, DataFrame]:
+    """The trees that share a base with [start, stop), cut to it, and the edits inside it. Predicates reach a Parquet scan."""
+    from ..operators.intervals import clipped, overlapping
+
+    return clipped(overlapping(trees, chrom, start, stop), start, stop), sprs.filter((F.col("chrom") == chrom) & (F.col("pos") > start) & (F.col("pos") < stop))
+
+
+def renamed_leaves(trees: DataFrame, names: DataFrame) -> DataFrame:
+    """Parsed trees (tree.names with the leaves' places as text) whose leaves have the names of the table (place, name)."""
+    known = F.broadcast(names.agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("string"), "name"))).alias("known")))
+    named = trees.crossJoin(known)
+    return named.withColumn("names", F.transform("tree.names", lambda x: F.coalesce(F.col("known")[x], x))).drop("known")

@@ -1,19 +1,72 @@
-"""Intervals as a stream: counts by tile, and sample files as they come. A sweep that emits segments is not built."""
+"""Intervals, subtree edits and sample files as streams."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.spr import apply_spr
+
+
+def _tiled(intervals: DataFrame, width: int, late: str) -> DataFrame:
+    """Intervals cut at tiles of `width` positions, with the tile's end as event time. Positions are read as seconds."""
+    tiled = intervals.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    return tiled.withColumn("time", F.timestamp_seconds(F.col("tile") * width)).withWatermark("time", late)
+
 
 def stream_window_counts(intervals: DataFrame, width: int, late: str = "1 hour") -> DataFrame:
     """Per chromosome and tile of `width` positions: intervals that touch it and the sum of their value.
 
-    Positions are read as seconds, so that Spark's event-time watermark drops
-    the state of tiles that no interval can touch any more. Input must be
-    roughly start-sorted; what is later than `late` is dropped by Spark and
-    counted in its metrics.
+    Spark's event-time watermark drops the state of tiles that no interval can
+    touch any more. Input must be roughly start-sorted; what is later than
+    `late` is dropped by Spark and counted in its metrics.
     """
-    tiled = intervals.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
-    timed = tiled.withColumn("time", F.timestamp_seconds(F.col("tile") * width)).withWatermark("time", late)
-    return timed.groupBy("chrom", F.window("time", f"{width} seconds")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _tiled(intervals, width, late).groupBy("chrom", F.window("time", f"{width} seconds")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def stream_segments(intervals: DataFrame, width: int, late: str = "1 hour") -> DataFrame:
+    """chrom, start, stop, n, total: the segments of constant membership with the number of intervals that cover each and the sum of their values, as soon as no interval can touch their tile any more.
+
+    Segments are cut at tiles: neighbours on both sides of a tile's end with the
+    same members are two rows. A tile's intervals are held in state until the
+    watermark passes it, so `width` bounds what one key holds. Gaps give no row.
+    """
+    held = F.struct(F.greatest("start", F.col("tile") * width).alias("start"), F.least("stop", (F.col("tile") + 1) * width).alias("stop"), F.col("value").cast("double").alias("value"))
+    tiles = _tiled(intervals, width, late).groupBy("chrom", F.window("time", f"{width} seconds")).agg(F.collect_list(held).alias("held"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("held", lambda x: F.array(x["start"], x["stop"])))))
+    pairs = F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.slice("ends", 2, F.size("ends")), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+    cut = tiles.withColumn("ends", ends).select("chrom", "held", F.explode(pairs).alias("part"))
+    over = F.filter("held", lambda x: (x["start"] <= F.col("part.start")) & (x["stop"] >= F.col("part.stop")))
+    found = cut.select("chrom", "part.start", "part.stop", over.alias("over")).filter("size(over) > 0")
+    return found.select("chrom", "start", "stop", F.size("over").alias("n"), F.aggregate("over", F.lit(0.0), lambda s, x: s + x["value"]).alias("total"))
+
+
+_STATE = "ptree array<int>, age array<double>, start long"
+_REPLAYED = "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>"
+
+
+def stream_replay(events: DataFrame) -> DataFrame:
+    """sample, chrom, start, stop, ptree, age: each block once the edit behind it has come.
+
+    events: sample, chrom, pos, and either a tree (ptree, age), which starts the
+    sample's chromosome anew, or an edit (recomb_node, coal_node, coal_time). The
+    state of a (sample, chrom) is its current tree. Events of a batch are taken
+    in order of pos; batches must come in that order.
+    """
+
+    def step(key, frames, state):
+        tree = state.get if state.exists else None
+        out = []
+        for r in pd.concat(list(frames)).sort_values("pos", kind="stable").itertuples(index=False):
+            if r.ptree is not None:
+                tree = ([int(x) for x in r.ptree], [float(x) for x in r.age], int(r.pos))
+            elif tree is not None:
+                p, a, start = tree
+                out.append((key[0], key[1], start, r.pos, list(p), list(a)))
+                tree = (*apply_spr(list(p), list(a), int(r.recomb_node), int(r.coal_node), float(r.coal_time)), int(r.pos))
+        if tree is not None:
+            state.update(tree)
+        yield pd.DataFrame(out, columns=["sample", "chrom", "start", "stop", "ptree", "age"])
+
+    return events.groupBy("sample", "chrom").applyInPandasWithState(step, _REPLAYED, _STATE, "append", "NoTimeout")
 
 
 def stream_sample_files(spark, path: str, schema: str) -> DataFrame:

@@ -8,12 +8,6 @@ def test_new_queries_are_registered():
     assert {"masked_sites", "bootstrap_sites", "tree_topologies"} <= set(queries.QUERIES)
 
 
-def test_bootstrap(spark, sf_dir):
-    given = {(r.pos, r.col) for r in queries.sites(spark, sf_dir).collect()}
-    drawn = [(r.pos, r.col) for r in queries.QUERIES["bootstrap_sites"](spark, sf_dir).collect()]
-    assert set(drawn) < given and abs(len(drawn) - len(given)) < 5 * len(given) ** 0.5
-
-
 def test_sites_file(spark, tmp_path):
     rows = [("c", 3, "AC"), ("c", 9, "GG"), ("c", 10, "ACG"), ("d", 1, "AA"), ("c", 12, "AX"), ("c", 9, "GT")]
     text.write_sites(spark.createDataFrame(rows, "chrom string, pos long, col string"), ["n1", "n2"], "c", 0, 20, f"{tmp_path}/s")
