@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import drop_rows, mark, materialize
+from .store import drop_rows, mark, materialize, small_side
 from .textbytes import WORD, chunks, distinct_slices, gram_hashes, inside, mix, owners, runs, word_table
 
 WINDOW = 5
@@ -15,6 +15,8 @@ MAX_REPEAT_PERCENT = 20
 SHARE, STARTS, SUBSET, STEPS, LAST_STEPS = 0.75, 4, 40, 2, 3
 #: What the covariance of SHARE of a normal distribution lacks in spread, and the documents at which a group's own estimate weighs as much as its language's.
 SPREAD, PRIOR = 1.5, 50.0
+#: Estimates, of about 400 bytes each, that are broadcast to the statistics; more are joined by shuffles.
+MAX_ESTIMATES = 50_000
 #: The squared distance of a document that is rejected. 6 dimensions; the chi-square quantile of one in 10**9 is 54.
 CUTOFF = 54.0
 #: Of each transformed statistic, the standard deviation that no estimate goes below.
@@ -155,9 +157,9 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
 def _nearest(stats: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """The moments of the `share` of each group that is nearest to each of its estimates (lang, source, start)."""
     begin, keys = mark(), ["lang", "source", "start"]
-    ranked = stats.join(estimate, ["lang", "source"]).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
+    ranked = stats.join(small_side(estimate, MAX_ESTIMATES), ["lang", "source"]).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
     limits = materialize(ranked.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("limit")), "rules-limit")
-    return materialize(_moments(ranked.join(limits, keys).filter("d2 <= limit"), *keys), "rules-moments", since=begin)
+    return materialize(_moments(ranked.join(small_side(limits, MAX_ESTIMATES), keys).filter("d2 <= limit"), *keys), "rules-moments", since=begin)
 
 
 def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
@@ -182,7 +184,7 @@ def robust_estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
     variance = [F.pow(F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(floor)), 2) for c, floor in FEATURES.items()]
     flat = [1 / variance[i] if i == j else F.lit(0.0) for i in range(len(x)) for j in range(len(x))]
     middle = begin.select("lang", "source", F.lit(0).alias("start"), F.array(*[F.col(f"q_{c}")[1] for c in x]).alias("center"), F.array(*flat).alias("precision"))
-    tried = stats.join(begin.select("lang", "source", "rows"), ["lang", "source"]).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    tried = stats.join(small_side(begin.select("lang", "source", "rows"), MAX_ESTIMATES), ["lang", "source"]).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
     drawn = F.crc32(F.concat_ws(":", F.col("start").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % F.ceil(F.col("rows") / SUBSET) == 0
     subsets = _moments(tried.filter(drawn), "lang", "source", "start").mapInPandas(_estimates, _STARTED).drop("logdet")
     estimate = materialize(middle.unionByName(subsets), "rules-starts")
@@ -213,7 +215,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFra
     columns are ignored. A hot source is only ever summed up, never gathered.
     """
     stats = materialize(_transformed(document_statistics(docs, **columns)), "rules-stats")
-    judged = stats.join(robust_estimates(stats), ["lang", "source"], "left").withColumn("distance", _distance())
+    judged = stats.join(small_side(robust_estimates(stats), MAX_ESTIMATES), ["lang", "source"], "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

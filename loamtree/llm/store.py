@@ -62,9 +62,9 @@ def materialize(df: DataFrame, name: str, since: int | None = None) -> DataFrame
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def small_side(ids: DataFrame) -> DataFrame:
-    """A materialized table of ids for a join with texts: broadcast if it is short enough, so that only the texts it names move."""
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
+def small_side(rows: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A materialized table for a join with texts or their statistics: broadcast if it has at most `most` rows, so that the other side need not move."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def rows_of(docs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
