@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import nearest_time
 from . import forest
+from .intervals import join_points
+from .ordered import merge_islands
 
 
 def _arrays(ptree="ptree", age="age") -> tuple[Column, Column]:
@@ -112,6 +114,15 @@ def clade_rows(trees: DataFrame, keys: list[str]) -> DataFrame:
     return exploded.select(*keys, F.array_join(F.transform("clade_leaves", lambda x: x.cast("string")), ",").alias("clade"), F.size("clade_leaves").alias("size"))
 
 
+def split_regions(trees: DataFrame, mutations: DataFrame, width: int) -> DataFrame:
+    """Mutations (chrom, pos, clade) with start and stop of the run of touching blocks (chrom, start, stop, ptree) around them whose trees all have the clade; without such a run a mutation is left out."""
+    rows = clade_rows(trees, ["chrom", "start", "stop"]).join(mutations.select("chrom", "clade").distinct(), ["chrom", "clade"], "left_semi")
+    key = F.struct("chrom", "clade")
+    runs = merge_islands(rows.select(key.alias("chrom"), "start", "stop"), ["chrom"], ["start"], [], touching=True).drop("n_rows")
+    found = join_points(mutations.select(key.alias("chrom"), "pos"), runs, width)
+    return found.select("chrom.chrom", "pos", "chrom.clade", "start", "stop")
+
+
 def majority_clades(trees: DataFrame, segment: list[str], share: float = 0.5) -> DataFrame:
     """Clades in more than `share` of a segment's trees: any two of them nest or are disjoint, so they are the consensus tree."""
     rows = clade_rows(trees, segment).groupBy(*segment, "clade", "size").agg(F.count(F.lit(1)).alias("n_trees"))

@@ -237,6 +237,15 @@ def split_blocks(spark, d):
     return found.groupBy("block").agg(F.count(F.lit(1)).alias("n_splits"))
 
 
+@query(f"""WITH {JOINTS_SQL}, runs AS (SELECT k, k - row_number() OVER (ORDER BY k) AS r FROM (SELECT DISTINCT k FROM joints)), regions AS (SELECT r, min(k) * 10 AS start, max(k) * 10 + 10 AS stop FROM runs GROUP BY r)
+SELECT k * 10 + 3 AS pos, start, stop FROM runs JOIN regions USING (r)""")
+def mutation_split_regions(spark, d):
+    """Mutations that the first two leaves share, all trees being of one sample."""
+    blocks = trees(spark, d)
+    mutations = blocks.select("chrom", (F.col("start") + 3).alias("pos"), F.lit("0,1").alias("clade"))
+    return tr.split_regions(blocks, mutations, 1024).select("pos", "start", "stop")
+
+
 @query()
 def tree_priors(spark, d):
     """Log probability of each tree's joints by grid time, for sizes of 50 at every time."""
