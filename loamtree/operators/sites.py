@@ -65,11 +65,6 @@ def minor_split(col: Column) -> Column:
     return F.filter(F.transform(parts, lambda x, i: F.when(x == rarest, i)), lambda i: i.isNotNull())
 
 
-def splits_conflict(a: Column, b: Column) -> Column:
-    """Whether two leaf sets overlap and neither holds the other, as no rooted tree allows."""
-    return F.arrays_overlap(a, b) & (F.size(F.array_except(a, b)) > 0) & (F.size(F.array_except(b, a)) > 0)
-
-
 def near_pairs(sites: DataFrame, distance: int) -> DataFrame:
     """Pairs of sites of a chromosome at most `distance` apart, the left first: columns a_... and b_....
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query
 from ..functions.scalar import half_steps, linear_grid, population_sizes, round_time, snapped_time, time_steps
 from ..operators import forest, intervals as iv, ordered, sites as st, trees as tr
-from ..plans import priors
+from ..plans import popsizes, priors
 from ..sources.scratch import stored
 from ..tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, points, sites, table, tracks, trees
 from .core import _WHOLE_CONFLICTS, GRID, _sql_bin, _whole_conflicts, rounded
@@ -111,6 +111,30 @@ def popsize_by_time(spark, d):
     return rounded(tr.popsize_by_time(trees(spark, d), GRID), "popsize")
 
 
+_STEPS = f"""{_LINEAGES}, steps AS (SELECT k, j, coalesce(lag(n_branches) OVER (PARTITION BY k ORDER BY j), (SELECT max(size) FROM joints x WHERE x.k = c.k)) AS a, n_branches AS b FROM counts c)"""
+
+
+@query(f"WITH {_STEPS} SELECT CAST(j AS INT) AS time_bin, CAST(a AS INT) AS a, CAST(b AS INT) AS b, count(*) AS n FROM steps WHERE j <= {TOP} GROUP BY ALL")
+def lineage_transitions(spark, d):
+    return popsizes.transitions(trees(spark, d), GRID)
+
+
+@query(f"WITH {_STEPS}, w AS (SELECT *, unnest(range(greatest(CAST(floor((k * 10 - 1000) / 500.0) AS BIGINT) + 1, 0), k * 10 // 500 + 1)) * 500 AS window_ FROM steps) SELECT window_ AS \"window\", CAST(j AS INT) AS time_bin, CAST(a AS INT) AS a, CAST(b AS INT) AS b, count(*) AS n FROM w WHERE j <= {TOP} GROUP BY ALL")
+def window_transitions(spark, d):
+    """By overlapping windows of 1000, one every 500."""
+    return popsizes.transitions(popsizes.in_windows(trees(spark, d), 1000, 500), GRID, ["window"])
+
+
+@query()
+def likeliest_popsizes(spark, d):
+    return popsizes.likeliest_sizes(trees(spark, d), GRID)
+
+
+@query()
+def popsizes_with_prior(spark, d):
+    return popsizes.sizes_with_prior(trees(spark, d), GRID, 100.0, 40.0)
+
+
 @query(f"""WITH {_LINEAGES}, pairs AS (SELECT a.k, a.j, a.n_branches AS x, b.n_branches AS y FROM counts a JOIN counts b ON b.k = a.k + 1 AND a.j = b.j)
 SELECT k * 10 AS start, CAST(sum(abs(x - y)) AS BIGINT) AS difference FROM pairs GROUP BY k""")
 def lineage_differences(spark, d):

@@ -118,10 +118,6 @@ def store(rows: DataFrame, path: str, keys: list[str], load: int, mode: str = "a
     placed.write.mode(mode).partitionBy("chrom").parquet(path)
 
 
-def to_json_rows(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct("*")).alias("json"))
-
-
 def _write(rows: DataFrame, path: str, *columns) -> None:
     """Tab-separated lines, in the parts that the rows are in; null is an empty field."""
     rows.select(F.concat_ws("\t", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns])).write.text(path)

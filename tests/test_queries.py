@@ -9,7 +9,7 @@ from oracle import assert_same
 from pyspark.sql import functions as F
 
 from loamtree.operators import forest, ordered, sites as st, trees as tr
-from loamtree.plans import priors
+from loamtree.plans import popsizes, priors
 from loamtree.queries import ORACLE_SQL, QUERIES, core
 from loamtree.tables import trees
 
@@ -21,7 +21,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 def test_every_query_has_a_test():
     elsewhere = {"spr_replay", "tree_likelihood"}  # test_whole.py
-    assert set(QUERIES) - set(ORACLE_SQL) - elsewhere == {"tree_halves", "allele_ages", "newick_round_trip", "bootstrap_sites", "parsimony_costs", "tree_priors", "edit_priors"}
+    assert set(QUERIES) - set(ORACLE_SQL) - elsewhere == {"tree_halves", "allele_ages", "newick_round_trip", "bootstrap_sites", "parsimony_costs", "tree_priors", "edit_priors", "likeliest_popsizes", "popsizes_with_prior"}
 
 
 @pytest.fixture(scope="module")
@@ -229,3 +229,50 @@ def test_order_in_small_tiles(spark):
             assert found[key] == i + ahead
         breaks = sorted({r[1] for r in own})
         assert sorted((r.start, r.stop) for r in ordered.blocks_from_breaks(frame, ["k"], "pos", 16).filter(F.col("k") == k).collect()) == list(zip(breaks, breaks[1:]))
+
+
+def test_prior_of_a_graph(spark):
+    """Blocks of a sample: a rate for each by its tree's length, and an edit behind all but the last."""
+    grid, sizes, rho = core.GRID, [50.0] * len(core.GRID), 1e-4
+    tree = ([2, 2, -1], [0.0, 0.0, grid[3]])
+    rows = [(1, 0, 100, *tree, 1, 4, 3), (1, 100, 130, *tree, None, None, None), (2, 0, 50, *tree, None, None, None)]
+    blocks = spark.createDataFrame(rows, "sample long, start long, stop long, ptree array<int>, age array<double>, recomb_time int, coal_time int, broken_time int")
+    edit = priors.edit_log_prior(blocks.filter("coal_time = 4"), grid, sizes).first().log_prior
+    rate = rho * 2 * grid[3]
+    found = {r["sample"]: r.log_prior for r in priors.arg_log_prior(blocks, grid, sizes, rho).collect()}
+    assert found == pytest.approx({1: math.log(rate) - rate * 100 + edit - rate * 30, 2: -rate * 50})
+    likelihood = spark.createDataFrame([(1, -5.0), (2, -1.0)], "sample long, log_likelihood double")
+    joint = priors.joint_log_probability(likelihood, priors.arg_log_prior(blocks, grid, sizes, rho))
+    assert {r["sample"]: r.log_joint for r in joint.collect()} == pytest.approx({1: found[1] - 5, 2: found[2] - 1})
+
+
+def test_sizes_for_a_grid():
+    from loamtree.functions.scalar import population_sizes
+
+    assert population_sizes(5, [0.0, 1.0]) == [5.0, 5.0]
+    with pytest.raises(ValueError):
+        population_sizes([1, 2, 3], [0.0, 1.0])
+
+
+def test_likeliest_popsizes(spark, sf_dir):
+    """No size near by, larger or smaller, is likelier; no joint gives none."""
+    spans, _ = priors.merged_intervals(core.GRID, [1.0] * len(core.GRID))
+    counts = {}
+    for r in popsizes.transitions(trees(spark, sf_dir), core.GRID).collect():
+        counts.setdefault(r.time_bin, []).append((r.a, r.b, r.n))
+    found = {r.time_bin: r.popsize for r in QUERIES["likeliest_popsizes"](spark, sf_dir).collect()}
+    assert set(found) == set(counts) == set(range(len(core.GRID) - 1))
+    fit = lambda j, size: sum(n * math.log(max(priors.coalescent_probability(a, b, spans[j], size), 1e-200)) for a, b, n in counts[j])
+    for j, size in found.items():
+        if all(a == b for a, b, _ in counts[j]):
+            assert size is None or math.isnan(size)
+        else:
+            assert fit(j, size) >= max(fit(j, size * x) for x in (0.5, 0.9, 0.999, 1.001, 1.1, 2)) - 1e-6
+
+
+def test_popsizes_with_prior(spark, sf_dir):
+    for r in QUERIES["popsizes_with_prior"](spark, sf_dir).collect():
+        step = core.GRID[r.time_bin + 1] - core.GRID[r.time_bin]
+        f = lambda x: -(x**3) / 1600 + 100 * x * x / 1600 - r.n_coal * x + step * r.n_lineages / 2
+        assert abs(f(r.popsize)) < 1e-6 * max(1, step * r.n_lineages) or r.popsize == 100
+    assert popsizes.size_with_prior(5, 1e9, 10.0, 3.0) == 10.0

@@ -45,3 +45,23 @@ def test_arg_file(spark, tmp_path):
 
 def test_no_simulator():
     assert "simulated_trees" not in queries.QUERIES
+
+
+def test_leaves_are_renamed(spark):
+    from loamtree.sources.newick import parse_newick
+
+    trees = spark.createDataFrame([(1, "(0:1,(1:0.5,2:0.5)4:0.5)3;")], "start long, newick string").withColumn("tree", parse_newick("newick"))
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "place int, name string")
+    assert sorted(text.renamed_leaves(trees, names).first().names) == ["3", "4", "a", "b", "c"]
+
+
+def test_layout_of_a_region(spark, tmp_path):
+    rows = spark.createDataFrame([("c", 0, 10, {"x": 1.5, "y": -2.0}), ("c", 10, 20, {"y": 0.0}), ("d", 0, 10, {"x": 3.0})], "chrom string, start long, stop long, ys map<string,double>")
+    text.write_layout(rows, f"{tmp_path}/layout")
+    assert sorted((r.chrom, r.start, r.stop, r.ys) for r in text.read_layout(spark, f"{tmp_path}/layout").collect()) == sorted((r.chrom, r.start, r.stop, r.ys) for r in rows.collect())
+    assert [(r.start, r.ys) for r in text.read_layout(spark, f"{tmp_path}/layout", ("c", 10, 11)).collect()] == [(10, {"y": 0.0})]
+
+
+def test_short_lists(spark, tmp_path):
+    (tmp_path / "times").write_text("0\n10.5\n\n 200 \n")
+    assert text.read_lines(spark, f"{tmp_path}/times") == ["0", "10.5", "200"]
