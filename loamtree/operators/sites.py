@@ -229,7 +229,7 @@ def stab_intervals(pairs: DataFrame, width: int = 4096) -> DataFrame:
 
 def apply_mask(sites: DataFrame, mask: DataFrame, width: int) -> DataFrame:
     """Sites whose column is all N where a mask interval (chrom, start, stop) holds them."""
-    bins = with_bins(mask.select("chrom", "start", "stop"), width).withColumnRenamed("chrom", "chrom_")
+    bins = with_bins(mask.select("chrom", "start", "stop"), width).drop("level").withColumnRenamed("chrom", "chrom_")
     left = sites.withColumn("bin", F.floor(F.col("pos") / width))
     hit = left.join(bins, (left["chrom"] == bins["chrom_"]) & (left["bin"] == bins["bin"]) & (left["pos"] >= bins["start"]) & (left["pos"] < bins["stop"]), "left_semi")
     masked = hit.select("chrom", "pos").distinct().withColumn("hidden", F.lit(True))
