@@ -334,7 +334,7 @@ def ld_pairs_whole(spark, d):
 _WHOLE_CONFLICTS = f"""WITH {SITES_SQL}, parts AS (SELECT pos, size, col, unnest(range(1, size + 1)) AS i FROM (SELECT pos, col, unnest(range(1, length(col) + 1)) AS size FROM sites)),
 counted AS (SELECT pos, size, col[i] AS base, count(*) AS n, list(i) AS leaves FROM parts GROUP BY ALL),
 splits AS (SELECT pos, size, arg_min(leaves, (n, base)) AS s FROM counted GROUP BY ALL),
-pairs AS (SELECT a.pos AS a_pos, b.pos AS b_pos, least(length(a.col), length(b.col)) AS size FROM sites a JOIN sites b ON a.pos < b.pos AND b.pos - a.pos <= {DISTANCE}),
+pairs AS (SELECT a.pos AS a_pos, b.pos AS b_pos, least(length(a.col), length(b.col)) AS size FROM (SELECT pos, col, unnest(range(1, {DISTANCE} + 1)) AS d FROM sites) a JOIN sites b ON b.pos = a.pos + a.d),
 conflicts AS (SELECT a_pos, b_pos FROM pairs p JOIN splits a ON a.pos = a_pos AND a.size = p.size JOIN splits b ON b.pos = b_pos AND b.size = p.size WHERE list_has_any(a.s, b.s) AND NOT list_has_all(a.s, b.s) AND NOT list_has_all(b.s, a.s))"""
 
 
