@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F, types as T
 
 #: Bits of the bases; anything else may be any of them.
 BASES = {"A": 1, "C": 2, "G": 4, "T": 8}
-_BITS = np.full(128, 15, np.uint8)
+BITS = np.full(128, 15, np.uint8)
 for _base, _bit in BASES.items():
-    _BITS[ord(_base)] = _bit
+    BITS[ord(_base)] = _bit
 
 
 class Forest:
@@ -47,7 +47,6 @@ class Forest:
             return np.split(values, self.first[1:-1])
         return np.split(values[keep], np.cumsum(np.bincount(self.tree[keep], minlength=len(self.sizes)))[:-1])
 
-
     def held(self, leaves: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """How many leaves, and how many of the given ones, are below each node."""
         given = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) + start for x, start in zip(leaves, self.first))])
@@ -96,6 +95,31 @@ class Forest:
         np.add.at(edge, (self.tree, high + 1), -1)
         return np.cumsum(edge, axis=1)[:, :n]
 
+    def parsimony_sets(self, symbols: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tree with a column, a base a leaf, the bases of each node from below as bits, and the changes they need."""
+        sets = np.zeros(len(self.parent), np.uint8)
+        sets[self.leaf] = BITS[np.frombuffer(symbols.encode("ascii"), np.uint8)]
+        return sets, _cost(self, sets)
+
+    def parsimony_states(self, sets: np.ndarray) -> np.ndarray:
+        """One base of each node, as a bit, from the sets: its parent's where its set has it, else the first of A, C, G, T that it has. The changes along branches are the fewest."""
+        first = sets & (~sets + np.uint8(1))
+        out, depth = first.copy(), self.depth()
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            nodes = np.flatnonzero(depth == d)
+            own = sets[nodes] & out[self.parent[nodes]]
+            out[nodes] = np.where(own > 0, own, first[nodes])
+        return out
+
+    def parsimony_refined(self, sets: np.ndarray) -> np.ndarray:
+        """The sets with the bases they share with those of their parent, refined before, where there are any."""
+        out, depth = sets.copy(), self.depth()
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            nodes = np.flatnonzero(depth == d)
+            own = sets[nodes] & out[self.parent[nodes]]
+            out[nodes] = np.where(own > 0, own, sets[nodes])
+        return out
+
     def length(self, grid: list[float]) -> np.ndarray:
         """Of each tree its length with every node at its grid time."""
         low, high = self.spans(grid)
@@ -246,10 +270,22 @@ def half_age(ptree: pd.Series, age: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def parsimony_cost(ptree: pd.Series, col: pd.Series) -> pd.Series:
     """The fewest changes of base along a binary tree that explain a column, one base a leaf; a symbol other than A C G T may be any base."""
+    return pd.Series(Forest(ptree).parsimony_sets("".join(col))[1])
+
+
+_STATES = T.StructType([T.StructField("bases", T.StringType()), T.StructField("mutated", T.ArrayType(T.IntegerType())), T.StructField("derived", T.ArrayType(T.StringType()))])
+_LETTER = np.zeros(16, "U1")
+_LETTER[list(BASES.values())] = list(BASES)
+
+
+@F.pandas_udf(_STATES)
+def ancestral_states(ptree: pd.Series, col: pd.Series) -> pd.DataFrame:
+    """A base of every node that explains a column with the fewest changes, by Forest.parsimony_states(): bases, a letter a node; the nodes whose branch has a change; and the base each of these has below it. Unknown leaves take the base of the node above."""
     f = Forest(ptree)
-    sets = np.zeros(len(f.parent), np.uint8)
-    sets[f.leaf] = _BITS[np.frombuffer("".join(col).encode("ascii"), np.uint8)]
-    return pd.Series(_cost(f, sets))
+    states = f.parsimony_states(f.parsimony_sets("".join(col))[0])
+    changed = (f.parent >= 0) & (states != states[f.parent])
+    letters = _LETTER[states]
+    return pd.DataFrame({"bases": ["".join(x) for x in f.lists(letters)], "mutated": f.lists(f.place, changed), "derived": f.lists(letters.astype(object), changed)})
 
 
 _ORDERS = T.StructType([T.StructField("preorder", T.ArrayType(T.IntegerType())), T.StructField("inorder", T.ArrayType(T.IntegerType())), T.StructField("postorder", T.ArrayType(T.IntegerType()))])

@@ -69,30 +69,6 @@ def ladders(columns):
     return found
 
 
-def test_likelihood_of_all_trees(spark, lines_dir):
-    home, columns = lines_dir
-
-    def brute(parents, age, col):
-        """Sum over the bases of all inner nodes."""
-        n, total = len(col), 0.0
-        for bases in product(*["ACGT" if x >= n or col[x] == "N" else col[x].replace("R", "G") for x in range(2 * n - 1)]):
-            p = 0.25
-            for x, up in enumerate(parents):
-                if up >= 0:
-                    same = 0.25 + 0.75 * math.exp(-4 / 3 * 1e-3 * max(age[up] - age[x], 1.0))
-                    p *= same if bases[x] == bases[up] else (1 - same) / 3
-            total += p
-        return total
-
-    want = {}
-    for start, (parents, age) in ladders(columns).items():
-        col = columns[start // 10]
-        ll = math.log(brute(parents, age, col)) + 9 * math.log(brute(parents, age, "A" * len(col)))
-        want[start // 10 % 4] = want.get(start // 10 % 4, 0.0) + ll
-    got = {r["sample"]: r["log_likelihood"] for r in QUERIES["tree_likelihood"](spark, home).collect()}
-    assert got == pytest.approx(want, rel=1e-9)
-
-
 def test_prune_all_trees(spark, lines_dir):
     home, columns = lines_dir
     got = {r.start: (list(r.ptree), list(r.age)) for r in QUERIES["pruned_trees"](spark, home).collect()}
