@@ -1,6 +1,7 @@
 """Chat formatting by sorted turn structs and Spark expressions only."""
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 #: The template's own marks, then control strings of common chat formats that texts may not smuggle in.
 TURN, HEAD, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>\n"
@@ -28,7 +29,9 @@ def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     a mark, so the turns can be read back. The mask has each assistant text.
 
     A null conversation id is a conversation of its own; a repeated row is a
-    turn of its own; no rows give no rows. Other columns are ignored.
+    turn of its own; no rows give no rows. Other columns are ignored. All turns
+    of a conversation meet in one task, as they are one row; its work is
+    proportional to them.
     """
     item = F.struct(
         F.col(turn_col).alias("turn"),
@@ -42,20 +45,34 @@ def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
         opening = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(TURN), escape(t["role"]), F.lit(HEAD))
         return F.struct(F.when(joins, F.lit(PART)).otherwise(opening).alias("before"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("learnt"))
 
-    chats = chats.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
+    pieces = chats.select("conv_id", F.posexplode(F.transform("turns", piece)).alias("i", "p"))
+    # starts by running sums over the rows of a conversation, which are together already: no array grows turn by turn
+    earlier = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("p.before") + F.length("p.text").cast("long")
+    placed = pieces.withColumn("start", F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.length("p.before"))
+    row = F.struct("i", F.concat("p.before", "p.text").alias("piece"), "p.learnt", "start", F.length("p.text").cast("long").alias("length"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    learnt = F.transform(F.filter("rows", lambda r: r["learnt"]), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))
+    return whole.select("conv_id", F.concat(F.array_join(F.transform("rows", lambda r: r["piece"]), ""), F.lit(END)).alias("formatted"), learnt.alias("loss_mask"))
 
-    def advance(done, p):
-        begin = done["at"] + F.length(p["before"])
-        size = F.length(p["text"]).cast("long")
-        own = F.when(p["learnt"], F.array(F.struct(begin.alias("start"), size.alias("length")))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
-        return F.struct((begin + size).alias("at"), F.concat(done["mask"], own).alias("mask"))
 
-    return chats.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"])), ""), F.lit(END)).alias("formatted"),
-        F.aggregate("pieces", start, advance, lambda done: done["mask"]).alias("loss_mask"),
-    )
+#: Characters of the parts that a text is cut into before spans are taken from it, and of the larger parts cut first.
+PART_SIZE, LARGE_PART = 1 << 12, 1 << 16
+
+
+def spans_of(text, spans):
+    """The substring of each span of code points (start, length). A span is sought in parts of the text, not from its beginning."""
+    cut = lambda t, size, last: F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+    large = cut(text, LARGE_PART, (F.length(text) / LARGE_PART).cast("int"))
+    parts = F.flatten(F.transform(large, lambda t: cut(t, PART_SIZE, F.lit(LARGE_PART // PART_SIZE - 1))))
+
+    def take(m, parts):
+        first, last = F.floor(m["start"] / PART_SIZE), F.floor((m["start"] + m["length"]) / PART_SIZE)
+        near = F.array_join(F.slice(parts, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substring(near, (m["start"] % PART_SIZE + 1).cast("int"), m["length"].cast("int"))
+
+    # bound to a variable, the parts are made once and not for every span
+    return F.flatten(F.transform(F.array(F.struct(parts.alias("parts"), spans.alias("spans"))), lambda z: F.transform(z["spans"], lambda m: take(m, z["parts"]))))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
@@ -70,7 +87,7 @@ def parse_chats(chats: DataFrame) -> DataFrame:
         parts = F.split(F.regexp_replace(body, quoted(END) + "$", ""), quoted(PART), -1)
         return F.transform(parts, lambda p: F.struct(role.alias("role"), unescape(p).alias("text")))
 
-    learnt = F.transform("loss_mask", lambda m: unescape(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), m["length"].cast("int"))))
+    learnt = F.transform(spans_of(F.col("formatted"), F.col("loss_mask")), unescape)
     return chats.withColumns({"turns": F.flatten(F.transform(blocks, block_turns)), "loss_text": F.array_join(learnt, "")})
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from .labelled import held_out, training_texts
 from .textbytes import WORD, chunks, gather, mix, owners, word_table
 
-#: Labelled documents learnt from, and passages of each, evenly spaced, so that at most 32 kB of one reach the driver; words in a passage; hashed terms.
-TRAIN_ROWS, TRAIN_PASSAGES, PASSAGE, TERMS = 6000, 48, 64, 4096
+#: Labelled documents learnt from, whole, and bytes of their texts together, of which about half as many reach the driver; words in a passage; hashed terms.
+TRAIN_ROWS, TRAIN_BYTES, PASSAGE, TERMS = 6000, 48 << 20, 64, 4096
 #: Widths of the passage code and of the attention; steps of documents each; step size; weight decay, of terms too.
 CODE, GATE, STEPS, STEP_ROWS, RATE, DECAY, TERM_DECAY = 16, 8, 600, 192, 0.01, 1e-4, 1e-3
 THRESHOLD = 0.5
@@ -34,17 +34,17 @@ class Passages(NamedTuple):
     terms_before: np.ndarray
     before: np.ndarray
 
-    def spaced(self, most: int) -> "list[Passages]":
-        """Each document by itself, with at most `most` of its passages."""
-        out = []
-        for a, b in zip(self.before.tolist(), self.before[1:].tolist()):
-            at = np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(np.int64))
-            sizes = self.terms_before[at + 1] - self.terms_before[at]
-            out.append(Passages(self.stats[at], gather(self.terms, self.terms_before[at], sizes), np.concatenate(([0], np.cumsum(sizes))), np.array([0, len(at)])))
-        return out
+    def of(self, docs: np.ndarray) -> "Passages":
+        """The given documents, in this order."""
+        parts = np.diff(self.before)[docs]
+        at = gather(np.arange(len(self.stats)), self.before[docs], parts)
+        sizes = np.diff(self.terms_before)[at]
+        ends = lambda counts: np.concatenate(([0], np.cumsum(counts)))
+        return Passages(self.stats[at], gather(self.terms, self.terms_before[at], sizes), ends(sizes), ends(parts))
 
     @classmethod
     def together(cls, parts: "list[Passages]") -> "Passages":
+        """One behind the other."""
         terms, docs = np.cumsum([0] + [p.terms_before[-1] for p in parts]), np.cumsum([0] + [p.before[-1] for p in parts])
         return cls(
             np.concatenate([p.stats for p in parts]), np.concatenate([p.terms for p in parts]),
@@ -131,15 +131,15 @@ class AttentionModel:
         weights = {"w1": init(INPUTS, CODE), "e": np.zeros((TERMS, CODE)), "b1": np.zeros(CODE), "v": init(CODE, GATE), "u": init(CODE, GATE), "w": np.zeros(GATE), "c": np.zeros(CODE), "d": np.zeros(())}
         if not bags:
             return cls(np.zeros(INPUTS), np.ones(INPUTS), **weights)
-        flat = np.concatenate([b.stats for b in bags]).astype(float)
-        model = cls(flat.mean(0), flat.std(0) + 0.02, **weights)
-        bags = [model._scaled(b) for b in bags]
+        whole = Passages.together(bags)
+        model = cls(whole.stats.mean(0, dtype=float), whole.stats.std(0, dtype=float) + 0.02, **weights)
+        whole = model._scaled(whole)
         positive = labels.mean()
         weight = np.where(labels > 0, 0.5 / max(positive, 1e-3), 0.5 / max(1 - positive, 1e-3)).clip(max=10)
         moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.p.items()}
         for step in range(1, STEPS + 1):
             rows = rng.integers(0, len(bags), min(STEP_ROWS, len(bags)))
-            grads = model._gradients(Passages.together([bags[i] for i in rows]), labels[rows], weight[rows])
+            grads = model._gradients(whole.of(rows), labels[rows], weight[rows])
             rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
             for k, g in grads.items():
                 m, q = moment[k]
@@ -169,7 +169,8 @@ class AttentionModel:
 def _passage_rows(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            bags = passages(data, offsets).spaced(TRAIN_PASSAGES)
+            found = passages(data, offsets)
+            bags = [found.of(np.array([i])) for i in range(hi - lo)]
             columns = [[b.stats.tobytes() for b in bags], [b.terms.astype(np.int16).tobytes() for b in bags], [np.diff(b.terms_before).astype(np.int16).tobytes() for b in bags]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), batch.column("label").slice(lo, hi - lo)], ["stats", "terms", "sizes", "label"])
 
@@ -179,9 +180,9 @@ def _bag(row) -> Passages:
     return Passages(stats, np.frombuffer(row.terms, np.int16).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), np.array([0, len(stats)]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> AttentionModel:
-    """Fitted on the driver from at most TRAIN_PASSAGES passages of each of at most `rows` labelled documents."""
-    found = training_texts(docs, labels, label, rows).mapInArrow(_passage_rows, "stats binary, terms binary, sizes binary, label double").collect()
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> AttentionModel:
+    """Fitted on the driver from every passage of at most `rows` labelled documents of together at most `most_bytes`."""
+    found = training_texts(docs, labels, label, rows, most_bytes).mapInArrow(_passage_rows, "stats binary, terms binary, sizes binary, label double").collect()
     found.sort(key=lambda r: (bytes(r.stats), bytes(r.terms)))  # one order, however Spark read the rows
     return AttentionModel.fit([_bag(r) for r in found], np.array([r.label > 0.5 for r in found], float))
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from .labelled import held_out, training_texts
 from .textbytes import byte_hashes, chunks, lower_ascii, owners, runs
 
-#: Labelled documents learnt from, and distinct terms of each, those of the smallest hashes, so that at most 16 kB of one reach the driver.
-TRAIN_ROWS, TRAIN_TERMS = 12000, 2048
+#: Labelled documents learnt from, whole, and bytes of their texts together; a distinct term of one sends 8 bytes to the driver.
+TRAIN_ROWS, TRAIN_BYTES = 12000, 96 << 20
 #: Documents a term must be in to be learnt, factors, rows of a step, step size.
 MIN_DOCUMENTS, FACTORS, STEP_ROWS, RATE = 4, 4, 128, 0.25
 #: Passes, and what a step takes from a weight and from a row of factors: first to choose terms, then to fit the chosen, of at least SELECT times the largest weight.
@@ -26,6 +26,18 @@ def document_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return owners(before), byte_hashes(data, starts, ends)
 
 
+def gradients(w: np.ndarray, v: np.ndarray, bias: float, own: np.ndarray, at: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Of the mean weighted logistic loss of some documents, given as (document, term index) pairs: the terms they have, and the derivatives by the bias and by the weights and factors of these."""
+    n, vx = len(labels), v[at]
+    total = np.stack([np.bincount(own, vx[:, f], n) for f in range(v.shape[1])], 1)
+    score = bias + np.bincount(own, w[at], n) + 0.5 * ((total * total).sum(1) - np.bincount(own, (vx * vx).sum(1), n))
+    error = weight * (1 / (1 + np.exp(-score.clip(-30, 30))) - labels)
+    touched, local = np.unique(at, return_inverse=True)
+    dw = np.bincount(local, error[own], len(touched)) / n
+    dv = np.stack([np.bincount(local, error[own] * (total[own, f] - vx[:, f]), len(touched)) for f in range(v.shape[1])], 1) / n
+    return touched, error.mean(), dw, dv
+
+
 class FactorizationMachine:
     """score = sigmoid(bias + sum w_i + sum over pairs of <v_i, v_j>) over the distinct terms of a document.
 
@@ -78,18 +90,11 @@ class FactorizationMachine:
                 count = first[rows + 1] - first[rows]
                 at = index[np.arange(count.sum()) + np.repeat(first[rows] - (np.cumsum(count) - count), count)]
                 own = np.repeat(np.arange(len(rows)), count)
-                vx = v[at]
-                total = np.stack([np.bincount(own, vx[:, f], len(rows)) for f in range(FACTORS)], 1)
-                squares = np.bincount(own, (vx * vx).sum(1), len(rows))
-                score = bias + np.bincount(own, w[at], len(rows)) + 0.5 * ((total * total).sum(1) - squares)
-                error = weight[rows] * (1 / (1 + np.exp(-score.clip(-30, 30))) - labels[rows])
-                gb += error.mean() ** 2
-                bias -= RATE * error.mean() / np.sqrt(gb)
+                touched, db, dw, dv = gradients(w, v, bias, own, at, labels[rows], weight[rows])
+                gb += db**2
+                bias -= RATE * db / np.sqrt(gb)
                 if not len(at):
                     continue
-                touched, local = np.unique(at, return_inverse=True)
-                dw = np.bincount(local, error[own], len(touched)) / len(rows)
-                dv = np.stack([np.bincount(local, error[own] * (total[own, f] - vx[:, f]), len(touched)) for f in range(FACTORS)], 1) / len(rows)
                 gw[touched] += dw * dw
                 gv[touched] += dv * dv
                 step = RATE / np.sqrt(gw[touched])
@@ -120,13 +125,13 @@ def _bags(batches):
         for lo, hi, data, offsets in chunks(batch.column("text")):
             doc, hashes = document_terms(data, offsets)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            bags = [np.unique(hashes[a:b])[:TRAIN_TERMS].tobytes() for a, b in zip(cut, cut[1:])]
+            bags = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("label").slice(lo, hi - lo)], ["bag", "label"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Fitted on the driver from at most TRAIN_TERMS distinct terms of each of at most `rows` labelled documents."""
-    found = training_texts(docs, labels, label, rows).mapInArrow(_bags, "bag binary, label double").collect()
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> FactorizationMachine:
+    """Fitted on the driver from all terms of at most `rows` labelled documents of together at most `most_bytes`."""
+    found = training_texts(docs, labels, label, rows, most_bytes).mapInArrow(_bags, "bag binary, label double").collect()
     found.sort(key=lambda r: bytes(r.bag))  # one order, however Spark read the rows
     return FactorizationMachine.fit([np.frombuffer(r.bag, np.uint64) for r in found], np.array([r.label > 0.5 for r in found], float))
 

@@ -5,9 +5,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loamtree.llm import quality_model, registry, toxicity
+from loamtree.llm import labelled as labelled_rows, quality_model, registry, toxicity
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -138,3 +139,53 @@ def test_gradients():
                 losses.append(loss())
             model.p[name] = whole
             assert gradient.reshape(-1)[i] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=1e-7)
+
+
+def test_long_texts_are_learnt_from_whole():
+    """Every distinct term and every passage of a text of 20,000 words goes to the fit."""
+    text = " ".join(f"x{i}" for i in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "a b", None]), pa.array([1.0, 0.0, 1.0])], ["text", "label"])
+    bags = pa.Table.from_batches(toxicity._bags([batch])).column("bag").to_pylist()
+    assert [len(b) // 8 for b in bags] == [20_000, 2, 0]
+    rows = pa.Table.from_batches(quality_model._passage_rows([batch])).to_pylist()
+    assert [len(r["terms"]) // 2 for r in rows] == [20_000, 2, 0]
+    assert [len(r["sizes"]) // 2 for r in rows] == [-(-20_000 // quality_model.PASSAGE), 1, 1]
+
+
+def test_training_budget(spark):
+    """Whole documents in hash order while they fit; one that does not is passed over, later ones still count."""
+    docs = spark.createDataFrame([(i, "a" * (1000 if i % 4 == 0 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, toxic int")
+    found = [r.text for r in labelled_rows.training_texts(docs, labels, "toxic", 100, 2100).collect()]
+    usable = [i for i in range(60) if not held_out(i)]
+    assert sum(map(len, found)) <= 2100 and set(map(len, found)) == {10, 1000}
+    assert len(found) - 2 <= sum(i % 4 != 0 for i in usable) and found.count("a" * 1000) <= 2
+    assert labelled_rows.training_texts(docs, labels, "toxic", 5, 10**6).count() == 5
+    assert labelled_rows.training_texts(docs, labels, "toxic", 5, 0).count() == 0
+
+
+def test_gradients_of_the_factorization_machine():
+    rng = np.random.default_rng(9)
+    n, terms, k = 7, 6, toxicity.FACTORS
+    own, at = np.divmod(np.unique(rng.integers(0, n * terms, 25)), terms)
+    w, v, bias = rng.normal(0, 0.5, terms), rng.normal(0, 0.5, (terms, k)), 0.3
+    labels, weight = rng.integers(0, 2, n).astype(float), rng.uniform(0.5, 2, n)
+
+    def loss(w, v, bias):
+        total = 0.0
+        for d in range(n):
+            own_terms = at[own == d]
+            score = bias + w[own_terms].sum() + sum(float(v[a] @ v[b]) for i, a in enumerate(own_terms) for b in own_terms[i + 1 :])
+            total += weight[d] * (math.log1p(math.exp(-score)) if labels[d] else math.log1p(math.exp(score)))
+        return total / n
+
+    touched, db, dw, dv = toxicity.gradients(w, v, bias, own, at, labels, weight)
+    step = 1e-6
+    assert db == pytest.approx((loss(w, v, bias + step) - loss(w, v, bias - step)) / (2 * step), rel=1e-5)
+    for i, t in enumerate(touched):
+        e = np.eye(terms)[t] * step
+        assert dw[i] == pytest.approx((loss(w + e, v, bias) - loss(w - e, v, bias)) / (2 * step), rel=1e-4, abs=1e-8)
+        for f in range(k):
+            moved = np.zeros((terms, k))
+            moved[t, f] = step
+            assert dv[i, f] == pytest.approx((loss(w, v + moved, bias) - loss(w, v - moved, bias)) / (2 * step), rel=1e-4, abs=1e-8)

@@ -1,5 +1,7 @@
 """Numbered queries with a SQL form, and the chat and licence operators on edge cases."""
 
+import time
+
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -39,3 +41,16 @@ def test_licences(spark):
     assert [x for x in out if x[0] not in (5,)] == [(1, "MIT", "MIT", 1), (2, None, "MIT", 1), (3, None, "", 0), (4, None, "", 0), (6, None, "CC-BY-4.0,MIT", 3)]
     assert sum(x[0] == 5 for x in out) == 2
     assert license_scan.license_scan(docs.limit(0)).count() == 0
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Work is in proportion to the turns: 60,000 of them, and texts of many parts with characters outside the base plane."""
+    n = 60_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("😀<|end|> "), F.col("id").cast("string")).alias("text"))
+    long = spark.createDataFrame([(2, 0, "assistant", "é😀x" * 50_000), (2, 1, "user", ""), (2, 2, "assistant", "y\\" * 70_000)], "conv_id int, turn long, role string, text string")
+    began = time.time()
+    out = {r.conv_id: r for r in chat_format.parse_chats(chat_format.format_chats(turns.unionByName(long))).collect()}
+    assert time.time() - began < 30
+    assert [t.text for t in out[1].turns] == [f"😀<|end|> {i}" for i in range(n)]
+    assert out[1].loss_text == "".join(f"😀<|end|> {i}" for i in range(1, n, 2))
+    assert out[2].loss_text == "é😀x" * 50_000 + "y\\" * 70_000
