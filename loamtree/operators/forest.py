@@ -288,6 +288,74 @@ def ancestral_states(ptree: pd.Series, col: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"bases": ["".join(x) for x in f.lists(letters)], "mutated": f.lists(f.place, changed), "derived": f.lists(letters.astype(object), changed)})
 
 
+_FAMILY = T.StructType([T.StructField("parent", T.ArrayType(T.IntegerType())), T.StructField("clades", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("conflict", T.ArrayType(T.IntegerType()))])
+
+
+def tree_of_splits(rooted: bool = True):
+    """A function of an array of splits, each an array of leaves, and the number of leaves: the one tree that has just these clades.
+
+    struct(parent, clades, conflict): parents of the leaves, then of the clades
+    in the order of `clades`, by size and then by leaves, all leaves last; -1
+    above them. Splits may repeat; those of one leaf or all tell nothing.
+    Unrooted splits are sides of a branch: the side without the last leaf is the
+    clade. Where two splits neither nest nor are disjoint, `conflict` has the
+    places of two such splits and the rest is null.
+    """
+
+    @F.pandas_udf(_FAMILY)
+    def family(splits: pd.Series, leaves: pd.Series) -> pd.DataFrame:
+        n = leaves.to_numpy(np.int64)
+        counts = np.fromiter((len(s) for s in splits), np.int64, len(splits)) + 1
+        row, words = np.repeat(np.arange(len(n)), counts), -(-int(n.max(initial=1)) // 64)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        lists = [x for s, k in zip(splits, n) for x in (*s, np.arange(k))]
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)])
+        item = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
+        held = np.zeros((len(lists), 64 * words), bool)
+        held[item, flat] = True
+        if not rooted:
+            turned = held[np.arange(len(lists)), n[row] - 1] & (place < counts[row] - 1)
+            held[turned] = (np.arange(64 * words) < n[row[turned], None]) & ~held[turned]
+        size = held.sum(axis=1)
+        mask = np.packbits(held, axis=1, bitorder="little").view(np.uint64)
+        told = (size > 1) & ((size < n[row]) | (place == counts[row] - 1))
+        # one of each mask, in order of row, size, mask
+        order = np.lexsort((*(mask[:, w] for w in range(words)), size, row))
+        order = order[told[order]]
+        same = np.zeros(len(order), bool)
+        same[1:] = (mask[order[1:]] == mask[order[:-1]]).all(axis=1) & (row[order[1:]] == row[order[:-1]])
+        order = order[~same]
+        mask, size, row, place, held = mask[order], size[order], row[order], place[order], held[order]
+        number = np.bincount(row, minlength=len(n))
+        first = np.cumsum(number) - number
+        # each clade with the later ones of its row
+        later = first[row] + number[row] - 1 - np.arange(len(row))
+        a = np.repeat(np.arange(len(row)), later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        both = mask[a] & mask[b]
+        inside, apart = (both == mask[a]).all(axis=1), ~both.any(axis=1)
+        up = np.full(len(row), -1)
+        nested = np.flatnonzero(inside)[::-1]
+        up[a[nested]] = b[nested]  # the first that holds it is written last
+        wrong = np.flatnonzero(~inside & ~apart)[::-1]
+        conflict: list = [None] * len(n)
+        for i in wrong.tolist():
+            conflict[row[a[i]]] = [int(place[a[i]]), int(place[b[i]])]
+        parents, clades = [None] * len(n), [None] * len(n)
+        clade, leaf = np.nonzero(held)
+        smallest = np.full((len(n), int(n.max(initial=0))), -1)
+        smallest[row[clade[::-1]], leaf[::-1]] = clade[::-1]
+        own = np.split(leaf, np.cumsum(np.bincount(clade, minlength=len(row)))[:-1]) if len(row) else []
+        for i, (start, k) in enumerate(zip(first.tolist(), number.tolist())):
+            if conflict[i] is None:
+                at = np.concatenate((smallest[i, : n[i]], up[start : start + k]))
+                parents[i] = np.where(at < 0, -1, at - start + n[i])
+                clades[i] = own[start : start + k]
+        return pd.DataFrame({"parent": parents, "clades": clades, "conflict": conflict})
+
+    return family
+
+
 _ORDERS = T.StructType([T.StructField("preorder", T.ArrayType(T.IntegerType())), T.StructField("inorder", T.ArrayType(T.IntegerType())), T.StructField("postorder", T.ArrayType(T.IntegerType()))])
 
 

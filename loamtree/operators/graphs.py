@@ -75,13 +75,18 @@ def graph_nodes(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     return asked.withColumn("below_since", below)
 
 
+def region_of(nodes: DataFrame, edges: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one region (chrom, from, to) a chromosome, cut to it. Nodes keep their names; a cut at a region's start is not in it."""
+    kept = edges.join(regions, "chrom").filter((F.col("start") < F.col("to")) & (F.col("stop") > F.col("from")))
+    kept = kept.withColumns({"start": F.greatest("start", "from"), "stop": F.least("stop", "to")}).drop("from", "to")
+    standing = (F.col("event") != "recomb") & (F.col("since") < F.col("to")) & (F.col("until") > F.col("from"))
+    inside = nodes.join(regions, "chrom").filter(standing | ((F.col("event") == "recomb") & (F.col("since") > F.col("from")) & (F.col("since") < F.col("to"))))
+    return inside.drop("from", "to"), kept
+
+
 def sub_graph(nodes: DataFrame, edges: DataFrame, chrom: str, start: int, stop: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a region, cut to it. Nodes keep their names; a cut at the region's start is not in it."""
-    kept = edges.filter((F.col("chrom") == chrom) & (F.col("start") < stop) & (F.col("stop") > start))
-    kept = kept.withColumns({"start": F.greatest("start", F.lit(start)), "stop": F.least("stop", F.lit(stop))})
-    standing = (F.col("event") != "recomb") & (F.col("since") < stop) & (F.col("until") > start)
-    inside = nodes.filter((F.col("chrom") == chrom) & (standing | ((F.col("event") == "recomb") & (F.col("since") > start) & (F.col("since") < stop))))
-    return inside, kept
+    """region_of() of one chromosome."""
+    return region_of(nodes, edges, nodes.sparkSession.sql(f"SELECT '{chrom}' AS chrom, {start}L AS `from`, {stop}L AS `to`"))
 
 
 def graph_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from ..functions.scalar import time_steps
-from ..operators.trees import lineages, n_leaves
+from ..functions.scalar import nearest_time, time_steps
+from ..operators.ordered import TILE, from_earlier_tiles, with_tile
+from ..operators.trees import internal_ages, lineages, n_leaves
 from .priors import coalescent_probability, merged_intervals
 
 
@@ -86,3 +88,48 @@ def in_windows(trees: DataFrame, width: int, step: int) -> DataFrame:
     last = F.floor(F.col("start") / step)
     first = F.greatest(F.floor((F.col("start") - width) / step) + 1, F.lit(0))
     return trees.withColumn("window", F.explode(F.transform(F.sequence(first, last), lambda i: i * step)))
+
+
+def counts_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float], width: int = TILE) -> DataFrame:
+    """time_bin, n_coal, n_lineages of whole histories, without a tree a block.
+
+    first_trees: sample, chrom, ptree, age of each history's first tree. edits:
+    sample, chrom, pos, recomb_time, broken_time (the age of the joint that the
+    cut leaves) and coal_time. The lineages at a time are the leaves less the
+    joints up to it, so an edit changes them by one between two times, and the
+    counts before each edit are running sums of its predecessors, by tiles. An
+    edit counts at the times from its cut to where it joins, for each the
+    lineages other than the cut one; a first tree counts with all its branches
+    but the one above the root. Times are grid times, the nearest.
+    """
+    top, keys = len(grid) - 2, ["sample", "chrom"]
+    at = lambda c: F.least(nearest_time(F.col(c), grid), F.lit(top))
+    bins = range(top + 1)
+    placed = with_tile(edits.select(*keys, "pos", at("recomb_time").alias("r"), at("broken_time").alias("p"), at("coal_time").alias("c")), "pos", width)
+    change = {f"d{j}": (F.col("p") <= j).cast("int") - (F.col("c") <= j).cast("int") for j in bins}
+    placed = placed.withColumns(change)
+    before = from_earlier_tiles(placed, keys, **{f"e{j}": (F.sum(f"d{j}"), "sum") for j in bins})
+    here = Window.partitionBy(*keys, "tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    joints = F.transform(internal_ages(), lambda x: F.least(nearest_time(x, grid), F.lit(top)))
+    first = first_trees.select(*keys, n_leaves("ptree").alias("n"), joints.alias("joints"))
+    start = first.select(*keys, F.array(*[F.col("n") - F.size(F.filter("joints", lambda x: x <= j)) for j in bins]).alias("lines"), "joints")  # noqa: B023
+    sums = placed.withColumns({f"s{j}": F.coalesce(F.sum(f"d{j}").over(here), F.lit(0)) for j in bins})
+    rows = sums.join(before, [*keys, "tile"]).join(start.select(*keys, "lines"), keys)
+    left = [F.get("lines", F.lit(j)) + F.col(f"s{j}") + F.coalesce(F.col(f"e{j}"), F.lit(0)) - (F.col("p") > j).cast("int") for j in bins]
+    counted = [F.when((F.col("r") <= j) & (F.col("c") > j), left[j]).otherwise(0) for j in bins]
+    by_edit = rows.select(F.posexplode(F.array(*[F.struct((F.col("c") == j).cast("long").alias("n_coal"), counted[j].cast("long").alias("n_lineages")) for j in bins])).alias("time_bin", "x"))
+    # above a first tree's root there is one line that counts for nothing
+    by_tree = start.select(F.posexplode(F.array(*[F.struct(F.size(F.filter("joints", lambda x: x == j)).cast("long").alias("n_coal"), F.when(F.array_max("joints") > j, F.get("lines", F.lit(j))).otherwise(0).cast("long").alias("n_lineages")) for j in bins])).alias("time_bin", "x"))  # noqa: B023
+    both = by_edit.unionByName(by_tree).groupBy("time_bin").agg(F.sum("x.n_coal").alias("n_coal"), F.sum("x.n_lineages").alias("n_lineages"))
+    return both
+
+
+def sizes_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float], mu: float, sigma: float, width: int = TILE) -> DataFrame:
+    """time_bin, n_coal, n_lineages, popsize by size_with_prior() of counts_from_edits()."""
+    steps = time_steps(grid)
+
+    def solve(batches):
+        for rows in batches:
+            yield rows.assign(popsize=[size_with_prior(int(c), steps[int(j)] * int(k), mu, sigma) for j, c, k in zip(rows.time_bin, rows.n_coal, rows.n_lineages)])
+
+    return counts_from_edits(first_trees, edits, grid, width).mapInPandas(solve, "time_bin int, n_coal long, n_lineages long, popsize double")
