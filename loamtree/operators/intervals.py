@@ -82,11 +82,15 @@ def join_points(points: DataFrame, intervals: DataFrame, width: int | Bins, pos:
     """Points with the intervals of their chromosome that hold them: [start, stop), or (start, stop] if closed is "right".
 
     A point has one bin a level, an interval the bins of its level that it
-    touches, so each pair is found once. A join that keeps points without an
-    interval has one level only. Both sides need a column chrom, which the
-    result has once.
+    touches, so each pair is found once. With how "left" the points without an
+    interval follow, found by what the join has not reached. Both sides need a
+    column chrom, which the result has once.
     """
-    bins = _bins(width) if how == "inner" else Bins(_bins(width).width)
+    if how == "left":
+        found = join_points(points, intervals, width, pos, "inner", closed)
+        rest = points.join(found.select("chrom", pos).distinct(), ["chrom", pos], "left_anti")
+        return found.unionByName(rest.select(*points.columns), allowMissingColumns=True)
+    bins = _bins(width)
     at = F.col(pos) if closed == "left" else F.col(pos) - 1
     cells = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / bins.of(k)).alias("bin")) for k in range(bins.levels)])
     left = points.withColumn("cell", F.explode(cells) if bins.levels > 1 else cells[0])

@@ -31,10 +31,14 @@ def with_halo(rows: DataFrame, pos: str, half_width: int, width: int = TILE) ->
     return rows.withColumn("tile", F.explode(reach)).withColumn("own", F.col("tile") == F.floor(F.col(pos) / width))
 
 
-def adjacent_pairs(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Each row with the `columns` of the row before it, as prev_...; the first row of a key has none."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
+def adjacent_pairs(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int = TILE) -> DataFrame:
+    """Each row with the `columns` of the row before it, as prev_...; the first row of a key has none. The order begins with a position."""
+    tiled = with_tile(rows, order[0], width)
+    held = F.struct(*columns)
+    earlier = from_earlier_tiles(tiled, keys, earlier=(F.max_by(held, F.struct(*order)), "last"))
+    inner = F.lag(held).over(Window.partitionBy(*keys, "tile").orderBy(*order))
+    linked = tiled.withColumn("inner", inner).join(earlier, [*keys, "tile"]).withColumn("before", F.coalesce("inner", "earlier"))
+    return linked.withColumns({f"prev_{c}": F.col("before")[c] for c in columns}).drop("inner", "earlier", "before", "tile")
 
 
 def blocks_from_breaks(breaks: DataFrame, keys: list[str], pos: str = "pos", width: int = TILE) -> DataFrame:
@@ -46,19 +50,21 @@ def blocks_from_breaks(breaks: DataFrame, keys: list[str], pos: str = "pos", wid
     return inner.join(behind, [*keys, "tile"]).select(*keys, "start", F.coalesce("stop", "behind").alias("stop")).filter("stop IS NOT NULL")
 
 
-def merge_islands(rows: DataFrame, keys: list[str], order: list[str], equal: list[str], touching: bool = False) -> DataFrame:
+def merge_islands(rows: DataFrame, keys: list[str], order: list[str], equal: list[str], touching: bool = False, width: int = TILE) -> DataFrame:
     """Runs of neighbouring rows with the same `equal` columns become one: start, stop, n_rows.
 
     With `touching`, a gap between stop and the next start also ends a run.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
+    linked = adjacent_pairs(rows.withColumn("row", F.lit(1)), keys, order, [*equal, "stop", "row"], width)
     same = F.lit(True)
     for c in equal:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(window))
+        same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
     if touching:
-        same = same & (F.lag("stop").over(window) == F.col("start"))
-    first = F.row_number().over(window) == 1
-    marked = rows.withColumn("opens", F.when(first | ~same, 1).otherwise(0)).withColumn("island", F.sum("opens").over(window))
+        same = same & (F.col("prev_stop") == F.col("start"))
+    tiled = with_tile(linked.withColumn("opens", F.when(F.col("prev_row").isNull() | ~same, 1).otherwise(0)), order[0], width)
+    earlier = from_earlier_tiles(tiled, keys, opened=(F.sum("opens"), "sum"))
+    inner = F.sum("opens").over(Window.partitionBy(*keys, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    marked = tiled.withColumn("inner", inner).join(earlier, [*keys, "tile"]).withColumn("island", F.col("inner") + F.coalesce("opened", F.lit(0)))
     return marked.groupBy(*keys, "island", *equal).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_rows")).drop("island")
 
 
@@ -107,18 +113,18 @@ def compression_map(compressed: DataFrame, chrom: str, start: int, stop: int, st
     return columns.join(own, "new_pos", "left").select("new_pos", F.coalesce("site", middle).alias("old_pos"))
 
 
-def interleave(trees: DataFrame, sprs: DataFrame) -> DataFrame:
+def interleave(trees: DataFrame, sprs: DataFrame, width: int = TILE) -> DataFrame:
     """Trees (at start) and subtree edits (at pos) as one ordered table; at the same position the edit comes first."""
     items = trees.select("sample", "chrom", F.col("start").alias("at"), F.lit(1).alias("kind")).unionByName(
         sprs.select("sample", "chrom", F.col("pos").alias("at"), F.lit(0).alias("kind"))
     )
-    return items.withColumn("place", F.row_number().over(Window.partitionBy("sample", "chrom").orderBy("at", "kind")))
+    return numbered(items, ["sample", "chrom"], ["at", "kind"], "place", width).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of the rows with the same key the last in the given order: an upsert of appended loads."""
-    window = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("place", F.row_number().over(window)).filter("place = 1").drop("place")
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, *[F.col("x")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
 def next_event(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

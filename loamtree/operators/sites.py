@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .intervals import with_bins
+from .intervals import Bins, choose_bin_width, join_points
 
 
 def letters(col: Column) -> Column:
@@ -227,12 +227,10 @@ def stab_intervals(pairs: DataFrame, width: int = 4096) -> DataFrame:
     return tiled.join(entries, ["chrom", "tile"]).groupBy("chrom", "tile").applyInPandas(greedy, "chrom string, pos long")
 
 
-def apply_mask(sites: DataFrame, mask: DataFrame, width: int) -> DataFrame:
-    """Sites whose column is all N where a mask interval (chrom, start, stop) holds them."""
-    bins = with_bins(mask.select("chrom", "start", "stop"), width).drop("level").withColumnRenamed("chrom", "chrom_")
-    left = sites.withColumn("bin", F.floor(F.col("pos") / width))
-    hit = left.join(bins, (left["chrom"] == bins["chrom_"]) & (left["bin"] == bins["bin"]) & (left["pos"] >= bins["start"]) & (left["pos"] < bins["stop"]), "left_semi")
-    masked = hit.select("chrom", "pos").distinct().withColumn("hidden", F.lit(True))
+def apply_mask(sites: DataFrame, mask: DataFrame, width: int | Bins | None = None) -> DataFrame:
+    """Sites whose column is all N where a mask interval (chrom, start, stop) holds them. Very long intervals touch few bins, those of their level."""
+    held = join_points(sites.select("chrom", "pos").distinct(), mask.select("chrom", "start", "stop"), width or choose_bin_width(mask))
+    masked = held.select("chrom", "pos").distinct().withColumn("hidden", F.lit(True))
     return sites.join(masked, ["chrom", "pos"], "left").withColumn("col", F.when(F.col("hidden"), F.repeat(F.lit("N"), F.length("col"))).otherwise(F.col("col"))).drop("hidden")
 
 

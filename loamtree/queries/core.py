@@ -77,35 +77,9 @@ def point_in_interval_right(spark, d):
     return iv.join_points(points(spark, d).drop("value"), t := tracks(spark, d), iv.choose_bin_width(t), closed="right").select("point", "sample")
 
 
-@query(f"WITH {TRACKS_SQL}, {POINTS_SQL}, one AS (SELECT * FROM tracks WHERE sample = 0) SELECT point, round(coalesce(t.value, -1), 6) AS value FROM points p LEFT JOIN one t ON p.chrom = t.chrom AND p.pos >= t.start AND p.pos < t.stop")
-def track_lookup(spark, d):
-    return rounded(iv.lookup_track(points(spark, d).drop("value"), t := one_track(spark, d), iv.choose_bin_width(t), -1.0).select("point", "value"), "value")
-
-
 _THIRDS = "one AS (SELECT chrom, start, stop, value FROM tracks WHERE sample = 0), thin AS (SELECT * FROM one WHERE start % 3 <> 0), ends AS (SELECT chrom, max(stop) + 100 AS top FROM one GROUP BY 1)"
 
 
-@query(f"""WITH {TRACKS_SQL}, {_THIRDS},
-gaps AS (SELECT chrom, coalesce(lag(stop) OVER (PARTITION BY chrom ORDER BY start), 0) AS start, start AS stop FROM thin UNION ALL SELECT chrom, coalesce(max(stop), 0), max(top) FROM ends LEFT JOIN thin USING (chrom) GROUP BY chrom)
-SELECT chrom, start, stop, round(value, 6) AS value FROM thin UNION ALL SELECT chrom, start, stop, 9 FROM gaps WHERE start < stop""")
-def track_complete(spark, d):
-    one = one_track(spark, d)
-    ends = one.groupBy("chrom").agg((F.max("stop") + 100).alias("chrom_stop"))
-    return rounded(iv.complete_track(one.filter("start % 3 <> 0"), ends, 9.0), "value")
-
-
-@query(f"""WITH {TRACKS_SQL}, a AS (SELECT * FROM tracks WHERE sample = 1), b AS (SELECT * FROM tracks WHERE sample = 2)
-SELECT a.chrom, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop, round(a.value, 6) AS a_value, round(b.value, 6) AS b_value FROM a JOIN b ON a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop""")
-def track_refine(spark, d):
-    one, two = (tracks(spark, d).filter(f"sample = {i}").drop("sample") for i in (1, 2))
-    return rounded(iv.join_intervals(one, two, iv.choose_bin_width(one)).select("chrom", "start", "stop", "a_value", "b_value"), "a_value", "b_value")
-
-
-@query(f"WITH {TRACKS_SQL}, order_ AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (SELECT chrom, start, max(stop) AS stop FROM tracks WHERE sample < 3 GROUP BY ALL)) SELECT chrom, start, stop, reached FROM order_ WHERE reached > start")
-def track_overlaps(spark, d):
-    return iv.check_disjoint(tracks(spark, d).filter("sample < 3").groupBy("chrom", "start").agg(F.max("stop").alias("stop"))).select("chrom", "start", "stop", "reached")
-
-
 def _by_sample(track):
     """A track whose chromosomes are those of each sample, (sample, chrom)."""
     return track.withColumn("chrom", F.struct("sample", "chrom")).drop("sample")
@@ -117,7 +91,7 @@ def _samples_apart(found):
 
 #: The same for all samples.
 @query(f"WITH {TRACKS_SQL}, {POINTS_SQL}, s AS (SELECT DISTINCT sample FROM tracks) SELECT point, s.sample, round(coalesce(t.value, -1), 6) AS value FROM points p CROSS JOIN s LEFT JOIN tracks t ON t.sample = s.sample AND p.chrom = t.chrom AND p.pos >= t.start AND p.pos < t.stop")
-def track_lookup_samples(spark, d):
+def track_lookup(spark, d):
     t = tracks(spark, d)
     asked = _by_sample(points(spark, d).drop("value").crossJoin(F.broadcast(t.select("sample").distinct())))
     return rounded(_samples_apart(iv.lookup_track(asked, _by_sample(t), iv.choose_bin_width(t), -1.0)).select("point", "sample", "value"), "value")
@@ -126,7 +100,7 @@ def track_lookup_samples(spark, d):
 @query(f"""WITH {TRACKS_SQL}, ends AS (SELECT sample, chrom, top FROM (SELECT DISTINCT sample FROM tracks) CROSS JOIN (SELECT chrom, max(stop) + 100 AS top FROM tracks GROUP BY 1)),
 gaps AS (SELECT sample, chrom, coalesce(lag(stop) OVER (PARTITION BY sample, chrom ORDER BY start), 0) AS start, start AS stop FROM tracks UNION ALL SELECT sample, chrom, coalesce(max(stop), 0), max(top) FROM ends LEFT JOIN tracks USING (sample, chrom) GROUP BY sample, chrom)
 SELECT sample, chrom, start, stop, round(value, 6) AS value FROM tracks UNION ALL SELECT sample, chrom, start, stop, 9 FROM gaps WHERE start < stop""")
-def track_complete_samples(spark, d):
+def track_complete(spark, d):
     t = tracks(spark, d)
     ends = t.groupBy("chrom").agg((F.max("stop") + 100).alias("chrom_stop")).crossJoin(F.broadcast(t.select("sample").distinct()))
     return rounded(_samples_apart(iv.complete_track(_by_sample(t), _by_sample(ends), 9.0)), "value")
@@ -134,7 +108,7 @@ def track_complete_samples(spark, d):
 
 @query(f"""WITH {TRACKS_SQL}
 SELECT a.sample, a.chrom, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop, round(a.value, 6) AS a_value, round(b.value, 6) AS b_value FROM tracks a JOIN tracks b ON b.sample = a.sample + 1 AND a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop""")
-def track_refine_samples(spark, d):
+def track_refine(spark, d):
     """Each sample against the next."""
     t = tracks(spark, d)
     after = t.withColumn("sample", F.col("sample") - 1)
@@ -142,12 +116,12 @@ def track_refine_samples(spark, d):
 
 
 @query(f"WITH {TRACKS_SQL}, order_ AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (SELECT chrom, start, max(stop) AS stop FROM tracks GROUP BY ALL)) SELECT chrom, start, stop, reached FROM order_ WHERE reached > start")
-def track_overlaps_samples(spark, d):
+def track_overlaps(spark, d):
     return iv.check_disjoint(tracks(spark, d).groupBy("chrom", "start").agg(F.max("stop").alias("stop"))).select("chrom", "start", "stop", "reached")
 
 
 @query(f"WITH {TRACKS_SQL} SELECT sample, chrom, start, unnest(range(CAST(ceil(start / 60) * 60 AS BIGINT), stop, 60)) AS pos FROM tracks")
-def grid_positions_samples(spark, d):
+def grid_positions(spark, d):
     return iv.grid_positions(tracks(spark, d), 60).select("sample", "chrom", "start", "pos")
 
 
@@ -191,8 +165,9 @@ def upsert_latest(spark, d):
 runs AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM marked)
 SELECT user_id, event_type, min(event_id) AS start, max(event_id) + 1 AS stop, count(*) AS n_rows FROM runs GROUP BY user_id, event_type, island""")
 def islands_merge(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("stop"))
-    return ordered.merge_islands(rows, ["user_id"], ["ts", "event_id"], ["event_type"])
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    rows = table(spark, d, "events").select("user_id", "event_type", at.alias("at"), "event_id", F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("stop"))
+    return ordered.merge_islands(rows, ["user_id"], ["at", "event_id"], ["event_type"], width=86_400_000_000)
 
 
 @query(f"WITH {TRACKS_SQL} SELECT sample, chrom, start, lag(start) OVER w AS prev_start, lag(stop) OVER w AS prev_stop FROM tracks WINDOW w AS (PARTITION BY sample, chrom ORDER BY start)")
@@ -217,11 +192,6 @@ def tiles_with_flanks(spark, d):
     return iv.tiles(table(spark, d, "nation").select(F.col("n_name").alias("chrom"), start.alias("start"), (start + 95).alias("stop")), 20, 5)
 
 
-@query(f"WITH {TRACKS_SQL} SELECT chrom, start, unnest(range(CAST(ceil(start / 60) * 60 AS BIGINT), stop, 60)) AS pos FROM tracks WHERE sample = 0")
-def grid_positions(spark, d):
-    return iv.grid_positions(one_track(spark, d), 60).select("chrom", "start", "pos")
-
-
 @query(f"WITH {POINTS_SQL}, n AS (SELECT point, chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos, point) - 1 AS i FROM points) SELECT point, chrom, i + greatest(0, max(pos - i) OVER (PARTITION BY chrom ORDER BY pos, point)) AS unique_pos FROM n")
 def unique_positions(spark, d):
     return ordered.unique_positions(points(spark, d), ["chrom"], ["pos", "point"], "pos").select("point", "chrom", "unique_pos")
@@ -288,15 +258,6 @@ def _sql_mean(test: str) -> str:
     return "(" + " + ".join(f"CAST({test.format(i=i)} AS INT)" for i in range(1, 5)) + ") / 4"
 
 
-@query(f"""WITH {_FOUR}, pairs AS (SELECT a.pos AS a_pos, b.pos AS b_pos, a.col AS a, b.col AS b FROM four a JOIN four b ON a.pos < b.pos AND b.pos - a.pos <= {DISTANCE}),
-x AS (SELECT a_pos, b_pos, {_sql_mean('a[{i}] <> a[1]')} AS p, {_sql_mean('b[{i}] <> b[1]')} AS q, {_sql_mean('(a[{i}] <> a[1] AND b[{i}] <> b[1])')} AS x FROM pairs),
-y AS (SELECT *, x - p * q AS d FROM x)
-SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
-round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
-def ld_pairs(spark, d):
-    return rounded(st.linkage(_four(spark, d), DISTANCE).drop("chrom"), "d", "d_prime", "r2")
-
-
 _CONFLICTS = f"""WITH {_FOUR}, letters AS (SELECT pos, unnest(range(4)) AS i, col FROM four), counted AS (SELECT pos, col[i + 1] AS base, count(*) AS n, list(i) AS leaves FROM letters GROUP BY ALL),
 splits AS (SELECT pos, arg_min(leaves, (n, base)) AS s FROM counted GROUP BY pos),
 conflicts AS (SELECT a.pos AS a_pos, b.pos AS b_pos FROM splits a JOIN splits b ON a.pos < b.pos AND b.pos - a.pos <= {DISTANCE} AND list_has_any(a.s, b.s) AND NOT list_has_all(a.s, b.s) AND NOT list_has_all(b.s, a.s))"""
@@ -306,28 +267,13 @@ def _conflicts(spark, d):
     return st.conflicting_pairs(_four(spark, d), DISTANCE)
 
 
-@query(_CONFLICTS + " SELECT '1' AS chrom, a_pos, b_pos FROM conflicts")
-def split_conflicts(spark, d):
-    return _conflicts(spark, d)
-
-
-@query(_CONFLICTS + ", both_ AS (SELECT a_pos AS pos, NULL AS l, b_pos AS r FROM conflicts UNION ALL SELECT b_pos, a_pos, NULL FROM conflicts) SELECT '1' AS chrom, pos, max(l) AS \"left\", min(r) AS \"right\" FROM both_ GROUP BY pos")
-def nearest_conflict(spark, d):
-    return st.nearest_conflicts(_conflicts(spark, d))
-
-
-@query(_CONFLICTS + " SELECT '1' AS chrom, a.a_pos, min(a.b_pos) AS b_pos FROM conflicts a GROUP BY a.a_pos HAVING NOT EXISTS (SELECT 1 FROM conflicts b WHERE b.a_pos > a.a_pos AND b.b_pos <= min(a.b_pos))")
-def unnested_conflicts(spark, d):
-    return st.unnested_conflicts(_conflicts(spark, d))
-
-
 #: The same over whole columns: a pair of sites is compared over all sequences that both have.
 @query(f"""WITH {SITES_SQL}, marks AS (SELECT pos, i, CAST(col[i] <> col[1] AS INT) AS m FROM (SELECT pos, col, unnest(range(1, length(col) + 1)) AS i FROM sites)),
 x AS (SELECT a.pos AS a_pos, b.pos AS b_pos, sum(a.m) / count(*) AS p, sum(b.m) / count(*) AS q, sum(a.m * b.m) / count(*) AS x FROM marks a JOIN marks b ON a.i = b.i AND a.pos < b.pos AND b.pos - a.pos <= {DISTANCE} GROUP BY ALL),
 y AS (SELECT *, x - p * q AS d FROM x)
 SELECT a_pos, b_pos, round(d, 6) AS d, round(CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN d / least(p * q, (1 - p) * (1 - q)) ELSE d / least(p * (1 - q), (1 - p) * q) END, 6) AS d_prime,
 round(CASE WHEN p * (1 - p) * q * (1 - q) <> 0 THEN d * d / (p * (1 - p) * q * (1 - q)) END, 6) AS r2 FROM y""")
-def ld_pairs_whole(spark, d):
+def ld_pairs(spark, d):
     return rounded(st.linkage(sites(spark, d), DISTANCE).drop("chrom"), "d", "d_prime", "r2")
 
 
@@ -343,17 +289,17 @@ def _whole_conflicts(spark, d):
 
 
 @query(_WHOLE_CONFLICTS + " SELECT '1' AS chrom, a_pos, b_pos FROM conflicts")
-def split_conflicts_whole(spark, d):
+def split_conflicts(spark, d):
     return _whole_conflicts(spark, d)
 
 
 @query(_WHOLE_CONFLICTS + ", both_ AS (SELECT a_pos AS pos, NULL AS l, b_pos AS r FROM conflicts UNION ALL SELECT b_pos, a_pos, NULL FROM conflicts) SELECT '1' AS chrom, pos, max(l) AS \"left\", min(r) AS \"right\" FROM both_ GROUP BY pos")
-def nearest_conflict_whole(spark, d):
+def nearest_conflict(spark, d):
     return st.nearest_conflicts(_whole_conflicts(spark, d))
 
 
 @query(_WHOLE_CONFLICTS + " SELECT '1' AS chrom, a.a_pos, min(a.b_pos) AS b_pos FROM conflicts a GROUP BY a.a_pos HAVING NOT EXISTS (SELECT 1 FROM conflicts b WHERE b.a_pos > a.a_pos AND b.b_pos <= min(a.b_pos))")
-def unnested_conflicts_whole(spark, d):
+def unnested_conflicts(spark, d):
     return st.unnested_conflicts(_whole_conflicts(spark, d))
 
 
@@ -369,7 +315,7 @@ def break_points(spark, d):
 @query(f"WITH {SITES_SQL} SELECT chrom, pos, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE pos >= n_nationkey * 50 AND pos < n_nationkey * 50 + 20) THEN repeat('N', length(col)) ELSE col END AS col FROM sites")
 def mask_sites(spark, d):
     start = (F.col("n_nationkey") * 50).cast("long")
-    return st.apply_mask(sites(spark, d), table(spark, d, "nation").select(F.lit("1").alias("chrom"), start.alias("start"), (start + 20).alias("stop")), 64)
+    return st.apply_mask(sites(spark, d), table(spark, d, "nation").select(F.lit("1").alias("chrom"), start.alias("start"), (start + 20).alias("stop")))
 
 
 @query(f"""WITH {JOINTS_SQL} SELECT k * 10 AS start, max(age) AS tmrca, sum(age) + max(age) AS branchlen,

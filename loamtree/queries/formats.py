@@ -39,10 +39,11 @@ def track_file(spark, d):
     return rounded(text.read_track(spark, path), "value")
 
 
-@query(f"WITH {TRACKS_SQL} SELECT chrom, start, stop, CAST(NULL AS DOUBLE) AS value FROM tracks WHERE sample = 0")
+@query(f"WITH {TRACKS_SQL} SELECT chrom || '.' || sample AS chrom, start, stop, CAST(NULL AS DOUBLE) AS value FROM tracks")
 def mask_file(spark, d):
+    """The spans of every sample, chromosomes named after it."""
     path = scratch_folder(spark, "mask")
-    text.write_track(tracks(spark, d).filter("sample = 0").select("chrom", "start", "stop"), path)
+    text.write_track(tracks(spark, d).select(F.concat_ws(".", "chrom", F.col("sample").cast("string")).alias("chrom"), "start", "stop"), path)
     return text.read_track(spark, path)
 
 

@@ -40,7 +40,7 @@ def test_conflicts_of_whole_columns(spark, lines_dir):
     home, columns = lines_dir
     want = conflicts(columns)
     assert (1, 2) in want
-    assert sorted((r.a_pos, r.b_pos) for r in QUERIES["split_conflicts_whole"](spark, home).collect()) == want
+    assert sorted((r.a_pos, r.b_pos) for r in QUERIES["split_conflicts"](spark, home).collect()) == want
     last, breaks = None, []
     for a, b in sorted(want, key=lambda x: x[1]):
         if last is None or a >= last:
@@ -50,7 +50,7 @@ def test_conflicts_of_whole_columns(spark, lines_dir):
 
 def test_linkage_of_whole_columns(spark, lines_dir):
     home, columns = lines_dir
-    found = {(r.a_pos, r.b_pos): r.d for r in QUERIES["ld_pairs_whole"](spark, home).collect()}
+    found = {(r.a_pos, r.b_pos): r.d for r in QUERIES["ld_pairs"](spark, home).collect()}
     assert set(found) == {(a, b) for a, b in combinations(sorted(columns), 2) if b - a <= 40}
     for (a, b), d in found.items():
         n = min(len(columns[a]), len(columns[b]))
@@ -107,11 +107,11 @@ def test_tracks_of_all_samples(spark, sf_dir):
     held = {(r["sample"], r.chrom) for r in track.select("sample", "chrom").distinct().collect()}
     samples = {s for s, _ in held}
     assert len(samples) == 10
-    for name in ("track_complete_samples", "grid_positions_samples"):
+    for name in ("track_complete", "grid_positions"):
         assert {(r["sample"], r.chrom) for r in QUERIES[name](spark, sf_dir).select("sample", "chrom").distinct().collect()} >= held, name
-    assert {r["sample"] for r in QUERIES["track_refine_samples"](spark, sf_dir).select("sample").distinct().collect()} == samples - {max(samples)}
+    assert {r["sample"] for r in QUERIES["track_refine"](spark, sf_dir).select("sample").distinct().collect()} == samples - {max(samples)}
     points = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    assert QUERIES["track_lookup_samples"](spark, sf_dir).count() == points * len(samples)
+    assert QUERIES["track_lookup"](spark, sf_dir).count() == points * len(samples)
 
 
 def test_breaks_over_tiles(spark):
