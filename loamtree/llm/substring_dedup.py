@@ -11,14 +11,17 @@ from .textbytes import chunks, gram_hashes, inside, word_table
 
 #: Words in a window and in an anchor, and how far anchors are apart.
 WINDOW, ANCHOR, ANCHOR_WORDS = 50, 12, 20
-#: Windows in a segment of a reference and in a span, words in a shard, words that are streamed past one copy of a shard.
-SEGMENT, SHARD, MEET = 4096, 1 << 15, 1 << 17
+#: Windows in a segment of a reference and in a span, words in a shard, words that are streamed past one copy of a shard's automaton.
+SEGMENT, SHARD, MEET = 4096, 1 << 15, 1 << 19
 #: Parts that a class of copies is split into where it meets its smallest id.
 SALTS = 16
-#: Larger than any id.
-NEVER = 1 << 63
+#: Larger than any id, and the largest one.
+NEVER, LAST_ID = 1 << 63, (1 << 63) - 1
+#: Arrays of a stored automaton.
+AUTOMATON = ["words", "keys", "targets", "links", "lengths", "firsts"]
 
 _SPAN_SCHEMA = pa.schema([("shard", pa.int64()), ("reads", pa.bool_()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("symbols", pa.binary())])
+_AUTOMATON_SCHEMA = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in AUTOMATON)])
 _FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("symbols", pa.binary())])
 
 
@@ -156,16 +159,43 @@ class SuffixAutomaton:
             if up >= 0 and first[state] < first[up]:
                 first[up] = first[state]
 
-    def earlier(self, sequence: list[int], least: int, doc_id: int) -> np.ndarray:
+    def flat(self) -> dict[str, bytes]:
+        """As arrays: the distinct words in order, the transitions by state and place of the word among these, in order, their targets, and of each state the suffix link, the length and the smallest id."""
+        edges = [(state, c, to) for state, row in enumerate(self.next) for c, to in row.items()]
+        states, words, targets = (np.array([e[i] for e in edges], np.int64) for i in range(3))
+        distinct, rank = np.unique(words, return_inverse=True)
+        keys = states * len(distinct) + rank
+        order = np.argsort(keys)
+        arrays = distinct, keys[order], targets[order].astype(np.int32), np.array(self.link, np.int32), np.array(self.length, np.int32), np.array([min(x, LAST_ID) for x in self.first], np.int64)
+        return dict(zip(AUTOMATON, (x.tobytes() for x in arrays)))
+
+
+class FlatAutomaton:
+    """SuffixAutomaton.flat() read back, to stream sequences past it."""
+
+    def __init__(self, arrays: dict[str, bytes]):
+        read = lambda name, kind: np.frombuffer(arrays[name], kind)
+        self.words = read("words", np.int64)
+        self.next = dict(zip(read("keys", np.int64).tolist(), read("targets", np.int32).tolist()))
+        self.link, self.length, self.first = read("links", np.int32).tolist(), read("lengths", np.int32).tolist(), read("firsts", np.int64).tolist()
+
+    def earlier(self, sequence: np.ndarray, least: int, doc_id: int) -> np.ndarray:
         """For each window of `least` words whether it occurs in a document with a smaller id, by matching statistics."""
-        nexts, link, length, first = self.next, self.link, self.length, self.first
+        step, link, length, first, n = self.next.get, self.link, self.length, self.first, len(self.words)
+        place = np.minimum(np.searchsorted(self.words, sequence), n - 1) if n else np.zeros(len(sequence), np.int64)
+        rank = np.where(self.words[place] == sequence, place, -1).tolist() if n else [-1] * len(sequence)
         state, run, found = 0, 0, np.zeros(max(0, len(sequence) - least + 1), bool)
-        for i, c in enumerate(sequence, 1 - least):
-            while state and c not in nexts[state]:
+        for i, c in enumerate(rank, 1 - least):
+            if c < 0:
+                state = run = 0
+                continue
+            to = step(state * n + c)
+            while to is None and state:
                 state = link[state]
                 run = length[state]
-            if c in nexts[state]:
-                state = nexts[state][c]
+                to = step(state * n + c)
+            if to is not None:
+                state = to
                 run += 1
                 if run >= least:
                     while length[link[state]] >= least:
@@ -175,26 +205,42 @@ class SuffixAutomaton:
         return found
 
 
+def _built(batches):
+    """Rows of references sorted by shard: one row a shard, its automaton as flat arrays."""
+    key, automaton = None, None
+
+    def row():
+        automaton.finish()
+        return pa.RecordBatch.from_pydict({"shard": [key]} | {c: [x] for c, x in automaton.flat().items()}, schema=_AUTOMATON_SCHEMA)
+
+    for batch in batches:
+        for shard, doc_id, symbols in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("symbols")):
+            if shard != key:
+                if automaton:
+                    yield row()
+                key, automaton = shard, SuffixAutomaton()
+            automaton.add(np.frombuffer(symbols.as_buffer(), np.int64).tolist(), doc_id)
+    if automaton:
+        yield row()
+
+
 def _streamed(batches):
-    """Rows sorted by shard and salt, the references first: builds the shard's automaton and streams the other spans past it.
+    """Rows sorted by shard and salt, the automaton first: streams the spans past it.
 
     Gives ranges of windows: those that an earlier document has, and, with their words, those that none in the shard has.
     """
-    key, automaton, ready = None, None, False
+    loaded, automaton = None, None
     for batch in batches:
         out = {c: [] for c in _FOUND_SCHEMA.names}
-        rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "reads", "doc_id", "text_hash", "start")))
-        for (shard, salt, reads, doc_id, text_hash, start), symbols in zip(rows, batch.column("symbols")):
-            if (shard, salt) != key:
-                key, automaton, ready = (shard, salt), SuffixAutomaton(), False
-            words = np.frombuffer(symbols.as_buffer(), np.int64)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "reads", "doc_id", "text_hash", "start")))
+        for i, (shard, reads, doc_id, text_hash, start) in enumerate(rows):
             if not reads:
-                automaton.add(words.tolist(), doc_id)
+                loaded, automaton = shard, FlatAutomaton({c: batch.column(c)[i].as_buffer() for c in AUTOMATON})
                 continue
-            if not ready:
-                automaton.finish()
-                ready = True
-            found = automaton.earlier(words.tolist(), WINDOW, doc_id)
+            if shard != loaded:  # a shard without references
+                loaded, automaton = shard, FlatAutomaton(SuffixAutomaton().flat())
+            words = np.frombuffer(batch.column("symbols")[i].as_buffer(), np.int64)
+            found = automaton.earlier(words, WINDOW, doc_id)
             edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True])))
             for a, b in zip(edge.tolist(), edge[1:].tolist()):
                 out["doc_id"].append(doc_id)
@@ -208,16 +254,20 @@ def _streamed(batches):
 def _stream(spans: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, stop, symbols: see _streamed(), of materialized spans.
 
-    A shard's references go once to every MEET words of the spans that read it,
+    A shard's automaton is built once, from its references, and written as flat
+    arrays. It then goes once to every MEET words of the spans that read it,
     which meet its copies by a hash of themselves: a shard that very many
-    documents read is spread over tasks.
+    documents read is spread over tasks, each of which loads the arrays.
     """
     begin, size = mark(), F.octet_length("symbols") / 8
     read = spans.filter("reads").groupBy("shard").agg(F.ceil(F.sum(size) / MEET).cast("int").alias("copies"))
     read = materialize(read, "parts-shards")
-    salted = spans.join(read, "shard")
-    salt = F.when(F.col("reads"), F.array(F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
-    placed = salted.withColumn("salt", F.explode(salt)).drop("copies").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads", "doc_id")
+    references = spans.filter("NOT reads").join(read.select("shard"), "shard", "left_semi").select("shard", "doc_id", "symbols")
+    built = references.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(_built, "shard long, " + ", ".join(f"{c} binary" for c in AUTOMATON))
+    automata = materialize(built, "parts-automata").join(read, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("reads", F.lit(False))
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int")
+    readers = spans.filter("reads").join(read, "shard").withColumn("salt", salt)
+    placed = automata.drop("copies").unionByName(readers.drop("copies"), allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads", "doc_id")
     return materialize(placed.mapInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found", since=begin)
 
 
@@ -272,11 +322,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        anchors are the references. They are dealt to shards of about SHARD
        words by owner and segment, so neither a long document nor an owner of
        many passages makes a large automaton.
-    3. Every shard's suffix automaton is broadcast to the tasks that read it,
-       and the windows of other documents whose anchors it holds are streamed
-       past it for matching statistics. A document thus meets the shards that
-       can match it, not all of them, which would take the square of the corpus.
-       A state knows the smallest id it occurs in.
+    3. Every shard's suffix automaton is built once and stored as flat arrays,
+       which the tasks load that read it; the windows of other documents whose
+       anchors it holds are streamed past it for matching statistics. A document
+       thus meets the shards that can match it, not all of them, which would
+       take the square of the corpus. A state knows the smallest id it occurs in.
     4. A window that is in no reference, though an earlier document has its
        anchor, may still start in an earlier document other than the owner. Such
        windows are met by their hash with the smallest id that has them left,

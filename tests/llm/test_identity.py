@@ -4,6 +4,7 @@ import base64
 import random
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 from brute import base_statistics, cut_windows, invented, near, sha
@@ -137,11 +138,12 @@ def test_automaton_knows_the_earliest_document():
         for i, t in texts.items():
             automaton.add(t, i)
         automaton.finish()
+        stored = substring_dedup.FlatAutomaton(automaton.flat())
         for least in (1, 3, 6):
             asked = [rng.randrange(3) for _ in range(60)]
             for limit in (0, 10, 60):
                 want = [any(j < limit and t[k:k + least] == asked[i:i + least] for j, t in texts.items() for k in range(len(t) - least + 1)) for i in range(60 - least + 1)]
-                assert automaton.earlier(asked, least, limit).tolist() == want
+                assert stored.earlier(np.array(asked, np.int64), least, limit).tolist() == want
 
 
 def test_passages_in_small_shards(spark, monkeypatch):
