@@ -1,9 +1,11 @@
 """Intervals, subtree edits and sample files as streams."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spr import apply_spr
+from ..sources.scratch import scratch_folder
 
 
 def _tiled(intervals: DataFrame, width: int, late: str) -> DataFrame:
@@ -39,6 +41,50 @@ def stream_segments(intervals: DataFrame, width: int, late: str = "1 hour") -> D
     return found.select("chrom", "start", "stop", F.size("over").alias("n"), F.aggregate("over", F.lit(0.0), lambda s, x: s + x["value"]).alias("total"))
 
 
+_OPEN = "starts array<long>, stops array<long>, values array<double>, done long"
+
+
+def _settled(starts, stops, values, done: int | None, until: int):
+    """Segments of constant membership that end at `until` at the latest, from `done` on, and where the last of them ends."""
+    ends = np.unique(np.concatenate((starts, stops)))
+    ends = ends[(ends <= until) & (ends >= (done if done is not None else ends[0]))]
+    if len(ends) < 2:
+        return [], done
+    change, total = np.zeros(len(ends) + 1, np.int64), np.zeros(len(ends) + 1)
+    for places, sign in ((np.searchsorted(ends, starts), 1), (np.searchsorted(ends, stops), -1)):
+        np.add.at(change, places, sign)
+        np.add.at(total, places, sign * values)
+    n, sums = np.cumsum(change)[: len(ends) - 1], np.cumsum(total)[: len(ends) - 1]
+    # what began before the first end counts from it on
+    rows = [(int(a), int(b), int(k), float(t)) for a, b, k, t in zip(ends, ends[1:], n, sums) if k > 0]
+    return rows, int(ends[-1])
+
+
+def stream_maximal_segments(intervals: DataFrame, late: int = 0) -> DataFrame:
+    """chrom, start, stop, n, total as stream_segments(), but not cut at tiles: a segment is given once no interval can end or begin inside it any more.
+
+    An interval may come at most `late` positions behind the largest start so
+    far. The state of a chromosome is the intervals that go on beyond what has
+    been given, carried from batch to batch; a chromosome is one key. A last
+    interval beyond all others settles the rest and is itself never given.
+    """
+
+    def step(key, frames, state):
+        new = pd.concat(list(frames))
+        starts, stops, values = (new[c].to_numpy(kind) for c, kind in (("start", np.int64), ("stop", np.int64), ("value", float)))
+        done = None
+        if state.exists:
+            a, b, v, done = state.get
+            done = done if done >= 0 else None
+            starts, stops, values = np.concatenate((a, starts)).astype(np.int64), np.concatenate((b, stops)).astype(np.int64), np.concatenate((v, values)).astype(float)
+        rows, done = _settled(starts, stops, values, done, int(starts.max()) - late)
+        keep = stops > (done if done is not None else -1)
+        state.update((starts[keep].tolist(), stops[keep].tolist(), values[keep].tolist(), done if done is not None else -1))
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["chrom", "start", "stop", "n", "total"])
+
+    return intervals.groupBy("chrom").applyInPandasWithState(step, "chrom string, start long, stop long, n long, total double", _OPEN, "append", "NoTimeout")
+
+
 _STATE = "ptree array<int>, age array<double>, start long"
 _REPLAYED = "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>"
 
@@ -71,4 +117,16 @@ def stream_replay(events: DataFrame) -> DataFrame:
 
 def stream_sample_files(spark, path: str, schema: str) -> DataFrame:
     """New sample files of a growing folder as they come, with the sample number from the file's name."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("sample", F.regexp_extract(F.col("_metadata.file_path"), r"\.(\d+)\.[^/]*$", 1).cast("long"))
+    return spark.readStream.schema(schema).parquet(path).withColumn("sample", F.regexp_extract(F.col("_metadata.file_path"), r"\.(\d+)\.[^/]*(?:/part-[^/]*)?$", 1).cast("long"))
+
+
+def run_in_parts(make, parts: list[DataFrame], name: str) -> DataFrame:
+    """What a stream gives of rows that come in parts: each part is written, the stream takes up what is new where it stopped, and its output is read back as a table. Files are in the shared folder."""
+    spark, path = parts[0].sparkSession, scratch_folder(parts[0].sparkSession, name)
+    parts[0].limit(0).write.parquet(f"{path}/in")  # a stream needs its folder
+    out = make(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"))
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")

@@ -55,3 +55,16 @@ def test_sample_files(spark, tmp_path):
         next((tmp_path / f"tmp{sample}").glob("*.parquet")).rename(tmp_path / "in" / f"out.{sample}.parquet")
     stream = segments.stream_sample_files(spark, f"{tmp_path}/in", "name string")
     assert sorted((r["sample"], r.name) for r in run(stream, f"{tmp_path}/c", "files")) == [(3, "x3"), (12, "x12")]
+
+
+def test_maximal_segments_over_batches(spark):
+    """Whatever the parts, the segments are those of all rows at once; intervals go on over many parts, and one comes late."""
+    rng = random.Random(9)
+    rows = sorted([(rng.choice("xy"), a := rng.randrange(3000), a + rng.choice([1, 7, 60, 900, 2500]), float(rng.randint(1, 9))) for _ in range(150)], key=lambda r: r[1])
+    schema = "chrom string, start long, stop long, value double"
+    parts = [rows[:1], rows[1:40], rows[40:41], rows[42:100], [rows[41], *rows[100:]], [(c, 10**6, 10**6 + 1, 0.0) for c in "xy"]]
+    found = segments.run_in_parts(lambda s: segments.stream_maximal_segments(s, 3000), [spark.createDataFrame(p, schema) for p in parts], "maximal").collect()
+    held = {}
+    for r in intersect_samples(spark.createDataFrame(rows, schema), 64).collect():
+        held.setdefault((r.chrom, r.start, r.stop), []).append(r.value)
+    assert sorted((r.chrom, r.start, r.stop, r.n, r.total) for r in found) == sorted((*k, len(v), sum(v)) for k, v in held.items())
