@@ -26,6 +26,23 @@ def time_grid(n: int, top: float, delta: float = 0.01) -> list[float]:
     return [(math.exp(i * scale) - 1) / delta for i in range(n)]
 
 
+def grid_up_to(top: Column, n: int, delta: float = 0.01) -> Column:
+    """time_grid() as an array, up to the `top` of each row."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.exp(i * F.log(1 + delta * top) / (n - 1)) - 1) / delta)
+
+
+def steps_of(times: Column) -> Column:
+    """Of an array of times, for each interval: its length (step), the lengths to and from its geometric middle (lower_half, upper_half), and the time of the even grid with as many times (linear)."""
+    last = F.element_at(times, -1)
+
+    def interval(a, i):
+        b = F.get(times, i + 1)
+        middle = F.sqrt((a + 1) * (b + 1))
+        return F.struct((b - a).alias("step"), (middle - a).alias("lower_half"), (b - middle).alias("upper_half"), (i * last / (F.size(times) - 1)).alias("linear"))
+
+    return F.transform(F.slice(times, F.lit(1), F.size(times) - 1), interval)
+
+
 def nearest_time(age: Column, grid: list[float]) -> Column:
     """Index of the ascending grid's time nearest to `age`; of two equally near the earlier. A search over the midpoints: as many comparisons as halvings."""
 

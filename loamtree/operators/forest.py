@@ -288,6 +288,111 @@ def ancestral_states(ptree: pd.Series, col: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"bases": ["".join(x) for x in f.lists(letters)], "mutated": f.lists(f.place, changed), "derived": f.lists(letters.astype(object), changed)})
 
 
+_CANONICAL = T.StructType([T.StructField("ptree", T.ArrayType(T.IntegerType())), T.StructField("age", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_CANONICAL)
+def canonical(ptree: pd.Series, age: pd.Series) -> pd.DataFrame:
+    """The same tree with its joints numbered by leaves below them, then by the smallest of these: trees that differ in numbers alone become equal."""
+    f = Forest(ptree, age)
+    leaf = np.flatnonzero(f.leaf)
+    count, least = f.below(leaf), np.full(len(f.parent), np.iinfo(np.int64).max)
+    own, up = f.place[leaf], leaf
+    while len(up):
+        np.minimum.at(least, up, own)
+        own, up = own[f.parent[up] >= 0], f.parent[up]
+        up = up[up >= 0]
+    order = np.lexsort((least, np.where(f.leaf, 0, count), f.tree))  # nested joints differ in count, apart ones in their smallest leaf
+    number = np.empty(len(order), np.int64)
+    number[order] = f.place  # places run through each tree in turn
+    parents = np.where(f.parent >= 0, number[f.parent], -1)[order]
+    return pd.DataFrame({"ptree": f.lists(parents), "age": f.lists(f.age[order])})
+
+
+_REROOTED = T.StructType([T.StructField("ptree", T.ArrayType(T.IntegerType())), T.StructField("length", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_REROOTED)
+def rerooted(node: pd.Series, share: pd.Series, ptree: pd.Series, age: pd.Series) -> pd.DataFrame:
+    """Parents and branch lengths of a binary tree with its root on the branch above `node`, a share of the branch from it. The root keeps its number; paths between leaves keep their lengths."""
+    f = Forest(ptree, age)
+    length = np.where(f.parent >= 0, f.age[f.parent] - f.age, 0.0)
+    x = node.to_numpy(np.int64) + f.first[:-1]
+    root = np.flatnonzero(f.parent < 0)
+    parent, out = f.parent.copy(), length.copy()
+    below = np.zeros(len(parent), np.int64)
+    inner = np.flatnonzero(f.parent >= 0)
+    np.add.at(below, f.parent[inner], inner)
+    if (f.parent[x] < 0).any():
+        raise ValueError("the root has no branch above it")
+    # the cut branch: its upper end hangs from the new root, or the root's other child if that end was the root
+    at, up, given = x, f.parent[x], share.to_numpy(float)
+    parent[x], out[x] = root, given * length[x]
+    rest = (1 - given) * length[x]
+    first = np.ones(len(x), bool)
+    while len(at):
+        top = f.parent[up] < 0
+        side = below[up] - at  # the other child of the root
+        hang = np.where(top, side, up)
+        parent[hang] = np.where(first, root[f.tree[at]], at)
+        out[hang] = np.where(top, length[side], 0.0) + np.where(first, rest[f.tree[at]], length[at])
+        at, up, first = up[~top], f.parent[up[~top]], np.zeros((~top).sum(), bool)
+    local = np.where(parent >= 0, f.place[parent], -1)
+    return pd.DataFrame({"ptree": f.lists(local), "length": f.lists(out)})
+
+
+@F.pandas_udf(T.DoubleType())
+def longest_path(ptree: pd.Series, length: pd.Series) -> pd.Series:
+    """The longest path between two leaves, by branch lengths: at each joint the two deepest sides, level by level."""
+    f = Forest(ptree, length)
+    deep, longest, depth = np.zeros(len(f.parent)), np.zeros(len(f.sizes)), f.depth()
+    for d in range(int(depth.max(initial=0)), 0, -1):
+        nodes = np.flatnonzero(depth == d)
+        reach = deep[nodes] + f.age[nodes]
+        up = f.parent[nodes]
+        order = np.lexsort((-reach, up))
+        nodes, reach, up = nodes[order], reach[order], up[order]
+        head = np.concatenate(([True], up[1:] != up[:-1])) if len(up) else np.zeros(0, bool)
+        second = np.flatnonzero(head[:-1] & ~head[1:]) + 1
+        np.maximum.at(longest, f.tree[up[second]], reach[second] + reach[second - 1])
+        deep[up[head]] = reach[head]
+    return pd.Series(longest)
+
+
+@F.pandas_udf(T.DoubleType())
+def path_correlation(ptree: pd.Series, other: pd.Series) -> pd.Series:
+    """Correlation, over all pairs of leaves, of the numbers of branches between them in two trees of the same leaves; null where either does not vary."""
+
+    def paths(f: Forest) -> list[np.ndarray]:
+        """For each tree the branches between each two leaves: the ancestors of each, less those of both."""
+        leaf = np.flatnonzero(f.leaf)
+        rows, columns, up, own = [], [], leaf, f.place[leaf]
+        while len(up):
+            rows.append(up)
+            columns.append(own)
+            own, up = own[f.parent[up] >= 0], f.parent[up]
+            up = up[up >= 0]
+        rows, columns = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*columns, np.zeros(0, np.int64)])
+        order = np.argsort(rows, kind="stable")
+        rows, columns = rows[order], columns[order]
+        cut = np.searchsorted(rows, f.first)
+        out = []
+        for a, b, start, size in zip(cut, cut[1:], f.first, f.sizes):
+            held = np.zeros((size, (size + 1) // 2))
+            held[rows[a:b] - start, columns[a:b]] = 1
+            both = held.T @ held
+            own = np.diag(both)
+            out.append((own[:, None] + own - 2 * both)[np.triu_indices(len(own), 1)])
+        return out
+
+    found = []
+    for a, b in zip(paths(Forest(ptree)), paths(Forest(other))):
+        a, b = a - a.mean() if len(a) else a, b - b.mean() if len(b) else b
+        spread = np.sqrt((a * a).sum() * (b * b).sum())
+        found.append(float((a * b).sum() / spread) if spread > 0 else None)
+    return pd.Series(found, dtype=object)
+
+
 _FAMILY = T.StructType([T.StructField("parent", T.ArrayType(T.IntegerType())), T.StructField("clades", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("conflict", T.ArrayType(T.IntegerType()))])
 
 

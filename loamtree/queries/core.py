@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..functions.scalar import nearest_time, rank_quantile, time_grid
+from ..functions.scalar import grid_up_to, nearest_time, rank_quantile, time_grid
 from ..operators import forest, intervals as iv, ordered, sites as st, spr, trees as tr
 from ..plans import summaries
 from ..sources.newick import format_newick, parse_newick
@@ -359,9 +359,11 @@ def nearest_grid_time(spark, d):
     return table(spark, d, "lineitem").groupBy("l_quantity", nearest_time(F.col("l_quantity"), GRID).alias("time_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT CAST(i AS INT) AS i, round((exp(i * {math.log(1 + 0.01 * 400.0)} / 11) - 1) / 0.01, 6) AS t FROM (SELECT unnest(range(12)) AS i)")
+@query(f"WITH {JOINTS_SQL}, tops AS (SELECT k % 4 AS sample, max(age) AS top FROM joints GROUP BY 1) SELECT sample, CAST(i AS INT) AS i, round((exp(i * ln(1 + 0.01 * top) / 11) - 1) / 0.01, 6) AS t FROM tops, (SELECT unnest(range(12)) AS i)")
 def time_points(spark, d):
-    return rounded(spark.createDataFrame(list(enumerate(GRID)), "i int, t double"), "t")
+    """A grid of twelve times for each sample, up to the oldest joint of its trees."""
+    tops = trees(spark, d).groupBy("sample").agg(F.max(tr.tmrca()).alias("top"))
+    return rounded(tops.select("sample", F.posexplode(grid_up_to(F.col("top"), 12)).alias("i", "t")), "t")
 
 
 @query("SELECT user_id, round(max(value) + ln(sum(exp(value - m))), 6) AS total FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id")

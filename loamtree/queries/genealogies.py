@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalogue import query
-from ..functions.scalar import half_steps, linear_grid, population_sizes, round_time, snapped_time, time_steps
+from ..functions.scalar import grid_up_to, round_time, snapped_time, steps_of
 from ..operators import forest, intervals as iv, ordered, sites as st, trees as tr
 from ..plans import popsizes, priors
 from ..sources.scratch import stored
@@ -193,11 +193,13 @@ def clade_points(spark, d):
 _GRID_SQL = f"(SELECT {GRID} AS g)"
 
 
-@query(f"SELECT CAST(i AS INT) AS i, round(CAST(g[i + 2] - g[i + 1] AS DOUBLE), 6) AS step, round(sqrt((g[i + 1] + 1) * (g[i + 2] + 1)) - g[i + 1], 6) AS lower_half, round(g[i + 2] - sqrt((g[i + 1] + 1) * (g[i + 2] + 1)), 6) AS upper_half, round(i * 400.0 / 11, 6) AS linear, 10000.0::DOUBLE AS popsize FROM range(11) t(i), {_GRID_SQL}")
+@query(f"""WITH {JOINTS_SQL}, tops AS (SELECT k % 4 AS sample, max(age) AS top, CAST(count(DISTINCT k) AS DOUBLE) AS popsize FROM joints GROUP BY 1), t AS (SELECT sample, top, popsize, i, (exp(i * ln(1 + 0.01 * top) / 11) - 1) / 0.01 AS a, (exp((i + 1) * ln(1 + 0.01 * top) / 11) - 1) / 0.01 AS b FROM tops, (SELECT unnest(range(11)) AS i))
+SELECT sample, CAST(i AS INT) AS i, round(b - a, 6) AS step, round(sqrt((a + 1) * (b + 1)) - a, 6) AS lower_half, round(b - sqrt((a + 1) * (b + 1)), 6) AS upper_half, round(i * top / 11, 6) AS linear, popsize FROM t""")
 def time_intervals(spark, d):
-    steps, halves, linear, sizes = time_steps(GRID), half_steps(GRID), linear_grid(len(GRID), 400.0), population_sizes(10000, GRID)
-    rows = [(i, s, halves[2 * i], halves[2 * i + 1], linear[i], sizes[i]) for i, s in enumerate(steps)]
-    return rounded(spark.createDataFrame(rows, "i int, step double, lower_half double, upper_half double, linear double, popsize double"), "step", "lower_half", "upper_half", "linear")
+    """Of each sample's grid up to its oldest joint; its trees as the size at every time."""
+    tops = trees(spark, d).groupBy("sample").agg(F.max(tr.tmrca()).alias("top"), F.count(F.lit(1)).cast("double").alias("popsize"))
+    rows = tops.select("sample", "popsize", F.posexplode(steps_of(grid_up_to(F.col("top"), 12))).alias("i", "x")).select("sample", "i", "x.*", "popsize")
+    return rounded(rows, "step", "lower_half", "upper_half", "linear")
 
 
 @query(f"""SELECT l_quantity, CAST(coalesce((SELECT min(i) - 1 FROM range(1, {len(GRID) + 1}) t(i), {_GRID_SQL} WHERE g[i] >= l_quantity), {len(GRID) - 1}) AS INT) AS up,

@@ -1,13 +1,15 @@
 """A further lineage on each tree: where it joins, where it moves, how likely its base is; ancestral bases. The trees are tables.bushy_trees()."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalogue import query
 from ..functions.scalar import half_steps, time_steps
 from ..operators import forest, intervals as iv
 from ..plans import joining, likelihood
-from ..tables import NODES_SQL, SITES_SQL, bushy_trees, sites, table
-from .core import GRID, _sql_bin
+from ..sources.scratch import stored
+from ..tables import NODES_SQL, SITES_SQL, bushy_trees, sites, table, trees
+from .core import GRID, _sql_bin, rounded
 
 TOP = len(GRID) - 2
 #: Population size at each grid time, recombination and mutation rate, and the factor of a place that needs a change of its own.
@@ -143,3 +145,43 @@ def mutations_by_branch(spark, d):
 def parsimony_costs(spark, d):
     """The fewest changes of each site on its tree, R standing for G; N may be any base."""
     return _on_trees(spark, d).select("pos", forest.parsimony_cost("ptree", "col").alias("cost"))
+
+
+@query(f"""WITH {NODES_SQL}, runs AS (SELECT g.k, g.size, g.r, g.age, coalesce((SELECT max(o.i) FROM gaps o WHERE o.k = g.k AND o.i < g.i AND o.r > g.r), 0) AS lo, coalesce((SELECT min(o.i) FROM gaps o WHERE o.k = g.k AND o.i > g.i AND o.r > g.r), g.size) AS hi FROM gaps g),
+numbered AS (SELECT k, size + r AS node, size + row_number() OVER (PARTITION BY k ORDER BY hi - lo, lo) - 1 AS number FROM runs UNION ALL SELECT k, node, node FROM nodes WHERE node < size)
+SELECT n.k * 10 AS start, list(CAST(coalesce(u.number, -1) AS INT) ORDER BY x.number) AS ptree, list(n.age ORDER BY x.number) AS age FROM nodes n JOIN numbered x ON x.k = n.k AND x.node = n.node LEFT JOIN numbered u ON u.k = n.k AND u.node = n.up GROUP BY n.k""")
+def canonical_trees(spark, d):
+    """Joints numbered by what is below them, of trees whose joints are first numbered backwards."""
+    n = (F.size("ptree") + 1) / 2
+    turned = lambda x: F.when(x >= n, 3 * n - 2 - x).otherwise(x).cast("int")
+    nodes = F.sequence(F.lit(0), F.size("ptree") - 1)
+    backwards = bushy_trees(spark, d).select("start", F.transform(nodes, lambda x: turned(F.get("ptree", turned(x)))).alias("ptree"), F.transform(nodes, lambda x: F.get("age", turned(x))).alias("age"))
+    return backwards.select("start", forest.canonical("ptree", "age").alias("t")).select("start", "t.ptree", "t.age")
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, up_ AS (SELECT k, node AS leaf, node, CAST(0 AS DOUBLE) AS d FROM nodes WHERE node < size UNION ALL SELECT u.k, leaf, n.up, d + p.age - n.age FROM up_ u JOIN nodes n ON n.k = u.k AND n.node = u.node JOIN nodes p ON p.k = n.k AND p.node = n.up),
+pairs AS (SELECT a.k, a.leaf AS a, b.leaf AS b, min(a.d + b.d) AS d FROM up_ a JOIN up_ b ON b.k = a.k AND b.node = a.node AND b.leaf > a.leaf GROUP BY ALL)
+SELECT k * 10 AS start, round(sum(d), 6) AS path_sum, round(max(d), 6) AS longest FROM pairs GROUP BY k""")
+def rerooted_paths(spark, d):
+    """Sum and largest of the paths between leaves, after the root has moved to the middle of the branch above the last leaf: as before."""
+    last = ((F.size("ptree") - 1) / 2).cast("int")
+    moved = stored(bushy_trees(spark, d).select("start", forest.rerooted(last, F.lit(0.5), "ptree", "age").alias("t")).select("start", "t.ptree", "t.length"), "rerooted")
+    rows = moved.select("start", F.posexplode(F.arrays_zip("ptree", "length")).alias("node", "x")).select("start", "node", "x.ptree", "x.length")
+    held = moved.select("start", F.posexplode(forest.clades("ptree")).alias("node", "leaves")).select("start", "node", F.size("leaves").alias("m"))
+    n = F.max("m").over(Window.partitionBy("start"))
+    crossed = rows.join(held, ["start", "node"]).withColumn("n", n)
+    sums = crossed.groupBy("start").agg(F.sum(F.col("length") * F.col("m") * (F.col("n") - F.col("m"))).alias("path_sum"))
+    return rounded(sums.join(moved.select("start", forest.longest_path("ptree", "length").alias("longest")), "start"), "path_sum", "longest")
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, sizes AS (SELECT k, any_value(size) AS size FROM nodes GROUP BY k),
+ladder AS (SELECT k, i AS node, size + greatest(i - 1, 0) AS up FROM sizes, range(size) t(i) UNION ALL SELECT k, size + j, CASE WHEN j < size - 2 THEN size + j + 1 END FROM sizes, range(size - 1) t(j)),
+both_ AS (SELECT 1 AS t, k, node, up FROM nodes UNION ALL SELECT 2, k, node, up FROM ladder),
+up_ AS (SELECT t, b.k, node AS leaf, node, 0 AS d FROM both_ b JOIN sizes s ON s.k = b.k AND node < s.size UNION ALL SELECT u.t, u.k, leaf, b.up, d + 1 FROM up_ u JOIN both_ b ON b.t = u.t AND b.k = u.k AND b.node = u.node WHERE b.up IS NOT NULL),
+pairs AS (SELECT a.t, a.k, a.leaf AS a, b.leaf AS b, min(a.d + b.d) AS d FROM up_ a JOIN up_ b ON b.t = a.t AND b.k = a.k AND b.node = a.node AND b.leaf > a.leaf GROUP BY ALL)
+SELECT x.k * 10 AS start, round(CASE WHEN stddev_pop(x.d) > 0 AND stddev_pop(y.d) > 0 THEN corr(x.d, y.d) END, 6) AS correlation FROM pairs x JOIN pairs y ON y.t = 2 AND y.k = x.k AND y.a = x.a AND y.b = x.b WHERE x.t = 1 GROUP BY x.k""")
+def path_correlations(spark, d):
+    """Of two trees of each order, of any shape and a ladder."""
+    other = trees(spark, d).select("start", F.col("ptree").alias("ladder"))
+    found = bushy_trees(spark, d).select("start", "ptree").join(other, "start")
+    return rounded(found.select("start", forest.path_correlation("ptree", "ladder").alias("correlation")), "correlation")

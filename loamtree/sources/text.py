@@ -37,11 +37,35 @@ def site_violations(sites: DataFrame, names: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).filter("reason IS NOT NULL").select("file", "chrom", "pos", "reason")
 
 
+def _write_ranges(body: DataFrame, header: list[str], keys: list[str], path: str) -> None:
+    """Lines (value) in files by ranges of the keys, in order, each file with the header of its own that readers join its lines to. Without lines there is one file of the header."""
+
+    def headed(batches):
+        from pyspark import TaskContext
+
+        import pyarrow as pa
+
+        due = True
+        for batch in batches:
+            if due and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(header)], ["value"])
+                due = False
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+        if due and TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(header)], ["value"])
+
+    body.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").mapInArrow(headed, "value string").write.text(path)
+
+
 def write_sites(sites: DataFrame, names: list[str], chrom: str, start: int, stop: int, path: str) -> None:
-    """One text file of one chromosome with 1-based positions, as the format asks for; a header and a sorted body."""
-    head = sites.sparkSession.createDataFrame([(-2, "NAMES\t" + "\t".join(names)), (-1, f"REGION\t{chrom}\t{start + 1}\t{stop}")], "at long, value string")
+    """Text files of one chromosome by ranges of positions, 1-based as the format asks for: each has the names, the whole region and a sorted body."""
     body = sites.filter(F.col("chrom") == chrom).select(F.col("pos").alias("at"), F.concat_ws("\t", (F.col("pos") + 1).cast("string"), "col").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    _write_ranges(body, ["NAMES\t" + "\t".join(names), f"REGION\t{chrom}\t{start + 1}\t{stop}"], ["at"], path)
+
+
+def variable_sites(sites: DataFrame) -> DataFrame:
+    """Sites whose column has two symbols or more: what write_sites() is given where invariant columns are not to be kept."""
+    return sites.filter(F.replace("col", F.substring("col", 1, 1), F.lit("")) != "")
 
 
 def read_smc(spark: SparkSession, path, sample: str = r"\.(\d+)\.[^/]*$") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,8 +76,8 @@ def read_smc(spark: SparkSession, path, sample: str = r"\.(\d+)\.[^/]*$") -> tup
     recomb_time coal_node coal_time, pos being the last base of the left block,
     which is the first of the right one counted from 0.
     """
-    lines = _lines(spark, path).withColumn("sample", F.regexp_extract("file", sample, 1).cast("long"))
-    names = lines.filter(F.col("value").startswith("NAMES\t")).select("sample", F.posexplode(F.slice(F.split("value", "\t"), 2, 1 << 20)).alias("place", "name"))
+    lines = _lines(spark, path).withColumn("sample", F.regexp_extract("file", sample, 1).try_cast("long"))
+    names = lines.filter(F.col("value").startswith("NAMES\t")).select("sample", F.posexplode(F.slice(F.split("value", "\t"), 2, 1 << 20)).alias("place", "name")).distinct()
     chroms = F.broadcast(lines.filter(F.col("value").startswith("REGION\t")).select("file", _field(1).alias("chrom")))
     trees = lines.filter(F.col("value").startswith("TREE\t")).join(chroms, "file")
     sprs = lines.filter(F.col("value").startswith("SPR\t")).join(chroms, "file")
@@ -65,13 +89,13 @@ def read_smc(spark: SparkSession, path, sample: str = r"\.(\d+)\.[^/]*$") -> tup
 
 
 def write_smc(trees: DataFrame, sprs: DataFrame, names: list[str], chrom: str, path: str) -> None:
-    """One text file of one sample and chromosome: trees and edits in order."""
+    """Text files of one sample and chromosome by ranges of positions, trees and edits in order; each has the names and the whole region."""
     ends = trees.filter(F.col("chrom") == chrom).agg(F.min("start"), F.max("stop")).first()
-    head = trees.sparkSession.createDataFrame([(-2, 0, "NAMES\t" + "\t".join(names)), (-1, 0, f"REGION\t{chrom}\t{ends[0] + 1}\t{ends[1]}")], "at long, kind int, value string")
+    header = ["NAMES\t" + "\t".join(names), f"REGION\t{chrom}\t{(ends[0] or 0) + 1}\t{ends[1] or 0}"]
     text = lambda *cs: F.concat_ws("\t", *[c.cast("string") for c in cs])
     body = trees.filter(F.col("chrom") == chrom).select(F.col("start").alias("at"), F.lit(1).alias("kind"), text(F.lit("TREE"), F.col("start") + 1, F.col("stop"), F.col("newick")).alias("value"))
     edits = sprs.filter(F.col("chrom") == chrom).select(F.col("pos").alias("at"), F.lit(0).alias("kind"), text(F.lit("SPR"), *[F.col(c) for c in ("pos", "recomb_node", "recomb_time", "coal_node", "coal_time")]).alias("value"))
-    head.unionByName(body).unionByName(edits).coalesce(1).sortWithinPartitions("at", "kind").select("value").write.text(path)
+    _write_ranges(body.unionByName(edits), header, ["at", "kind"], path)
 
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
@@ -228,11 +252,10 @@ def last_iteration(stats: DataFrame) -> DataFrame:
 
 
 def write_arg(nodes: DataFrame, start: int, stop: int, path: str) -> None:
-    """One graph file: a header, then name, event, age, pos, parents, children of each node."""
-    head = nodes.sparkSession.createDataFrame([(0, f"start={start}\tend={stop}"), (1, "name\tevent\tage\tpos\tparents\tchildren")], "at int, value string")
+    """Graph files by ranges of names: each has the header, then name, event, age, pos, parents, children of each node."""
     lists = [F.array_join(c, ",") for c in ("parents", "children")]
-    body = nodes.select(F.lit(2).alias("at"), F.concat_ws("\t", "name", "event", F.col("age").cast("string"), F.col("pos").cast("string"), *lists).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    body = nodes.select("name", F.concat_ws("\t", "name", "event", F.col("age").cast("string"), F.col("pos").cast("string"), *lists).alias("value"))
+    _write_ranges(body, [f"start={start}\tend={stop}", "name\tevent\tage\tpos\tparents\tchildren"], ["name"], path)
 
 
 def clip_smc(trees: DataFrame, sprs: DataFrame, chrom: str, start: int, stop: int) -> tuple[DataFrame, DataFrame]:

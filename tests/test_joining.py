@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from loamtree.functions.scalar import half_steps, time_grid, time_steps
+from loamtree.operators import forest
 from loamtree.operators.forest import Forest
 from loamtree.plans import joining, likelihood
 from loamtree.plans.joining import JoinTimes
@@ -219,3 +220,50 @@ def test_whole_likelihood_is_the_sum_over_bases(spark):
     f = Forest(pd.Series([parents]), pd.Series([ages]))
     each = likelihood.SiteMessages(f, np.array([len(sites) + 1]), "".join(c for _, _, c in sites) + "AAAA", 1e-3).likelihood()
     assert got == pytest.approx(np.log(each[:-1]).sum() + (1010 - 700) * np.log(each[-1]), rel=1e-9)
+
+
+def leaf_paths(parents, length):
+    n = (len(parents) + 1) // 2
+    up = lambda x: [x, *(up(parents[x]) if parents[x] >= 0 else [])]
+    out = {}
+    for a in range(n):
+        for b in range(a):
+            one, two = up(a), up(b)
+            out[a, b] = sum(length[x] for x in set(one) ^ set(two))
+    return out
+
+
+def test_rerooting_keeps_all_paths():
+    rng = random.Random(8)
+    for n in (2, 3, 5, 9):
+        p, a = random_tree(rng, n, on_grid=False)
+        length = [a[up] - a[x] if up >= 0 else 0.0 for x, up in enumerate(p)]
+        nodes = [x for x, up in enumerate(p) if up >= 0]
+        found = forest.rerooted.func(pd.Series(nodes), pd.Series([0.3] * len(nodes)), pd.Series([p] * len(nodes)), pd.Series([a] * len(nodes)))
+        for x, q, b in zip(nodes, found.ptree, found.length):
+            q, b = q.tolist(), b.tolist()
+            assert q.count(-1) == 1 and q[p.index(-1)] == -1 and sorted(q) == sorted(p) and q[x] == p.index(-1)
+            assert b[x] == pytest.approx(0.3 * length[x])
+            want = leaf_paths(p, length)
+            assert leaf_paths(q, b) == pytest.approx(want)
+            assert forest.longest_path.func(pd.Series([q]), pd.Series([b]))[0] == pytest.approx(max(want.values()))
+    with pytest.raises(ValueError):
+        forest.rerooted.func(pd.Series([2]), pd.Series([0.5]), pd.Series([[2, 2, -1]]), pd.Series([[0.0, 0.0, 1.0]]))
+
+
+def test_canonical_form_and_path_correlation():
+    rng = random.Random(9)
+    for n in (2, 3, 4, 8, 15):
+        (p, a), (q, _) = random_tree(rng, n, on_grid=False), random_tree(rng, n, on_grid=False)
+        new = list(range(n)) + rng.sample(range(n, 2 * n - 1), n - 1)
+        turned, ages = [0] * len(p), [0.0] * len(p)
+        for x, up in enumerate(p):
+            turned[new[x]], ages[new[x]] = (new[up] if up >= 0 else -1), a[x]
+        one = forest.canonical.func(pd.Series([p, turned, q]), pd.Series([a, ages, a]))
+        assert one.ptree[0].tolist() == one.ptree[1].tolist() and one.age[0].tolist() == one.age[1].tolist()
+        clades = lambda t: {frozenset(y for y in range(n) if x in path(t, y)) for x in range(len(t))}
+        path = lambda t, y: [y, *(path(t, t[y]) if t[y] >= 0 else [])]
+        assert (one.ptree[0].tolist() == one.ptree[2].tolist()) == (clades(p) == clades(q))
+        d, e = (np.array([v for _, v in sorted(leaf_paths(t, [1] * len(t)).items())], float) for t in (p, q))
+        got = forest.path_correlation.func(pd.Series([p]), pd.Series([q]))[0]
+        assert got is None if d.std() == 0 or e.std() == 0 else got == pytest.approx(np.corrcoef(d, e)[0, 1])

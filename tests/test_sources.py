@@ -65,3 +65,23 @@ def test_layout_of_a_region(spark, tmp_path):
 def test_short_lists(spark, tmp_path):
     (tmp_path / "times").write_text("0\n10.5\n\n 200 \n")
     assert text.read_lines(spark, f"{tmp_path}/times") == ["0", "10.5", "200"]
+
+
+def test_long_files_go_in_ranges(spark, tmp_path):
+    """Many parts, each with its header, are read back as one set; no lines are a header alone."""
+    rows = [("c", p, "ACGT"[p % 4] * 2) for p in range(0, 4000, 2)]
+    frame = spark.createDataFrame(rows, "chrom string, pos long, col string")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        text.write_sites(frame, ["n1", "n2"], "c", 0, 5000, f"{tmp_path}/s")
+        text.write_sites(frame.limit(0), ["n1", "n2"], "c", 0, 5000, f"{tmp_path}/none")
+    finally:
+        spark.conf.set(conf, before)
+    assert len(list((tmp_path / "s").glob("part-*"))) > 3
+    sites, names = text.read_sites(spark, f"{tmp_path}/s")
+    assert sorted(r[1:] for r in map(tuple, sites.collect())) == rows
+    assert text.site_violations(sites, names).count() == 0 and {r.name for r in names.collect()} == {"n1", "n2"}
+    assert text.read_sites(spark, f"{tmp_path}/none")[0].count() == 0 and text.read_sites(spark, f"{tmp_path}/none")[1].count() == 2
+    assert text.variable_sites(spark.createDataFrame([("AA",), ("AC",), ("NN",), ("NA",)], "col string")).count() == 2
