@@ -38,11 +38,9 @@ def site_violations(sites: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _write_ranges(body: DataFrame, header: list[str], keys: list[str], path: str) -> None:
-    """Lines (value) in files by ranges of the keys, in order, each file with the header of its own that readers join its lines to. Without lines there is one file of the header."""
+    """Lines (value) in files by ranges of the keys, in order, each file with the header of its own that readers join its lines to. Without lines there is no header either."""
 
     def headed(batches):
-        from pyspark import TaskContext
-
         import pyarrow as pa
 
         due = True
@@ -51,8 +49,6 @@ def _write_ranges(body: DataFrame, header: list[str], keys: list[str], path: str
                 yield pa.RecordBatch.from_arrays([pa.array(header)], ["value"])
                 due = False
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
-        if due and TaskContext.get().partitionId() == 0:
-            yield pa.RecordBatch.from_arrays([pa.array(header)], ["value"])
 
     body.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").mapInArrow(headed, "value string").write.text(path)
 

@@ -68,7 +68,7 @@ def test_short_lists(spark, tmp_path):
 
 
 def test_long_files_go_in_ranges(spark, tmp_path):
-    """Many parts, each with its header, are read back as one set; no lines are a header alone."""
+    """Many parts, each with its header, are read back as one set; without lines there is nothing."""
     rows = [("c", p, "ACGT"[p % 4] * 2) for p in range(0, 4000, 2)]
     frame = spark.createDataFrame(rows, "chrom string, pos long, col string")
     conf = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -83,5 +83,5 @@ def test_long_files_go_in_ranges(spark, tmp_path):
     sites, names = text.read_sites(spark, f"{tmp_path}/s")
     assert sorted(r[1:] for r in map(tuple, sites.collect())) == rows
     assert text.site_violations(sites, names).count() == 0 and {r.name for r in names.collect()} == {"n1", "n2"}
-    assert text.read_sites(spark, f"{tmp_path}/none")[0].count() == 0 and text.read_sites(spark, f"{tmp_path}/none")[1].count() == 2
+    assert text.read_sites(spark, f"{tmp_path}/none")[0].count() == 0 and text.read_sites(spark, f"{tmp_path}/none")[1].count() == 0
     assert text.variable_sites(spark.createDataFrame([("AA",), ("AC",), ("NN",), ("NA",)], "col string")).count() == 2
