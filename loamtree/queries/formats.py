@@ -18,6 +18,15 @@ def sites_file(spark, d):
     return text.read_sites(spark, path)[0].drop("file")
 
 
+@query(f"""WITH {SITES_SQL} SELECT chrom, pos, CASE WHEN length(col) <> 4 THEN 'width' WHEN NOT regexp_matches(col, '^[ACGTN]+$') THEN 'symbol' WHEN times > 1 THEN 'repeated position' END AS reason
+FROM (SELECT *, count(*) OVER (PARTITION BY pos) AS times FROM (SELECT '1' AS chrom, pos // 2 AS pos, col FROM sites)) WHERE reason IS NOT NULL""")
+def site_faults(spark, d):
+    """Two sites a position, of a set of four names; other symbols than bases are faults too."""
+    found = sites(spark, d).select(F.lit("x").alias("file"), "chrom", F.expr("pos div 2").alias("pos"), "col")
+    names = table(spark, d, "nation").filter("n_nationkey < 4").select(F.lit("x").alias("file"), F.col("n_nationkey").alias("place"), F.col("n_name").alias("name"))
+    return text.site_violations(found, names).drop("file")
+
+
 @query(f"WITH {SITES_SQL} SELECT * FROM sites")
 def snp_bed_file(spark, d):
     path = scratch_folder(spark, "snps")
@@ -52,6 +61,15 @@ def _newick_trees(spark, d):
     return trees(spark, d).withColumn("newick", format_newick("ptree", "age", leaf))
 
 
+@query(f"WITH {JOINTS_SQL}, leaves AS (SELECT k, unnest(range(max(size))) AS x FROM joints GROUP BY k) SELECT k * 10 AS start, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT k, coalesce(n_name, CAST(x AS VARCHAR)) AS name FROM leaves LEFT JOIN nation ON n_nationkey = x) GROUP BY k")
+def named_leaves(spark, d):
+    """Trees read from Newick whose leaves get the nations' names by place; further leaves keep their numbers."""
+    parsed = _newick_trees(spark, d).select("start", parse_newick("newick").alias("tree"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name"))
+    found = text.renamed_leaves(parsed, names)
+    return found.select("start", F.array_join(F.array_sort(F.filter("names", lambda x: x != "")), ",").alias("names"))
+
+
 @query(f"WITH {JOINTS_SQL} SELECT k % 4 AS sample, '1' AS chrom, k * 10 AS start, k * 10 + 10 AS stop, max(age) AS tmrca, sum(age) + max(age) AS branchlen, array_to_string(range(max(size)), ',') AS leaves FROM joints GROUP BY k")
 def smc_files(spark, d):
     """A file for each of four samples, read as one set, with the sample's number from the file's name; trees are parsed from their text."""
