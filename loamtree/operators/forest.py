@@ -501,3 +501,20 @@ def lineages(grid: list[float]):
         return pd.DataFrame({"branches": list(f.branches(grid)), "points": list(f.points(grid))})
 
     return counted
+
+
+def inner_branches(grid: list[float]):
+    """A function of ptree and age: array of the branches that span each grid interval, that above the root left out."""
+    times = np.array(grid)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def counted(ptree: pd.Series, age: pd.Series) -> pd.Series:
+        f = Forest(ptree, age)
+        near = np.abs(f.age[:, None] - times[None, :]).argmin(axis=1)
+        inner = np.flatnonzero(f.parent >= 0)
+        edge = np.zeros((len(f.sizes), len(grid)), np.int64)
+        np.add.at(edge, (f.tree[inner], near[inner]), 1)
+        np.add.at(edge, (f.tree[inner], near[f.parent[inner]]), -1)
+        return pd.Series(list(np.cumsum(edge, axis=1)[:, :-1]))
+
+    return counted

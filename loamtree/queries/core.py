@@ -9,6 +9,7 @@ from ..functions.scalar import grid_up_to, nearest_time, rank_quantile, time_gri
 from ..operators import forest, intervals as iv, ordered, sites as st, spr, trees as tr
 from ..plans import summaries
 from ..sources.newick import format_newick, parse_newick
+from ..sources.scratch import stored
 from ..tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, one_track, points, sites, table, tracks, trees
 
 GRID = time_grid(12, 400.0, 0.01)
@@ -33,13 +34,13 @@ def _sql_quantile(values: str, q: float) -> str:
 
 @query(_SEGMENTS + " SELECT chrom, start, stop, count(*) AS n_samples, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_stdev FROM held GROUP BY ALL")
 def interval_intersection_summary(spark, d):
-    found = summaries.summarize_segments(t := tracks(spark, d), iv.choose_bin_width(t), ["value"])
+    found = summaries.summarize_segments(t := stored(tracks(spark, d), "tracks"), iv.choose_bin_width(t), ["value"])
     return rounded(found, "value_mean", "value_stdev")
 
 
 @query(_SEGMENTS + f", lists AS (SELECT chrom, start, stop, list_sort(list(value)) AS v FROM held GROUP BY ALL) SELECT chrom, start, stop, {_sql_quantile('v', 0.025)} AS low, {_sql_quantile('v', 0.5)} AS middle, {_sql_quantile('v', 0.975)} AS high FROM lists")
 def interval_quantiles(spark, d):
-    parts = iv.intersect_samples(t := tracks(spark, d).drop("sample"), iv.choose_bin_width(t)).groupBy("chrom", "start", "stop").agg(F.collect_list("value").alias("v"))
+    parts = iv.intersect_samples(t := stored(tracks(spark, d).drop("sample"), "tracks"), iv.choose_bin_width(t)).groupBy("chrom", "start", "stop").agg(F.collect_list("value").alias("v"))
     return parts.select("chrom", "start", "stop", *[F.round(rank_quantile(F.col("v"), q), 6).alias(n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
 
 
@@ -375,7 +376,7 @@ def log_sum(spark, d):
 r AS (SELECT m.chrom, m.start, m.stop, coalesce(c, 0) / len / n AS rate FROM m LEFT JOIN b USING (chrom, start))
 SELECT chrom, start, stop, round(rate, 6) AS rate, round(avg(rate) OVER (PARTITION BY chrom ORDER BY start RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING), 6) AS rate_near FROM r""")
 def recombination_rates(spark, d):
-    lengths = tracks(spark, d).drop("sample").withColumnRenamed("value", "branchlen")
+    lengths = stored(tracks(spark, d).drop("sample").withColumnRenamed("value", "branchlen"), "tracks")
     return rounded(summaries.recombination_rates(points(spark, d), lengths, iv.choose_bin_width(lengths), 60), "rate", "rate_near")
 
 
