@@ -10,7 +10,7 @@ from ..operators import forest, intervals as iv, ordered, sites as st, spr, tree
 from ..plans import summaries
 from ..sources.newick import format_newick, parse_newick
 from ..sources.scratch import stored
-from ..tables import JOINTS_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, one_track, points, sites, table, tracks, trees
+from ..tables import JOINTS_SQL, NODES_SQL, POINTS_SQL, SITES_SQL, TRACKS_SQL, bushy_trees, one_track, points, sites, table, tracks, trees
 
 GRID = time_grid(12, 400.0, 0.01)
 DISTANCE = 40
@@ -395,9 +395,10 @@ def majority_clades(spark, d):
     return tr.majority_clades(trees(spark, d).withColumn("leaves", F.size("ptree") - tr.n_leaves("ptree") + 1), ["leaves"]).select(F.col("leaves").cast("long").alias("leaves"), "clade", "n_trees")
 
 
-@query("SELECT size AS leaves, count(*) AS n_trees, 1 AS n_topologies FROM (SELECT count(*) AS size FROM lineitem GROUP BY l_orderkey) WHERE size > 1 GROUP BY 1")
+@query(f"""WITH {NODES_SQL}, runs AS (SELECT g.k, g.size, coalesce((SELECT max(o.i) FROM gaps o WHERE o.k = g.k AND o.i < g.i AND o.r > g.r), 0) AS lo, coalesce((SELECT min(o.i) FROM gaps o WHERE o.k = g.k AND o.i > g.i AND o.r > g.r), g.size) AS hi FROM gaps g),
+shapes AS (SELECT k, size, list((lo, hi) ORDER BY lo, hi) AS shape FROM runs GROUP BY k, size) SELECT CAST(size AS INT) AS leaves, count(*) AS n_trees, count(DISTINCT shape) AS n_topologies FROM shapes GROUP BY size""")
 def tree_topologies(spark, d):
-    return trees(spark, d).groupBy(tr.n_leaves("ptree").alias("leaves")).agg(F.count(F.lit(1)).alias("n_trees"), F.count_distinct(tr.topology_hash()).alias("n_topologies"))
+    return bushy_trees(spark, d).groupBy(tr.n_leaves("ptree").alias("leaves")).agg(F.count(F.lit(1)).alias("n_trees"), F.count_distinct(tr.topology_hash()).alias("n_topologies"))
 
 
 @query(f"WITH {JOINTS_SQL} SELECT k * 10 AS start, [2, 2, -1] AS ptree, [0.0, 0.0, max(age)] AS age FROM joints GROUP BY k")

@@ -7,7 +7,7 @@ from ..functions.scalar import grid_up_to, round_time, snapped_time, steps_of
 from ..operators import forest, intervals as iv, ordered, sites as st, trees as tr
 from ..plans import popsizes, priors
 from ..sources.scratch import stored
-from ..tables import JOINTS_SQL, SITES_SQL, TRACKS_SQL, sites, table, tracks, trees
+from ..tables import JOINTS_SQL, SITES_SQL, TRACKS_SQL, bushy_trees, sites, table, tracks, trees
 from .core import _WHOLE_CONFLICTS, GRID, _sql_bin, _whole_conflicts, rounded
 
 TOP = len(GRID) - 2
@@ -168,9 +168,15 @@ def node_orders(spark, d):
     return found.select("start", *[F.array_join(F.transform(f"o.{c}", lambda x: x.cast("string")), ",").alias(c) for c in ("preorder", "inorder", "postorder")])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_faults, count(*) AS n_trees FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)")
+@query("""SELECT CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'order of ages' WHEN 2 THEN 'roots,children' ELSE 'ages' END AS faults, count(*) AS n_trees FROM (SELECT l_orderkey AS k FROM lineitem GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""")
 def faulty_trees(spark, d):
-    return trees(spark, d).agg(F.count_if(F.size(tr.tree_faults()) > 0).alias("n_faults"), F.count(F.lit(1)).alias("n_trees"))
+    """Of every four trees one is sound, one has its ages backwards, one a leaf without a parent, one an age too few."""
+    kind, p, a = (F.col("start") / 10).cast("long") % 4, F.col("ptree"), F.col("age")
+    planted = bushy_trees(spark, d).withColumns({
+        "ptree": F.when(kind == 2, F.concat(F.array(F.lit(-1)), F.slice(p, F.lit(2), F.size(p)))).otherwise(p),
+        "age": F.when(kind == 1, F.reverse(a)).when(kind == 3, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a),
+    })
+    return planted.groupBy(F.array_join(tr.tree_faults(), ",").alias("faults")).agg(F.count(F.lit(1)).alias("n_trees"))
 
 
 @query(f"""WITH {JOINTS_SQL} SELECT k * 10 AS start, CASE WHEN min(age) < 20 THEN 'cut off its branch' ELSE '' END || CASE WHEN min(age) < 20 AND max(age) > 25 THEN ',' ELSE '' END || CASE WHEN max(age) > 25 THEN 'joined off its branch' ELSE '' END AS faults FROM joints GROUP BY k""")
@@ -210,18 +216,28 @@ def rounded_times(spark, d):
     return found.select("l_quantity", round_time(q, GRID, "up").alias("up"), round_time(q, GRID, "down").alias("down"), snapped_time(q, GRID).alias("snapped"))
 
 
-@query(f"WITH {TRACKS_SQL} SELECT sample, chrom, start AS pos, stop AS next_pos FROM tracks WHERE start >= 28410000 AND start < 28420000")
+_MIDDLE = "middle AS (SELECT min(start) + (max(start) - min(start)) // 3 AS a, min(start) + (max(start) - min(start)) * 2 // 3 AS b FROM tracks)"
+
+
+def _middle(t):
+    """The middle third of the starts' range, one row."""
+    return F.broadcast(t.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).selectExpr("lo + (hi - lo) div 3 AS a", "lo + (hi - lo) * 2 div 3 AS b"))
+
+
+@query(f"WITH {TRACKS_SQL}, {_MIDDLE} SELECT sample, chrom, start AS pos, stop AS next_pos FROM tracks, middle WHERE start >= a AND start < b")
 def edits_in_range(spark, d):
-    """Edits, here the starts of blocks, of a half-open range with the next edit of their sample."""
+    """Edits, here the starts of blocks, of the middle third of the range with the next edit of their sample."""
     starts = tracks(spark, d).select("sample", "chrom", F.col("start").alias("pos"), "stop")
     ends = starts.select("sample", "chrom", F.col("stop").alias("pos"))
     found = ordered.next_event(starts.drop("stop").unionByName(ends), ["sample", "chrom"])
-    return found.filter("pos >= 28410000 AND pos < 28420000 AND next_pos IS NOT NULL")
+    return found.join(_middle(starts.withColumnRenamed("pos", "start"))).filter("pos >= a AND pos < b AND next_pos IS NOT NULL").drop("a", "b")
 
 
-@query(f"WITH {TRACKS_SQL} SELECT side, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS bases FROM (SELECT 'left' AS side, start AS a, least(stop, 28401840) AS b FROM tracks WHERE start < 28401840 UNION ALL SELECT 'right', greatest(start, 28401840), stop FROM tracks WHERE stop > 28401840) GROUP BY side")
+@query(f"WITH {TRACKS_SQL}, {_MIDDLE} SELECT side, count(*) AS n, CAST(sum(z - y) AS BIGINT) AS bases FROM (SELECT 'left' AS side, start AS y, least(stop, a) AS z FROM tracks, middle WHERE start < a UNION ALL SELECT 'right', greatest(start, a), stop FROM tracks, middle WHERE stop > a) GROUP BY side")
 def blocks_cut_at(spark, d):
-    cut = ordered.partitioned(tracks(spark, d), 28401840)
+    """At a third of the range."""
+    t = tracks(spark, d)
+    cut = ordered.partitioned(t, _middle(t).first().a)
     return cut.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"))
 
 
