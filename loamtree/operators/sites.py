@@ -1,9 +1,13 @@
 """Variant sites: (chrom, pos, col), where col has one base per sequence."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .intervals import Bins, choose_bin_width, join_points
+from .ordered import TILE, from_earlier_tiles, numbered, with_halo, with_tile
+from .spr import in_slices
 
 
 def letters(col: Column) -> Column:
@@ -140,24 +144,63 @@ def _split_mask(col: Column) -> Column:
     return bit_mask(F.transform(parts, lambda x: x == rarest))
 
 
+def _prefix_masks(columns: list[str]) -> np.ndarray:
+    """For each column and each k, the rarest symbol's places among the first k + 1 sequences as bits, up to WORD of them."""
+    out = np.zeros((len(columns), max([1, *(min(len(c), WORD) for c in columns)])), np.int64)
+    for row, column in zip(out, columns):
+        counts, masks = {}, {}
+        for k, symbol in enumerate(column[:WORD]):
+            counts[symbol], masks[symbol] = counts.get(symbol, 0) + 1, masks.get(symbol, 0) | 1 << k
+            row[k] = masks[min(counts, key=lambda c: (counts[c], c))]  # noqa: B023
+    return out
+
+
+def _narrow_conflicts(distance: int):
+    """Conflicts of the sites of each tile with those behind them, where both share WORD sequences at most: each site with the next one, then with the one after it, until all are too far."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
+        x, group = batch.column("x").flatten(), np.repeat(np.arange(len(sizes)), sizes)
+        pos, own = x.field("pos").to_numpy(), x.field("own").to_numpy(zero_copy_only=False)
+        named = x.field("col").dictionary_encode()
+        columns, code = named.dictionary.to_pylist(), named.indices.to_numpy()
+        masks, length = _prefix_masks(columns), np.array([len(c) for c in columns], np.int64)[code]
+        a, pairs = np.flatnonzero(own), []
+        b = a
+        while len(a):
+            b = b + 1
+            near = b < len(pos)
+            near[near] = (group[a[near]] == group[b[near]]) & (pos[b[near]] - pos[a[near]] <= distance)
+            a, b = a[near], b[near]
+            size = np.minimum(length[a], length[b])
+            at = np.clip(size, 1, masks.shape[1]) - 1
+            one, two = masks[code[a], at], masks[code[b], at]
+            both = one & two
+            hit = (size > 0) & (size <= WORD) & (pos[a] < pos[b]) & (both != 0) & (both != one) & (both != two)
+            pairs.append((a[hit], b[hit]))
+        a, b = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(group[a])), pa.array(pos[a]), pa.array(pos[b])], ["chrom", "a_pos", "b_pos"])
+
+    return lambda batches: (found(part) for batch in batches for part in in_slices(batch, "x", 1 << 20))
+
+
 def conflicting_pairs(sites: DataFrame, distance: int) -> DataFrame:
     """(chrom, a_pos, b_pos) of near sites whose minor splits conflict, over all sequences that both have.
 
-    A site's split, also among its first 1, 2, ... up to WORD sequences, is made
-    once, as bits; pairs are compared as whole numbers. Only pairs of columns
-    that share more than WORD sequences carry their text, and take the way of
-    arrays.
+    Sites go to tiles, those near a border to both, and meet as bits inside
+    them: a pair that does not conflict is no row. Only pairs of columns that
+    share more than WORD sequences are joined as rows, and take the way of arrays.
     """
-    first = F.transform(F.sequence(F.lit(1), F.least(F.length("col"), F.lit(WORD))), lambda k: _split_mask(F.substring(F.col("col"), F.lit(1), k))["low"])
-    wide = F.when(F.length("col") > WORD, F.col("col"))
-    pairs = near_pairs(sites.select("chrom", "pos", F.length("col").alias("size"), first.alias("first"), wide.alias("wide")), distance)
-    pairs = pairs.select("chrom", "a_pos", "b_pos", F.least("a_size", "b_size").alias("size"), *(F.get(f"{x}_first", F.least("a_size", "b_size") - 1).alias(x) for x in "ab"), "a_wide", "b_wide")
-    size, both = F.col("size"), F.col("a").bitwiseAND(F.col("b"))
-    narrow = (both != 0) & (both != F.col("a")) & (both != F.col("b"))
+    known = sites.filter("col IS NOT NULL")
+    tiles = with_halo(known.select("chrom", "pos", "col"), "pos", distance, 16 * distance).groupBy("chrom", "tile").agg(F.sort_array(F.collect_list(F.struct("pos", "own", "col"))).alias("x"))
+    narrow = tiles.mapInArrow(_narrow_conflicts(distance), "chrom string, a_pos long, b_pos long")
+    pairs = near_pairs(known.filter(F.length("col") > WORD).select("chrom", "pos", F.length("col").alias("size"), F.col("col").alias("wide")), distance)
+    pairs = pairs.select("chrom", "a_pos", "b_pos", F.least("a_size", "b_size").alias("size"), "a_wide", "b_wide")
+    size = F.col("size")
     a, b = (_split_mask(F.substring(F.col(f"{x}_wide"), F.lit(1), size)) for x in "ab")
     meet = common_bits(size, a, b)
-    broad = (meet > 0) & (meet < common_bits(size, a)) & (meet < common_bits(size, b))
-    return pairs.filter(F.when(size <= WORD, narrow).otherwise(broad)).select("chrom", "a_pos", "b_pos")
+    broad = pairs.filter((meet > 0) & (meet < common_bits(size, a)) & (meet < common_bits(size, b)))
+    return narrow.unionByName(broad.select("chrom", "a_pos", "b_pos"))
 
 
 def nearest_conflicts(pairs: DataFrame) -> DataFrame:
@@ -189,7 +232,6 @@ def stab_intervals(pairs: DataFrame, width: int = 4096) -> DataFrame:
     it, with the break by which they leave it; these few rows a tile are
     followed in one task a chromosome, and each tile then makes its own breaks.
     """
-    import numpy as np
     import pandas as pd
 
     tiled = unnested_conflicts(pairs, width).withColumn("tile", F.floor(F.col("a_pos") / width))
@@ -236,8 +278,6 @@ def apply_mask(sites: DataFrame, mask: DataFrame, width: int | Bins | None = Non
 
 def bootstrap_sites(sites: DataFrame, seed: int) -> DataFrame:
     """As many sites as given, drawn with replacement: sites are numbered in order, draw k takes a number by a hash of k. It does not depend on partitions."""
-    from .ordered import numbered
-
     placed = numbered(sites.withColumn("all", F.lit(0)), ["all"], ["pos", "chrom", "col"], "number").drop("all")
     total = sites.agg(F.count(F.lit(1)).alias("total"))
     draws = placed.select("number").withColumn("total", total.scalar()).select(F.pmod(F.xxhash64(F.lit(seed), "number"), F.col("total")).alias("number"))
@@ -320,14 +360,15 @@ def least_recombinations(pairs: DataFrame, width: int = 4096) -> DataFrame:
     return pairs.join(known, ["chrom", "b_pos"]).filter("a_pos >= last").groupBy("chrom", "b_pos").agg(F.min("a_pos").alias("a_pos"))
 
 
-def split_tracks(pairs: DataFrame, sites: DataFrame, width: int = 4096) -> DataFrame:
+def split_tracks(pairs: DataFrame, sites: DataFrame, width: int = 4096, breaks: DataFrame | None = None) -> DataFrame:
     """chrom, pos, start, stop: how far around a site its split can hold, bounded by breaks.
 
     stop is the last break up to the nearest conflict on the right, start the
     largest stop of the sites that conflict on the left; null where there is no
-    conflict. A break is named by the site right of it.
+    conflict. A break is named by the site right of it. `breaks` are those of
+    stab_intervals(), where they are known.
     """
-    breaks = stab_intervals(pairs, width).select("chrom", F.col("pos").alias("break"))
+    breaks = (stab_intervals(pairs, width) if breaks is None else breaks).select("chrom", F.col("pos").alias("break"))
     near = nearest_conflicts(pairs)
     # a pair has a break in (a_pos, b_pos], so only the breaks of the nearest pair have to be looked at
     stops = near.filter("right IS NOT NULL").select("chrom", "pos", "right")
@@ -338,14 +379,35 @@ def split_tracks(pairs: DataFrame, sites: DataFrame, width: int = 4096) -> DataF
     return sites.select("chrom", "pos").join(starts, ["chrom", "pos"], "left").join(stops, ["chrom", "pos"], "left").select("chrom", "pos", "start", "stop")
 
 
-def split_blocks(tracks: DataFrame, breaks: DataFrame, splits: DataFrame) -> DataFrame:
-    """chrom, block, split: the blocks between breaks (chrom, pos) that each site's track covers, without repeats of one split and track. Block 0 is before the first break."""
-    from .ordered import numbered
-
+def split_spans(tracks: DataFrame, breaks: DataFrame, splits: DataFrame, width: int = TILE) -> DataFrame:
+    """chrom, split, first, last: the runs of blocks between breaks (chrom, pos) that the tracks of each split's sites cover, cut so that no block is in two of a split. Block 0 is before the first break."""
     known = tracks.join(splits, ["chrom", "pos"]).select("chrom", "start", "stop", "split").distinct()
     order = numbered(breaks.select("chrom", F.col("pos").alias("at")), ["chrom"], ["at"], "number")
     first = known.join(order.select("chrom", F.col("at").alias("start"), (F.col("number") + 1).alias("first")), ["chrom", "start"], "left")
     last = first.join(order.select("chrom", F.col("at").alias("stop"), F.col("number").alias("last")), ["chrom", "stop"], "left")
     total = breaks.groupBy("chrom").agg(F.count(F.lit(1)).alias("total"))
     spans = last.join(F.broadcast(total), "chrom", "left").select("chrom", "split", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "total", F.lit(0)).alias("last"))
-    return spans.select("chrom", F.explode(F.sequence("first", "last")).alias("block"), "split").distinct()
+    longest = with_tile(spans.groupBy("chrom", "split", "first").agg(F.max("last").alias("last")), "first", width)
+    earlier = from_earlier_tiles(longest, ["chrom", "split"], most=(F.max("last"), "max"))
+    before = Window.partitionBy("chrom", "split", "tile").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    reached = longest.withColumn("inner", F.max("last").over(before)).join(earlier, ["chrom", "split", "tile"])
+    return reached.select("chrom", "split", F.greatest("first", F.col("inner") + 1, F.col("most") + 1).alias("first"), "last").filter("first <= last")
+
+
+def split_blocks(tracks: DataFrame, breaks: DataFrame, splits: DataFrame) -> DataFrame:
+    """chrom, block, split: split_spans() with a row a block."""
+    return split_spans(tracks, breaks, splits).select("chrom", F.explode(F.sequence("first", "last")).alias("block"), "split")
+
+
+def split_counts(spans: DataFrame, width: int = TILE) -> DataFrame:
+    """chrom, block, n of split_spans(): how many splits each block has, by running sums of the runs that begin and end there; no row a split and block."""
+    last = spans.groupBy("chrom").agg(F.max("last").alias("last"))
+    tiles = last.select("chrom", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / width))).alias("t")).repartition("chrom", "t")
+    every = tiles.select("chrom", F.explode(F.sequence(F.col("t") * width, F.least(F.col("t") * width + width - 1, F.col("last")))).alias("block"), F.lit(0).cast("long").alias("change"))
+    ends = F.explode(F.array(F.struct(F.col("first").alias("block"), F.lit(1).alias("change")), F.struct((F.col("last") + 1).alias("block"), F.lit(-1).alias("change"))))
+    changes = spans.select("chrom", ends.alias("x")).select("chrom", "x.*").unionByName(every).groupBy("chrom", "block").agg(F.sum("change").alias("change"))
+    tiled = with_tile(changes, "block", width)
+    earlier = from_earlier_tiles(tiled, ["chrom"], before=(F.sum("change"), "sum"))
+    inner = F.sum("change").over(Window.partitionBy("chrom", "tile").orderBy("block"))
+    n = F.col("inner") + F.coalesce("before", F.lit(0))
+    return tiled.withColumn("inner", inner).join(earlier, ["chrom", "tile"]).select("chrom", "block", n.alias("n")).filter("n > 0")
