@@ -1,10 +1,12 @@
 """Intervals, subtree edits and sample files as streams."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.spr import apply_spr
+from ..operators.spr import replayed
 from ..sources.scratch import scratch_folder
 
 
@@ -85,34 +87,56 @@ def stream_maximal_segments(intervals: DataFrame, late: int = 0) -> DataFrame:
     return intervals.groupBy("chrom").applyInPandasWithState(step, "chrom string, start long, stop long, n long, total double", _OPEN, "append", "NoTimeout")
 
 
-_STATE = "ptree array<int>, age array<double>, start long"
 _REPLAYED = "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>"
+#: Keys of the replay's state.
+BUCKETS = 1024
 
 
-def stream_replay(events: DataFrame) -> DataFrame:
+def stream_replay(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """sample, chrom, start, stop, ptree, age: each block once the edit behind it has come.
 
     events: sample, chrom, pos, and either a tree (ptree, age), which starts the
-    sample's chromosome anew, or an edit (recomb_node, coal_node, coal_time). The
-    state of a (sample, chrom) is its current tree. Events of a batch are taken
-    in order of pos; batches must come in that order.
+    sample's chromosome anew, or an edit (recomb_node, coal_node, coal_time).
+    Events of a batch are taken in order of pos; batches must come in that order.
+    A key is a bucket of the histories, by a hash: its state is the current tree
+    of each of them, and a batch's events are replayed for all of them at once.
+    Very many histories need more buckets.
     """
 
     def step(key, frames, state):
-        tree = state.get if state.exists else None
+        new = pd.concat(list(frames)).sort_values(["sample", "chrom", "pos"], kind="stable", ignore_index=True)
+        current = pickle.loads(state.get[0]) if state.exists else {}
+        sample, chrom, pos = (new[c].to_numpy() for c in ("sample", "chrom", "pos"))
+        planted = new["ptree"].notna().to_numpy()
+        head = planted.copy()
+        head[0] = True
+        head[1:] |= (sample[1:] != sample[:-1]) | (chrom[1:] != chrom[:-1])
+        # a run is a tree and the edits up to the next tree or history; edits before any tree tell nothing
+        run, at = np.cumsum(head) - 1, np.flatnonzero(head)
+        names = list(zip(sample[at].tolist(), chrom[at].tolist()))
+        given = [(new["ptree"][i], new["age"][i], int(pos[i])) if planted[i] else current.get(name) for i, name in zip(at.tolist(), names)]
+        held = np.array([g is not None for g in given])
+        number = np.cumsum(held) - 1
+        edit = np.flatnonzero(~planted & held[run])
+        names, given = [n for n, g in zip(names, given) if g is not None], [g for g in given if g is not None]
+        count = np.bincount(number[run[edit]], minlength=len(given))
+        first, own, begin = np.cumsum(count) - count, pos[edit].astype(np.int64), np.array([g[2] for g in given], np.int64)
+        trees = (np.concatenate([np.zeros(0), *(g[k] for g in given)]) for k in (0, 1))
+        columns = (new[c].to_numpy()[edit].astype(t) for c, t in (("recomb_node", np.int64), ("coal_node", np.int64), ("coal_time", float)))
         out = []
-        for r in pd.concat(list(frames)).sort_values("pos", kind="stable").itertuples(index=False):
-            if r.ptree is not None:
-                tree = ([int(x) for x in r.ptree], [float(x) for x in r.age], int(r.pos))
-            elif tree is not None:
-                p, a, start = tree
-                out.append((key[0], key[1], start, r.pos, list(p), list(a)))
-                tree = (*apply_spr(list(p), list(a), int(r.recomb_node), int(r.coal_node), float(r.coal_time)), int(r.pos))
-        if tree is not None:
-            state.update(tree)
+        for rows, i, p, a, size in replayed(*trees, np.array([len(g[0]) for g in given], np.int64), *columns, count):
+            starts = (begin[rows] if i == 0 else own[first[rows] + i - 1]).tolist()
+            cut = np.cumsum(size)[:-1]
+            for r, start, tree, age, more in zip(rows.tolist(), starts, np.split(p.astype(np.int32), cut), np.split(a, cut), (count[rows] > i).tolist()):
+                if more:
+                    out.append((*names[r], start, own[first[r] + i], tree, age))
+                elif r + 1 == len(names) or names[r + 1] != names[r]:  # a later tree of the history counts instead
+                    current[names[r]] = (tree, age, start)
+        state.update((pickle.dumps(current),))
         yield pd.DataFrame(out, columns=["sample", "chrom", "start", "stop", "ptree", "age"])
 
-    return events.groupBy("sample", "chrom").applyInPandasWithState(step, _REPLAYED, _STATE, "append", "NoTimeout")
+    bucket = F.pmod(F.xxhash64("sample", "chrom"), F.lit(buckets))
+    return events.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(step, _REPLAYED, "trees binary", "append", "NoTimeout")
 
 
 def stream_sample_files(spark, path: str, schema: str) -> DataFrame:
