@@ -3,52 +3,65 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from . import forest
-from .ordered import numbered
+from .spr import apply_spr, lists
 
 KEYS = ["sample", "chrom"]
 #: Rows of a tile that one task composes.
 TILE_ROWS = 1024
 
 
-def _permutation(mapping: list, n: int) -> np.ndarray:
-    """The number in the block before of each node of a block, from the mapping the other way; the new joint has that of the one that is gone."""
-    old = np.full(n, -1)
-    to = np.asarray(mapping, np.int64)
-    kept = np.flatnonzero(to >= 0)
-    old[to[kept]] = kept
-    gone = np.setdiff1d(np.arange(n), kept)
-    old[old < 0] = gone
-    return old
-
-
-def _composed(rows: DataFrame, width: int) -> DataFrame:
-    """sample, chrom, i, total: for rows (i from 0, perm) the composition perm_0[perm_1[... perm_i]].
-
-    A tile of rows is composed in one task, and gives one row; these rows are
-    composed in the same way, and each tile starts from what came before it. So
-    a chromosome of N blocks takes log N / log width rounds, and no task more
-    than `width` rows.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _permutation(mapping: pd.Series, size: pd.Series) -> pd.Series:
+    """The number in the block before of each node of a block, from the mapping the other way; the new joint has that of the one that is gone. Without a mapping nothing moves."""
+    n, none = size.to_numpy(np.int64), mapping.isna().to_numpy()
+    begin = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(begin, n)
+    to = place.copy()
+    given = np.repeat(~none, n)
+    to[given] = np.concatenate([np.zeros(0, np.int64), *(np.asarray(m, np.int64) for m in mapping[~none])])
+    old, first = np.full(len(to), -1), np.repeat(begin, n)
+    old[(to + first)[to >= 0]] = place[to >= 0]
+    old[old < 0] = place[to < 0]
+    return pd.Series(np.split(old.astype(np.int32), begin[1:]) if len(n) else [])
+
+
+def _running(batches):
+    """Rows of a tile in order, their permutations composed one after the other, the i-th rows of all tiles of a batch at once."""
+    for batch in batches:
+        column = batch.column("x")
+        rows = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        x = column.flatten()
+        perm = x.field("perm")
+        flat, size = perm.flatten().to_numpy().copy(), perm.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at, begin = np.cumsum(rows) - rows, np.cumsum(size) - size
+        for i in range(1, int(rows.max(initial=0))):
+            now = at[rows > i] + i
+            place = np.repeat(begin[now], size[now]) + np.arange(size[now].sum()) - np.repeat(np.cumsum(size[now]) - size[now], size[now])
+            flat[place] = flat[flat[place] + np.repeat(begin[now - 1], size[now])]
+        tile = np.repeat(np.arange(len(rows)), rows)
+        keys = [batch.column(c).take(pa.array(tile)) for c in (*KEYS, "tile")]
+        yield pa.RecordBatch.from_arrays([*keys, x.field("i"), lists(flat, size, pa.int32())], [*KEYS, "tile", "i", "total"])
+
+
+def _composed(rows: DataFrame, width: int, last: int) -> DataFrame:
+    """sample, chrom, i, total: for rows (i from 0 to `last`, perm) the composition of the perms of a (sample, chrom) up to each, perm_a[perm_b[... perm_i]].
+
+    A tile of `width` places is one row, whose perms are composed in one task;
+    the last totals of tiles are composed in the same way, and each tile starts
+    from what came before it. So a chromosome takes log `last` / log width
+    rounds, and no task more than `width` rows of one tile at once.
     """
-    tiled = rows.select(*KEYS, F.floor(F.col("i") / width).alias("tile"), "i", "perm")
-    schema = "sample long, chrom string, tile long, i long, total array<int>"
-
-    def inside(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("i").to_numpy())
-        perms, totals, now = table.column("perm").to_pylist(), [None] * len(order), None
-        for at in order.tolist():
-            now = np.asarray(perms[at]) if now is None else now[perms[at]]
-            totals[at] = now.tolist()
-        return pa.table({"sample": table.column("sample"), "chrom": table.column("chrom"), "tile": table.column("tile"), "i": table.column("i"), "total": pa.array(totals, pa.list_(pa.int32()))})
-
-    parts = tiled.groupBy(*KEYS, "tile").applyInArrow(inside, schema)
-    several = rows.agg(F.max("i")).first()[0]
-    if several is None or several < width:
+    tiled = rows.groupBy(*KEYS, F.floor(F.col("i") / width).alias("tile")).agg(F.sort_array(F.collect_list(F.struct("i", "perm"))).alias("x"))
+    parts = tiled.mapInArrow(_running, "sample long, chrom string, tile long, i long, total array<int>")
+    if last < width:
         return parts.drop("tile")
     ends = parts.groupBy(*KEYS, F.col("tile").alias("i")).agg(F.max_by("total", "i").alias("perm"))
-    before = _composed(ends, width).select(*KEYS, (F.col("i") + 1).alias("tile"), F.col("total").alias("earlier"))
+    ahead = Window.partitionBy(*KEYS).orderBy("i")
+    before = _composed(ends, width, last // width).select(*KEYS, F.lead("i").over(ahead).alias("tile"), F.col("total").alias("earlier"))
     both = parts.join(before, [*KEYS, "tile"], "left")
     total = F.when(F.col("earlier").isNull(), F.col("total")).otherwise(F.transform("total", lambda x: F.get(F.col("earlier"), x)))
     return both.select(*KEYS, "i", total.alias("total"))
@@ -59,15 +72,13 @@ def stable_numbers(blocks: DataFrame, width: int = TILE_ROWS) -> DataFrame:
 
     blocks: sample, chrom, start, stop, ptree, and mapping, of each node of the
     block before its number in this one, -1 if it is gone; null in the first.
+    Tiles are of positions, from each chromosome's own first one.
     """
-    placed = numbered(blocks, KEYS, ["start"], "i")
-
-    @F.pandas_udf("array<int>")
-    def permutation(mapping: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([np.arange(n) if m is None else _permutation(m, n) for m, n in zip(mapping, size)])
-
-    perms = placed.select(*KEYS, "i", permutation("mapping", F.size("ptree")).alias("perm"))
-    return placed.join(_composed(perms, width).withColumnRenamed("total", "number"), [*KEYS, "i"]).drop("i")
+    spans = blocks.groupBy(*KEYS).agg(F.min("start").alias("zero"), F.max("start").alias("far"))
+    last = spans.agg(F.max(F.col("far") - F.col("zero"))).first()[0]
+    perms = blocks.join(spans.select(*KEYS, "zero"), KEYS).select(*KEYS, (F.col("start") - F.col("zero")).alias("i"), _permutation("mapping", F.size("ptree")).alias("perm"))
+    found = _composed(perms, width, last or 0).join(spans.select(*KEYS, "zero"), KEYS).select(*KEYS, (F.col("i") + F.col("zero")).alias("start"), F.col("total").alias("number"))
+    return blocks.join(found, [*KEYS, "start"])
 
 
 def renumbered(ptree: str, age: str, number: str) -> tuple:
@@ -163,8 +174,6 @@ def joined_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFra
 
 def _mapping_over(p, a, edit, two) -> list[int]:
     """Numbers behind an edit: each node of the edited tree is known by its leaves and age."""
-    from .spr import apply_spr
-
     x, coal, time = edit
     edited = _upward(*apply_spr(p, a, x, coal, time))
     return [-1 if y == p[x] else two[held] for y, held in sorted(edited.items())]

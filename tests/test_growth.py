@@ -1,8 +1,11 @@
 """Steps whose work has to grow with their rows alone: whole batches at once, no group of Python calls a key, no row a pair of a key's members."""
 
+import random
+
 import pyarrow as pa
 
-from loamtree.operators import spr
+from loamtree.operators import graphs, numbering, sites, spr
+from loamtree.streaming import segments
 
 
 def plan(rows) -> str:
@@ -33,3 +36,70 @@ def test_replay_takes_whole_batches(monkeypatch):
     parts = list(spr._fold([batch]))
     got = [tuple(r.values()) for part in parts for r in part.to_pylist()]
     assert len(parts) > 1 and sorted(got) == sorted(want)
+
+
+def test_graph_trees_over_tiles(spark):
+    """Edges within one tile, over tiles that no edge begins in, and a joint that takes over a number."""
+    blocks = spark.createDataFrame([(0, "1", 0, 300, [2, 2, -1], [0.0, 0.0, 5.0]), (0, "1", 300, 5000, [2, 2, -1], [0.0, 0.0, 7.0]), (0, "1", 5000, 5001, [2, 2, -1], [0.0, 0.0, 3.0])], "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>")
+    edits = spark.createDataFrame([(0, "1", 300, 0, 1.0, 1, 7.0), (0, "1", 5000, 1, 2.0, 0, 3.0)], "sample long, chrom string, pos long, recomb_node int, recomb_time double, coal_node int, coal_time double")
+    nodes, edges = graphs.graph_nodes(blocks, edits), graphs.graph_edges(blocks, edits)
+    found = graphs.graph_blocks(nodes, edges)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.collect()))
+    assert "MapInArrow" in plan(found)
+    back = graphs.graph_edits(nodes, edges)
+    assert sorted((r.pos, r.recomb_node, r.recomb_time, r.coal_time) for r in back.collect()) == [(300, 0, 1.0, 7.0), (5000, 1, 2.0, 3.0)]
+    assert "Join" not in plan(back).split("Aggregate")[0]  # its parts meet by one grouping
+
+
+def test_numbers_without_a_call_a_tile(spark):
+    rows = [(0, str(c), s, s + 1, [2, 2, -1], None if s == 7 else [0, 1, -1]) for c in range(3) for s in range(7, 20)]
+    found = numbering.stable_numbers(spark.createDataFrame(rows, "sample long, chrom string, start long, stop long, ptree array<int>, mapping array<int>"), 4)
+    assert "FlatMapGroups" not in plan(found)
+    assert {tuple(r.number) for r in found.collect()} == {(0, 1, 2)} and found.count() == len(rows)
+
+
+def test_spans_of_a_split_are_one_row(spark):
+    """Sites of one split that cover the same blocks do not become a row a site and block."""
+    tracks = spark.createDataFrame([("1", p, None, None) for p in range(300)] + [("1", 300, 20, 60), ("1", 301, 40, 80), ("1", 302, None, 20)], "chrom string, pos long, start long, stop long")
+    breaks = spark.createDataFrame([("1", p) for p in range(20, 100, 20)], "chrom string, pos long")
+    splits = spark.createDataFrame([("1", p, "a" if p < 300 else "b") for p in range(303)], "chrom string, pos long, split string")
+    spans = sites.split_spans(tracks, breaks, splits, 2)
+    assert sorted((r.split, r.first, r.last) for r in spans.collect()) == [("a", 0, 4), ("b", 0, 0), ("b", 1, 2), ("b", 3, 3)]
+    found = {(r.block, r.split) for r in sites.split_blocks(tracks, breaks, splits).collect()}
+    assert found == {(b, "a") for b in range(5)} | {(b, "b") for b in range(4)}
+    assert sorted((r.block, r.n) for r in sites.split_counts(spans, 2).collect()) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1)]
+
+
+def test_conflicts_are_rows_only_where_they_conflict(spark):
+    rng = random.Random(5)
+    columns = [(7 * i + rng.randint(0, 6), "".join(rng.choice("ACN"[: rng.randint(1, 3)]) for _ in range(rng.choice((1, 4, 6, 62, 63, 70))))) for i in range(60)]
+
+    def split(col, k):
+        part = col[:k]
+        rarest = min(set(part), key=lambda s: (part.count(s), s))
+        return {i for i, s in enumerate(part) if s == rarest}
+
+    want = set()
+    for p, a in columns:
+        for q, b in columns:
+            k = min(len(a), len(b))
+            one, two = split(a, k), split(b, k)
+            if p < q <= p + 40 and one & two and not one <= two and not two <= one:
+                want.add((p, q))
+    found = sites.conflicting_pairs(spark.createDataFrame([("1", p, c) for p, c in columns], "chrom string, pos long, col string"), 40)
+    assert {(r.a_pos, r.b_pos) for r in found.collect()} == want and found.count() == len(want) > 20
+    assert "MapInArrow" in plan(found)
+
+
+def test_stream_replay_by_buckets(spark):
+    """Histories of one bucket; one starts anew in the batch in which it was edited, one is edited before it has a tree."""
+    kinds = "sample long, chrom string, pos long, ptree array<int>, age array<double>, recomb_node int, coal_node int, coal_time double"
+    tree, edit = ([2, 2, -1], [0.0, 0.0, 4.0]), (0, 1, 6.0)
+    parts = [
+        [(0, "1", 0, *tree, None, None, None), (0, "1", 3, None, None, *edit), (0, "1", 4, None, None, *edit), (0, "1", 9, [2, 2, -1], [0.0, 0.0, 8.0], None, None, None), (1, "1", 0, *tree, None, None, None), (2, "1", 1, None, None, *edit)],
+        [(0, "1", 12, None, None, *edit), (1, "1", 5, None, None, *edit), (2, "1", 2, *tree, None, None, None)],
+        [(2, "1", 6, None, None, *edit), (0, "1", 13, None, None, *edit)],
+    ]
+    made = segments.run_in_parts(lambda s: segments.stream_replay(s, 1), [spark.createDataFrame(p, kinds) for p in parts], "replay")
+    got = sorted((r.sample, r.start, r.stop, r.age[2]) for r in made.collect())
+    assert got == [(0, 0, 3, 4.0), (0, 3, 4, 6.0), (0, 9, 12, 8.0), (0, 12, 13, 6.0), (1, 0, 5, 4.0), (2, 2, 6, 4.0)]
