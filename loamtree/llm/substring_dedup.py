@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import mark, materialize, rows_of
@@ -224,31 +225,27 @@ def _built(batches):
         yield row()
 
 
-def _streamed(batches):
-    """Rows sorted by shard and salt, the automaton first: streams the spans past it.
+def _streamed(rows: pa.Table) -> pa.Table:
+    """The spans of one shard and salt, streamed past its automaton; without one the shard has no references.
 
     Gives ranges of windows: those that an earlier document has, and, with their words, those that none in the shard has.
     """
-    loaded, automaton = None, None
-    for batch in batches:
-        out = {c: [] for c in _FOUND_SCHEMA.names}
-        rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "reads", "doc_id", "text_hash", "start")))
-        for i, (shard, reads, doc_id, text_hash, start) in enumerate(rows):
-            if not reads:
-                loaded, automaton = shard, FlatAutomaton({c: batch.column(c)[i].as_buffer() for c in AUTOMATON})
-                continue
-            if shard != loaded:  # a shard without references
-                loaded, automaton = shard, FlatAutomaton(SuffixAutomaton().flat())
-            words = np.frombuffer(batch.column("symbols")[i].as_buffer(), np.int64)
-            found = automaton.earlier(words, WINDOW, doc_id)
-            edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True])))
-            for a, b in zip(edge.tolist(), edge[1:].tolist()):
-                out["doc_id"].append(doc_id)
-                out["text_hash"].append(text_hash)
-                out["start"].append(start + a)
-                out["stop"].append(start + b)
-                out["symbols"].append(None if found[a] else words[a : b + WINDOW - 1].tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=_FOUND_SCHEMA)
+    own = rows.filter(pc.invert(rows.column("reads")))
+    arrays = {c: own.column(c)[0].as_buffer() for c in AUTOMATON} if own.num_rows else SuffixAutomaton().flat()
+    automaton = FlatAutomaton(arrays)
+    spans = rows.select(["reads", "doc_id", "text_hash", "start", "symbols"]).filter(rows.column("reads"))
+    out = {c: [] for c in _FOUND_SCHEMA.names}
+    for doc_id, text_hash, start, symbols in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "text_hash", "start")), spans.column("symbols")):
+        words = np.frombuffer(symbols.as_buffer(), np.int64)
+        found = automaton.earlier(words, WINDOW, doc_id)
+        edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True])))
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            out["doc_id"].append(doc_id)
+            out["text_hash"].append(text_hash)
+            out["start"].append(start + a)
+            out["stop"].append(start + b)
+            out["symbols"].append(None if found[a] else words[a : b + WINDOW - 1].tobytes())
+    return pa.Table.from_pydict(out, schema=_FOUND_SCHEMA)
 
 
 def _stream(spans: DataFrame) -> DataFrame:
@@ -257,7 +254,9 @@ def _stream(spans: DataFrame) -> DataFrame:
     A shard's automaton is built once, from its references, and written as flat
     arrays. It then goes once to every MEET words of the spans that read it,
     which meet its copies by a hash of themselves: a shard that very many
-    documents read is spread over tasks, each of which loads the arrays.
+    documents read is spread over tasks, each of which loads the arrays. A
+    copy and its spans are a group of their own, so that an Arrow batch does not
+    hold the automata of as many shards as it has room for rows.
     """
     begin, size = mark(), F.octet_length("symbols") / 8
     read = spans.filter("reads").groupBy("shard").agg(F.ceil(F.sum(size) / MEET).cast("int").alias("copies"))
@@ -267,8 +266,8 @@ def _stream(spans: DataFrame) -> DataFrame:
     automata = materialize(built, "parts-automata").join(read, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("reads", F.lit(False))
     salt = F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int")
     readers = spans.filter("reads").join(read, "shard").withColumn("salt", salt)
-    placed = automata.drop("copies").unionByName(readers.drop("copies"), allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads", "doc_id")
-    return materialize(placed.mapInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found", since=begin)
+    placed = automata.drop("copies").unionByName(readers.drop("copies"), allowMissingColumns=True).groupBy("shard", "salt")
+    return materialize(placed.applyInArrow(_streamed, "doc_id long, text_hash long, start int, stop int, symbols binary"), "parts-found", since=begin)
 
 
 def _windows(batches):
