@@ -58,7 +58,7 @@ def bushy_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("x")).filter("size(x) > 1")
     n = F.size("x")
     gaps = F.transform(F.slice("x", F.lit(2), n - 1), lambda s, i: F.struct(s["l_quantity"].alias("q"), i.alias("i")))
-    placed = lines.withColumn("g", gaps).withColumn("by_age", F.array_sort("g"))
+    placed = lines.withColumn("g", gaps).withColumn("by_age", F.sort_array("g"))
     placed = placed.withColumn("rank", F.transform("g", lambda y: (F.array_position("by_age", y) - 1).cast("int")))
     leaf_up = F.transform("x", lambda _, j: n + F.least(F.get("rank", j - 1), F.get("rank", j)))
 

@@ -103,3 +103,25 @@ def test_stream_replay_by_buckets(spark):
     made = segments.run_in_parts(lambda s: segments.stream_replay(s, 1), [spark.createDataFrame(p, kinds) for p in parts], "replay")
     got = sorted((r.sample, r.start, r.stop, r.age[2]) for r in made.collect())
     assert got == [(0, 0, 3, 4.0), (0, 3, 4, 6.0), (0, 9, 12, 8.0), (0, 12, 13, 6.0), (1, 0, 5, 4.0), (2, 2, 6, 4.0)]
+
+
+def test_graph_of_changes_alone(spark):
+    """Edges and nodes of a graph, and how many there are, come from first trees and edits: the same as from the trees of all blocks, which no plan moves."""
+    first = [(0, "a", 0, [2, 2, -1], [0.0, 0.0, 5.0], 9), (1, "b", 2, [3, 4, 3, 4, -1], [0.0, 0.0, 0.0, 1.0, 9.0], 12), (2, "c", 0, [2, 2, -1], [0.0, 0.0, 1.0], 4)]
+    edits = [(0, "a", 1, 0, 0.5, 1, 3.0), (0, "a", 4, 1, 0.5, 2, 6.0), (1, "b", 3, 1, 0.1, 0, 0.5), (1, "b", 5, 2, 0.1, 4, 11.0), (1, "b", 8, 0, 0.1, 3, 0.25)]
+    first = spark.createDataFrame(first, "sample long, chrom string, start long, ptree array<int>, age array<double>, region_stop long")
+    edits = spark.createDataFrame(edits, "sample long, chrom string, pos long, recomb_node int, recomb_time double, coal_node int, coal_time double")
+    blocks = spr.replay(first.drop("region_stop"), edits, first.selectExpr("sample", "chrom", "region_stop AS stop"))
+    made, want = spr.replayed_changes(first, edits), graphs.changes(blocks, edits)
+    assert sorted(made.columns) == sorted(want.columns) and sorted(map(repr, made.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    nodes, edges = graphs.nodes_of(first, made), graphs.edges_of(first, made)
+    for ours, theirs in ((nodes, graphs.graph_nodes(blocks, edits)), (edges, graphs.graph_edges(blocks, edits))):
+        assert sorted(map(repr, ours.collect())) == sorted(map(repr, theirs.select(ours.columns).collect()))
+    sizes = graphs.sizes_of(first, made)
+    assert "Window" not in plan(sizes)
+    count = {}
+    for row in edges.filter("parent >= 0").collect():
+        count.setdefault(row.chrom, [0, 0])[0] += 1
+    for row in nodes.filter("event <> 'recomb'").collect():
+        count[row.chrom][1] += 1
+    assert {r.chrom: [r.n_edges, r.n_standing] for r in sizes.collect()} == count
