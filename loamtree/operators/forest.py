@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 #: Bits of the bases; anything else may be any of them.
@@ -11,16 +12,33 @@ for _base, _bit in BASES.items():
     BITS[ord(_base)] = _bit
 
 
+def _lengths(lists: pd.Series | pa.ListArray) -> np.ndarray:
+    if isinstance(lists, pa.Array):
+        return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _flat(lists: pd.Series | pa.ListArray, kind: type) -> np.ndarray:
+    if isinstance(lists, pa.Array):
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind) for x in lists)])
+
+
+def nested(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Arrays of the given sizes, one behind the other in `values`."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
 class Forest:
     """Parents and ages of the nodes of some trees, one tree behind the other; a parent is a place in the flat array, -1 above a root."""
 
-    def __init__(self, ptree: pd.Series, age: pd.Series | None = None):
-        self.sizes = np.fromiter(map(len, ptree), np.int64, len(ptree))
+    def __init__(self, ptree: pd.Series | pa.ListArray, age: pd.Series | pa.ListArray | None = None):
+        self.sizes = _lengths(ptree)
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.tree = np.repeat(np.arange(len(ptree)), self.sizes)
-        local = np.concatenate([np.zeros(0, np.int64), *(np.asarray(p, np.int64) for p in ptree)])
+        local = _flat(ptree, np.int64)
         self.parent = np.where(local < 0, -1, local + self.first[self.tree])
-        self.age = np.concatenate([np.zeros(0), *(np.asarray(a, float) for a in age)]) if age is not None else None
+        self.age = _flat(age, float) if age is not None else None
         self.place = np.arange(len(local)) - self.first[self.tree]
         self.leaf = self.place < ((self.sizes + 1) // 2)[self.tree]
 

@@ -7,11 +7,11 @@ number of times.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import half_steps, time_steps
-from ..operators.forest import Forest
+from ..operators.forest import Forest, nested
 from .likelihood import SiteMessages, through
 
 
@@ -113,10 +113,11 @@ _PRIOR = T.StructType([T.StructField("places", T.IntegerType()), T.StructField("
 def join_priors(grid: list[float], sizes: list[float], ptree="ptree", age="age") -> Column:
     """array of struct(places, prior): by grid time how many places there are, the branches that have it, and the probability of each that a new leaf joins there."""
 
-    @F.pandas_udf(T.ArrayType(_PRIOR))
-    def prior(ptree: pd.Series, age: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(_PRIOR))
+    def prior(ptree: pa.Array, age: pa.Array) -> pa.Array:
         times = JoinTimes(Forest(ptree, age), grid, sizes)
-        return pd.Series([[{"places": n, "prior": p} for n, p in zip(*x)] for x in zip(times.places.tolist(), times.prior().tolist())])
+        rows = pa.StructArray.from_arrays([pa.array(times.places.ravel(), pa.int32()), pa.array(times.prior().ravel())], ["places", "prior"])
+        return nested(rows, np.full(len(ptree), len(grid) - 1))
 
     return prior(ptree, age)
 
@@ -127,32 +128,30 @@ _MOVES = T.StructType([T.StructField("other", T.ArrayType(T.DoubleType())), T.St
 def join_moves(grid: list[float], sizes: list[float], rho: float, ptree="ptree", age="age") -> Column:
     """array of struct(other, leaf): by time, and in the arrays by time at the next base, the probability of a move to a given place of another branch, and of the same branch if it is a leaf's."""
 
-    @F.pandas_udf(T.ArrayType(_MOVES))
-    def moves(ptree: pd.Series, age: pd.Series) -> pd.Series:
-        times = JoinTimes(Forest(ptree, age), grid, sizes, rho)
+    @F.arrow_udf(T.ArrayType(_MOVES))
+    def moves(ptree: pa.Array, age: pa.Array) -> pa.Array:
+        times, n = JoinTimes(Forest(ptree, age), grid, sizes, rho), len(grid) - 1
         other = times.moved()
         leaf = times.moved_on_branch(other, np.zeros(len(other), np.int64))
-        return pd.Series([[{"other": o, "leaf": w} for o, w in zip(*x)] for x in zip(other.tolist(), leaf.tolist())])
+        rows = pa.StructArray.from_arrays([nested(pa.array(x.ravel()), np.full(len(x) * n, n)) for x in (other, leaf)], ["other", "leaf"])
+        return nested(rows, np.full(len(other), n))
 
     return moves(ptree, age)
 
 
-def by_tree(f: Forest, node: np.ndarray, columns: dict[str, np.ndarray]) -> pd.Series:
+def by_tree(f: Forest, node: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
     """For each tree a list of structs, of items that follow the order of the trees."""
-    names = list(columns)
-    rows = [dict(zip(names, x)) for x in zip(*(c.tolist() for c in columns.values()))]
-    ends = np.searchsorted(f.tree[node], np.arange(len(f.sizes) + 1))
-    return pd.Series([rows[a:b] for a, b in zip(ends, ends[1:])])
+    return nested(pa.StructArray.from_arrays(list(columns.values()), list(columns)), np.bincount(f.tree[node], minlength=len(f.sizes)))
 
 
 def join_totals(grid: list[float], sizes: list[float], rho: float, ptree="ptree", age="age") -> Column:
     """array of struct(node, time_bin, total): of each place the probability that the lineage is somewhere on the same tree at the next base."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("time_bin", T.IntegerType()), T.StructField("total", T.DoubleType())])))
-    def totals(ptree: pd.Series, age: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("time_bin", T.IntegerType()), T.StructField("total", T.DoubleType())])))
+    def totals(ptree: pa.Array, age: pa.Array) -> pa.Array:
         f = Forest(ptree, age)
         node, time, total = JoinTimes(f, grid, sizes, rho).totals(grid)
-        return by_tree(f, node, {"node": f.place[node], "time_bin": time, "total": total})
+        return by_tree(f, node, {"node": pa.array(f.place[node], pa.int32()), "time_bin": pa.array(time, pa.int32()), "total": pa.array(total)})
 
     return totals(ptree, age)
 
@@ -188,10 +187,10 @@ def join_likelihoods(rows: DataFrame, grid: list[float], mu: float, min_length:
     """
     place = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("time_bin", T.IntegerType()), T.StructField("likelihood", T.DoubleType())])
 
-    @F.pandas_udf(T.ArrayType(place))
-    def score(ptree: pd.Series, age: pd.Series, col: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(place))
+    def score(ptree: pa.Array, age: pa.Array, col: pa.Array) -> pa.Array:
         f = Forest(ptree, age)
-        node, a, like = place_likelihoods(f, list(col), grid, mu, min_length, penalty)
-        return by_tree(f, node, {"node": f.place[node], "time_bin": a, "likelihood": like})
+        node, a, like = place_likelihoods(f, col.to_pylist(), grid, mu, min_length, penalty)
+        return by_tree(f, node, {"node": pa.array(f.place[node], pa.int32()), "time_bin": pa.array(a, pa.int32()), "likelihood": pa.array(like)})
 
     return rows.withColumn("places", score("ptree", "age", "col"))

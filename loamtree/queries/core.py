@@ -16,6 +16,13 @@ GRID = time_grid(12, 400.0, 0.01)
 DISTANCE = 40
 
 
+def nine_decimals(x):
+    """round(x, 9). A small number that is not near the middle of two results goes by way of whole numbers, without a decimal for each value; the quotient of two whole numbers is the double nearest to it."""
+    scaled = x * 1e9
+    clear = (F.abs(x) < 10) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(clear, F.floor(scaled + 0.5) / 1e9).otherwise(F.round(x, 9))
+
+
 def rounded(frame, *columns):
     return frame.withColumns({c: F.round(c, 6) for c in columns})
 

@@ -9,7 +9,7 @@ from ..operators import forest, intervals as iv
 from ..plans import joining, likelihood
 from ..sources.scratch import stored
 from ..tables import NODES_SQL, SITES_SQL, bushy_trees, sites, table, trees
-from .core import GRID, _sql_bin, rounded
+from .core import GRID, _sql_bin, nine_decimals, rounded
 
 TOP = len(GRID) - 2
 #: Population size at each grid time, recombination and mutation rate, and the factor of a place that needs a change of its own.
@@ -33,7 +33,7 @@ lasting AS (SELECT *, exp(-{RHO} * greatest(l, 1)) AS stays, (1 - exp(-{RHO} * g
 def join_priors(spark, d):
     """By tree and grid time, the probability of each place where a new leaf may join."""
     found = bushy_trees(spark, d).select("start", F.posexplode(joining.join_priors(GRID, SIZES)).alias("time_bin", "x"))
-    return found.select("start", "time_bin", F.col("x.places").cast("long").alias("n_places"), F.round("x.prior", 9).alias("prior"))
+    return found.select("start", "time_bin", F.col("x.places").cast("long").alias("n_places"), nine_decimals(F.col("x.prior")).alias("prior"))
 
 
 _MOVE_SQL = f"""WITH {_JOINS}, weights AS (SELECT a.k, a.b AS a, j.b, a.leaves, a.stays, sum(CASE WHEN j.c < a.b THEN c.u ELSE a.v END * j.p) AS s
@@ -45,7 +45,7 @@ moved AS (SELECT x.*, x.leaves * s / e.places AS p FROM weights x JOIN counts e
 def join_moves(spark, d):
     """From each time to a place of another branch at each time; and from a leaf's branch to the same place."""
     found = bushy_trees(spark, d).select("start", F.posexplode(joining.join_moves(GRID, SIZES, RHO)).alias("a", "x"))
-    return found.select("start", "a", *[F.round(F.get("x.other", F.lit(b)), 9).alias(f"to_{b}") for b in range(TOP + 1)], F.round(F.get("x.leaf", F.col("a")), 9).alias("stays_on_leaf"))
+    return found.select("start", "a", *[nine_decimals(F.get("x.other", F.lit(b))).alias(f"to_{b}") for b in range(TOP + 1)], nine_decimals(F.get("x.leaf", F.col("a"))).alias("stays_on_leaf"))
 
 
 @query(f"""{_MOVE_SQL}, anywhere AS (SELECT k, a, sum(p * e.places) AS p FROM moved m JOIN counts e USING (k, b) GROUP BY k, a),
@@ -56,7 +56,7 @@ SELECT o.k * 10 AS start, CAST(o.node AS INT) AS node, CAST(o.a AS INT) AS time_
 FROM own o JOIN anywhere w ON w.k = o.k AND w.a = o.a JOIN lasting l ON l.k = o.k AND l.b = o.a LEFT JOIN below b ON b.k = o.k AND b.node = o.node""")
 def join_totals(spark, d):
     """Of each place, the probability that the lineage is on the same tree at the next base."""
-    return bushy_trees(spark, d).select("start", F.explode(joining.join_totals(GRID, SIZES, RHO)).alias("x")).select("start", "x.node", "x.time_bin", F.round("x.total", 9).alias("total"))
+    return bushy_trees(spark, d).select("start", F.explode(joining.join_totals(GRID, SIZES, RHO)).alias("x")).select("start", "x.node", "x.time_bin", nine_decimals(F.col("x.total")).alias("total"))
 
 
 def _columns(spark, d):
@@ -104,7 +104,7 @@ def join_likelihoods(spark, d):
     """Of each site with the base of a further leaf, at every place where this may join; nodes are at their grid times."""
     rows = _on_trees(spark, d).withColumn("col", F.concat("col", "base"))
     found = joining.join_likelihoods(rows, GRID, MU).select("pos", F.explode("places").alias("x"))
-    return found.select("pos", "x.node", "x.time_bin", F.round("x.likelihood", 9).alias("likelihood"))
+    return found.select("pos", "x.node", "x.time_bin", nine_decimals(F.col("x.likelihood")).alias("likelihood"))
 
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, {SITES_SQL},

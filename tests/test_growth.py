@@ -2,9 +2,15 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loamtree.operators import graphs, numbering, sites, spr
+from loamtree.operators.forest import Forest
+from loamtree.plans import joining
+from loamtree.queries import core
 from loamtree.streaming import segments
 
 
@@ -125,3 +131,23 @@ def test_graph_of_changes_alone(spark):
     for row in nodes.filter("event <> 'recomb'").collect():
         count[row.chrom][1] += 1
     assert {r.chrom: [r.n_edges, r.n_standing] for r in sizes.collect()} == count
+
+
+def test_nine_decimals_are_those_of_round(spark):
+    """On ties, near them, large and missing numbers too."""
+    rng = random.Random(5)
+    values = [rng.random() for _ in range(20000)] + [rng.randrange(10**9) / 1e9 + 5e-10 for _ in range(2000)] + [-rng.random() * 20 for _ in range(500)]
+    values += [0.0, -0.0, 1.0, 2.5e-9, -2.5e-9, 4.9999999999e-10, 123456.7890123455, 1e300, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", core.nine_decimals(F.col("x")).alias("ours"), F.round("x", 9).alias("theirs"))
+    assert rows.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).collect() == []
+
+
+def test_forests_and_places_by_arrow():
+    """A forest from a slice of an Arrow array is the one from its rows, and its items go back as Arrow arrays without a Python object each."""
+    p, a = [[2, 2, -1], [3, 4, 3, 4, -1], [3, 3, 4, 4, -1]], [[0.0, 0.0, 5.0], [0.0, 0.0, 0.0, 1.0, 9.0], [0.0, 0.0, 0.0, 2.0, 7.0]]
+    ours = Forest(pa.array(p, pa.list_(pa.int32())).slice(1), pa.array(a, pa.list_(pa.float64())).slice(1))
+    theirs = Forest(pd.Series(p[1:]), pd.Series(a[1:]))
+    assert all((getattr(ours, c) == getattr(theirs, c)).all() for c in ("sizes", "first", "tree", "parent", "age", "place", "leaf"))
+    found = joining.by_tree(ours, np.array([1, 2, 7]), {"node": pa.array([1, 2, 2], pa.int32())})
+    assert isinstance(found, pa.ListArray) and found.to_pylist() == [[{"node": 1}, {"node": 2}], [{"node": 2}]]
+    assert len(Forest(pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float64()))).parent) == 0
