@@ -14,7 +14,7 @@ for _base, _bit in BASES.items():
 
 def _lengths(lists: pd.Series | pa.ListArray) -> np.ndarray:
     if isinstance(lists, pa.Array):
-        return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.fromiter(map(len, lists), np.int64, len(lists))
 
 

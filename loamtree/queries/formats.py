@@ -6,7 +6,7 @@ from ..catalogue import query
 from ..operators import ordered, trees as tr
 from ..sources import text
 from ..sources.newick import format_newick, parse_newick
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, stored
 from ..tables import JOINTS_SQL, SITES_SQL, TRACKS_SQL, sites, table, tracks, trees
 from .core import rounded
 
@@ -73,7 +73,7 @@ def named_leaves(spark, d):
 @query(f"WITH {JOINTS_SQL} SELECT k % 4 AS sample, '1' AS chrom, k * 10 AS start, k * 10 + 10 AS stop, max(age) AS tmrca, sum(age) + max(age) AS branchlen, array_to_string(range(max(size)), ',') AS leaves FROM joints GROUP BY k")
 def smc_files(spark, d):
     """A file for each of four samples, read as one set, with the sample's number from the file's name; trees are parsed from their text."""
-    path, rows = scratch_folder(spark, "smc"), _newick_trees(spark, d)
+    path, rows = scratch_folder(spark, "smc"), stored(_newick_trees(spark, d).select("sample", "chrom", "start", "stop", "newick"), "trees", by=("sample",))
     none = spark.createDataFrame([], "chrom string, pos long, recomb_node int, recomb_time double, coal_node int, coal_time double")
     for sample in range(4):
         text.write_smc(rows.filter(F.col("sample") == sample), none, ["a", "b"], "1", f"{path}/out.{sample}.smc")

@@ -16,8 +16,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{home.rstrip('/')}/loamtree/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a table in the shared folder, where more than one step reads them; it outlives lost executors."""
+def stored(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows as a table in the shared folder, where more than one step reads them; it outlives lost executors. A step that asks for one value of the columns `by` reads the files of that value alone."""
     path = scratch_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)

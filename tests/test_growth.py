@@ -5,12 +5,14 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loamtree.operators import graphs, numbering, sites, spr
 from loamtree.operators.forest import Forest
 from loamtree.plans import joining
-from loamtree.queries import core
+from loamtree.queries import core, formats
+from loamtree.sources import newick, text
 from loamtree.streaming import segments
 
 
@@ -151,3 +153,24 @@ def test_forests_and_places_by_arrow():
     found = joining.by_tree(ours, np.array([1, 2, 7]), {"node": pa.array([1, 2, 2], pa.int32())})
     assert isinstance(found, pa.ListArray) and found.to_pylist() == [[{"node": 1}, {"node": 2}], [{"node": 2}]]
     assert len(Forest(pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float64()))).parent) == 0
+
+
+def test_newick_of_whole_forests():
+    """Texts of all trees of a batch are those of render(), also with more than two children; broken brackets are errors."""
+    trees = [([2, 2, -1], [0.0, 0.0, 5.0]), ([3, 4, 3, 4, -1], [0.0, 0.0, 0.0, 1.25, 9.0]), ([5, 5, 4, 4, 5, -1], [0.0, 1.0, 0.0, 0.0, 2.0, 1 / 3]), ([-1], [0.5])]
+    names = [[f"n{i}" if i % 2 == 0 else "" for i in range(len(p))] for p, _ in trees]
+    f = Forest(pa.array([p for p, _ in trees], pa.list_(pa.int32())), pa.array([a for _, a in trees], pa.list_(pa.float64())))
+    assert newick.rendered(f, sum(names, [])) == [newick.render(p, a, x) for (p, a), x in zip(trees, names)]
+    assert newick.parse("(a:1 [x=1:age=2] , b[&&NHX:age=3]:4)r:5;") == ([2, 2, -1], [2.0, 3.0, 7.0], ["a", "b", "r"])
+    for wrong in ("(a[b,c);", "(a:,b:1);"):
+        with pytest.raises(ValueError):
+            newick.parse(wrong)
+
+
+def test_smc_files_make_trees_once(spark, sf_dir, monkeypatch):
+    """Files are written from stored trees, of which each reads those of its own sample."""
+    plans = []
+    monkeypatch.setattr(text, "write_smc", lambda trees, *_: plans.append(plan(trees)))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        formats.smc_files(spark, sf_dir)
+    assert len(plans) == 4 and all("lineitem" not in p and "PartitionFilters: [isnotnull(sample" in p for p in plans)
