@@ -2,12 +2,15 @@
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import nearest_time, time_steps
-from ..operators.ordered import TILE, from_earlier_tiles, with_tile
+from ..operators.forest import nested
+from ..operators.ordered import TILE, with_tile
+from ..operators.spr import in_slices
 from ..operators.trees import internal_ages, lineages, n_leaves
 from .priors import coalescent_probability, merged_intervals
 
@@ -90,6 +93,72 @@ def in_windows(trees: DataFrame, width: int, step: int) -> DataFrame:
     return trees.withColumn("window", F.explode(F.transform(F.sequence(first, last), lambda i: i * step)))
 
 
+#: Edits of tiles that are taken at once.
+ROWS = 1 << 18
+
+
+def _running(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each one in its group; groups are together."""
+    before = np.cumsum(rows, axis=0) - rows
+    return before - before[np.searchsorted(group, group)]
+
+
+def _sums_of_tiles(bins: int):
+    """Of each tile by time: the edits that join, those that count there, by how much they change the lineages, and what those that count make of the changes in the tile before them and of their own."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
+        x, tile = batch.column("x").flatten(), np.repeat(np.arange(len(sizes)), sizes)
+        pos, *times = (x.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "r", "p", "c"))
+        order = np.lexsort((*times[::-1], pos, tile))
+        j, (r, p, c) = np.arange(bins), (t[order][:, None] for t in times)
+        change = (p <= j).astype(np.int64) - (c <= j)
+        counts = (r <= j) & (c > j)
+        own = counts * (_running(change, tile) - (p > j))
+        first = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(m.astype(np.int64), first, axis=0).ravel() for m in (c == j, counts, change, own)]
+        lists = [nested(pa.array(m, kind), np.full(len(sizes), bins)) for m, kind in zip(sums, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("sample", "chrom", "tile")), *lists], ["sample", "chrom", "tile", "coal", "counts", "change", "own"])
+
+    def fold(batches):
+        for batch in batches:
+            yield from map(of, in_slices(batch, "x", ROWS))
+
+    return fold
+
+
+def _sums_of_histories(grid: list[float]):
+    """One row a time of all histories of a batch, from their first trees and the sums of their tiles."""
+    times, bins = np.array(grid), len(grid) - 1
+
+    def fold(batches):
+        for batch in batches:
+            trees, tiles = batch.column("trees"), batch.column("tiles")
+            n_trees, n_tiles = (c.value_lengths().to_numpy(zero_copy_only=False) for c in (trees, tiles))
+            if not n_trees.sum():
+                continue
+            ages, leaves = trees.flatten().field("ages"), trees.flatten().field("n").to_numpy(zero_copy_only=False)
+            near = np.minimum(np.abs(ages.flatten().to_numpy(zero_copy_only=False)[:, None] - times).argmin(axis=1), bins - 1)
+            joints = np.zeros((len(leaves), bins), np.int64)
+            np.add.at(joints, (np.repeat(np.arange(len(leaves)), ages.value_lengths().to_numpy(zero_copy_only=False)), near), 1)
+            below = np.cumsum(joints, axis=1)
+            lines = leaves[:, None] - below
+            # above a first tree's root there is one line that counts for nothing
+            coal, lineages = joints.sum(axis=0), np.where(below < below[:, -1:], lines, 0).sum(axis=0)
+            history = np.repeat(np.arange(len(n_tiles)), n_tiles)
+            found = tiles.flatten()
+            order = np.lexsort((found.field("tile").to_numpy(zero_copy_only=False), history))
+            made, counts, change, own = (found.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, bins)[order] for c in ("coal", "counts", "change", "own"))
+            of_trees = np.zeros((len(n_trees), bins), np.int64)
+            np.add.at(of_trees, np.repeat(np.arange(len(n_trees)), n_trees), lines)
+            k = n_trees[history][:, None]
+            coal = coal + (k * made).sum(axis=0)
+            lineages = lineages + (counts * of_trees[history] + k * (counts * _running(change, history) + own)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins), pa.int32()), pa.array(coal, pa.int64()), pa.array(lineages, pa.int64())], ["time_bin", "n_coal", "n_lineages"])
+
+    return fold
+
+
 def counts_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float], width: int = TILE) -> DataFrame:
     """time_bin, n_coal, n_lineages of whole histories, without a tree a block.
 
@@ -97,31 +166,24 @@ def counts_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float
     sample, chrom, pos, recomb_time, broken_time (the age of the joint that the
     cut leaves) and coal_time. The lineages at a time are the leaves less the
     joints up to it, so an edit changes them by one between two times, and the
-    counts before each edit are running sums of its predecessors, by tiles. An
-    edit counts at the times from its cut to where it joins, for each the
-    lineages other than the cut one; a first tree counts with all its branches
-    but the one above the root. Times are grid times, the nearest.
+    counts before each edit are running sums of its predecessors. An edit counts
+    at the times from its cut to where it joins, for each the lineages other
+    than the cut one; a first tree counts with all its branches but the one
+    above the root. Times are grid times, the nearest. Running sums are made in
+    tiles, for all tiles of an Arrow batch at once; a history is a row a tile,
+    with which those of the earlier ones and the first tree come in.
     """
     top, keys = len(grid) - 2, ["sample", "chrom"]
     at = lambda c: F.least(nearest_time(F.col(c), grid), F.lit(top))
-    bins = range(top + 1)
-    placed = with_tile(edits.select(*keys, "pos", at("recomb_time").alias("r"), at("broken_time").alias("p"), at("coal_time").alias("c")), "pos", width)
-    change = {f"d{j}": (F.col("p") <= j).cast("int") - (F.col("c") <= j).cast("int") for j in bins}
-    placed = placed.withColumns(change)
-    before = from_earlier_tiles(placed, keys, **{f"e{j}": (F.sum(f"d{j}"), "sum") for j in bins})
-    here = Window.partitionBy(*keys, "tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    joints = F.transform(internal_ages(), lambda x: F.least(nearest_time(x, grid), F.lit(top)))
-    first = first_trees.select(*keys, n_leaves("ptree").alias("n"), joints.alias("joints"))
-    start = first.select(*keys, F.array(*[F.col("n") - F.size(F.filter("joints", lambda x: x <= j)) for j in bins]).alias("lines"), "joints")  # noqa: B023
-    sums = placed.withColumns({f"s{j}": F.coalesce(F.sum(f"d{j}").over(here), F.lit(0)) for j in bins})
-    rows = sums.join(before, [*keys, "tile"]).join(start.select(*keys, "lines"), keys)
-    left = [F.get("lines", F.lit(j)) + F.col(f"s{j}") + F.coalesce(F.col(f"e{j}"), F.lit(0)) - (F.col("p") > j).cast("int") for j in bins]
-    counted = [F.when((F.col("r") <= j) & (F.col("c") > j), left[j]).otherwise(0) for j in bins]
-    by_edit = rows.select(F.posexplode(F.array(*[F.struct((F.col("c") == j).cast("long").alias("n_coal"), counted[j].cast("long").alias("n_lineages")) for j in bins])).alias("time_bin", "x"))
-    # above a first tree's root there is one line that counts for nothing
-    by_tree = start.select(F.posexplode(F.array(*[F.struct(F.size(F.filter("joints", lambda x: x == j)).cast("long").alias("n_coal"), F.when(F.array_max("joints") > j, F.get("lines", F.lit(j))).otherwise(0).cast("long").alias("n_lineages")) for j in bins])).alias("time_bin", "x"))  # noqa: B023
-    both = by_edit.unionByName(by_tree).groupBy("time_bin").agg(F.sum("x.n_coal").alias("n_coal"), F.sum("x.n_lineages").alias("n_lineages"))
-    return both
+    placed = with_tile(edits.dropna(subset=keys).select(*keys, "pos", at("recomb_time").alias("r"), at("broken_time").alias("p"), at("coal_time").alias("c")), "pos", width)
+    lists = placed.groupBy(*keys, "tile").agg(F.collect_list(F.struct("pos", "r", "p", "c")).alias("x"))
+    sums = "coal array<int>, counts array<int>, change array<int>, own array<long>"
+    tiles = lists.mapInArrow(_sums_of_tiles(top + 1), f"sample {dict(edits.dtypes)['sample']}, chrom {dict(edits.dtypes)['chrom']}, tile long, {sums}")
+    first = first_trees.select(*keys, F.struct(n_leaves("ptree").alias("n"), internal_ages().alias("ages")).alias("tree"))
+    rows = first.unionByName(tiles.select(*keys, F.struct("tile", "coal", "counts", "change", "own").alias("part")), allowMissingColumns=True)
+    histories = rows.groupBy(*keys).agg(F.collect_list("tree").alias("trees"), F.collect_list("part").alias("tiles")).select("trees", "tiles")
+    counted = histories.mapInArrow(_sums_of_histories(grid), "time_bin int, n_coal long, n_lineages long")
+    return counted.groupBy("time_bin").agg(F.sum("n_coal").alias("n_coal"), F.sum("n_lineages").alias("n_lineages"))
 
 
 def sizes_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float], mu: float, sigma: float, width: int = TILE) -> DataFrame:

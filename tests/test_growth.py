@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamtree.operators import graphs, numbering, sites, spr
 from loamtree.operators.forest import Forest
-from loamtree.plans import joining
+from loamtree.plans import joining, popsizes
 from loamtree.queries import core, formats
 from loamtree.sources import newick, text
 from loamtree.streaming import segments
@@ -174,3 +174,17 @@ def test_smc_files_make_trees_once(spark, sf_dir, monkeypatch):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         formats.smc_files(spark, sf_dir)
     assert len(plans) == 4 and all("lineitem" not in p and "PartitionFilters: [isnotnull(sample" in p for p in plans)
+
+
+def test_counts_from_edits_take_whole_batches(spark):
+    """No window or join of edits: a history is met once, with a row a tile. Edits without a first tree count for nothing, trees without edits do."""
+    grid = [0.0, 1.0, 4.0, 9.0, 20.0]
+    trees = spark.createDataFrame([(0, "a", [2, 2, -1], [0.0, 0.0, 4.0]), (1, "a", [3, 3, 4, 4, -1], [0.0, 0.0, 0.0, 1.0, 9.0])], "sample long, chrom string, ptree array<int>, age array<double>")
+    edits = [(0, "a", 5, 0.5, 4.0, 9.0), (0, "a", 300, 1.0, 9.0, 4.0), (0, "a", 1, 0.0, 4.0, 4.0), (7, "a", 1, 0.0, 4.0, 9.0)]
+    edits = spark.createDataFrame(edits, "sample long, chrom string, pos long, recomb_time double, broken_time double, coal_time double")
+    for width in (2, 64, 1000):
+        found = popsizes.counts_from_edits(trees, edits, grid, width)
+        assert "Window" not in plan(found) and "Join" not in plan(found)
+        got = {r.time_bin: (r.n_coal, r.n_lineages) for r in found.collect()}
+        # the trees, then the edits by position: one other line at times 0 and 1; at 0, 1 and 2 (0.5 is at 0); at 1
+        assert got == {0: (0, 5 + 1 + 1), 1: (1, 4 + 1 + 1 + 1), 2: (1 + 2, 2 + 1), 3: (1 + 1, 0)}, got
