@@ -159,6 +159,13 @@ def _sums_of_histories(grid: list[float]):
     return fold
 
 
+def transitions_in_windows(trees: DataFrame, grid: list[float], width: int, step: int) -> DataFrame:
+    """window, time_bin, a, b, n: transitions() of the windows of in_windows(). Windows begin and end between tiles of gcd(width, step), in which trees are counted once; counts, not trees, go to each window."""
+    tile = math.gcd(width, step)
+    counts = transitions(trees.withColumn("start", F.floor(F.col("start") / tile) * tile), grid, ["start"])
+    return in_windows(counts, width, step).groupBy("window", "time_bin", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def counts_from_edits(first_trees: DataFrame, edits: DataFrame, grid: list[float], width: int = TILE) -> DataFrame:
     """time_bin, n_coal, n_lineages of whole histories, without a tree a block.
 

@@ -188,3 +188,14 @@ def test_counts_from_edits_take_whole_batches(spark):
         got = {r.time_bin: (r.n_coal, r.n_lineages) for r in found.collect()}
         # the trees, then the edits by position: one other line at times 0 and 1; at 0, 1 and 2 (0.5 is at 0); at 1
         assert got == {0: (0, 5 + 1 + 1), 1: (1, 4 + 1 + 1 + 1), 2: (1 + 2, 2 + 1), 3: (1 + 1, 0)}, got
+
+
+def test_windows_count_trees_once(spark):
+    """Trees of tiles between the windows' ends are counted once, and windows have the counts of their trees."""
+    rng, grid = random.Random(3), [0.0, 1.0, 4.0, 9.0, 20.0]
+    rows = [(10 * i, [3, 3, 4, 4, -1], [0.0, 0.0, 0.0, float(a := rng.randint(1, 5)), a + rng.random() * 9]) for i in range(400)]
+    trees = spark.createDataFrame(rows, "start long, ptree array<int>, age array<double>")
+    for width, step in ((1000, 500), (700, 300), (50, 200)):
+        want = popsizes.transitions(popsizes.in_windows(trees, width, step), grid, ["window"])
+        found = popsizes.transitions_in_windows(trees, grid, width, step)
+        assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
