@@ -377,38 +377,62 @@ def longest_path(ptree: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(longest)
 
 
-@F.pandas_udf(T.DoubleType())
-def path_correlation(ptree: pd.Series, other: pd.Series) -> pd.Series:
-    """Correlation, over all pairs of leaves, of the numbers of branches between them in two trees of the same leaves; null where either does not vary."""
+#: Entries of the matrices of nodes by leaves that are worked on at once, those of one tree at least.
+ENTRIES = 1 << 22
 
-    def paths(f: Forest) -> list[np.ndarray]:
-        """For each tree the branches between each two leaves: the ancestors of each, less those of both."""
-        leaf = np.flatnonzero(f.leaf)
-        rows, columns, up, own = [], [], leaf, f.place[leaf]
-        while len(up):
-            rows.append(up)
-            columns.append(own)
-            own, up = own[f.parent[up] >= 0], f.parent[up]
-            up = up[up >= 0]
-        rows, columns = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*columns, np.zeros(0, np.int64)])
-        order = np.argsort(rows, kind="stable")
-        rows, columns = rows[order], columns[order]
-        cut = np.searchsorted(rows, f.first)
-        out = []
-        for a, b, start, size in zip(cut, cut[1:], f.first, f.sizes):
-            held = np.zeros((size, (size + 1) // 2))
-            held[rows[a:b] - start, columns[a:b]] = 1
-            both = held.T @ held
-            own = np.diag(both)
-            out.append((own[:, None] + own - 2 * both)[np.triu_indices(len(own), 1)])
-        return out
 
-    found = []
-    for a, b in zip(paths(Forest(ptree)), paths(Forest(other))):
-        a, b = a - a.mean() if len(a) else a, b - b.mean() if len(b) else b
-        spread = np.sqrt((a * a).sum() * (b * b).sum())
-        found.append(float((a * b).sum() / spread) if spread > 0 else None)
-    return pd.Series(found, dtype=object)
+def _paths_of(f: Forest):
+    """A function of trees of one size: (tree, pair), the branches between each two leaves: the ancestors of each, less those of both."""
+    leaf = np.flatnonzero(f.leaf)
+    nodes, leaves, up, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], leaf, f.place[leaf]
+    while len(up):
+        nodes.append(up)
+        leaves.append(own)
+        own, up = own[f.parent[up] >= 0], f.parent[up]
+        up = up[up >= 0]
+    nodes, leaves = np.concatenate(nodes), np.concatenate(leaves)
+    order = np.argsort(f.tree[nodes], kind="stable")
+    nodes, leaves = nodes[order], leaves[order]
+    first = np.searchsorted(f.tree[nodes], np.arange(len(f.sizes) + 1))
+
+    def paths(trees: np.ndarray) -> np.ndarray:
+        size = int(f.sizes[trees[0]])
+        count = first[trees + 1] - first[trees]
+        at = np.repeat(first[trees], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        held = np.zeros((len(trees), size, (size + 1) // 2))
+        held[np.repeat(np.arange(len(trees)), count), f.place[nodes[at]], leaves[at]] = 1
+        both = held.transpose(0, 2, 1) @ held
+        own = np.diagonal(both, axis1=1, axis2=2)
+        one, two = np.triu_indices(own.shape[1], 1)
+        return own[:, one] + own[:, two] - 2 * both[:, one, two]
+
+    return paths
+
+
+def correlations(f: Forest, other: Forest) -> np.ndarray:
+    """path_correlation() of the trees of two forests, NaN for null: those of one size together."""
+    out, one, two = np.full(len(f.sizes), np.nan), _paths_of(f), _paths_of(other)
+    _, kind = np.unique(np.stack((f.sizes, other.sizes)), axis=1, return_inverse=True)
+    kind = kind.ravel()
+    order = np.argsort(kind, kind="stable")
+    for alike in np.split(order, np.cumsum(np.bincount(kind))[:-1]) if len(order) else []:
+        size = int(f.sizes[alike[0]])
+        if size < 3:
+            continue
+        most = max(1, ENTRIES // (size * size))
+        for start in range(0, len(alike), most):
+            trees = alike[start : start + most]
+            a, b = (x - x.mean(axis=1, keepdims=True) for x in (one(trees), two(trees)))
+            spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            out[trees] = np.where(spread > 0, (a * b).sum(axis=1) / np.where(spread > 0, spread, 1), np.nan)
+    return out
+
+
+@F.arrow_udf(T.DoubleType())
+def path_correlation(ptree: pa.Array, other: pa.Array) -> pa.Array:
+    """Correlation, over all pairs of leaves, of the numbers of branches between them in two trees of the same leaves; null where either does not vary."""
+    found = correlations(Forest(ptree), Forest(other))
+    return pa.array(found, mask=np.isnan(found))
 
 
 _FAMILY = T.StructType([T.StructField("parent", T.ArrayType(T.IntegerType())), T.StructField("clades", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("conflict", T.ArrayType(T.IntegerType()))])

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamtree.operators import graphs, numbering, sites, spr
+from loamtree.operators import forest
 from loamtree.operators.forest import Forest
 from loamtree.plans import joining, popsizes
 from loamtree.queries import core, formats
@@ -199,3 +200,23 @@ def test_windows_count_trees_once(spark):
         want = popsizes.transitions(popsizes.in_windows(trees, width, step), grid, ["window"])
         found = popsizes.transitions_in_windows(trees, grid, width, step)
         assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_correlations_of_trees_of_one_size_together(monkeypatch):
+    """Also in parts of one tree: as from the paths between all pairs of leaves of each tree alone."""
+    def distances(parents):
+        above = []
+        for x in range((len(parents) + 1) // 2):
+            above.append(set())
+            while x >= 0:
+                above[-1].add(x)
+                x = parents[x]
+        return [len(a ^ b) for i, a in enumerate(above) for b in above[i + 1 :]]
+
+    one = [[2, 2, -1], [4, 4, 5, 6, 5, 6, -1], [3, 4, 3, 4, -1], [4, 4, 5, 5, 6, 6, -1], [4, 5, 4, 6, 5, 6, -1]]
+    two = [[2, 2, -1], [4, 4, 5, 6, 5, 6, -1], [3, 3, 4, 4, -1], [4, 4, 5, 6, 5, 6, -1], [4, 4, 5, 6, 5, 6, -1]]
+    want = [np.nan if np.std(distances(p)) * np.std(distances(q)) == 0 else np.corrcoef(distances(p), distances(q))[0, 1] for p, q in zip(one, two)]
+    for most in (1, 1 << 22):
+        monkeypatch.setattr(forest, "ENTRIES", most)
+        assert np.allclose(forest.correlations(Forest(pd.Series(one)), Forest(pd.Series(two))), want, equal_nan=True)
+    assert len(forest.correlations(Forest(pd.Series([], dtype=object)), Forest(pd.Series([], dtype=object)))) == 0
