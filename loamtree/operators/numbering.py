@@ -7,26 +7,85 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from . import forest
-from .spr import apply_spr, lists
+from .spr import apply_spr, in_slices, lists, places
 
 KEYS = ["sample", "chrom"]
 #: Rows of a tile that one task composes.
 TILE_ROWS = 1024
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _permutation(mapping: pd.Series, size: pd.Series) -> pd.Series:
-    """The number in the block before of each node of a block, from the mapping the other way; the new joint has that of the one that is gone. Without a mapping nothing moves."""
-    n, none = size.to_numpy(np.int64), mapping.isna().to_numpy()
-    begin = np.cumsum(n) - n
-    place = np.arange(n.sum()) - np.repeat(begin, n)
-    to = place.copy()
-    given = np.repeat(~none, n)
-    to[given] = np.concatenate([np.zeros(0, np.int64), *(np.asarray(m, np.int64) for m in mapping[~none])])
-    old, first = np.full(len(to), -1), np.repeat(begin, n)
-    old[(to + first)[to >= 0]] = place[to >= 0]
-    old[old < 0] = place[to < 0]
-    return pd.Series(np.split(old.astype(np.int32), begin[1:]) if len(n) else [])
+#: Nodes of lists of blocks that are numbered or joined at once.
+NODES = 1 << 20
+
+
+def _in_parts(of):
+    """A function of one batch of lists of blocks as one of batches, in parts of NODES nodes or one row."""
+
+    def parts(batches):
+        for batch in batches:
+            x = [c for c in batch.schema.names if pa.types.is_list(batch.schema.field(c).type)]
+            nodes = sum(_totals(batch.column(c)) for c in x)
+            yield from map(of, in_slices(batch, nodes, NODES))
+
+    return parts
+
+
+def _totals(column: pa.ListArray) -> np.ndarray:
+    """Of each list of blocks how many nodes their trees have together."""
+    behind = np.concatenate(([0], np.cumsum(_lengths(column.flatten().field("ptree")))))
+    ends = np.cumsum(_lengths(column))
+    return np.diff(behind[np.concatenate(([0], ends))])
+
+
+def _lengths(column: pa.ListArray) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _permutations(mapping: pa.ListArray, size: np.ndarray) -> np.ndarray:
+    """The number in the block before of each node of a block, from the mapping the other way, one block behind the other; the new joint has that of the one that is gone. Without a mapping nothing moves."""
+    begin = np.cumsum(size) - size
+    first = np.repeat(begin, size)
+    place = np.arange(len(first)) - first
+    to, old = place.copy(), np.full(len(place), -1)
+    given = np.repeat(mapping.is_valid().to_numpy(zero_copy_only=False), size)
+    to[given] = mapping.flatten().to_numpy(zero_copy_only=False)
+    stays = to >= 0
+    old[(to + first)[stays]] = place[stays]
+    gone, new = np.flatnonzero(~stays), np.flatnonzero(old < 0)
+    if len(gone) != len(new) or (first[gone] != first[new]).any():
+        raise ValueError("a mapping has to leave one node out for each that comes")
+    old[new] = place[gone]
+    return old
+
+
+def _numbered(what: str):
+    """A function of lists of blocks: their blocks as rows with `number`, composed inside each list, the i-th blocks of all lists at once; or what="ends": the last numbers of each list alone; or "trees": blocks with their trees renumbered, without numbers and mapping."""
+
+    def numbered(batch):
+        rows, x = _lengths(batch.column("x")), batch.column("x").flatten()
+        of, start = np.repeat(np.arange(len(rows)), rows), x.field("start").to_numpy(zero_copy_only=False)
+        if len(x) and ((np.diff(of) == 0) & (np.diff(start) < 0)).any():
+            x = x.take(pa.array(np.lexsort((start, of))))
+        size = _lengths(x.field("ptree"))
+        number = _permutations(x.field("mapping"), size)
+        at, begin = np.cumsum(rows) - rows, np.cumsum(size) - size
+        for i in range(1, int(rows.max(initial=0))):
+            now = at[rows > i] + i
+            here = places(begin[now], size[now])
+            number[here] = number[number[here] + np.repeat(begin[now - 1], size[now])]
+        if what == "ends":
+            held = np.flatnonzero(rows)
+            last = at[held] + rows[held] - 1
+            keys = [batch.column(c).take(pa.array(held)) for c in (*KEYS, "tile")]
+            return pa.RecordBatch.from_arrays([*keys, lists(number[places(begin[last], size[last])], size[last], pa.int32())], [*KEYS, "i", "perm"])
+        keys, names = [batch.column(c).take(pa.array(of)) for c in (*KEYS, "tile")], [f.name for f in x.type]
+        if what == "trees":
+            number = lists(number, size, pa.int32())
+            trees = [_tree_by(x.field("ptree"), number), _age_by(x.field("age"), number)]
+            return pa.RecordBatch.from_arrays([*keys[:2], x.field("start"), x.field("stop"), *trees], [*KEYS, "start", "stop", "ptree", "age"])
+        return pa.RecordBatch.from_arrays([*keys, *(x.field(c) for c in names), lists(number, size, pa.int32())], [*KEYS, "tile", *names, "number"])
+
+    return _in_parts(numbered)
 
 
 def _running(batches):
@@ -71,22 +130,77 @@ def stable_numbers(blocks: DataFrame, width: int = TILE_ROWS) -> DataFrame:
     """blocks with `number`: of each node the number it has had since it came into the trees; a joint that an edit makes takes over the number of the one it breaks.
 
     blocks: sample, chrom, start, stop, ptree, and mapping, of each node of the
-    block before its number in this one, -1 if it is gone; null in the first.
-    Tiles are of positions, from each chromosome's own first one.
+    block before its number in this one, -1 if it is gone; null in the first;
+    other columns stay. Tiles are of positions, from the first one of all, and
+    a block goes to its tile once.
     """
-    spans = blocks.groupBy(*KEYS).agg(F.min("start").alias("zero"), F.max("start").alias("far"))
-    last = spans.agg(F.max(F.col("far") - F.col("zero"))).first()[0]
-    perms = blocks.join(spans.select(*KEYS, "zero"), KEYS).select(*KEYS, (F.col("start") - F.col("zero")).alias("i"), _permutation("mapping", F.size("ptree")).alias("perm"))
-    found = _composed(perms, width, last or 0).join(spans.select(*KEYS, "zero"), KEYS).select(*KEYS, (F.col("i") + F.col("zero")).alias("start"), F.col("total").alias("number"))
-    return blocks.join(found, [*KEYS, "start"])
+    least, most = blocks.agg(F.min("start"), F.max("start")).first()
+    others = [c for c in blocks.columns if c not in KEYS]
+    tiles = blocks.groupBy(*KEYS, F.floor((F.col("start") - (least or 0)) / width).alias("tile")).agg(F.collect_list(F.struct(*others)).alias("x"))
+    return numbers_in_lists(tiles, (most or 0) - (least or 0), width).select(*blocks.columns, "number")
+
+
+def numbers_in_lists(tiles: DataFrame, last: int, width: int = TILE_ROWS) -> DataFrame:
+    """stable_numbers() of lists of blocks, a row a tile: sample, chrom, tile, and x, an array of structs. The tiles are of `width` positions from 0 to `last`; where one holds a chromosome, nothing is moved."""
+    fields = tiles.schema["x"].dataType.elementType.fields
+    kinds = T.StructType([*(tiles.schema[c] for c in KEYS), T.StructField("tile", T.LongType()), *fields, T.StructField("number", T.ArrayType(T.IntegerType()))])
+    tiles = tiles.select(*KEYS, F.col("tile").cast("long").alias("tile"), "x")
+    parts = tiles.mapInArrow(_numbered("rows"), kinds)
+    if last < width:
+        return parts.drop("tile")
+    ends = tiles.mapInArrow(_numbered("ends"), "sample long, chrom string, i long, perm array<int>")
+    ahead = Window.partitionBy(*KEYS).orderBy("i")
+    before = _composed(ends, width, last // width).select(*KEYS, F.lead("i").over(ahead).alias("tile"), F.col("total").alias("earlier"))
+    total = F.when(F.col("earlier").isNull(), F.col("number")).otherwise(F.transform("number", lambda x: F.get(F.col("earlier"), x)))
+    return parts.join(before, [*KEYS, "tile"], "left").withColumn("number", total).drop("tile", "earlier")
+
+
+def _turned(number: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes of lists of numbers, where each list begins, and values in the order of the numbers."""
+    size = _lengths(number)
+    first = np.repeat(np.cumsum(size) - size, size)
+    out = np.empty(len(values), values.dtype)
+    out[first + number.flatten().to_numpy(zero_copy_only=False)] = values
+    return size, first, out
+
+
+def _tree_by(ptree: pa.Array, number: pa.Array) -> pa.Array:
+    up, to = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (ptree, number))
+    size = _lengths(number)
+    first = np.repeat(np.cumsum(size) - size, size)
+    out = np.empty(len(up), np.int32)
+    out[first + to] = np.where(up < 0, -1, to[first + np.maximum(up, 0)])
+    return lists(out, size, pa.int32())
+
+
+def _age_by(age: pa.Array, number: pa.Array) -> pa.Array:
+    values, size = age.flatten().to_numpy(zero_copy_only=False), _lengths(number)
+    out = np.empty(len(values), float)
+    out[np.repeat(np.cumsum(size) - size, size) + number.flatten().to_numpy(zero_copy_only=False)] = values
+    return lists(out, size, pa.float64())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _renumbered_tree(ptree: pa.Array, number: pa.Array) -> pa.Array:
+    return _tree_by(ptree, number)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _renumbered_age(age: pa.Array, number: pa.Array) -> pa.Array:
+    return _age_by(age, number)
 
 
 def renumbered(ptree: str, age: str, number: str) -> tuple:
     """ptree and age of a tree whose nodes have the given numbers."""
-    nodes = F.sequence(F.lit(0), F.size(ptree) - 1)
-    place = lambda x: F.array_position(number, x).cast("int") - 1
-    up = lambda x: F.get(F.col(ptree), place(x))
-    return F.transform(nodes, lambda x: F.when(up(x) < 0, F.lit(-1)).otherwise(F.get(F.col(number), up(x)))).cast("array<int>"), F.transform(nodes, lambda x: F.get(F.col(age), place(x)))
+    return _renumbered_tree(ptree, number), _renumbered_age(age, number)
+
+
+def stable_trees(tiles: DataFrame, last: int, width: int = TILE_ROWS) -> DataFrame:
+    """sample, chrom, start, stop, ptree, age: the blocks of numbers_in_lists() with the numbers they get; where a tile holds a chromosome, in one step."""
+    if last < width:
+        return tiles.mapInArrow(_numbered("trees"), "sample long, chrom string, start long, stop long, ptree array<int>, age array<double>")
+    p, a = renumbered("ptree", "age", "number")
+    return numbers_in_lists(tiles, last, width).select(*KEYS, "start", "stop", p.alias("ptree"), a.alias("age"))
 
 
 def congruent_mapping(ptree: str, other: str):

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_graphs import BLOCKS, EDITS, history, plain
+from test_graphs import BLOCKS, EDITS, MAPPED, history, plain, scrambled
 from test_growth import plan
 
-from loamtree.operators import graphs, spr
+from loamtree.operators import graphs, numbering, spr
 from loamtree.operators.spr import apply_spr
 from loamtree.queries import histories as queries
 
@@ -71,3 +73,44 @@ def test_regions_of_tiles(spark, held, sf_dir, start, stop):
     again = graphs.region_of_tiles(cut.withColumns({"from": F.lit(start + 1).cast("long"), "to": F.lit(stop - 1).cast("long")}))
     assert plain(graphs.blocks_of_tiles(again).collect()) == sorted((s, c, max(x, start + 1), min(y, stop - 1), p, a) for s, c, x, y, p, a in blocks if max(x, start + 1) < min(y, stop - 1))
     assert plan(queries.sub_graph_blocks(spark, sf_dir)).count("Exchange") == 1
+
+
+def test_lists_of_blocks(held, monkeypatch):
+    """Written in parts, a list has the whole of its tile all the same, and joints that edits move."""
+    blocks, edits, jobs = held
+    batch = pa.Table.from_batches(jobs.toArrow().to_batches()).combine_chunks().to_batches()[0]
+    broken = {(s, c, pos): x for s, c, pos, x, *_ in edits}
+    for flush, width in ((30, 64), (30, 1 << 20), (1 << 20, 64)):
+        monkeypatch.setattr(spr, "FLUSH", flush)
+        parts = list(spr._blocks_of(batch, width))
+        assert (len(parts) > 1) == (flush == 30)
+        found, before = {}, {}
+        for r in (r for part in parts for r in part.to_pylist()):
+            assert (r["sample"], r["chrom"], r["tile"]) not in found and {x["start"] // width for x in r["x"]} == {r["tile"]}
+            found[r["sample"], r["chrom"], r["tile"]] = [(r["sample"], r["chrom"], x["start"], x["stop"], x["ptree"], x["age"], x["joint"]) for x in r["x"]]
+        for x in (x for key in sorted(found) for x in found[key]):
+            moved = before[x[:2]][4][broken[x[:3]]] if x[:2] in before else None
+            assert x[6] == moved
+            before[x[:2]] = x
+        assert [x[:6] for key in sorted(found) for x in found[key]] == sorted(blocks)
+
+
+def test_numbers_in_lists_move_lines_alone(spark, sf_dir):
+    assert plan(queries.stable_node_numbers(spark, sf_dir)).count("Exchange") == 1
+
+
+def test_a_mapping_has_one_place_for_each_new_node():
+    with pytest.raises(ValueError):
+        numbering._permutations(pa.array([[0, 1, 1]], pa.list_(pa.int32())), np.array([3]))
+
+
+@pytest.mark.parametrize("width", [16, 1 << 20])
+def test_trees_of_lists_get_their_numbers(spark, held, width):
+    """In one step where a tile holds a chromosome, else over its tiles: as rows of blocks get them."""
+    blocks, edits, _ = held
+    rows = spark.createDataFrame([x[:7] for x in scrambled(random.Random(22), blocks, edits)], MAPPED)
+    p, a = numbering.renumbered("ptree", "age", "number")
+    want = numbering.stable_numbers(rows, 7).select("sample", "chrom", "start", "stop", p.alias("ptree"), a.alias("age"))
+    tiles = rows.groupBy("sample", "chrom", F.floor(F.col("start") / width).alias("tile")).agg(F.collect_list(F.struct("start", "stop", "ptree", "age", "mapping")).alias("x"))
+    last = max(x[2] for x in blocks)
+    assert plain(numbering.stable_trees(tiles, last, width).collect()) == plain(want.collect())
