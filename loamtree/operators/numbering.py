@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from . import forest
+from .borders import edits_between
 from .spr import apply_spr, in_slices, lists, places
 
 KEYS = ["sample", "chrom"]
@@ -245,33 +246,92 @@ def edit_between(p, a, q, b):
     raise ValueError("the trees are more than one edit apart")
 
 
+def _one_pair(p, a, q, b):
+    edit = edit_between(p, a, q, b)
+    return *edit, _mapping_over(p, a, edit, {held: y for y, held in _upward(q, b).items()})
+
+
+def _border(left: dict, right: dict) -> tuple:
+    """edits_between() the trees of two columns of blocks."""
+    size = _lengths(left["ptree"])
+    if (size != _lengths(right["ptree"])).any():
+        raise ValueError("the trees at a border do not have the same leaves")
+    trees = [x.flatten().to_numpy(zero_copy_only=False).astype(kind) for side in (left, right) for x, kind in ((side["ptree"], np.int64), (side["age"], float))]
+    return size, *edits_between(*trees, size, _one_pair)
+
+
+def _fields(x: pa.StructArray) -> dict:
+    return dict(zip((f.name for f in x.type), x.flatten()))
+
+
+def _connected(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The border of each chromosome, from the last block on its left and the first on its right."""
+    left, right = _fields(batch.column("l")), _fields(batch.column("r"))
+    size, same, x, coal, time, mapping = _border(left, right)
+    own = [pa.array(v, kind, mask=same) for v, kind in ((x, pa.int32()), (coal, pa.int32()), (time, pa.float64()))]
+    columns = [*(batch.column(c) for c in KEYS), left["start"], right["start"], pa.array(same), *own, lists(mapping, size, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [*KEYS, "left_start", "pos", "same", "recomb_node", "coal_node", "coal_time", "border_mapping"])
+
+
+BLOCK = ["start", "stop", "ptree", "age", "mapping"]
+
+
+def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Lists `left` and `right` as one; where one is empty, the other."""
+    sides = [batch.column(c) for c in ("left", "right")]
+    counts, (left, right) = [_lengths(c) for c in sides], [_fields(c.flatten()) for c in sides]
+    ends = np.cumsum(counts[0]) - 1, np.cumsum(counts[1]) - counts[1]
+    met = np.flatnonzero((counts[0] > 0) & (counts[1] > 0))
+    last, head = ends[0][met], ends[1][met]
+    one, two = ({c: side[c].take(pa.array(at)) for c in BLOCK} for side, at in ((left, last), (right, head)))
+    size, same, *_, border = _border(one, two)
+    # the mapping into the block at a border: over it, or of two equal blocks into the first and on
+    into = one["mapping"]
+    known, none = into.is_valid().to_numpy(zero_copy_only=False), np.zeros(len(met), bool)
+    told = np.repeat(known, size)
+    carried, first = np.full(len(border), -1), np.repeat(np.cumsum(size) - size, size)
+    carried[told] = into.flatten().to_numpy(zero_copy_only=False)
+    carried = np.where(carried >= 0, border[first + np.maximum(carried, 0)], -1)
+    none[:] = same & ~known
+    new = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.where(np.repeat(same, size), carried, border), pa.int32()), mask=pa.array(none))
+    # the order of the blocks: those on the left, less equal ones at borders, then those on the right, whose heads there are anew
+    n, m = len(left["start"]), len(right["start"])
+    goes = np.zeros(n + m, bool)
+    goes[last[same]] = True
+    row = np.concatenate([np.repeat(np.arange(len(c)), c) for c in counts])
+    order = np.argsort(row, kind="stable")
+    order = order[~goes[order]]
+    starts = np.concatenate([side["start"].to_numpy() for side in (left, right)])
+    starts[n + head[same]] = starts[last[same]]
+    maps = np.arange(n + m)
+    maps[n + head] = n + m + np.arange(len(met))
+    held = {c: pa.concat_arrays([left[c], right[c]]).take(pa.array(order)) for c in ("stop", "ptree", "age")}
+    held |= {"start": pa.array(starts[order]), "mapping": pa.concat_arrays([left["mapping"], right["mapping"], new]).take(pa.array(maps[order]))}
+    count = np.bincount(row[order], minlength=batch.num_rows)
+    x = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.StructArray.from_arrays([held[c] for c in BLOCK], BLOCK))
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEYS, "tile")), x], [*KEYS, "tile", "x"])
+
+
+LISTS = "sample long, chrom string, tile long, x array<struct<start:long,stop:long,ptree:array<int>,age:array<double>,mapping:array<int>>>"
+
+
+def joined_in_lists(tiles: DataFrame) -> DataFrame:
+    """joined_blocks() of lists side by side, `left` and `right`, arrays of structs in order, a row for each tile of a chromosome that a border lies in: one list x. Nothing is moved; the mapping of the first block on the right is not looked at."""
+    return tiles.select(*KEYS, "tile", "left", "right").mapInArrow(_in_parts(_joined), LISTS)
+
+
 def joined_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two lists of blocks (sample, chrom, start, stop, ptree, age, mapping) as one, the second going on where the first ends, and the edit (sample, chrom, pos, recomb_node, coal_node, coal_time) between them where their border trees differ.
 
     Equal border trees become one block. The mapping over a border is that of
     the nodes with the same leaves below, or for trees one edit apart of those
-    that the edit leaves. Work beyond the lists is one row a chromosome.
+    that the edit leaves. Work beyond the lists is one row a chromosome, the
+    borders of a whole Arrow batch at once.
     """
     last = left.groupBy(*KEYS).agg(F.max_by(F.struct("start", "stop", "ptree", "age", "mapping"), "start").alias("l"))
     first = right.groupBy(*KEYS).agg(F.min_by(F.struct("start", "stop", "ptree", "age"), "start").alias("r"))
-    border = last.join(first, KEYS)
-
-    def connect(batches):
-        for frame in batches:
-            rows = []
-            for r in frame.itertuples(index=False):
-                (p, a), (q, b) = ([list(side[c]) for c in ("ptree", "age")] for side in (r.l, r.r))
-                edit = edit_between(p, a, q, b)
-                two = {held: y for y, held in _upward(q, b).items()}
-                if edit is None:
-                    mapping = [two[held] for _, held in sorted(_upward(p, a).items())]
-                else:
-                    mapping = _mapping_over(p, a, edit, two)
-                rows.append((r.sample, r.chrom, r.l["start"], r.r["start"], edit is None, *(edit or (None, None, None)), mapping))
-            yield pd.DataFrame(rows, columns=["sample", "chrom", "left_start", "pos", "same", "recomb_node", "coal_node", "coal_time", "border_mapping"])
-
     schema = "sample long, chrom string, left_start long, pos long, same boolean, recomb_node int, coal_node int, coal_time double, border_mapping array<int>"
-    found = border.mapInPandas(connect, schema)
+    found = last.join(first, KEYS).mapInArrow(lambda batches: map(_connected, batches), schema)
     own = ["start", "stop", "ptree", "age", "mapping"]
     ends = found.select(*KEYS, "left_start", "pos", "same", "border_mapping")
     # of two equal border trees the first goes, and its mapping is carried on to the second

@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_graphs import BLOCKS, EDITS, MAPPED, history, plain, scrambled
+from test_graphs import BLOCKS, EDITS, MAPPED, history, plain, random_edit, scrambled
 from test_growth import plan
+from test_joining import random_tree
 
-from loamtree.operators import graphs, numbering, spr
+from loamtree.operators import borders, graphs, numbering, spr
 from loamtree.operators.spr import apply_spr
 from loamtree.queries import histories as queries
 
@@ -114,3 +115,68 @@ def test_trees_of_lists_get_their_numbers(spark, held, width):
     tiles = rows.groupBy("sample", "chrom", F.floor(F.col("start") / width).alias("tile")).agg(F.collect_list(F.struct("start", "stop", "ptree", "age", "mapping")).alias("x"))
     last = max(x[2] for x in blocks)
     assert plain(numbering.stable_trees(tiles, last, width).collect()) == plain(want.collect())
+
+
+def test_borders_of_many_pairs():
+    """The edits and mappings of a Python walk over each pair: equal trees, one edit apart, ages that tie, more than 64 leaves, in any order of joints."""
+    rng, pairs = random.Random(23), []
+    for i in range(300):
+        n = 70 if i % 50 == 0 else rng.randint(2, 9)
+        p, a = random_tree(rng, n, on_grid=i % 3 == 0)
+        q, b = list(p), list(a)
+        if i % 7:
+            x, t, c, u = random_edit(rng, p, a)
+            q, b = apply_spr(p, a, x, c, float(round(u)) if i % 3 == 0 and max(t, a[c]) <= round(u) and (p[c] < 0 or round(u) <= a[p[c]]) else u)
+        new = list(range(n)) + rng.sample(range(n, 2 * n - 1), n - 1)
+        turned, ages = [0] * len(q), [0.0] * len(q)
+        for x, up in enumerate(q):
+            turned[new[x]], ages[new[x]] = (new[up] if up >= 0 else -1), b[x]
+        pairs.append((p, a, turned, ages))
+
+    def slow(*pair):
+        raise AssertionError("no pair here goes the slow way")
+
+    flat = [np.concatenate([np.array(x[k], kind) for x in pairs]) for k, kind in enumerate((np.int64, float, np.int64, float))]
+    size = np.array([len(x[0]) for x in pairs])
+    same, x, coal, time, mapping = borders.edits_between(*flat, size, slow)
+    assert 20 < same.sum() < 200
+    for i, own in enumerate(np.split(mapping, np.cumsum(size)[:-1])):
+        p, a, q, b = pairs[i]
+        edit, two = numbering.edit_between(p, a, q, b), {held: y for y, held in numbering._upward(q, b).items()}
+        if edit is None:
+            assert same[i] and own.tolist() == [two[held] for _, held in sorted(numbering._upward(p, a).items())]
+        else:
+            assert not same[i] and (x[i], coal[i], time[i]) == edit and own.tolist() == numbering._mapping_over(p, a, edit, two)
+    far = [np.array(v) for v in ([4, 4, 5, 6, 5, 6, -1], [0.0, 0, 0, 0, 1, 2, 3], [4, 5, 4, 6, 5, 6, -1], [0.0, 0, 0, 0, 4, 5, 6])]
+    with pytest.raises(ValueError, match="more than one edit"):
+        borders.edits_between(*far, np.array([7]), numbering._one_pair)
+
+
+def test_lists_joined_side_by_side(spark, held, monkeypatch, sf_dir):
+    """Cut between blocks or inside one, or with one side empty, in parts of one row: as rows of blocks are joined."""
+    blocks, edits, _ = held
+    rng, rows, left, right = random.Random(24), [], [], []
+    for i, key in enumerate(sorted({x[:2] for x in blocks}) * 2):
+        own = [x for x in blocks if x[:2] == key]
+        k, inside = rng.randrange(0, len(own)), i % 2 and own[0][3] - own[0][2] > 1
+        key = (key[0] + 10 * i, key[1])
+        own = [(*key, *x[2:]) for x in own]
+        broken = [(*key, *x[2:]) for x in edits if (x[0] + 10 * i, x[1]) == key]
+        a, b = (own[:1], own[:]) if inside else (own[:k], own[k:])
+        if inside:
+            middle = own[0][2] + 1
+            a, b = [(*key, own[0][2], middle, *own[0][4:])], [(*key, middle, *own[0][3:]), *own[1:]]
+        a, b = (scrambled(rng, x, broken) for x in (a, b))
+        left, right = left + [x[:7] for x in a], right + [x[:7] for x in b]
+        names = ("start", "stop", "ptree", "age", "mapping")
+        rows.append((*key, 0, *([dict(zip(names, x[2:7])) for x in side] for side in (a, b))))
+    kind = "array<struct<start:long,stop:long,ptree:array<int>,age:array<double>,mapping:array<int>>>"
+    tiles = spark.createDataFrame(rows, f"sample long, chrom string, tile long, left {kind}, right {kind}")
+    want = numbering.joined_blocks(spark.createDataFrame(left, MAPPED), spark.createDataFrame(right, MAPPED))[0].collect()
+    monkeypatch.setattr(numbering, "NODES", 1)
+    batch = tiles.toArrow().combine_chunks().to_batches()[0]
+    parts = list(numbering._in_parts(numbering._joined)([batch]))
+    assert len(parts) == len(rows)
+    got = sorted((r["sample"], r["chrom"], *b.values()) for part in parts for r in part.to_pylist() for b in r["x"])
+    assert got == sorted((r.sample, r.chrom, r.start, r.stop, r.ptree, r.age, r.mapping) for r in want)
+    assert plan(queries.joined_lists(spark, sf_dir)).count("Exchange") == 1
