@@ -430,9 +430,10 @@ def correlations(f: Forest, other: Forest) -> np.ndarray:
 
 @F.arrow_udf(T.DoubleType())
 def path_correlation(ptree: pa.Array, other: pa.Array) -> pa.Array:
-    """Correlation, over all pairs of leaves, of the numbers of branches between them in two trees of the same leaves; null where either does not vary."""
+    """Correlation, over all pairs of leaves, of the numbers of branches between them in two trees of the same leaves; null where either does not vary. Called on pandas series it gives one, with None for null."""
     found = correlations(Forest(ptree), Forest(other))
-    return pa.array(found, mask=np.isnan(found))
+    none = np.isnan(found)
+    return pd.Series(np.where(none, None, found), dtype=object) if isinstance(ptree, pd.Series) else pa.array(found, mask=none)
 
 
 _FAMILY = T.StructType([T.StructField("parent", T.ArrayType(T.IntegerType())), T.StructField("clades", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("conflict", T.ArrayType(T.IntegerType()))])
